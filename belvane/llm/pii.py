@@ -195,6 +195,10 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.get(name, c["k"]), c["s"].cast("string"), c["e"].cast("string"))), ",")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda c: c["k"] == kind))
+
+
 def find(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 (of the strict patterns' spans), n_added, and spans (all
     spans as kind:start:end by kind and start, in code points, end exclusive) for every row.
@@ -208,7 +212,7 @@ def find(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     known = found.select("doc_id", strict.alias("strict"), accept(F.col("cands"), weights, least).alias("all"))
     return known.select(
         "doc_id",
-        *[F.size(F.filter("strict", lambda c, k=k: c["k"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)],
+        *[_count(F.col("strict"), k).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(_said(F.col("strict")), 256).alias("base_sha256"),
         (F.size("all") - F.size("strict")).cast("long").alias("n_added"),
         _said(F.col("all")).alias("spans"),
