@@ -118,8 +118,8 @@ def _spans(text: Column, kind: int, pattern: str, here: Column, base: bool) -> C
     return F.when(here & (F.size(hits) > 0), walk).otherwise(none)
 
 
-def proposals(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` of every row and ``cands``, the spans that the patterns propose."""
+def proposals(docs: DataFrame, keys: list, name: str = "cands") -> DataFrame:
+    """``keys`` of every row and ``name``, the spans that the patterns propose."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = text.rlike("[0-9]")
     found = [
@@ -131,7 +131,7 @@ def proposals(docs: DataFrame, keys: list[str]) -> DataFrame:
         _spans(text, 3, LOCAL, digit, False),
         _spans(text, 4, ID, digit & text.contains("-"), False),
     ]
-    return docs.select(*keys, F.concat(*found).alias("cands"))
+    return docs.select(*keys, F.concat(*found).alias(name))
 
 
 _NUMBER = {"1": 1.0, "0": 0.0, "-": np.nan}
@@ -233,7 +233,7 @@ def redact(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("__s", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
     plain = [F.col(f"`{c}`") for c in docs.columns]
-    found = proposals(docs, plain).select(*plain, F.col("cands").alias("__c")).withColumn("__s", spans)
+    found = proposals(docs, plain, "__c").withColumn("__s", spans)
     text = F.when(F.col("text").isNull() | (F.size("__s") == 0), F.col("text")).otherwise(clean)
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -22,6 +22,8 @@ BINS = 2048
 LABELLERS = ("length", "symbols", "capitals", "line_repeats", "cells", "word_length", "exclaims", "variety")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _NEUTRAL = "-"
+#: The most false alarms that a labeller is taken to raise, as a share of its votes on good documents.
+ALARMS = 0.001
 
 
 def votes(text: str | None) -> str:
@@ -40,7 +42,7 @@ def votes(text: str | None) -> str:
 
     return "".join(
         (
-            "0" if n < 15 else "1" if n >= 50 else _NEUTRAL,
+            "0" if n < 5 else "1" if n >= 50 else _NEUTRAL,
             vote(sum(map(text.count, "#*$%&<>^~")) / n, 0.05, 0.3),
             vote(upper, 0.1, 0.4),
             vote(1 - len(set(lines)) / max(1, len(lines)), 0.1, 0.3) if len(lines) > 2 else _NEUTRAL,
@@ -85,23 +87,27 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def accuracies(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
     """The share of good documents, and each labeller's chance to be right on good and on bad documents when it votes.
 
-    Expectation-maximisation with labellers taken as independent given the class; a vote is smoothed by a weak prior.
+    Expectation-maximisation with labellers taken as independent given the class, from the guess that one vote against a
+    document makes it bad. A labeller is made to be silent on good text, so its false alarms there are taken to be
+    ``ALARMS`` at most; else the labellers that see different faults would outvote each other.
     """
     keys = list(patterns)
     v = np.array([[{"1": 1.0, "0": 0.0, _NEUTRAL: np.nan}[c] for c in k] for k in keys])
     n = np.array([patterns[k] for k in keys], dtype=float)
-    share, good, bad = 0.8, np.full(v.shape[1], 0.9), np.full(v.shape[1], 0.6)
+    cast, yes = ~np.isnan(v), np.nan_to_num(v)
+    p = np.where((v == 0).any(axis=1), 0.1, 0.9)
+    share, good, bad = 0.8, np.full(v.shape[1], 0.99), np.full(v.shape[1], 0.3)
     for _ in range(rounds):
-        p = _posterior(v, share, good, bad)
         share = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
-        cast, yes = ~np.isnan(v), np.nan_to_num(v)
-        good = ((n * p) @ yes + 9) / ((n * p) @ cast + 10)
-        bad = ((n * (1 - p)) @ (cast * (1 - yes)) + 6) / ((n * (1 - p)) @ cast + 10)
+        good = np.maximum(((n * p) @ yes + 9) / ((n * p) @ cast + 10), 1 - ALARMS)
+        bad = np.maximum(((n * (1 - p)) @ (cast * (1 - yes)) + 3) / ((n * (1 - p)) @ cast + 10), 0.05)
+        p = _posterior(v, share, good, bad)
     return share, good, bad
 
 
 def _posterior(v: np.ndarray, share: float, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     yes, no = np.nan_to_num(v), np.nan_to_num(1 - v)
+    good = np.minimum(good, 0.9999)
     up = np.log(share) + yes @ np.log(good) + no @ np.log(1 - good)
     down = np.log(1 - share) + yes @ np.log(1 - bad) + no @ np.log(bad)
     return 1 / (1 + np.exp(np.clip(down - up, -60, 60)))
@@ -117,7 +123,19 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([votes(x) for x in texts], pa.string()), pa.array([hashed(x).tobytes() for x in texts], pa.binary())], ["pattern", "x"])
 
 
-def fit(docs: DataFrame, *, max_rows: int = 3000, steps: int = 300) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias by logistic loss on chances ``y``, both classes weighing the same."""
+    weight = np.where(y > 0.5, 0.5 / max(1e-9, (y > 0.5).mean()), 0.5 / max(1e-9, (y <= 0.5).mean())).clip(0, 5)
+    w, b, seen_w, seen_b = np.zeros(BINS), 0.0, np.full(BINS, 1e-6), 1e-6
+    for _ in range(steps):  # logistic loss, adaptive steps
+        err = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
+        gw, gb = x.T @ err / len(y) + 1e-4 * w, err.mean()
+        seen_w, seen_b = seen_w + gw * gw, seen_b + gb * gb
+        w, b = w - 0.5 * gw / np.sqrt(seen_w), b - 0.5 * gb / np.sqrt(seen_b)
+    return w.astype(np.float32), float(b)
+
+
+def fit(docs: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer. Vote patterns are counted over all of ``docs``; the scorer is trained on at most
     ``max_rows`` documents, those with the smallest hashes of their ids and texts."""
     texts = docs.select("text")
@@ -131,14 +149,7 @@ def fit(docs: DataFrame, *, max_rows: int = 3000, steps: int = 300) -> tuple[np.
     rows = picked.select("text").mapInArrow(_train_rows, "pattern string, x binary").collect()  # at most max_rows, 8 KB each
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows])
     y = np.array([posterior(r["pattern"], model) for r in rows])
-    weight = np.where(y > 0.5, 0.5 / max(1e-9, (y > 0.5).mean()), 0.5 / max(1e-9, (y <= 0.5).mean())).clip(0, 5)
-    w, b, seen_w, seen_b = np.zeros(BINS), 0.0, np.full(BINS, 1e-6), 1e-6
-    for _ in range(steps):  # logistic loss, adaptive steps
-        err = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        gw, gb = x.T @ err / len(y) + 1e-4 * w, err.mean()
-        seen_w, seen_b = seen_w + gw * gw, seen_b + gb * gb
-        w, b = w - 0.5 * gw / np.sqrt(seen_w), b - 0.5 * gb / np.sqrt(seen_b)
-    return w.astype(np.float32), float(b)
+    return train(x, y)
 
 
 def _scores(texts: list[str | None], w: np.ndarray, b: float) -> np.ndarray:
@@ -158,7 +169,7 @@ def _keep(batches: Iterator[pa.RecordBatch], w: np.ndarray, b: float, limit: flo
         yield r.filter(pc.is_in(pa.array(_scores(r.column("text").to_pylist(), w, b) >= limit), pa.array([True])))
 
 
-def score(docs: DataFrame, *, limit: float = 0.5, max_rows: int = 3000) -> DataFrame:
+def score(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataFrame:
     """doc_id, votes (one character per labeller), score (0 to 1) and kept (score >= limit) for every row.
 
     Null and empty texts score near 0 and are rejected. Repeated rows each come back; other columns are not read. An
@@ -168,7 +179,7 @@ def score(docs: DataFrame, *, limit: float = 0.5, max_rows: int = 3000) -> DataF
     return docs.select("doc_id", "text").mapInArrow(partial(_score, w=w, b=b, limit=limit), "doc_id long, votes string, score double, kept boolean")
 
 
-def keep_good(docs: DataFrame, *, limit: float = 0.5, max_rows: int = 3000) -> DataFrame:
+def keep_good(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with all their columns."""
     w, b = fit(docs, max_rows=max_rows)
     return docs.mapInArrow(partial(_keep, w=w, b=b, limit=limit), docs.schema)
