@@ -142,42 +142,52 @@ def likeness(a: Column, b: Column, differing: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(F.greatest(total - d, F.lit(0.0)) / (total + d))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of every row, and as ``next_`` those of the next in falling order of doc_id (after the last: the
-    first). Ties in doc_id are ordered by text; a null id comes last.
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below ``key``: first among every 32nd, then among the 32 that follow."""
+    if not bounds:
+        return F.lit(0)
+    below = lambda b: b < key
+    coarse = F.size(F.filter(F.lit(bounds[31::32]).cast("array<bigint>"), below)) * 32 if len(bounds) > 31 else F.lit(0)
+    return coarse + F.size(F.filter(F.slice(F.lit(bounds).cast("array<bigint>"), coarse + 1, F.lit(32)), below))
 
-    Ids are dealt to ranges, whose first rows also go, as guests, to the range before; then each range finds its rows'
-    next alone. Only the ranges' bounds and first ids come to the driver, a number of each for every shuffle partition.
+
+def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
+    """doc_id and ``columns`` of every row, as ``next_`` those of the next in falling order of doc_id (after the last:
+    the first), and ``part`` and ``nth``, which name the row. Ties in doc_id are ordered by text; a null id comes last.
+
+    Ids are dealt to ``ranges``, whose first rows also go, as guests, to the range before; then each range finds its rows'
+    next alone. Only the ranges' bounds and first ids come to the driver.
     """
-    spark = docs.sparkSession
     least = -(1 << 63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(least))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    bounds = docs.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < key)) if bounds else F.lit(0)
+    part = _range_of(key, bounds)
     heads = dict(docs.select(part.alias("p"), key.alias("k")).groupBy("p").agg(F.max("k")).collect())
     used = sorted(heads)
     above = {p: used[(k + 1) % len(used)] for k, p in enumerate(used)}
-    of = lambda told, p: F.get(F.array(*[F.lit(told.get(x)).cast("long") for x in range(len(bounds) + 1)]), p)
-    rows = docs.select(*columns, key.alias("__key"), part.cast("int").alias("__own"))
+    of = lambda told, p: F.get(F.lit([told.get(x, least) for x in range(len(bounds) + 1)]).cast("array<bigint>"), p)
+    rows = docs.select("doc_id", *columns, key.alias("__key"), part.cast("int").alias("__own"))
     guest = F.struct(of(above, F.col("__own")).cast("int").alias("part"), F.lit(True).alias("__guest"))
     host = F.struct(F.col("__own").alias("part"), F.lit(False).alias("__guest"))
-    dealt = rows.withColumn("__at", F.explode(F.when(F.col("__key") == of(heads, F.col("__own")), F.array(host, guest)).otherwise(F.array(host)))).select(*columns, "__key", "__at.*")
-    by = Window.partitionBy("part").orderBy("__guest", F.desc("__key"), F.xxhash64("text"))
-    dealt = dealt.repartition(n, "part")
-    return dealt.select(*columns, "part", F.row_number().over(by).alias("nth"), *[F.lead(c).over(by).alias(f"next_{c}") for c in columns], "__guest").where("not __guest").drop("__guest")
+    first = F.col("__key") == of(heads, F.col("__own"))
+    dealt = rows.select("doc_id", *columns, F.inline(F.when(first, F.array(host, guest)).otherwise(F.array(host))))
+    by = Window.partitionBy("part").orderBy("__guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    dealt = dealt.repartition(ranges, "part")
+    return dealt.select("doc_id", *columns, "part", F.row_number().over(by).alias("nth"), *[F.lead(c).over(by).alias(f"next_{c}") for c in columns], "__guest").where("not __guest").drop("__guest")
 
 
-def compare(docs: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row.
 
     The edited text has its last third replaced by as much of the beginning of the next document, in falling order of
     doc_id. A null text is taken as empty. Texts without a paragraph are alike (1.0). Repeated rows each come back and
-    are each other's next. An empty table gives no rows.
+    are each other's next. An empty table gives no rows. ``ranges``: into how many ranges of ids the work is cut, 8 for
+    each shuffle partition if not given, as a document has some hundred cells.
     """
+    ranges = ranges or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("own", digests(F.col("text")))
-    rows = with_next(texts, ["doc_id", "text", "own"])
+    rows = with_next(texts, ["text", "own"], ranges)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - third), F.substr(F.col("next_text"), F.lit(1), third))
