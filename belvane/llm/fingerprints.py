@@ -173,7 +173,8 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
     first = F.col("__key") == of(heads, F.col("__own"))
     dealt = rows.select("doc_id", *columns, F.inline(F.when(first, F.array(host, guest)).otherwise(F.array(host))))
     by = Window.partitionBy("part").orderBy("__guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    dealt = dealt.repartition(ranges, "part")
+    # a join above would ask for this on one of its sides alone, and the texts would be shuffled for each
+    dealt = dealt.where(F.col("part").isNotNull()).repartition(ranges, "part")
     return dealt.select("doc_id", *columns, "part", F.row_number().over(by).alias("nth"), *[F.lead(c).over(by).alias(f"next_{c}") for c in columns], "__guest").where("not __guest").drop("__guest")
 
 
