@@ -235,7 +235,8 @@ def redact(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     plain = [F.col(f"`{c}`") for c in docs.columns]
     found = proposals(docs, plain, "__c").withColumn("__s", spans)
     text = F.when(F.col("text").isNull() | (F.size("__s") == 0), F.col("text")).otherwise(clean)
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    found = found.withColumn("__t", text)
+    new = {"text": F.col("__t")} | ({"n_chars": F.length("__t").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
