@@ -144,8 +144,10 @@ def fit(docs: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, float]:
     if not found:
         return np.zeros(BINS, dtype=np.float32), 0.0
     model = accuracies(found)
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), F.lit(17))
-    picked = docs.select("doc_id", "text").select(key.alias("k"), "text").orderBy("k", F.xxhash64("text")).limit(max_rows)
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(17))
+    # the bound is found from keys alone, so that only the texts below it, about max_rows in all, meet in one task
+    last = docs.select(key.alias("k")).orderBy("k").limit(max_rows).agg(F.max("k")).first()[0]
+    picked = docs.select(key.alias("k"), "text").where(F.col("k") <= last).orderBy("k").limit(max_rows)
     rows = picked.select("text").mapInArrow(_train_rows, "pattern string, x binary").collect()  # at most max_rows, 8 KB each
     x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in rows])
     y = np.array([posterior(r["pattern"], model) for r in rows])
