@@ -109,3 +109,16 @@ def strongest(cov: DataFrame, least: float = 0.2, most: int = 200) -> DataFrame:
     root = F.sqrt(F.col("di") * F.col("dj"))
     c = c.withColumn("corr", F.when(root < 1e-150, 0.0).otherwise(F.col("v") / root)).where(F.abs("corr") >= least)
     return c.withColumn("place", F.row_number().over(Window.partitionBy("model").orderBy(F.desc(F.abs("corr")), "i", "j"))).where(F.col("place") <= most).select("model", "i", "j", "corr", "place")
+
+
+def observation_plan(jacobian: DataFrame, sigma: DataFrame, noise: float, cost: float = 0.0) -> DataFrame:
+    """model, out_var, var_id, gain, place: what one reading of each raw variable would tell about an output, best first.
+
+    The variables are independent; ``noise`` is a reading's standard deviation as a share of the variable's. ``gain`` is
+    half the log of the output's variance before over after, less ``cost``; ties go by var_id. A place of 1 is the choice.
+    """
+    each = Window.partitionBy("model", "out_var")
+    part = jacobian.join(sigma, ["model", "var_id"]).withColumn("part", F.pow(F.col("v") * F.col("sigma"), F.lit(2)))
+    left = 1 - F.col("part") / (F.sum("part").over(each) * (1 + noise * noise))
+    gained = part.select("model", "out_var", "var_id", (-0.5 * F.log(left) - cost).alias("gain"))
+    return gained.withColumn("place", F.row_number().over(each.orderBy(F.desc("gain"), "var_id")))

@@ -73,3 +73,69 @@ def polygon(points: DataFrame, key: str, order: str) -> DataFrame:
     p = points.withColumns({"nx": nx, "ny": ny}).withColumn("cross", F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
     s = p.groupBy(key).agg((F.sum("cross") / 2).alias("area"), F.sum((F.col("x") + F.col("nx")) * F.col("cross")).alias("sx"), F.sum((F.col("y") + F.col("ny")) * F.col("cross")).alias("sy"))
     return s.select(key, "area", *[F.when(F.col("area") != 0, F.col(f"s{k}") / (6 * F.col("area"))).alias(f"c{k}") for k in "xy"])
+
+
+def primitives(boxes: DataFrame, spacing: float) -> DataFrame:
+    """id, i, j, k, mean_x .. mean_z, and the covariance s_xx, s_xy, s_yy, s_zz of the tiles of each turned box.
+
+    An extent is cut into the fewest equal tiles not longer than ``spacing``; a tile has the moments of a uniform box.
+    """
+    n = {k: F.greatest(F.ceil(F.col(f"e{k}") / spacing), F.lit(1)) for k in "xyz"}
+    cut = boxes.select("*", *[n[k].alias(f"n{k}") for k in "xyz"])
+    for axis, at in zip("xyz", "ijk", strict=True):
+        cut = cut.withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{axis}") - 1)))
+    u, v, w = [(F.col(at) + 0.5) * F.col(f"e{axis}") / F.col(f"n{axis}") for axis, at in zip("xyz", "ijk", strict=True)]
+    a, b, h = [F.pow(F.col(f"e{k}") / F.col(f"n{k}"), F.lit(2)) / 12 for k in "xyz"]
+    c, s = F.cos("yaw"), F.sin("yaw")
+    return cut.select(
+        "id", "i", "j", "k",
+        (F.col("ox") + u * c - v * s).alias("mean_x"), (F.col("oy") + u * s + v * c).alias("mean_y"), (F.col("oz") + w).alias("mean_z"),
+        (a * c * c + b * s * s).alias("s_xx"), ((a - b) * c * s).alias("s_xy"), (a * s * s + b * c * c).alias("s_yy"), h.alias("s_zz"),
+    )
+
+
+def levels_of_detail(points: DataFrame, levels: list[str], dims: list[str]) -> DataFrame:
+    """Weight, means and variances at every level of ``levels`` and over all, in one pass; a level that is summed over is
+    null, and ``level`` tells how many are."""
+    sums = [F.count(F.lit(1)).alias("weight"), *[F.avg(x).alias(f"mean_{x}") for x in dims], *[F.var_pop(x).alias(f"var_{x}") for x in dims]]
+    gone = F.lit(0)
+    for c in levels:
+        gone = gone + F.grouping(c).cast("int")
+    return points.rollup(*levels).agg(gone.alias("level"), *sums)
+
+
+def distances(parts: DataFrame, dims: list[str]) -> DataFrame:
+    """a, b, bhattacharyya, log_overlap, kl: pairs a < b of a mixture's parts (part, mean_*, var_*), whose covariances are
+    diagonal. ``log_overlap`` is the log of the integral of the product. The parts are those of a model, a few."""
+    names = [f"{m}_{x}" for m in ("mean", "var") for x in dims]
+    p = parts.select(F.col("part").alias("a"), *[F.col(c).alias(f"p_{c}") for c in names])
+    q = parts.select(F.col("part").alias("b"), *[F.col(c).alias(f"q_{c}") for c in names])
+    far, over, kl = F.lit(0.0), F.lit(-0.5 * len(dims) * math.log(2 * math.pi)), F.lit(-0.5 * len(dims))
+    for x in dims:
+        gap, s, t = F.pow(F.col(f"p_mean_{x}") - F.col(f"q_mean_{x}"), F.lit(2)), F.col(f"p_var_{x}"), F.col(f"q_var_{x}")
+        far = far + gap / (4 * (s + t)) + 0.5 * F.log((s + t) / 2) - 0.25 * F.log(s * t)
+        over = over - 0.5 * F.log(s + t) - gap / (2 * (s + t))
+        kl = kl + 0.5 * (s / t + gap / t + F.log(t / s))
+    return p.join(q, F.col("a") < F.col("b")).select("a", "b", far.alias("bhattacharyya"), over.alias("log_overlap"), kl.alias("kl"))
+
+
+def evidence(scored: DataFrame, outlier_share: float, outlier_density: float) -> DataFrame:
+    """part, effective_points, fraction, confidence from ``scored`` (id, part, log_p: log weight and density).
+
+    A point belongs to the parts and to outliers of a flat density in proportion; what the parts don't take is the
+    outliers', so that the mass of each point stays 1. ``confidence`` is the mean share of points in the part, weighted
+    by these shares.
+    """
+    w = Window.partitionBy("id")
+    flat = math.log(outlier_share * outlier_density)
+    top = F.greatest(F.max("log_p").over(w) + math.log(1 - outlier_share), F.lit(flat))
+    shifted = scored.withColumn("top", top).withColumn("e", F.exp(F.col("log_p") + math.log(1 - outlier_share) - F.col("top")))
+    share = shifted.select("part", (F.col("e") / (F.sum("e").over(w) + F.exp(F.lit(flat) - F.col("top")))).alias("share"))
+    return share.groupBy("part").agg(F.sum("share").alias("effective_points"), F.avg("share").alias("fraction"), (F.sum(F.col("share") * F.col("share")) / F.sum("share")).alias("confidence"))
+
+
+def path_length(points: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``key``, points and length of the line through a key's points (x, y) in order; 0 for a single point."""
+    w = Window.partitionBy(key).orderBy(*order)
+    step = points.select(key, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("step"))
+    return step.groupBy(key).agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))

@@ -62,3 +62,16 @@ def acceptance(checks: DataFrame, receipts: DataFrame) -> DataFrame:
         F.count(F.when((F.col("verdict") == "SATISFIED") & F.col("covered").isNull(), 1)).alias("uncovered"),
     )
     return found.withColumn("outcome", F.when(F.col("violated") > 0, "REJECT").when(F.col("unresolved") + F.col("uncovered") > 0, "NEEDS_EVIDENCE").otherwise("ACCEPT"))
+
+
+def admit(requests: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """``requests`` (key, head) with ``accepted`` and ``reason``: one that names another head than its log's last is stale."""
+    last = log.groupBy(key).agg(F.max_by("event_hash", "seq").alias("__last"))
+    fresh = F.col("head").eqNullSafe(F.coalesce("__last", F.lit(GENESIS)))
+    return requests.join(last, key, "left").withColumns({"accepted": fresh, "reason": F.when(~fresh, "STALE_HEAD").otherwise("FRESH")}).drop("__last")
+
+
+def regression(expected: DataFrame, measured: DataFrame) -> DataFrame:
+    """subject, fact, expected, measured for facts (subject, fact, value) that differ or that only one side has."""
+    e, m = expected.select("subject", "fact", F.col("value").alias("expected")), measured.select("subject", "fact", F.col("value").alias("measured"))
+    return e.join(m, ["subject", "fact"], "full").where(~F.col("expected").eqNullSafe(F.col("measured")))

@@ -11,6 +11,7 @@ from belvane.functions import scalars
 from belvane.operators import belief, dag, geometry, graph, ledger
 from belvane.plans import views
 from belvane.sources.tables import digest, table
+from belvane.streaming.posterior import posterior_of_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,3 +319,85 @@ def yielding_check(spark: SparkSession, d: str) -> DataFrame:
     out = b.select("beam", (F.col("fy") * F.col("zx")).alias("nominal"), (0.9 * F.col("fy") * F.col("zx")).alias("available"), "demand")
     out = out.select("beam", "nominal", "available", (F.col("demand") / F.col("available")).alias("utilisation"), F.when(F.col("demand") <= F.col("available"), "PASS").otherwise("FAIL").alias("verdict"))
     return rounded(rounded(out, 7, "nominal", "available"), 6, "utilisation")
+
+
+_BOX = """(SELECT p_partkey AS id, (p_partkey % 50)::double AS ox, floor(p_partkey / 50)::double AS oy, (p_partkey % 4) * 0.39269908169872414::double AS yaw, 0.2::double + p_size / 50.0::double AS ex, 0.3::double + p_size / 100.0::double AS ey FROM part)"""
+
+
+@query(f"""WITH n AS (SELECT *, greatest(ceil(ex / 0.75::double), 1)::bigint AS nx, greatest(ceil(ey / 0.75::double), 1)::bigint AS ny, 4 AS nz FROM {_BOX}), t AS (SELECT *, unnest(range(nx)) AS i FROM n), u AS (SELECT *, unnest(range(ny)) AS j FROM t), v AS (SELECT *, unnest(range(nz)) AS k FROM u)
+  SELECT id, i, j, k, round(ox + (i + 0.5) * ex / nx * cos(yaw) - (j + 0.5) * ey / ny * sin(yaw), 6) AS mean_x, round(oy + (i + 0.5) * ex / nx * sin(yaw) + (j + 0.5) * ey / ny * cos(yaw), 6) AS mean_y, round((k + 0.5) * 0.75::double, 6) AS mean_z,
+  round((pow(ex / nx, 2) - pow(ey / ny, 2)) / 12 * cos(yaw) * sin(yaw), 6) + 0.0 AS s_xy FROM v""")
+def box_primitives(spark: SparkSession, d: str) -> DataFrame:
+    found = geometry.primitives(views.boxes(spark, d), 0.75).select("id", "i", "j", "k", "mean_x", "mean_y", "mean_z", "s_xy")
+    return rounded(found, 6, "mean_x", "mean_y", "mean_z", "s_xy").withColumn("s_xy", F.col("s_xy") + 0.0)
+
+
+@query("""SELECT CASE WHEN grouping(p_type) = 1 THEN 'all' ELSE p_type END AS class, CASE WHEN grouping(p_size) = 1 THEN -1 ELSE p_size END AS size, grouping(p_type) + grouping(p_size) AS level, count(*) AS weight, round(avg(p_retailprice), 7) AS mean_price, round(stddev_pop(p_retailprice), 6) AS std_price FROM part GROUP BY ROLLUP (p_type, p_size)""")
+def levels_of_detail(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_type").alias("class"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    found = geometry.levels_of_detail(p, ["class", "size"], ["price"]).withColumn("std_price", F.sqrt("var_price")).drop("var_price")
+    found = rounded(rounded(found, 7, "mean_price"), 6, "std_price")
+    return found.withColumns({"class": F.when(F.col("level") == 2, "all").otherwise(F.col("class")), "size": F.when(F.col("level") >= 1, -1).otherwise(F.col("size"))})
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and the parts of a mixture by label (part, weight, mean_*, var_*)."""
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[k].cast("double").alias(x) for k, x in enumerate("xyz")])
+    g = p.groupBy(F.col("label").alias("part")).agg(F.count(F.lit(1)).alias("k"), *[F.avg(x).alias(f"mean_{x}") for x in "xyz"], *[F.var_pop(x).alias(f"var_{x}") for x in "xyz"])
+    return p, g.join(F.broadcast(p.agg(F.count(F.lit(1)).alias("n")))).withColumn("weight", F.col("k") / F.col("n")).drop("k", "n")
+
+
+_PARTS = f"(SELECT label AS part, count(*)::double / (SELECT count(*) FROM embeddings) AS w, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS vx, var_pop(y) AS vy, var_pop(z) AS vz FROM {_PTS} GROUP BY label)"
+_SUM = lambda t: " + ".join(t.replace("?", x) for x in "xyz")
+
+
+@query(f"""SELECT p.part AS a, q.part AS b, round({_SUM("pow(p.m?-q.m?,2)/(4*(p.v?+q.v?)) + 0.5*ln((p.v?+q.v?)/2) - 0.25*ln(p.v?*q.v?)")}, 6) AS bhattacharyya,
+  round(-1.5*ln(2*pi()) - ({_SUM("0.5*ln(p.v?+q.v?) + pow(p.m?-q.m?,2)/(2*(p.v?+q.v?))")}), 6) AS log_overlap, round(-1.5 + {_SUM("0.5*(p.v?/q.v? + pow(p.m?-q.m?,2)/q.v? + ln(q.v?/p.v?))")}, 6) AS kl FROM {_PARTS} p JOIN {_PARTS} q ON p.part < q.part""")
+def component_distances(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(geometry.distances(_mixture(spark, d)[1], ["x", "y", "z"]), 6, "bhattacharyya", "log_overlap", "kl")
+
+
+@query(f"""WITH s AS (SELECT id, part, 0.95 * w * exp(-1.5*ln(2*pi()) - ({_SUM("0.5*ln(v?) + pow(?-m?,2)/(2*v?)")})) AS e FROM {_PTS}, {_PARTS}), r AS (SELECT part, e / (sum(e) OVER (PARTITION BY id) + 0.05 * 0.1) AS share FROM s)
+  SELECT part, round(sum(share), 5) AS effective_points, round(avg(share), 6) AS fraction, round(sum(share * share) / sum(share), 6) AS confidence FROM r GROUP BY part""")
+def element_evidence(spark: SparkSession, d: str) -> DataFrame:
+    points, parts = _mixture(spark, d)
+    found = geometry.evidence(geometry.responsibilities(points, parts, ["x", "y", "z"]), 0.05, 0.1)
+    return rounded(rounded(found, 5, "effective_points"), 6, "fraction", "confidence")
+
+
+@query("SELECT user_id, count(*) AS points, round(coalesce(sum(step), 0), 4) AS length FROM (SELECT user_id, sqrt(pow(event_id - lag(event_id) OVER w, 2) + pow(value - lag(value) OVER w, 2)) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY user_id")
+def axis_length(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
+    return rounded(geometry.path_length(p, "user_id", ["ts", "event_id"]), 4, "length")
+
+
+@query(f"""WITH j AS (SELECT model, concat(entity, '.Charge') AS out_var, unnest([struct_pack(k := entity || '.Qty', x := pow(p*(1-d)*(1+t)*0.5, 2)), struct_pack(k := entity || '.Price', x := pow(q*(1-d)*(1+t)*0.08*p, 2)), struct_pack(k := entity || '.Disc', x := pow(q*p*(1+t)*0.002, 2)),
+  struct_pack(k := entity || '.Tax', x := pow(q*p*(1-d)*0.002, 2)), struct_pack(k := '*.Fx', x := pow({_CHARGE}*0.01, 2))]) AS s FROM ({_LINES})), g AS (SELECT model, out_var, s.k AS var_id, -0.5*ln(1 - s.x / (sum(s.x) OVER (PARTITION BY model, out_var) * 1.25)) AS gain FROM j)
+  SELECT model, out_var, var_id, round(gain, 6) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY model, out_var ORDER BY gain DESC, var_id) = 1""")
+def select_observation(spark: SparkSession, d: str) -> DataFrame:
+    """Which one reading, half as noisy as its prior, tells most about each charge?"""
+    slots = views.slots(spark, d)
+    j = dag.partials(views.definitions(spark, d).where("quantity = 'Charge'"), slots)
+    return rounded(belief.observation_plan(j, slots.select("model", "var_id", "sigma"), 0.5).where("place = 1").drop("place"), 6, "gain")
+
+
+@query(f"SELECT user_id, event_id, seq = count(*) OVER (PARTITION BY user_id) - 1 AS accepted, CASE WHEN seq < count(*) OVER (PARTITION BY user_id) - 1 THEN 'STALE_HEAD' ELSE 'FRESH' END AS reason FROM {_LOG}")
+def stale_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Every event asks to follow itself; only the last of a log may."""
+    log = ledger.chain(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
+    return ledger.admit(log.select("user_id", "event_id", F.col("event_hash").alias("head")), log, "user_id").drop("head")
+
+
+@query("WITH e AS (SELECT user_id AS subject, event_type AS fact, count(*) AS expected FROM events GROUP BY 1, 2), m AS (SELECT user_id AS subject, event_type AS fact, count(*) AS measured FROM events WHERE value > 20 GROUP BY 1, 2) SELECT * FROM e FULL JOIN m USING (subject, fact) WHERE expected IS DISTINCT FROM measured")
+def pinned_regression(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("fact"), "value")
+    count = lambda x: x.groupBy("subject", "fact").agg(F.count(F.lit(1)).alias("value"))
+    return ledger.regression(count(e), count(e.where("value > 20")))
+
+
+@query(f"SELECT user_id, count(*) AS n, round((sum(value / {_R}) + 50.0/10000) / (sum(1 / {_R}) + 1.0/10000), 6) AS mu, round(1 / (sum(1 / {_R}) + 1.0/10000), 6) AS var FROM events GROUP BY user_id")
+def stream_posterior(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    # as a pattern, since a stream takes no path of a single file
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events[.]parquet")
+    return rounded(posterior_of_stream(views.as_readings(arriving), "user_id", 50.0, 10_000.0), 6, "mu", "var")

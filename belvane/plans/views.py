@@ -64,7 +64,11 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def readings(spark: SparkSession, d: str) -> DataFrame:
-    """user_id, ts, event_id, y and r (the noise variance of its kind of event)."""
+def as_readings(events: DataFrame) -> DataFrame:
+    """user_id, ts, event_id, event_type, y and r (the noise variance of its kind of event)."""
     r = F.when(F.col("event_type") == "purchase", 4.0).when(F.col("event_type") == "click", 9.0).when(F.col("event_type") == "view", 25.0).otherwise(16.0)
-    return table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.col("value").alias("y"), r.alias("r"))
+    return events.select("user_id", "ts", "event_id", "event_type", F.col("value").alias("y"), r.alias("r"))
+
+
+def readings(spark: SparkSession, d: str) -> DataFrame:
+    return as_readings(table(spark, d, "events"))

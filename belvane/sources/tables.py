@@ -13,9 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir, which all executors share, and read back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; only a local session may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
@@ -23,7 +22,13 @@ def materialise(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/belvane-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/belvane-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
