@@ -20,6 +20,7 @@ def posterior_of_stream(readings: DataFrame, key: str, prior_mu: float, prior_va
 
     Each micro-batch adds its partial sums as files named by the batch, so that a batch which is run again after a loss
     replaces its own files and counts once. The stream keeps no state; the partial sums are added when they are read.
+    A stream that has brought nothing gives no rows.
     """
     spark = readings.sparkSession
     top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -27,6 +28,7 @@ def posterior_of_stream(readings: DataFrame, key: str, prior_mu: float, prior_va
     def put(batch: DataFrame, n: int) -> None:
         precision_sums(batch, key).write.mode("overwrite").parquet(f"{top}/sums/batch={n}")
 
+    put(spark.createDataFrame([], readings.schema), -1)  # so that there is a table to read
     run = readings.writeStream.foreachBatch(put).option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     sums = spark.read.parquet(f"{top}/sums").groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "w", "wy")])

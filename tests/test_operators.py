@@ -1,0 +1,87 @@
+"""Operators on small tables: nulls, ties, empty tables and streams that are run twice."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+
+from belvane.operators import belief, geometry, ledger
+from belvane.streaming.posterior import posterior_of_stream
+
+
+def test_tiles_keep_the_moments_of_their_box(spark):
+    box = spark.createDataFrame([(1, 2.0, 3.0, 0.0, 0.7, 2.5, 0.4, 3.0)], "id long, ox double, oy double, oz double, yaw double, ex double, ey double, ez double")
+    whole, tiles = geometry.primitives(box, 100.0).toPandas(), geometry.primitives(box, 1.0).toPandas()
+    assert len(whole) == 1 and len(tiles) == 3 * 1 * 3
+    one = whole.iloc[0]
+    for x in "xyz":
+        assert tiles[f"mean_{x}"].mean() == pytest.approx(one[f"mean_{x}"])
+    for x, y in ("xx", "xy", "yy", "zz"):
+        between = (tiles[f"mean_{x}"] * tiles[f"mean_{y}"]).mean() - tiles[f"mean_{x}"].mean() * tiles[f"mean_{y}"].mean()
+        assert tiles[f"s_{x}{y}"].mean() + between == pytest.approx(one[f"s_{x}{y}"])
+
+
+def test_a_box_without_extent_is_one_tile(spark):
+    box = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0)], "id long, ox double, oy double, oz double, yaw double, ex double, ey double, ez double")
+    assert geometry.primitives(box, 1.0).count() == 1
+
+
+def test_equal_parts_are_at_no_distance(spark):
+    parts = spark.createDataFrame([(1, 0.5, 2.0), (2, 0.5, 2.0)], "part long, mean_x double, var_x double")
+    row = geometry.distances(parts, ["x"]).first()
+    assert (row["bhattacharyya"], row["kl"]) == (pytest.approx(0), pytest.approx(0))
+    assert row["log_overlap"] == pytest.approx(-0.5 * math.log(2 * math.pi * 4))
+
+
+def test_a_far_point_is_an_outlier(spark):
+    scored = spark.createDataFrame([(1, "a", 0.0), (1, "b", -2.0), (2, "a", -1e6), (2, "b", -1e6)], "id long, part string, log_p double")
+    found = {r["part"]: r for r in geometry.evidence(scored, 0.05, 0.1).collect()}
+    mass = 0.95 * (1 + math.exp(-2)) / (0.95 * (1 + math.exp(-2)) + 0.005)
+    assert found["a"]["effective_points"] + found["b"]["effective_points"] == pytest.approx(mass)
+
+
+def test_length_of_a_path(spark):
+    points = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 3.0, 4.0), ("a", 3, 3.0, 5.0), ("b", 1, 9.0, 9.0)], "key string, k int, x double, y double")
+    assert {tuple(r) for r in geometry.path_length(points, "key", ["k"]).collect()} == {("a", 3, 6.0), ("b", 1, 0.0)}
+
+
+def test_ties_of_readings_go_by_name(spark):
+    j = spark.createDataFrame([(1, "y", "b", 2.0), (1, "y", "a", 2.0), (1, "y", "c", 0.0)], "model long, out_var string, var_id string, v double")
+    sigma = spark.createDataFrame([(1, x, 1.0) for x in "abc"], "model long, var_id string, sigma double")
+    found = {r["var_id"]: (r["place"], r["gain"]) for r in belief.observation_plan(j, sigma, 1.0).collect()}
+    assert [found[x][0] for x in "abc"] == [1, 2, 3]
+    assert found["a"][1] == pytest.approx(-0.5 * math.log(0.75)) and found["c"][1] == pytest.approx(0)
+
+
+def test_the_first_request_of_a_log_names_the_beginning(spark):
+    log = spark.createDataFrame([("a", 0, "h0"), ("a", 1, "h1")], "key string, seq long, event_hash string")
+    asks = spark.createDataFrame([("a", "h1"), ("a", "h0"), ("a", None), ("new", ledger.GENESIS)], "key string, head string")
+    found = {(r["key"], r["head"]): r["accepted"] for r in ledger.admit(asks, log, "key").collect()}
+    assert found == {("a", "h1"): True, ("a", "h0"): False, ("a", None): False, ("new", ledger.GENESIS): True}
+
+
+def test_regressions_see_nulls_and_missing_facts(spark):
+    schema = "subject string, fact string, value long"
+    e = spark.createDataFrame([("a", "x", 1), ("a", "y", None), ("a", "z", 3)], schema)
+    m = spark.createDataFrame([("a", "x", 1), ("a", "y", None), ("b", "z", 3)], schema)
+    assert {tuple(r) for r in ledger.regression(e, m).collect()} == {("a", "z", 3, None), ("b", "z", None, 3)}
+
+
+def test_a_stream_of_many_batches_equals_one_sum(spark, tmp_path):
+    schema = "key string, y double, r double"
+    rows = [("a", float(k), 1.0 + k % 3) for k in range(12)] + [("b", 5.0, 2.0), ("b", 7.0, 0.0), ("b", 7.0, None)]
+    for k in range(0, len(rows), 5):
+        spark.createDataFrame(rows[k : k + 5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = {r["key"]: r for r in posterior_of_stream(stream, "key", 50.0, 100.0).collect()}
+    once = {r["key"]: r for r in belief.posterior(spark.createDataFrame(rows, schema), "key", 50.0, 100.0).collect()}
+    for key in "ab":
+        assert found[key]["n"] == once[key]["n"]
+        assert (found[key]["mu"], found[key]["var"]) == (pytest.approx(once[key]["mu"]), pytest.approx(once[key]["var"]))
+
+
+def test_an_empty_stream_gives_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("key string, y double, r double").parquet(str(tmp_path / "in"))
+    assert posterior_of_stream(stream, "key", 50.0, 100.0).count() == 0
