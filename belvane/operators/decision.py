@@ -99,3 +99,30 @@ def capacity_claim(beams: DataFrame, factor_ppm: int = 900_000) -> DataFrame:
     verdict = F.when(F.col("available").isNull(), "OVERFLOW").when(F.col("available") >= F.col("demand"), "PASS").otherwise("FAIL")
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in ("strength", "modulus", "demand", "nominal", "available")], verdict)
     return found.select("id", F.col("nominal").cast("string").alias("nominal"), F.col("available").cast("string").alias("available"), verdict.alias("verdict"), F.sha2(line, 256).alias("digest"))
+
+
+def evidence_plan(decided: DataFrame, options: DataFrame) -> DataFrame:
+    """model, disposition, var_id, gain: stop where the decision (model, verdict) is made, else read what tells most.
+
+    ``options`` (model, var_id, gain) hold the best reading of each model, its cost taken off; one that gains nothing
+    isn't worth while. Only a reading that is to be made is named.
+    """
+    joined = decided.join(options, "model", "left")
+    worth = F.coalesce(F.col("gain") > 1e-15, F.lit(False))
+    found = F.when(F.col("verdict") != "UNRESOLVED", "DECISION_RESOLVED").when(worth, "OBSERVE").otherwise("NO_WORTHWHILE_EVIDENCE")
+    told = joined.withColumn("disposition", found)
+    only = lambda c: F.when(F.col("disposition") == "OBSERVE", F.col(c)).alias(c)
+    return told.select("model", "disposition", only("var_id"), only("gain"))
+
+
+def route_inspections(risks: DataFrame, evidence: DataFrame, *, enough: float, sigma: float, required: float) -> DataFrame:
+    """``risks`` (id, element, clearance) with entropy, deficit, action and priority.
+
+    ``evidence`` (element, mass) is what scans hold of an element. Its deficit is the share missing of ``enough``; without
+    one there is a measurement to extract, else the element is scanned again. The priority is the entropy of the decision
+    times 1 + deficit, a rule of thumb.
+    """
+    p = scalars.normal_cdf((required - F.col("clearance")) / sigma)
+    joined = risks.join(evidence, "element", "left").withColumn("deficit", F.greatest(F.lit(0.0), 1 - F.coalesce("mass", F.lit(0.0)) / enough)).withColumn("entropy", scalars.binary_entropy(p))
+    action = F.when(F.col("deficit") == 0, "EXTRACT_SCAN_MEASUREMENT").otherwise("RESCAN_ELEMENT")
+    return joined.select("id", "element", "entropy", "deficit", action.alias("action"), (F.col("entropy") * (1 + F.col("deficit"))).alias("priority"))

@@ -139,3 +139,25 @@ def path_length(points: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     step = points.select(key, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)).alias("step"))
     return step.groupBy(key).agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"))
+
+
+def in_frame(parts: DataFrame, yaw: float, shift: tuple[float, float], scale: float) -> DataFrame:
+    """``parts`` (part, weight, m_x, m_y, c_x_x, c_x_y, c_y_y) in another frame: turned, scaled and then moved.
+
+    Means go to A m + b, covariances to A C A', weights grow by the determinant of A.
+    """
+    a, b = scale * math.cos(yaw), scale * math.sin(yaw)  # A = [[a, -b], [b, a]]
+    x, y, xx, xy, yy = (F.col(c) for c in ("m_x", "m_y", "c_x_x", "c_x_y", "c_y_y"))
+    return parts.select(
+        "part", (F.col("weight") * scale * scale).alias("weight"), (a * x - b * y + shift[0]).alias("m_x"), (b * x + a * y + shift[1]).alias("m_y"),
+        (a * a * xx - 2 * a * b * xy + b * b * yy).alias("c_x_x"), (a * b * (xx - yy) + (a * a - b * b) * xy).alias("c_x_y"), (b * b * xx + 2 * a * b * xy + a * a * yy).alias("c_y_y"),
+    )
+
+
+def invalid_parts(parts: DataFrame) -> DataFrame:
+    """``parts`` of a planar mixture that aren't finite, or without a positive weight or a positive definite covariance."""
+    names = ("weight", "m_x", "m_y", "c_x_x", "c_x_y", "c_y_y")
+    finite = F.lit(True)
+    for c in names:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return parts.where(~(finite & (F.col("weight") > 0) & (F.col("c_x_x") > 0) & (F.col("c_x_x") * F.col("c_y_y") - F.col("c_x_y") * F.col("c_x_y") > 0)))

@@ -75,3 +75,26 @@ def regression(expected: DataFrame, measured: DataFrame) -> DataFrame:
     """subject, fact, expected, measured for facts (subject, fact, value) that differ or that only one side has."""
     e, m = expected.select("subject", "fact", F.col("value").alias("expected")), measured.select("subject", "fact", F.col("value").alias("measured"))
     return e.join(m, ["subject", "fact"], "full").where(~F.col("expected").eqNullSafe(F.col("measured")))
+
+
+def unauthorised(actions: DataFrame) -> DataFrame:
+    """``actions`` (status, authorization_ref) in a state that needs an authorisation which they don't name."""
+    return actions.where(F.col("status").isin("AUTHORIZED", "STARTED", "COMPLETED", "FAILED") & F.col("authorization_ref").isNull())
+
+
+def attested(receipts: DataFrame, log: DataFrame, fields: list[str]) -> DataFrame:
+    """``receipts`` with ``attested``: whether exactly one event of ``log`` has the receipt's event_hash and all its
+    ``fields``; null fields match null ones."""
+    theirs = log.groupBy("event_hash").agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(f"__{c}") for c in fields])
+    same = F.col("__n") == 1
+    for c in fields:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return receipts.join(theirs, "event_hash", "left").withColumn("attested", F.coalesce(same, F.lit(False))).drop("__n", *[f"__{c}" for c in fields])
+
+
+def committed(results: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """``results`` (key, digest, seq) whose digest a later event of the same log (key, digest, seq) names.
+
+    Only the last event of each digest is compared, so a digest that is named often isn't multiplied."""
+    last = log.groupBy(key, "digest").agg(F.max("seq").alias("__last"))
+    return results.join(last, [key, "digest"]).where(F.col("__last") > F.col("seq")).drop("__last")

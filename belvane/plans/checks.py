@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belvane.functions import scalars
-from belvane.operators import belief, dag, decision, geometry, lowering
+from belvane.operators import attention, belief, dag, decision, geometry, ledger, lowering
 from belvane.plans import views
-from belvane.plans.catalog import _AABB, _CHARGE, _LINES, _REL, query, rounded
-from belvane.sources.tables import table
+from belvane.plans.catalog import _AABB, _CHARGE, _LINES, _LOG, _P, _REL, _VAR, SQL, _total, query, rounded
+from belvane.sources.tables import materialise, table
 
 _REQUIRED = "(VALUES ('O', 'N'), ('F', 'A'), ('F', 'R'), ('P', 'A'), ('P', 'N')) AS r(class, quantity)"
 
@@ -173,3 +173,100 @@ def change_impact(spark: SparkSession, d: str) -> DataFrame:
     moved = F.abs(F.col("after") - F.col("before")) > 1e-9 * F.abs("before")
     found = both.groupBy("model").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.count(F.when(moved, 1)).alias("impacted"))
     return rounded(found.withColumn("status", F.when(F.col("after") > 1.01 * F.col("before"), "BLOCKED").otherwise("ADMISSIBLE")), 2, "before", "after")
+
+
+_NEAR = f"(SELECT m.id AS a, n.id AS b FROM {_AABB} m JOIN {_AABB} n ON m.id <> n.id AND m.x0 <= n.x1 AND n.x0 <= m.x1 AND m.y0 <= n.y1 AND n.y0 <= m.y1)"
+_TOKEN = "(SELECT p_partkey AS id, (p_partkey % 50)::double AS x, floor(p_partkey / 50)::double AS y, sqrt(p_retailprice / 1000) AS v, p_type AS class FROM part)"
+_WEIGHT = f"""(SELECT a, b, exp(l) / sum(exp(l)) OVER (PARTITION BY a) AS weight FROM (SELECT a, b, 0.5 * p.v * q.v - (pow(p.x-q.x, 2) + pow(p.y-q.y, 2)) / 0.5 + CASE WHEN p.class = q.class THEN 0 ELSE ln(0.3) END AS l
+  FROM {_NEAR} JOIN {_TOKEN} p ON p.id = a JOIN {_TOKEN} q ON q.id = b))"""
+
+
+def _tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts with the root of their price as payload, and the pairs whose boxes' bounds meet."""
+    boxes = views.boxes(spark, d)
+    price = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.sqrt(F.col("p_retailprice") / 1000).alias("payload"))
+    return boxes.select("id", F.col("ox").alias("x"), F.col("oy").alias("y"), "class").join(price, "id"), attention.both_ways(geometry.overlapping(geometry.aabb(boxes)))
+
+
+@query(f"SELECT a, b, round(weight, 7) AS weight FROM {_WEIGHT}")
+def attention_weights(spark: SparkSession, d: str) -> DataFrame:
+    tokens, edges = _tokens(spark, d)
+    return rounded(attention.weights(tokens, materialise(edges), scale=0.5, length=0.5, other_class=0.3), 7, "weight")
+
+
+def _spread(heard: str) -> str:
+    step = lambda t: f"SELECT {t}.id, {t}.v + 0.5 * coalesce(h - w * {t}.v, 0) AS v FROM {t} LEFT JOIN (SELECT a, sum(weight * {t}.v) AS h, sum(weight) AS w FROM heard JOIN {t} ON {t}.id = b GROUP BY a) ON a = {t}.id"
+    return f"WITH heard AS (SELECT * FROM {heard}), r0 AS (SELECT id, v FROM {_TOKEN}), r1 AS ({step('r0')}), r2 AS ({step('r1')}) SELECT id, round(v, 7) AS v FROM r2"
+
+
+@query(_spread(_WEIGHT))
+def attention_spread(spark: SparkSession, d: str) -> DataFrame:
+    tokens, edges = _tokens(spark, d)
+    heard = attention.weights(tokens, materialise(edges), scale=0.5, length=0.5, other_class=0.3)
+    return rounded(attention.spread(tokens.select("id", F.col("payload").alias("v")), heard, rounds=2, rate=0.5), 7, "v")
+
+
+@query(_spread(f"(SELECT a, b, 1 / count(*) OVER (PARTITION BY a) AS weight FROM {_NEAR})"))
+def uniform_spread(spark: SparkSession, d: str) -> DataFrame:
+    tokens, edges = _tokens(spark, d)
+    return rounded(attention.spread(tokens.select("id", F.col("payload").alias("v")), attention.uniform(materialise(edges)), rounds=2, rate=0.5), 7, "v")
+
+
+@query(f"""WITH v AS ({_VAR}), m AS (SELECT avg(total) AS level FROM v), r AS (SELECT model, var, total, {_P} AS p FROM v, m), x AS (SELECT model, unnest([struct_pack(k := entity || '.Qty', x := pow(p*(1-d)*(1+t)*0.5, 2)), struct_pack(k := entity || '.Price', x := pow(q*(1-d)*(1+t)*0.08*p, 2)),
+  struct_pack(k := entity || '.Disc', x := pow(q*p*(1+t)*0.002, 2)), struct_pack(k := entity || '.Tax', x := pow(q*p*(1-d)*0.002, 2))]) AS s FROM ({_LINES})), o AS (SELECT model, s.k AS k, s.x AS x FROM x UNION ALL SELECT model, '*.Fx', pow(total*0.01, 2) FROM v),
+  b AS (SELECT r.model, k, p, -0.5*ln(1 - x / (var * 1.25)) - 0.1 AS gain FROM r JOIN o ON o.model = r.model QUALIFY row_number() OVER (PARTITION BY r.model ORDER BY x DESC, k) = 1),
+  f AS (SELECT *, CASE WHEN p >= 0.95 OR p <= 0.05 THEN 'DECISION_RESOLVED' WHEN gain > 1e-15 THEN 'OBSERVE' ELSE 'NO_WORTHWHILE_EVIDENCE' END AS disposition FROM b)
+  SELECT model, disposition, CASE WHEN disposition = 'OBSERVE' THEN k END AS var_id, CASE WHEN disposition = 'OBSERVE' THEN round(gain, 6) END AS gain FROM f""")
+def evidence_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What should be read of each model whose total isn't surely on one side of the mean?"""
+    t = materialise(_total(spark, d))
+    level = t.agg(F.avg("total").alias("level"))  # one row
+    decided = t.join(F.broadcast(level)).select("model", scalars.verdict(scalars.normal_cdf((F.col("total") - F.col("level")) / F.sqrt("var")), 0.95).alias("verdict"))
+    slots = views.slots(spark, d)
+    each = materialise(dag.partials(views.definitions(spark, d).where("quantity = 'Charge'"), slots))
+    rolled = dag.jacobian_of_sum(each, each.select("model", "out_var").distinct().withColumn("parent", F.lit("Total")))
+    best = belief.observation_plan(rolled, slots.select("model", "var_id", "sigma"), 0.5, 0.1).where("place = 1")
+    return rounded(decision.evidence_plan(decided, best.select("model", "var_id", "gain")), 6, "gain")
+
+
+@query(f"""WITH r AS (SELECT a, b, {scalars.normal_cdf_sql("((0.05e0 - clearance) / 0.05e0)")} AS p FROM {_SAT}), m AS (SELECT l_partkey, count(*) AS mass FROM lineitem GROUP BY 1),
+  f AS (SELECT a, b, CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -p * ln(p) - (1 - p) * ln(1 - p) END AS entropy, greatest(0, 1 - coalesce(mass, 0) / 30.0::double) AS deficit FROM r LEFT JOIN m ON l_partkey = b)
+  SELECT a AS id, b AS element, round(entropy, 6) AS entropy, round(deficit, 6) AS deficit, CASE WHEN deficit = 0 THEN 'EXTRACT_SCAN_MEASUREMENT' ELSE 'RESCAN_ELEMENT' END AS action, round(entropy * (1 + deficit), 6) AS priority FROM f""")
+def inspection_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Which near pairs should be looked at? The lines of a part stand for the scans of it."""
+    risks = _separated(spark, d).withColumnsRenamed({"a": "id", "b": "element"})
+    held = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("element")).agg(F.count(F.lit(1)).alias("mass"))
+    return rounded(decision.route_inspections(risks, held, enough=30.0, sigma=0.05, required=0.05), 6, "entropy", "deficit", "priority")
+
+
+_STATUS = "CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'click' THEN 'STARTED' WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PROPOSED' ELSE 'CANCELLED' END"
+
+
+@query(f"SELECT event_id, {_STATUS} AS status FROM events WHERE event_type IN ('purchase', 'click', 'error') AND value >= 100")
+def unauthorised_actions(spark: SparkSession, d: str) -> DataFrame:
+    """Events as outside actions; those of small value name an authorisation."""
+    actions = table(spark, d, "events").select("event_id", F.expr(_STATUS).alias("status"), F.when(F.col("value") < 100, F.col("props")).alias("authorization_ref"))
+    return ledger.unauthorised(actions).select("event_id", "status")
+
+
+@query(f"""WITH h AS ({SQL['hash_chain']}), n AS (SELECT event_hash, count(*) AS n FROM h GROUP BY 1) SELECT event_id, n.n = 1 AND line NOT LIKE 'error|%' AS attested FROM {_LOG} l JOIN h ON h.user_id = l.user_id AND h.seq = l.seq JOIN n ON n.event_hash = h.event_hash""")
+def attested_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts of all events against their logs; those of errors state another content, and logs that begin alike share hashes."""
+    log = ledger.chain(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
+    receipts = log.select("event_id", "event_hash", "user_id", "seq", F.when(F.col("line").startswith("error|"), F.reverse("line")).otherwise(F.col("line")).alias("line"))
+    return ledger.attested(receipts, log.select("event_hash", "user_id", "seq", "line"), ["user_id", "seq", "line"]).select("event_id", "attested")
+
+
+@query(f"WITH g AS (SELECT user_id, seq, line FROM {_LOG}) SELECT user_id, seq FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.user_id = g.user_id AND h.line = g.line AND h.seq > g.seq)")
+def committed_results(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose content a later event of the same log repeats."""
+    log = ledger.chain(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
+    named = log.select("user_id", "seq", F.sha2("line", 256).alias("digest"))
+    return ledger.committed(named, named, "user_id").select("user_id", "seq")
+
+
+@query("""WITH g AS (SELECT label AS part, count(*) AS w, avg(embedding[1]::double) AS x, avg(embedding[2]::double) AS y, var_pop(embedding[1]::double) AS xx, covar_pop(embedding[1]::double, embedding[2]::double) AS xy, var_pop(embedding[2]::double) AS yy FROM embeddings GROUP BY label),
+  k AS (SELECT 2 * cos(0.3) AS a, 2 * sin(0.3) AS b) SELECT part, w * 4.0::double AS weight, round(a*x - b*y + 1, 6) AS m_x, round(b*x + a*y - 2, 6) AS m_y, round(a*a*xx - 2*a*b*xy + b*b*yy, 6) AS c_x_x, round(a*b*(xx - yy) + (a*a - b*b)*xy, 6) AS c_x_y, round(b*b*xx + 2*a*b*xy + a*a*yy, 6) AS c_y_y FROM g, k""")
+def frame_change(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "embeddings").select(F.col("label").alias("part"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return rounded(geometry.in_frame(geometry.moments(p, ["part"], ["x", "y"]), 0.3, (1.0, -2.0), 2.0), 6, "m_x", "m_y", "c_x_x", "c_x_y", "c_y_y")
