@@ -221,14 +221,15 @@ def find(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
 
 def redact(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     """``docs`` with each span of its texts replaced by the span's kind in angle brackets, such as <email>, and n_chars,
-    where it is a column, set to the new length. A null text stays null."""
+    where it is a column, set to the new length. Spans that overlap are replaced together, by the kind of the first. A null
+    text stays null."""
     weights = train(materialise(proposals(docs, [])))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     spans = F.array_sort(F.transform(accept(F.col("__c"), weights, least), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))))
 
     def step(acc: Column, c: Column) -> Column:
         gap = F.substr(F.col("text"), acc["at"] + 1, c["s"] - acc["at"])
-        return F.when(c["s"] >= acc["at"], F.struct(c["e"].alias("at"), F.concat(acc["out"], gap, F.get(names, c["k"])).alias("out"))).otherwise(acc)
+        return F.when(c["s"] >= acc["at"], F.struct(c["e"].alias("at"), F.concat(acc["out"], gap, F.get(names, c["k"])).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], c["e"]).alias("at"), acc["out"].alias("out")))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("__s", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))

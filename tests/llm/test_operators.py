@@ -105,6 +105,13 @@ def test_pii_redacts(spark, odd):
     assert pii.redact(odd).count() == odd.count()
 
 
+def test_pii_redacts_spans_that_overlap(spark):
+    texts = ["call +49 30 1234567-info@firma.de now", "paid 4111 1111 1111 1111@firma.de and left", "two: a@b.de, +49 30 1234567-info@firma.de, 10.0.0.1."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = [r["text"] for r in sorted(rows_of(pii.redact(df)), key=lambda r: r["doc_id"])]
+    assert found == ["call <phone> now", "paid <card> and left", "two: <email>, <phone>, <ip>."]
+
+
 def test_reliabilities_find_the_good_labellers():
     r = np.random.default_rng(1)
     truth = r.random(5000) < 0.3
