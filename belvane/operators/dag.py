@@ -37,37 +37,49 @@ def partials(terms: DataFrame, env: DataFrame) -> DataFrame:
     return arrays.select("model", "out_var", F.inline(F.transform("fs", lowered))).groupBy("model", "out_var", "var_id").agg(F.sum("v").alias("v"))
 
 
-def levels(edges: DataFrame, max_depth: int = 60) -> DataFrame:
-    """node, level: the longest path to each node of ``edges`` (parent, child); nodes on a cycle are missing.
+def levels(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """node, level: the longest path to each node of ``edges`` (parent, child); nodes on a cycle or behind one are missing.
 
-    A recursive query walks the paths; nodes without parents are level 0.
+    Nodes without parents are level 0. Each round takes the nodes whose last parents the round before took, so a node is
+    handled once whatever the number of its paths. More than ``max_depth`` rounds are an error.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, level) AS (
-            SELECT DISTINCT parent, 0 FROM __edges WHERE parent NOT IN (SELECT child FROM __edges)
-            UNION ALL
-            SELECT e.child, w.level + 1 FROM walk w JOIN __edges e ON w.node = e.parent WHERE w.level < {max_depth}
-        )
-        SELECT node, max(level) AS level FROM walk GROUP BY node""")
-
-
-def affected(edges: DataFrame, changed: DataFrame, rounds: int = 60) -> DataFrame:
+    from belvane.sources.tables import materialise
+
+    edges = materialise(edges.select("parent", "child").where("parent is not null and child is not null").distinct())
+    waiting = materialise(edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    fresh = materialise(edges.select(F.col("parent").alias("node")).distinct().join(waiting, "node", "left_anti"))
+    done = fresh.select("node", F.lit(0).alias("level"))
+    level = 0
+    while not fresh.isEmpty():
+        level += 1
+        if level > max_depth:
+            raise RuntimeError(f"levels are deeper than {max_depth}")
+        met = edges.join(fresh, edges.parent == fresh.node, "left_semi").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+        left = materialise(waiting.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
+        fresh, waiting = left.where("n = 0").select("node"), left.where("n > 0")
+        done = done.unionByName(fresh.select("node", F.lit(level).alias("level")))
+        if level % 50 == 0:
+            done = materialise(done)  # keeps the plan short
+    return done
+
+
+def affected(edges: DataFrame, changed: DataFrame, rounds: int = 10_000) -> DataFrame:
     """node: all that can be reached from ``changed`` (node) along ``edges`` (parent, child), without these themselves.
 
-    Each round joins the newly found nodes only; a cycle ends the search as it finds nothing new.
+    Each round joins the newly found nodes only; a cycle ends the search as it finds nothing new. More than ``rounds``
+    rounds are an error.
     """
     from belvane.sources.tables import materialise
 
     seen = materialise(changed.select("node").distinct())
-    fresh, parts = seen, []
+    fresh = seen
     for _ in range(rounds):
         fresh = materialise(edges.join(fresh, edges.parent == fresh.node, "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
         if fresh.isEmpty():
             break
-        parts.append(fresh)
         seen = materialise(seen.unionByName(fresh))
+    else:
+        raise RuntimeError(f"the search did not end in {rounds} rounds")
     return seen.join(changed.select("node"), "node", "left_anti")
 
 

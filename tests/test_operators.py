@@ -6,7 +6,7 @@ import math
 
 import pytest
 
-from belvane.operators import belief, geometry, ledger
+from belvane.operators import belief, dag, geometry, ledger
 from belvane.streaming.posterior import posterior_of_stream
 
 
@@ -85,3 +85,22 @@ def test_an_empty_stream_gives_no_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema("key string, y double, r double").parquet(str(tmp_path / "in"))
     assert posterior_of_stream(stream, "key", 50.0, 100.0).count() == 0
+
+
+def test_levels_count_nodes_and_leave_out_cycles(spark):
+    # 8 layers of 10 nodes, each joined with all of the next: ten million paths, more rows than a recursive query may have
+    edges = [(f"{k}:{i}", f"{k + 1}:{j}") for k in range(7) for i in range(10) for j in range(10)]
+    edges += [("0:0", "7:0"), ("0:0", "x"), ("x", "y"), ("y", "x"), ("y", "z")]
+    df = spark.createDataFrame(edges, "parent string, child string")
+    found = {r["node"]: r["level"] for r in dag.levels(df).collect()}
+    assert found == {f"{k}:{i}": k for k in range(8) for i in range(10)}
+    with pytest.raises(RuntimeError):
+        dag.levels(df, 5)
+
+
+def test_affected_reaches_the_whole_of_a_long_line(spark):
+    df = spark.createDataFrame([(k, k + 1) for k in range(65)], "parent long, child long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert sorted(r["node"] for r in dag.affected(df, start).collect()) == list(range(1, 66))
+    with pytest.raises(RuntimeError):
+        dag.affected(df, start, 5)
