@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +53,40 @@ def posterior(observations: DataFrame, key: str, prior_mu: float, prior_var: flo
     return sums.select(key, "n", "rejected", ((F.col("wy") + prior_mu / prior_var) / precision).alias("mu"), (1 / precision).alias("var"))
 
 
-def predict_update(readings: DataFrame, key: str, order: list[str], *, mu0: float, var0: float, q: float, a: float = 1.0, b: float = 0.0) -> DataFrame:
-    """``key``, n, mu, var: a scalar process x' = a x + b with noise variance ``q``, corrected by each reading (y, r) in
-    order. The readings of one key are folded in one task, as each step needs the one before."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "y", "r")))
+def _filtered(batches: Iterator[pa.RecordBatch], key: str, mu0: float, var0: float, q: float, a: float, b: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and place; only the mean and variance go from a batch to the next. Null readings leave nulls."""
+    kind, began, now, n, mu, var = None, False, None, 0, mu0, var0
+
+    def state(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (kind, pa.int64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [key, "n", "mu", "var"])
+
+    for rows in batches:
+        kind, out = rows.schema.field(key).type, []
+        for k, y, r in zip(*[rows.column(c).to_pylist() for c in (key, "__y", "__r")], strict=True):
+            if not began or k != now:
+                if began:
+                    out.append((now, n, mu, var))
+                began, now, n, mu, var = True, k, 0, mu0, var0
+            p = None if var is None else a * a * var + q
+            gain = None if p is None or r is None else p / (p + r)
+            m = None if mu is None else a * mu + b
+            mu = None if gain is None or m is None or y is None else m + gain * (y - m)
+            var = None if gain is None else (1 - gain) * p
+            n += 1
+        yield state(out)
+    if began:
+        yield state([(now, n, mu, var)])
 
-    def step(s: Column, o: Column) -> Column:
-        m, p = a * s["mu"] + b, a * a * s["var"] + q
-        gain = p / (p + o["r"])
-        return F.struct((m + gain * (o["y"] - m)).alias("mu"), ((1 - gain) * p).alias("var"), (s["n"] + 1).alias("n"))
 
-    zero = F.struct(F.lit(mu0).alias("mu"), F.lit(var0).alias("var"), F.lit(0).cast("long").alias("n"))
-    return readings.groupBy(key).agg(F.aggregate(ordered, zero, step).alias("s")).select(key, "s.n", "s.mu", "s.var")
+def predict_update(readings: DataFrame, key: str, order: list[str], *, mu0: float, var0: float, q: float, a: float = 1.0, b: float = 0.0) -> DataFrame:
+    """``key``, n, mu, var: a scalar process x' = a x + b with noise variance ``q``, corrected by each reading (y, r) in
+    order. The readings of one key go through one task batch by batch, as each step needs the one before; they are sorted
+    on disk where need be."""
+    rows = readings.select(key, *order, F.col("y").cast("double").alias("__y"), F.col("r").cast("double").alias("__r"))
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order, "__y", "__r").select(key, "__y", "__r")
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, mu double, var double"
+    return dealt.mapInArrow(partial(_filtered, key=key, mu0=mu0, var0=var0, q=q, a=a, b=b), schema)
 
 
 def forecast(state: DataFrame, steps: int, *, a: float, b: float, q: float) -> DataFrame:

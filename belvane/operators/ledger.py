@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
 
 
-def chain(events: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
-    """``events`` with seq (0, 1, ...), previous_hash and event_hash. A key's events are folded in one task, since each
-    hash needs the one before; checking (:func:`validate`) is parallel."""
-    line = F.concat_ws("|", *[F.col(c).cast("string") for c in payload])
-    ordered = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+def sequence(events: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
+    """``events`` with seq (0, 1, ... by ``order``) and line, the joined ``payload``, without hashes."""
+    rows = events.select(key, *order, F.concat_ws("|", *[F.col(c).cast("string") for c in payload]).alias("line"))
+    seq = F.row_number().over(Window.partitionBy(key).orderBy(*order, "line")) - 1
+    return rows.select(key, seq.cast("long").alias("seq"), *order, "line")
+
+
+def _chained(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and place; only the last hash goes from a batch to the next."""
+    began, now, seq, last = False, None, 0, GENESIS
+    for b in batches:
+        seqs, hashes = [], [last]
+        previous = []
+        for k, line in zip(b.column(key).to_pylist(), b.column("line").cast(pa.binary()).to_pylist(), strict=True):
+            if not began or k != now:
+                began, now, seq, last = True, k, 0, GENESIS
+            seqs.append(seq)
+            previous.append(last)
+            last = hashlib.sha256(last.encode() + b"|" + line).hexdigest()
+            hashes.append(last)
+            seq += 1
+        rest = [n for n in b.schema.names if n != key]
+        columns = [b.column(key), pa.array(seqs, pa.int64()), *[b.column(n) for n in rest], pa.array(previous, pa.string()), pa.array(hashes[1:], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, [key, "seq", *rest, "previous_hash", "event_hash"])
 
-    def step(acc: Column, e: Column) -> Column:
-        return F.concat(acc, F.array(F.sha2(F.concat_ws("|", F.element_at(acc, -1), e["line"]), 256)))
 
-    made = events.groupBy(key).agg(ordered.alias("es")).withColumn("hs", F.aggregate("es", F.array(F.lit(GENESIS)), step))
-    rows = made.select(key, "hs", F.posexplode("es").alias("seq", "e"))
-    return rows.select(key, F.col("seq").cast("long").alias("seq"), *[F.col(f"e.{c}") for c in order], "e.line", F.get("hs", "seq").alias("previous_hash"), F.get("hs", F.col("seq") + 1).alias("event_hash"))
+def chain(events: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
+    """``events`` with seq (0, 1, ...), previous_hash and event_hash. A key's events go through one task, since each hash
+    needs the one before, batch by batch and sorted on disk where need be; checking (:func:`validate`) needs no chain."""
+    rows = events.select(key, *order, F.concat_ws("|", *[F.col(c).cast("string") for c in payload]).alias("line"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"`{key}` {kinds[key]}", "seq long", *[f"`{c}` {kinds[c]}" for c in order], "line string, previous_hash string, event_hash string"])
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order, "line")
+    return dealt.mapInArrow(partial(_chained, key=key), schema)
 
 
 def validate(log: DataFrame, key: str) -> DataFrame:

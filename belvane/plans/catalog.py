@@ -229,7 +229,7 @@ def illegal_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT user_id, seq, event_id, greatest(count(*) OVER (PARTITION BY user_id) - 50, 0) AS elided FROM {_LOG} QUALIFY seq < 5 OR seq >= count(*) OVER (PARTITION BY user_id) - 45")
 def timeline(spark: SparkSession, d: str) -> DataFrame:
-    log = ledger.chain(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"])
+    log = ledger.sequence(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"])
     return ledger.timeline(log, "user_id").select("user_id", "seq", "event_id", "elided")
 
 

@@ -260,7 +260,7 @@ def attested_receipts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH g AS (SELECT user_id, seq, line FROM {_LOG}) SELECT user_id, seq FROM g WHERE EXISTS (SELECT 1 FROM g h WHERE h.user_id = g.user_id AND h.line = g.line AND h.seq > g.seq)")
 def committed_results(spark: SparkSession, d: str) -> DataFrame:
     """Events whose content a later event of the same log repeats."""
-    log = ledger.chain(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
+    log = ledger.sequence(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type", "props"])
     named = log.select("user_id", "seq", F.sha2("line", 256).alias("digest"))
     return ledger.committed(named, named, "user_id").select("user_id", "seq")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import defaultdict
 
 import pytest
 
@@ -104,3 +106,31 @@ def test_affected_reaches_the_whole_of_a_long_line(spark):
     assert sorted(r["node"] for r in dag.affected(df, start).collect()) == list(range(1, 66))
     with pytest.raises(RuntimeError):
         dag.affected(df, start, 5)
+
+
+def test_a_long_log_is_chained_and_filtered_batch_by_batch(spark):
+    """A key of more rows than a batch of Arrow, whose folded array would hold all of its hashes."""
+    rows = [(k % 3 // 2, 1000 - k // 4, k, f"é{k % 7}", float(k % 11), 1.0 + k % 5) for k in range(25_000)] + [(None, 0, -1, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "user long, ts long, id long, what string, y double, r double")
+    found = ledger.chain(df, "user", ["ts", "id"], ["what"])
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    logs, sequences = defaultdict(list), defaultdict(list)
+    for r in found.collect():
+        logs[r["user"]].append(r)
+    for r in ledger.sequence(df, "user", ["ts", "id"], ["what"]).collect():
+        sequences[r["user"]].append((r["seq"], r["id"], r["line"]))
+    state = {r["user"]: r for r in belief.predict_update(df, "user", ["ts", "id"], mu0=5.0, var0=9.0, q=0.5).collect()}
+    assert len(state) == len(logs) == 3
+    for user, log in logs.items():
+        log.sort(key=lambda r: r["seq"])
+        last, mu, var = ledger.GENESIS, 5.0, 9.0
+        own = sorted((r for r in rows if r[0] == user), key=lambda r: r[1:3])
+        assert len(own) == len(log)
+        for seq, (r, e) in enumerate(zip(log, own)):
+            assert (r["seq"], r["id"], r["line"], r["previous_hash"]) == (seq, e[2], e[3] or "", last)
+            last = hashlib.sha256(f"{last}|{e[3] or ''}".encode()).hexdigest()
+            assert r["event_hash"] == last
+            gain = (var + 0.5) / (var + 0.5 + e[5])
+            mu, var = mu + gain * (e[4] - mu), (1 - gain) * (var + 0.5)
+        assert sorted(sequences[user]) == [(r["seq"], r["id"], r["line"]) for r in log]
+        assert (state[user]["n"], state[user]["mu"], state[user]["var"]) == (len(own), pytest.approx(mu), pytest.approx(var))
