@@ -6,6 +6,8 @@ that refers to a derived variable is evaluated a level at a time.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,14 @@ def _valued(terms: DataFrame, env: DataFrame) -> DataFrame:
     return joined
 
 
-def evaluate(terms: DataFrame, env: DataFrame) -> DataFrame:
-    """model, out_var, mu: each definition's value. Null if a variable is unknown."""
+def _evaluate_level(terms: DataFrame, env: DataFrame) -> DataFrame:
     each = _valued(terms, env).withColumn("x", F.when(F.col("n") == 0, 1.0).otherwise(F.pow("mu", "pow")))
     per_term = each.groupBy("model", "out_var", "term_id", "coef").agg(F.product("x").alias("x"), F.bool_or((F.col("n") > 0) & F.col("mu").isNull()).alias("unknown"))
     value = F.when(~F.bool_or("unknown"), F.sum(F.col("coef") * F.col("x")))
     return per_term.groupBy("model", "out_var").agg(value.alias("mu"))
 
 
-def partials(terms: DataFrame, env: DataFrame) -> DataFrame:
-    """model, out_var, var_id, v: derivatives of each definition with respect to its own variables."""
+def _partials_level(terms: DataFrame, env: DataFrame) -> DataFrame:
     each = _valued(terms, env).where("n > 0")
     arrays = each.groupBy("model", "out_var", "term_id", "coef").agg(F.collect_list(F.struct("var_id", "pow", "mu")).alias("fs"))  # a term has a few factors
 
@@ -37,6 +37,66 @@ def partials(terms: DataFrame, env: DataFrame) -> DataFrame:
     return arrays.select("model", "out_var", F.inline(F.transform("fs", lowered))).groupBy("model", "out_var", "var_id").agg(F.sum("v").alias("v"))
 
 
+def _levels_of(terms: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """The terms of each level of definitions, and those of definitions on a cycle or behind one; None if none is nested."""
+    from belvane.sources.tables import materialise
+
+    uses = terms.select("model", "out_var", F.explode("factors.var_id").alias("var_id"))
+    nested = materialise(uses.join(terms.select("model", F.col("out_var").alias("var_id")).distinct(), ["model", "var_id"], "left_semi").distinct())
+    if nested.isEmpty():
+        return [terms], None
+    rank = materialise(levels(nested.select(F.struct("model", F.col("var_id").alias("out_var")).alias("parent"), F.struct("model", "out_var").alias("child"))).select("node.*", "level"))
+    behind = nested.select("model", "out_var").distinct().withColumn("nested", F.lit(True))
+    marked = terms.join(rank, ["model", "out_var"], "left").join(behind, ["model", "out_var"], "left")
+    marked = materialise(marked.withColumn("level", F.coalesce("level", F.when(F.col("nested").isNull(), 0))).drop("nested"))
+    deepest = rank.agg(F.max("level")).first()[0] or 0
+    return [marked.where(F.col("level") == k).drop("level") for k in range(deepest + 1)], marked.where("level is null").drop("level")
+
+
+def _values(terms: DataFrame, env: DataFrame) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame], DataFrame]:
+    """What :func:`_levels_of` returns, the values of each level, and those of all variables that its levels know."""
+    from belvane.sources.tables import materialise
+
+    parts, cyclic = _levels_of(terms)
+    if cyclic is None:
+        return parts, None, [_evaluate_level(terms, env)], env
+    known = env.select("model", "var_id", "mu").join(terms.select("model", F.col("out_var").alias("var_id")).distinct(), ["model", "var_id"], "left_anti")
+    values = []
+    for part in parts:
+        values.append(materialise(_evaluate_level(part, known)))
+        known = known.unionByName(values[-1].select("model", F.col("out_var").alias("var_id"), "mu"))
+    return parts, cyclic, values, known
+
+
+def evaluate(terms: DataFrame, env: DataFrame) -> DataFrame:
+    """model, out_var, mu: each definition's value. Null if a variable is unknown, or the definition is on a cycle or behind
+    one."""
+    _, cyclic, values, _ = _values(terms, env)
+    found = reduce(DataFrame.unionByName, values)
+    return found if cyclic is None else found.unionByName(cyclic.select("model", "out_var", F.lit(None).cast("double").alias("mu")).distinct())
+
+
+def partials(terms: DataFrame, env: DataFrame) -> DataFrame:
+    """model, out_var, var_id, v: derivatives of each definition with respect to the raw variables, by the chain rule over
+    the levels. Definitions on a cycle or behind one have none."""
+    from belvane.sources.tables import materialise
+
+    parts, cyclic, _, known = _values(terms, env)
+    if cyclic is None:
+        return _partials_level(terms, env)
+    derived = terms.select("model", F.col("out_var").alias("var_id")).distinct().withColumn("derived", F.lit(True))
+    found = None
+    for part in parts:
+        own = _partials_level(part, known)
+        if found is not None:
+            inner = found.select("model", F.col("out_var").alias("var_id"), F.col("var_id").alias("raw"), F.col("v").alias("w"))
+            own = own.join(derived, ["model", "var_id"], "left").join(inner, ["model", "var_id"], "left").where("derived is null or raw is not null")
+            own = own.groupBy("model", "out_var", F.coalesce("raw", "var_id").alias("var_id")).agg(F.sum(F.col("v") * F.coalesce("w", F.lit(1.0))).alias("v"))
+        own = materialise(own)
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def levels(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """node, level: the longest path to each node of ``edges`` (parent, child); nodes on a cycle or behind one are missing.
 

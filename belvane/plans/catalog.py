@@ -47,25 +47,25 @@ def prior_slots(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT entity, round(q*p, 7) AS gross, round(q*p*(1-d), 7) AS net, round({_CHARGE}, 7) AS charge FROM ({_LINES})")
 def evaluate_definitions(spark: SparkSession, d: str) -> DataFrame:
-    found = dag.evaluate(views.definitions(spark, d), views.slots(spark, d)).select(F.substring_index("out_var", ".", 1).alias("entity"), F.lower(F.substring_index("out_var", ".", -1)).alias("k"), "mu")
+    found = dag.evaluate(views.definitions(spark, d, nested=True), views.slots(spark, d)).select(F.substring_index("out_var", ".", 1).alias("entity"), F.lower(F.substring_index("out_var", ".", -1)).alias("k"), "mu")
     return rounded(found.groupBy("entity").pivot("k", ["gross", "net", "charge"]).agg(F.first("mu")), 7, "gross", "net", "charge")
 
 
 @query(f"""SELECT model, quantity, round(sum(v), 2) AS v FROM (SELECT model, 'Qty' AS quantity, p*(1-d)*(1+t) AS v FROM ({_LINES}) UNION ALL SELECT model, 'Price', q*(1-d)*(1+t) FROM ({_LINES})
   UNION ALL SELECT model, 'Disc', -q*p*(1+t) FROM ({_LINES}) UNION ALL SELECT model, 'Tax', q*p*(1-d) FROM ({_LINES}) UNION ALL SELECT model, 'Fx', {_CHARGE} FROM ({_LINES})) GROUP BY 1, 2""")
 def jacobian_by_quantity(spark: SparkSession, d: str) -> DataFrame:
-    terms = views.definitions(spark, d).where("quantity = 'Charge'")
-    j = dag.partials(terms, views.slots(spark, d)).groupBy("model", F.substring_index("var_id", ".", -1).alias("quantity")).agg(F.sum("v").alias("v"))
+    terms = views.definitions(spark, d, nested=True)
+    j = dag.partials(terms, views.slots(spark, d)).where("out_var like '%.Charge'").groupBy("model", F.substring_index("var_id", ".", -1).alias("quantity")).agg(F.sum("v").alias("v"))
     return rounded(j, 2, "v")
 
 
 def _total(spark: SparkSession, d: str) -> DataFrame:
     """model, total and var of the rollup of all charges of a model."""
-    terms, slots = views.definitions(spark, d).where("quantity = 'Charge'"), views.slots(spark, d)
-    each = dag.partials(terms, slots)
+    terms, slots = views.definitions(spark, d, nested=True), views.slots(spark, d)
+    each = dag.partials(terms, slots).where("out_var like '%.Charge'")
     rolled = dag.jacobian_of_sum(each, each.select("model", "out_var").distinct().withColumn("parent", F.lit("Total")))
     var = belief.variance_of(rolled, slots.select("model", "var_id", "sigma")).select("model", "var")
-    mean = dag.evaluate(terms, slots).groupBy("model").agg(F.sum("mu").alias("total"))
+    mean = dag.evaluate(terms, slots).where("out_var like '%.Charge'").groupBy("model").agg(F.sum("mu").alias("total"))
     return mean.join(var, "model")
 
 

@@ -33,10 +33,13 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(shared).withColumn("var_id", F.concat_ws(".", "entity", "quantity"))
 
 
-def definitions(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of each line's derived quantities: Gross = Qty Price, Net = Gross (1 - Disc), Charge = Net (1 + Tax) Fx."""
+def definitions(spark: SparkSession, d: str, *, nested: bool = False) -> DataFrame:
+    """Terms of each line's derived quantities: Gross = Qty Price, Net = Gross (1 - Disc), Charge = Net (1 + Tax) Fx; as
+    they are stated if ``nested``, else multiplied out to raw quantities, so that each can be taken by itself."""
     rules = {"Gross": [(1, "QP")], "Net": [(1, "QP"), (-1, "QPD")], "Charge": [(1, "QPF"), (-1, "QPDF"), (1, "QPTF"), (-1, "QPDTF")]}
-    names = {"Q": "Qty", "P": "Price", "D": "Disc", "T": "Tax"}
+    if nested:
+        rules = {"Gross": [(1, "QP")], "Net": [(1, "G"), (-1, "GD")], "Charge": [(1, "NF"), (1, "NTF")]}
+    names = {"Q": "Qty", "P": "Price", "D": "Disc", "T": "Tax", "G": "Gross", "N": "Net"}
     factor = lambda x: F.struct((F.concat(F.col("entity"), F.lit("." + names[x])) if x in names else F.lit("*.Fx")).alias("var_id"), F.lit(1).alias("pow"))
     terms = [F.struct(F.lit(out).alias("quantity"), F.lit(k).alias("term_id"), F.lit(float(c)).alias("coef"), F.array(*[factor(x) for x in f]).alias("factors")) for out, ts in rules.items() for k, (c, f) in enumerate(ts)]
     made = lines(spark, d).select("model", "entity", F.inline(F.array(*terms)))

@@ -134,3 +134,17 @@ def test_a_long_log_is_chained_and_filtered_batch_by_batch(spark):
             mu, var = mu + gain * (e[4] - mu), (1 - gain) * (var + 0.5)
         assert sorted(sequences[user]) == [(r["seq"], r["id"], r["line"]) for r in log]
         assert (state[user]["n"], state[user]["mu"], state[user]["var"]) == (len(own), pytest.approx(mu), pytest.approx(var))
+
+
+def test_nested_definitions_are_evaluated_a_level_at_a_time(spark):
+    """G = q p, N = G - G d, C = N + N t; K is constant, L = K q; X and Y are a cycle, Z is behind it, U has an unknown variable."""
+    rules = {"G": [(1.0, "qp")], "N": [(1.0, "G"), (-1.0, "Gd")], "C": [(1.0, "N"), (1.0, "Nt")], "K": [(3.0, "")], "L": [(1.0, "Kq")], "X": [(1.0, "Y")], "Y": [(1.0, "X")], "Z": [(1.0, "Xq")], "U": [(1.0, "u")]}
+    terms = spark.createDataFrame([(1, out, k, c, [(x, 1) for x in f]) for out, ts in rules.items() for k, (c, f) in enumerate(ts)], "model int, out_var string, term_id int, coef double, factors array<struct<var_id: string, pow: int>>")
+    q, p, d, t = 5.0, 7.0, 0.1, 0.2
+    env = spark.createDataFrame([(1, "q", q), (1, "p", p), (1, "d", d), (1, "t", t)], "model int, var_id string, mu double")
+    found = {r["out_var"]: r["mu"] for r in dag.evaluate(terms, env).collect()}
+    assert found == {"G": 35.0, "N": pytest.approx(31.5), "C": pytest.approx(37.8), "K": 3.0, "L": 15.0, "X": None, "Y": None, "Z": None, "U": None}
+    v = {(r["out_var"], r["var_id"]): r["v"] for r in dag.partials(terms, env).collect()}
+    want = {("G", "q"): p, ("G", "p"): q, ("N", "q"): p * (1 - d), ("N", "p"): q * (1 - d), ("N", "d"): -q * p, ("L", "q"): 3.0}
+    want |= {("C", "q"): p * (1 - d) * (1 + t), ("C", "p"): q * (1 - d) * (1 + t), ("C", "d"): -q * p * (1 + t), ("C", "t"): q * p * (1 - d)}
+    assert {k: x for k, x in v.items() if k[0] != "U"} == {k: pytest.approx(x) for k, x in want.items()}
