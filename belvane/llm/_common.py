@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belvane.sources.tables import materialise, shared_dir  # noqa: F401  (operators take these from here)
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it. Only a local session, where one machine is the whole cluster, may do without.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage is cut, and a lost executor loses no result."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/belvane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -49,8 +26,8 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     plain = docs.select([F.col(f"`{c}`") for c in docs.columns])
     try:
         return plain.withColumns({"__file": F.xxhash64(F.col("_metadata.file_path")), "__row": F.col("_metadata.row_index")})
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if (e.getCondition() or "").split(".")[0] not in ("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND"):
             raise
     return with_row_id(materialise(plain))
 

@@ -1,8 +1,9 @@
 """Operator 1: host-level quality rules.
 
 Each document is tested by rules; a host (``source``) gets, for every rule, the rate of its documents that fail,
-shrunk towards the rate of all hosts by a beta prior whose parameters are fitted to the hosts by moments; hosts whose
-shrunk rate is over a limit are rejected, and that verdict is joined back to their documents.
+shrunk towards the rate of all hosts by a beta prior whose parameters are fitted to the hosts by moments. A host is
+rejected where its posterior rate is surely over the limit of a rule, and that verdict is joined back to its documents.
+The limit lies above what the fitted prior takes to be common among hosts.
 """
 
 from __future__ import annotations
@@ -67,40 +68,51 @@ def shrunk(failed: Column, n: Column, mean: Column, strength: Column) -> Column:
     return (failed + mean * strength) / (n + strength)
 
 
+def limit_of(mean: Column, strength: Column, spread: float, most: float) -> Column:
+    """A rate that few hosts have by the prior: ``spread`` standard deviations over its mean, ``most`` if that is lower."""
+    return F.least(mean + spread * F.sqrt(mean * (1 - mean) / (strength + 1)), F.lit(most))
+
+
 def judge_hosts(
-    docs: DataFrame, *, min_words: int = 50, max_symbol_share: float = 0.25, max_dup_share: float = 0.5, max_repeat_share: float = 0.5, max_host_rate: float = 0.7
+    docs: DataFrame, *, min_words: int = 50, max_symbol_share: float = 0.25, max_dup_share: float = 0.5, max_repeat_share: float = 0.5,
+    spread: float = 2.0, sure: float = 2.0, max_host_rate: float = 0.7,
 ) -> DataFrame:
-    """doc_id, source, the counts, ``base_failed``, a column for each rule, the host's ``host_rate`` (the largest of its
-    shrunk rates) and ``host_rejected``, and ``kept``: the document fails no rule and its host isn't rejected.
-
-    A null text has no words and fails by length. A null source is a host of its own. Repeated rows each count and come
-    back. With one host, or hosts all alike, the prior is as strong as 1000 documents. An empty table gives no rows.
+    """doc_id, source, the counts, a column for each rule, ``base_failed``, ``host_rate`` (the host's shrunk rate of the
+    rule by which it comes nearest to its limit), ``host_excess`` (by how much that rate, less ``sure`` standard
+    deviations of its posterior, is over the limit), ``host_rejected`` (that is above 0) and ``kept``: not
+    ``base_failed``, and the host isn't rejected.
+
+    A null text has no words and fails by length; a text of any length is read whole. A null source is a host of its own.
+    Repeated rows each count and come back; a host at its limit exactly is kept. With one host, or hosts all alike, the
+    prior is as strong as 1000 documents. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     tests = rules(min_words, max_symbol_share, max_dup_share, max_repeat_share)
-    # a short text says little about its host, so length is a rule for documents alone
-    of_host = ["fails_repeats", "fails_symbols", "fails_lines"]
     measured = docs.select("doc_id", "source", "text").mapInPandas(_measure, FEATURES)
     found = materialise(measured.withColumns(tests))
-    hosts = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in of_host])
+    hosts = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in tests])
     # moments over hosts: mean and variance of the raw rates, and the variance that sampling alone would give; one row
     moments = hosts.agg(
-        *[F.avg(F.col(c) / F.col("n")).alias(f"mean_{c}") for c in of_host],
-        *[F.coalesce(F.var_samp(F.col(c) / F.col("n")), F.lit(0.0)).alias(f"var_{c}") for c in of_host],
+        *[F.avg(F.col(c) / F.col("n")).alias(f"mean_{c}") for c in tests],
+        *[F.coalesce(F.var_samp(F.col(c) / F.col("n")), F.lit(0.0)).alias(f"var_{c}") for c in tests],
         F.avg(1 / F.col("n")).alias("inverse"),
     )
 
-    def rate(c: str) -> Column:
-        mean, spread = F.col(f"mean_{c}"), F.col(f"mean_{c}") * (1 - F.col(f"mean_{c}"))
-        between = F.greatest(F.col(f"var_{c}") - spread * F.col("inverse"), F.lit(1e-9))
-        strength = F.least(F.greatest(spread / between - 1, F.lit(2.0)), F.lit(1000.0))
-        return shrunk(F.col(c), F.col("n"), mean, strength)
-
-    verdicts = hosts.join(F.broadcast(moments)).select(F.col("source").alias("__host"), F.greatest(*[rate(c) for c in of_host]).alias("host_rate"))
+    def judged(c: str) -> Column:
+        mean, own = F.col(f"mean_{c}"), F.col(f"mean_{c}") * (1 - F.col(f"mean_{c}"))
+        between = F.greatest(F.col(f"var_{c}") - own * F.col("inverse"), F.lit(1e-9))
+        strength = F.least(F.greatest(own / between - 1, F.lit(2.0)), F.lit(1000.0))
+        rate = shrunk(F.col(c), F.col("n"), mean, strength)
+        low = rate - sure * F.sqrt(rate * (1 - rate) / (F.col("n") + strength + 1))
+        return F.struct((low - limit_of(mean, strength, spread, max_host_rate)).alias("excess"), rate.alias("rate"))
+
+    worst = F.greatest(*[judged(c) for c in tests])
+    verdicts = hosts.join(F.broadcast(moments)).select(F.col("source").alias("__host"), worst.alias("__worst"))
+    verdicts = verdicts.select("__host", F.col("__worst.rate").alias("host_rate"), F.col("__worst.excess").alias("host_excess"))
+    base = F.col("fails_length") | F.col("fails_repeats")
     # Spark broadcasts the verdicts if their measured size is small, and else splits the rows of a large host
     return found.join(verdicts, F.col("source").eqNullSafe(F.col("__host")), "left").select(
         "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *tests,
-        (F.col("fails_length") | F.col("fails_repeats")).alias("base_failed"),
-        "host_rate",
-        (F.col("host_rate") > max_host_rate).alias("host_rejected"),
-        (~F.greatest(*[F.col(c) for c in tests]) & (F.col("host_rate") <= max_host_rate)).alias("kept"),
+        base.alias("base_failed"), "host_rate", "host_excess",
+        (F.col("host_excess") > 0).alias("host_rejected"),
+        (~base & (F.col("host_excess") <= 0)).alias("kept"),
     )

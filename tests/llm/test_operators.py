@@ -58,7 +58,27 @@ def test_bad_host_is_rejected(spark):
     rows = [(k, good if k % 2 else bad, "half") for k in range(40)] + [(100 + k, bad if k else good, "junk") for k in range(40)] + [(200 + k, good, f"h{k % 7}") for k in range(70)]
     found = {r["doc_id"]: r for r in rows_of(quality_rules.judge_hosts(spark.createDataFrame(rows, "doc_id long, text string, source string")))}
     assert not found[100]["kept"] and found[100]["host_rejected"]
-    assert found[1]["kept"] and not found[0]["kept"] and all(found[200 + k]["kept"] for k in range(70))
+    # the verdict beyond the base is the host's: a document with symbols stays on a host that isn't rejected
+    assert found[1]["kept"] and found[0]["kept"] and found[0]["fails_symbols"] and all(found[200 + k]["kept"] for k in range(70))
+
+
+def test_host_rates_by_brute_force(spark):
+    """Thirty hosts near a tenth, one at a half: rates, limits and verdicts are worked out again in plain Python."""
+    good, bad = " ".join(f"word{k}" for k in range(80)), " ".join(f"word{k} ### $$$" for k in range(80))
+    rows = [(100 * h + k, bad if k < (30 if h == 30 else 4 + h % 5) else good, f"h{h}" if h else None) for h in range(31) for k in range(60)]
+    found = rows_of(quality_rules.judge_hosts(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    rate = {h: (30 if h == 30 else 4 + h % 5) / 60 for h in range(31)}
+    mean = sum(rate.values()) / 31
+    between = max(sum((x - mean) ** 2 for x in rate.values()) / 30 - mean * (1 - mean) / 60, 1e-9)
+    strength = min(max(mean * (1 - mean) / between - 1, 2), 1000)
+    limit = min(0.7, mean + 2 * (mean * (1 - mean) / (strength + 1)) ** 0.5)
+    for r in found:
+        own = rate[r["doc_id"] // 100]
+        x = (own * 60 + mean * strength) / (60 + strength)
+        excess = x - 2 * (x * (1 - x) / (61 + strength)) ** 0.5 - limit
+        assert abs(r["host_excess"] - max(excess, 0)) < 1e-9  # a rule that no document fails has rate and limit 0
+        assert r["kept"] == (r["doc_id"] // 100 != 30) == (excess <= 0)
+    assert len(found) == 31 * 60
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
