@@ -1,8 +1,10 @@
 """Operator 4: a quality classifier from weak labels.
 
-Overlapping heuristic labellers vote on each document (1 good, 0 bad, abstain). Expectation-maximisation over the
-counts of vote patterns estimates the accuracy of each labeller; the posterior of its pattern is a document's label;
-those labels train a linear scorer on hashed features, which then scores every document.
+Overlapping heuristic labellers vote on each document (1 good, 0 bad, abstain). A bad document has one fault or another,
+and no labeller sees them all; so a document is of one of several latent classes, the good one or one for each labeller's
+fault, and expectation-maximisation over the counts of vote patterns estimates how often each labeller votes against the
+documents of each class: its false alarms on good ones, and its hits on each fault. The posterior of the good class is a
+document's label; those labels train a linear scorer on hashed features, which then scores every document.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ BINS = 2048
 LABELLERS = ("length", "symbols", "capitals", "line_repeats", "cells", "word_length", "exclaims", "variety")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _NEUTRAL = "-"
-#: The most false alarms that a labeller is taken to raise, as a share of its votes on good documents.
-ALARMS = 0.001
+_VOTES = {"1": 1.0, "0": 0.0, _NEUTRAL: np.nan}
 
 
 def votes(text: str | None) -> str:
@@ -84,37 +85,43 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.index.tolist(), pa.string()), pa.array(found.tolist(), pa.int64())], ["pattern", "n"])
 
 
-def accuracies(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
-    """The share of good documents, and each labeller's chance to be right on good and on bad documents when it votes.
+def _parsed(patterns: list[str]) -> np.ndarray:
+    return np.array([[_VOTES[c] for c in k] for k in patterns])
 
-    Expectation-maximisation with labellers taken as independent given the class, from the guess that one vote against a
-    document makes it bad. A labeller is made to be silent on good text, so its false alarms there are taken to be
-    ``ALARMS`` at most; else the labellers that see different faults would outvote each other.
+
+def accuracies(patterns: dict[str, int], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each class, the good one first, and by class each labeller's chance to vote against a document when it
+    votes at all; for the good class that is its false alarms, 1 less its accuracy there.
+
+    Expectation-maximisation with labellers taken as independent given the class. It begins from the guess that a labeller
+    votes against nine in ten documents with its own fault, one in ten with another's and one in fifty good ones; all of
+    these are estimated. A class is known by its own labeller, who is taken to be better than chance on it (0.5 at least),
+    so that no class of faults turns into a second good one. A labeller that never votes keeps the guess of 0.1.
     """
-    keys = list(patterns)
-    v = np.array([[{"1": 1.0, "0": 0.0, _NEUTRAL: np.nan}[c] for c in k] for k in keys])
-    n = np.array([patterns[k] for k in keys], dtype=float)
-    cast, yes = ~np.isnan(v), np.nan_to_num(v)
-    p = np.where((v == 0).any(axis=1), 0.1, 0.9)
-    share, good, bad = 0.8, np.full(v.shape[1], 0.99), np.full(v.shape[1], 0.3)
+    v, n = _parsed(list(patterns)), np.array(list(patterns.values()), dtype=float)
+    faults = v.shape[1]
+    against, cast = np.nan_to_num(1 - v), (~np.isnan(v)).astype(float)
+    share, fires = np.r_[0.8, np.full(faults, 0.2 / faults)], np.full((faults + 1, faults), 0.1)
+    fires[0], fires[np.arange(1, faults + 1), np.arange(faults)] = 0.02, 0.9
     for _ in range(rounds):
-        share = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
-        good = np.maximum(((n * p) @ yes + 9) / ((n * p) @ cast + 10), 1 - ALARMS)
-        bad = np.maximum(((n * (1 - p)) @ (cast * (1 - yes)) + 3) / ((n * (1 - p)) @ cast + 10), 0.05)
-        p = _posterior(v, share, good, bad)
-    return share, good, bad
+        p = _posterior(v, share, fires) * n[:, None]
+        share = (p.sum(axis=0) + 1) / (n.sum() + faults + 1)
+        fires = np.clip((p.T @ against + 0.05) / (p.T @ cast + 0.5), 1e-4, 1 - 1e-4)
+        fires[np.arange(1, faults + 1), np.arange(faults)] = np.maximum(np.diag(fires[1:]), 0.5)
+    return share, fires
 
 
-def _posterior(v: np.ndarray, share: float, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    yes, no = np.nan_to_num(v), np.nan_to_num(1 - v)
-    good = np.minimum(good, 0.9999)
-    up = np.log(share) + yes @ np.log(good) + no @ np.log(1 - good)
-    down = np.log(1 - share) + yes @ np.log(1 - bad) + no @ np.log(bad)
-    return 1 / (1 + np.exp(np.clip(down - up, -60, 60)))
+def _posterior(v: np.ndarray, share: np.ndarray, fires: np.ndarray) -> np.ndarray:
+    """The chance of each class (columns) for each row of votes."""
+    against, cast = np.nan_to_num(1 - v), ~np.isnan(v)
+    z = np.log(share) + against @ np.log(fires).T + (cast - against) @ np.log(1 - fires).T
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
-def posterior(pattern: str, model: tuple[float, np.ndarray, np.ndarray]) -> float:
-    return float(_posterior(np.array([[{"1": 1.0, "0": 0.0, _NEUTRAL: np.nan}[c] for c in pattern]]), *model)[0])
+def posterior(pattern: str, model: tuple[np.ndarray, np.ndarray]) -> float:
+    """The chance that a document with these votes is good."""
+    return float(_posterior(_parsed([pattern]), *model)[0, 0])
 
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +181,15 @@ def _keep(batches: Iterator[pa.RecordBatch], w: np.ndarray, b: float, limit: flo
 def score(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataFrame:
     """doc_id, votes (one character per labeller), score (0 to 1) and kept (score >= limit) for every row.
 
-    Null and empty texts score near 0 and are rejected. Repeated rows each come back; other columns are not read. An
-    empty table gives no rows.
+    Null and empty texts score near 0 and are rejected; a text of any length is read whole. A score equal to ``limit`` is
+    kept. Repeated rows each come back, with the same score; other columns are not read. An empty table gives no rows.
     """
     w, b = fit(docs, max_rows=max_rows)
     return docs.select("doc_id", "text").mapInArrow(partial(_score, w=w, b=b, limit=limit), "doc_id long, votes string, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataFrame:
-    """The rows of ``docs`` that :func:`score` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`score` keeps, with all their columns, whatever their names. Rows with a null or empty
+    text go; repeated rows are kept or go together. An empty table gives no rows."""
     w, b = fit(docs, max_rows=max_rows)
     return docs.mapInArrow(partial(_keep, w=w, b=b, limit=limit), docs.schema)

@@ -237,15 +237,23 @@ def test_quality_classifier_agrees_with_labels(spark):
 
 
 def test_accuracies_by_simulation():
-    r = np.random.default_rng(2)
-    truth = r.random(20000) < 0.85
-    n = len(quality_classifier.LABELLERS)
-    good, bad = np.linspace(0.995, 0.999, n), np.linspace(0.3, 0.7, n)
-    cast = r.random((20000, n)) < 0.8
-    yes = np.where(truth[:, None], r.random((20000, n)) < good, r.random((20000, n)) >= bad)
-    patterns = Counter("".join("-" if not c else "1" if y else "0" for c, y in zip(a, b, strict=True)) for a, b in zip(cast, yes, strict=True))
-    share, g, b = quality_classifier.accuracies(patterns)
-    assert abs(share - 0.85) < 0.03 and np.abs(g - good).max() < 0.04 and np.abs(b - bad).max() < 0.08
+    """Votes drawn with false alarms of 0.2 to 10 % and faults that three labellers see: both are found again, and neither
+    by a constant."""
+    rng = np.random.default_rng(3)
+    n, k = 100_000, len(quality_classifier.LABELLERS)
+    alarms = np.array([0.005, 0.02, 0.05, 0.1, 0.01, 0.03, 0.002, 0.06])
+    fires = np.tile(alarms, (k + 1, 1))
+    for j in range(k):
+        fires[j + 1, j], fires[j + 1, (j + 1) % k], fires[j + 1, (j + 3) % k] = 0.95, 0.7, 0.6
+    kind = rng.choice(k + 1, size=n, p=np.r_[0.8, np.full(k, 0.2 / k)])
+    fired, silent = rng.random((n, k)) < fires[kind], rng.random((n, k)) < 0.1
+    votes = Counter("".join("-" if s else "0" if f else "1" for f, s in zip(a, b)) for a, b in zip(fired.tolist(), silent.tolist()))
+    share, found = quality_classifier.accuracies(votes)
+    assert abs(share[0] - 0.8) < 0.01
+    assert np.abs(found[0] - alarms).max() < 0.004
+    hits = fires[1:][fires[1:] > 0.5]
+    assert np.abs(found[1:][fires[1:] > 0.5] - hits).max() < 0.06
+    assert np.abs(found[0] - alarms.mean()).max() > 0.05  # what one constant for all would give
 
 
 # 5 ------------------------------------------------------------------------------------------------------------------
