@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -132,6 +133,34 @@ def test_pii_redacts_spans_that_overlap(spark):
     assert found == ["call <phone> now", "paid <card> and left", "two: <email>, <phone>, <ip>."]
 
 
+def test_em_adds_spans_that_the_base_lacks(spark):
+    """Secrets and spelled-out addresses are no base spans; labellers' votes alone bring them in, and long plain words stay
+    out. An added span that touches a base one gives way."""
+    rng = np.random.default_rng(5)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    rows = [(k, f'some words and a token = "{hexes[k]}" here') for k in range(60)]
+    rows += [(100 + k, "the averyveryverylongwordwithoutanyfigures" + "x" * k + "1 2 3 and plain talk") for k in range(60)]
+    rows += [(200 + k, f"write to user{k} [at] host{k} [dot] org or mail u{k}@h{k}.org") for k in range(60)]
+    rows += [(300, f"key {hexes[0]}@host.org"), (301, None), (302, "")]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(60):
+        at = rows[k][1].index(hexes[k])
+        assert found[k]["spans"] == f"secret:{at}:{at + 40}" and found[k]["n_added"] == 1 and found[k]["n_email"] == 0
+        assert found[100 + k]["n_added"] == 0
+        assert found[200 + k]["n_added"] == 1 and found[200 + k]["n_email"] == 1 and found[200 + k]["n_found"] == 2
+    assert found[300]["spans"] == "email:4:53" and found[301]["n_found"] == found[302]["n_found"] == 0
+
+
+def test_pii_takes_texts_of_thousands_of_spans(spark):
+    text = " ".join(f"mail u{k}@host{k}.org or +1 (555) 555-{k:04d}" for k in range(5000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    began = time.time()
+    r = pii.find(df).first()
+    assert (r["n_email"], r["n_phone"]) == (5000, 5000)
+    assert pii.redact(df).first()["text"] == " ".join("mail <email> or <phone>" for _ in range(5000))
+    assert time.time() - began < 90
+
+
 def test_reliabilities_find_the_good_labellers():
     r = np.random.default_rng(1)
     truth = r.random(5000) < 0.3
