@@ -3,8 +3,8 @@
 The words of a source lie on a line, document after document in a seeded order, cut into blocks of ``block`` words. All
 blocks of the mix are seats: each goes to the source with the highest quotient target / (2k + 1), k being the seats it
 has. The seats of shard 1, 2, ... are dealt one after the other, so each shard has an integer quota of each source. A
-source with q seats gives whole passes over its line and then a run of blocks from a seeded start; as the documents lie
-in a seeded order, the run is a random choice of them.
+source's blocks are shuffled by a seed (what is left over, less than a block, comes last); shard after shard takes its
+quota from that order, which begins anew when all blocks have been taken.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from belvane.llm._common import materialise, n_words, running, with_row_id
 
 #: Runs of a source that are summed apart and then put one after the other: no task gathers a source.
 RUNS = 1024
+#: Strides of the shuffle: primes, fixed values. One that doesn't divide the number of blocks visits each once.
+STRIDES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
 
 
 def targets(sizes: DataFrame, *, cap: float = 3.0) -> DataFrame:
@@ -68,8 +70,12 @@ def quotas(wanted: DataFrame, blocks: int, shards: int) -> DataFrame:
     return held.withColumn("quota", F.col("held") - before).select("source", "shard", "quota")
 
 
-def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0))
+def shuffle(source: Column, blocks: Column, seed: int) -> tuple[Column, Column]:
+    """``stride`` and ``shift`` of a source's order: block i is at place (i * stride + shift) mod blocks. The first of the
+    strides, from a seeded one on, that doesn't divide the number of blocks; below 2 ** 43 blocks nothing overflows."""
+    drawn = F.xxhash64(F.coalesce(source, F.lit("")), F.lit(seed + 1))
+    turned = [F.get(F.lit(list(STRIDES)).cast("array<bigint>"), F.pmod(drawn + k, F.lit(len(STRIDES))).cast("int")) for k in range(len(STRIDES))]
+    return F.coalesce(*[F.when(blocks % x != 0, x) for x in turned]), F.pmod(F.shiftright(drawn, 8), blocks)
 
 
 def _taken(docs: DataFrame, keys: list[str], seed: int, block: int, shards: int, cap: float) -> DataFrame:
@@ -78,34 +84,53 @@ def _taken(docs: DataFrame, keys: list[str], seed: int, block: int, shards: int,
     runs = materialise(slim.groupBy("source", "__run").agg(F.sum("size").alias("__size")))
     wanted = materialise(targets(runs.groupBy("source").agg(F.sum("__size").alias("source_size")), cap=cap))
     total = wanted.agg(F.sum("source_size")).first()[0] or 0
-    seats = quotas(wanted, max(1, round(total / block)), shards).groupBy("source").agg(F.sum("quota").alias("quota"))
-    plan = wanted.alias("w").join(seats.alias("s"), F.col("w.source").eqNullSafe(F.col("s.source"))).select(F.col("w.source").alias("__source"), "source_size", "target", F.least(F.col("quota") * block, (F.col("source_size") * cap).cast("long")).alias("__words"))
-    start = F.pmod(F.xxhash64(F.coalesce("__source", F.lit("")), F.lit(seed + 1)), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))) * block
-    plan = plan.withColumns({"__start": start, "__passes": F.when(F.col("source_size") > 0, F.floor(F.col("__words") / F.col("source_size"))).otherwise(0), "__rest": F.when(F.col("source_size") > 0, F.col("__words") % F.col("source_size")).otherwise(0)})
+    # the seats of a source after each shard: ``shards`` numbers
+    dealt = quotas(wanted, max(1, round(total / block)), shards).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("q"))
+    seats = dealt.select("source", F.transform("q", lambda x: F.aggregate(F.filter("q", lambda y: y["shard"] <= x["shard"]), F.lit(0).cast("long"), lambda n, y: n + y["quota"])).alias("held"))
+    n, blocks = F.greatest(F.col("source_size"), F.lit(1)), F.greatest(F.floor(F.col("source_size") / block), F.lit(1)).cast("long")
+    stride, shift = shuffle(F.col("w.source"), blocks, seed)
+    words = lambda held: F.least(held * block, F.floor(F.col("source_size") * cap).cast("long"))
+    passes = F.transform("held", lambda held: F.struct(F.floor(words(held) / n).cast("long").alias("whole"), (words(held) % n).cast("long").alias("rest")))
+    plan = wanted.alias("w").join(seats.alias("s"), F.col("w.source").eqNullSafe(F.col("s.source"))).select(F.col("w.source").alias("__source"), "source_size", "target", passes.alias("__held"), blocks.alias("__blocks"), stride.alias("__stride"), shift.alias("__shift"))
     up_to = Window.partitionBy("source").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     # one row per source and run: RUNS rows of a source at most
     offsets = runs.withColumn("__before", F.coalesce(F.sum("__size").over(up_to), F.lit(0))).alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("__source"))).drop("source", "__size").withColumnRenamed("__run", "__r")
     inside = Window.partitionBy("source", "__run").orderBy("__key", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = slim.withColumn("__own", F.sum("size").over(inside) - F.col("size"))
     joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__run") == F.col("__r")))
-    a = F.col("__before") + F.col("__own")
-    b, c, d, n = a + F.col("size"), F.col("__start"), F.col("__start") + F.col("__rest"), F.col("source_size")
-    return joined.withColumn("taken", (F.col("__passes") * F.col("size") + overlap(a, b, c, d) + overlap(a, b, c - n, d - n)).cast("long"))
+    joined = joined.withColumn("__a", F.col("__before") + F.col("__own")).withColumn("__b", F.col("__a") + F.col("size"))
+    first, last = F.floor(F.col("__a") / block), F.floor((F.col("__b") - 1) / block)
+
+    def step(sums: Column, i: Column) -> Column:
+        inside = F.greatest(F.col("__a") - i * block, F.lit(0))
+        here = F.least(F.col("__b") - i * block, F.lit(block)) - inside
+        shuffled = (i * F.col("__stride") + F.col("__shift")) % F.col("__blocks")
+        at = F.when(i < F.col("__blocks"), shuffled).otherwise(i) * block + inside
+        return F.zip_with(sums, "__held", lambda n, held: n + held["whole"] * here + F.least(F.greatest(held["rest"] - at, F.lit(0)), here))
+
+    zero = F.transform("__held", lambda _: F.lit(0).cast("long"))
+    words = F.when(F.col("size") > 0, F.aggregate(F.sequence(first, last), zero, step)).otherwise(zero)
+    by_shard = F.transform("__sums", lambda n, k: n - F.when(k > 0, F.get("__sums", k - 1)).otherwise(F.lit(0).cast("long")))
+    return joined.withColumn("__sums", words).withColumns({"taken": F.element_at("__sums", -1), "by_shard": by_shard})
 
 
 def mix(docs: DataFrame, *, seed: int = 13, block: int = 16, shards: int = 8, cap: float = 3.0) -> DataFrame:
-    """doc_id, source, size (words), source_size, target (of its source) and taken (words the mix takes) for every row.
+    """doc_id, source, size (words), source_size, target (of its source), taken (words the mix takes, repeats counted) and
+    by_shard (how many of them go to each shard, joined by commas) for every row.
 
-    A null text has no words. A null source is one source, the last. Repeated rows each count and come back; rows that
-    are equal in doc_id, source and size may swap what is taken. If no text has a word, nothing is taken. An empty table
-    gives no rows.
+    A null text has no words; a text of any length is read whole. A null source is one source, the last. Repeated rows each
+    count and come back; rows that are equal in doc_id, source and size may swap what is taken. Sources whose quotients tie
+    are ordered by code point. If no text has a word, nothing is taken. Other columns are not read. An empty table gives no
+    rows.
     """
-    return _taken(docs, ["doc_id"], seed, block, shards, cap).select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    found = _taken(docs, ["doc_id"], seed, block, shards, cap)
+    return found.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", F.array_join(F.col("by_shard").cast("array<string>"), ",").alias("by_shard"))
 
 
 def repeat(docs: DataFrame, *, seed: int = 13, block: int = 16, shards: int = 8, cap: float = 3.0) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, with all their columns: a row comes back as often as taken / size,
-    rounded half up. A text without words isn't taken."""
+    rounded half up. A text without words, or a null one, isn't taken; repeated rows each count; columns whatever their names
+    stay as they are. An empty table gives no rows."""
     named = with_row_id(docs)
     found = _taken(named, ["__file", "__row"], seed, block, shards, cap)
     times = found.select("__file", "__row", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("__times")).where("__times > 0")

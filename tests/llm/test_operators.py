@@ -343,6 +343,45 @@ def test_mixing(table, request):
     assert sorted(map(key, found)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_mixing_by_brute_force(table, request, spark):
+    """What each document gives to each shard, word by word from the shuffled blocks of its source."""
+    df = request.getfixturevalue(table).where("doc_id is not null").dropDuplicates(["doc_id"])
+    keys = {r[0]: r[1] for r in df.selectExpr("doc_id", "xxhash64(doc_id, 13)").collect()}
+    rows = [(r["source"], keys[r["doc_id"]], r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in df.collect()]
+    sizes = defaultdict(int)
+    for s, _, _, n in rows:
+        sizes[s] += n
+    want = slow_targets(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    total, held = max(1, round(sum(sizes.values()) / 16)), {s: [] for s in order}
+    seats = dict.fromkeys(order, 0)
+    for shard in range(8):
+        for _ in range(total * (shard + 1) // 8 - total * shard // 8):
+            best = max(order, key=lambda s: (want[s] / (2 * seats[s] + 1), -order.index(s)))
+            seats[best] += 1
+        for s in order:
+            held[s].append(min(seats[s] * 16, 3 * sizes[s]))
+    expected = {}
+    for s in order:
+        drawn = spark.sql(f"select xxhash64('{s or ''}', 14)").first()[0]
+        n = max(sizes[s] // 16, 1)
+        stride = next((x for k in range(8) for x in [mixing.STRIDES[(drawn + k) % 8]] if n % x), 0)
+        shift, at = (drawn >> 8) % n, 0
+        for _, _, doc, size in sorted((r for r in rows if r[0] == s), key=lambda r: (r[1] % 1024, r[1], r[2])):
+            got = [0] * 8
+            for w in range(at, at + size):
+                i = w // 16
+                place = ((i * stride + shift) % n if i < n else i) * 16 + w % 16
+                times = [max(0, -(-(h - place) // sizes[s])) for h in held[s]]
+                for k in range(8):
+                    got[k] += times[k] - (times[k - 1] if k else 0)
+            expected[doc], at = got, at + size
+    for r in rows_of(mixing.mix(df)):
+        assert [int(x) for x in r["by_shard"].split(",")] == expected[r["doc_id"]], r["doc_id"]
+        assert r["taken"] == sum(expected[r["doc_id"]])
+
+
 def test_quotas_are_sainte_lague(spark):
     r = np.random.default_rng(4)
     for n, blocks in ((1, 5), (7, 3), (7, 50), (40, 1000)):
