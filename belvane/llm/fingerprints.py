@@ -3,22 +3,31 @@
 A text's paragraphs (its lines, long ones cut every ``PARAGRAPH`` words) are hashed, and each hash is put into one cell
 of each of three rows of cells; a cell has a count, the exclusive or of its hashes, and that of their checks. Subtracted
 from each other, the sketches of two versions leave what differs; peeling cells that hold a single hash recovers the
-paragraphs that only one has. If peeling gets stuck, sketches are compared whose rows have as many cells as the two
-versions have paragraphs. The small sketch, written in hexadecimal, is the fingerprint.
+digests of the paragraphs that only one has. The small sketch, written in hexadecimal, is the fingerprint. Where two of
+them differ in more than they can tell, peeling gets stuck, and for that pair alone larger sketches are made and peeled,
+until all is recovered. A pair's cells stay in its row, so nothing is shuffled for it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belvane.llm._common import bound, scan
+
 PARAGRAPH = 12
-#: Cells in a row of the fingerprint, and in a row of the largest sketch: powers of two.
-SMALL, LARGE = 4, 20
-#: Turns of peeling; the three rows take turns.
-TURNS = 9
+#: Cells in a row of the fingerprint: a power of two.
+SMALL = 4
+#: Turns of peeling, after which a larger sketch is made; the three rows take turns.
+TURNS = 96
+#: Larger sketches that are made before two sets of hashes are compared one by one.
+RETRIES = 2
+
+_CELLS = "array<struct<code:bigint,n:bigint,x:bigint,c:bigint>>"
+_KEYS = "array<struct<x:bigint,n:bigint>>"
+_ROW = 1 << 40
 
 
 def digests(text: Column) -> Column:
@@ -30,110 +39,117 @@ def digests(text: Column) -> Column:
 
 def numbered(keys: Column) -> Column:
     """Hashes, the second of two equal ones changed, the third again, and so on."""
-    sorted_ = F.array_sort(keys)
+    kind = "struct<k:bigint,n:int>"
 
-    def step(acc: Column, k: Column) -> Column:
-        times = F.when(acc["last"] == k, acc["n"] + 1).otherwise(F.lit(0))
-        return F.struct(k.alias("last"), times.alias("n"), F.concat(acc["out"], F.array(F.when(times > 0, F.xxhash64(k, times)).otherwise(k))).alias("out"))
+    def over(all_: Column) -> Column:
+        start = F.struct(F.lit(None).cast("long").alias("k"), F.lit(0).alias("n"))
+        told = scan(F.sort_array(all_), start, lambda last, k: F.struct(k.alias("k"), F.when(last["k"] == k, last["n"] + 1).otherwise(F.lit(0)).alias("n")), kind)
+        return F.transform(told, lambda x: F.when(x["n"] > 0, F.xxhash64(x["k"], x["n"])).otherwise(x["k"]))
 
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("out"))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), keys).otherwise(F.aggregate(sorted_, zero, step, lambda acc: acc["out"]))
+    return bound(keys, lambda all_: F.when(F.size(F.array_distinct(all_)) == F.size(all_), all_).otherwise(over(all_)))
 
 
 def check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND((1 << 32) - 1)
 
 
-def place(key: Column, row: int, bits: int | Column) -> Column:
-    """The cell of a hash in a row, from bits that no other row uses."""
-    mask = F.lit((1 << bits) - 1) if isinstance(bits, int) else F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    return F.shiftrightunsigned(key, 21 * row).bitwiseAND(mask)
+def place(key: Column, row: int, bits: Column, tries: int) -> Column:
+    """The cell of a hash in a row. The first two sketches take it from bits of the hash that no other row uses, later ones
+    from a hash of their own."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    return (F.shiftrightunsigned(key, 21 * row) if tries < 2 else F.xxhash64(key, F.lit(tries), F.lit(row))).bitwiseAND(mask)
 
 
-def _sum(keys: Column) -> Column:
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
-    return F.aggregate(keys, zero, lambda a, k: F.struct((a["n"] + 1).alias("n"), a["x"].bitwiseXOR(k).alias("x"), a["c"].bitwiseXOR(check(k)).alias("c")))
+def _entries(keys: Column, n: Column, bits: Column, tries: int) -> Column:
+    """A cell for each hash and row."""
+    cell = lambda x, c, r: F.struct((place(x, r, bits, tries) + r * _ROW).alias("code"), n.alias("n"), x.alias("x"), c.alias("c"))
+    return F.flatten(F.transform(keys, lambda x: bound(check(x), lambda c: F.array(*[cell(x, c, r) for r in range(3)])))).cast(_CELLS)
 
 
-def row_of_cells(keys: Column, row: int, bits: int) -> Column:
-    """One row of a sketch. Hashes are first dealt to blocks of cells, so that none is held against every cell."""
-    low = bits // 2
-    blocks, inner = (F.sequence(F.lit(0).cast("long"), F.lit((1 << b) - 1).cast("long")) for b in (bits - low, low))
+def _merge(a: Column, b: Column) -> Column:
+    return F.struct(a["code"].alias("code"), (a["n"] + b["n"]).alias("n"), a["x"].bitwiseXOR(b["x"]).alias("x"), a["c"].bitwiseXOR(b["c"]).alias("c"))
 
-    def block(b: Column) -> Column:
-        own = F.filter(keys, lambda k: F.shiftrightunsigned(place(k, row, bits), low) == b)
-        # a list of one, so that the block's hashes are found once
-        return F.flatten(F.transform(F.array(own), lambda o: F.transform(inner, lambda c: _sum(F.filter(o, lambda k: place(k, row, bits).bitwiseAND((1 << low) - 1) == c)))))
 
-    return F.flatten(F.transform(blocks, block))
+def _gather(cells: Column) -> Column:
+    """Cells of one code added up, in order; empty ones go. Sorted, those of a code lie side by side, and each run is
+    summed by itself."""
 
+    def over(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["code"] != F.get(s, i - 1)["code"]))
 
-def said(keys: Column) -> Column:
-    """The small sketch of some hashes in hexadecimal: each cell's count (4 digits), hashes (16) and checks (8)."""
-    cells = F.concat(*[row_of_cells(keys, r, SMALL) for r in range(3)])
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["c"]), 8, "0"))), ""))
+        def runs(h: Column) -> Column:
+            def run(i: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(h, j + 1), F.size(s)) - i
+                return F.when(n == 1, F.get(s, i)).otherwise(F.aggregate(F.slice(s, i + 2, n - 1), F.get(s, i), _merge))
 
+            return F.transform(h, run)
 
-# Cells as rows: ``code`` has the pair of versions, the bits of its sketch, the row (3: what was recovered) and the
-# place; n, x and c are the cell. Rows of a document never leave its partition, so peeling needs no shuffle.
-_ROW, _BITS, _PAIR = 1 << 21, 1 << 23, 1 << 28
+        return bound(heads, runs)
 
+    made = bound(F.sort_array(cells), lambda s: F.when(F.size(s) > 0, over(s)).otherwise(s))
+    return F.filter(made, lambda c: (c["n"] != 0) | (c["x"] != 0)).cast(_CELLS)
 
-def _code(pair: Column, bits: Column, row: int, at: Column | int) -> Column:
-    return pair * _PAIR + bits * _BITS + row * _ROW + at
 
+def sketch(keys: Column) -> Column:
+    """The small sketch of some hashes: its cells that aren't empty, in order."""
+    return _gather(_entries(keys, F.lit(1).cast("long"), F.lit(SMALL), 0))
 
-def _entries(pair: int, bits: Column, keys: Column, sign: int) -> Column:
-    """An entry for each hash and row of a sketch."""
-    tag = F.lit(pair).cast("long")
-    return F.flatten(
-        F.transform(
-            keys,
-            lambda k: F.array(*[F.struct(_code(tag, bits, r, place(k, r, bits)).alias("code"), F.lit(sign).cast("long").alias("n"), k.alias("x"), check(k).alias("c")) for r in range(3)]),
-        )
-    )
 
+def said(cells: Column) -> Column:
+    """A small sketch in hexadecimal: each cell's count (4 digits, beyond them modulo 65536), hashes (16) and checks (8)."""
+    text = lambda c: F.concat(F.lpad(F.hex(c["n"].bitwiseAND(65535)), 4, "0"), F.lpad(F.hex(c["x"]), 16, "0"), F.lpad(F.hex(c["c"]), 8, "0"))
+    codes = F.lit([r * _ROW + k for r in range(3) for k in range(1 << SMALL)]).cast("array<bigint>")
+    told = F.map_from_arrays(F.transform(cells, lambda c: c["code"]), F.transform(cells, text))
+    return F.lower(bound(told, lambda m: F.array_join(F.transform(codes, lambda k: F.coalesce(F.element_at(m, k), F.lit("0" * 28))), "")))
 
-def _gather(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells from entries; empty ones go."""
-    return rows.groupBy(*keys, "code").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c")).where("n <> 0 or x <> 0")
 
+def subtract(a: Column, b: Column) -> Column:
+    return _gather(F.concat(a, F.transform(b, lambda c: F.struct(c["code"].alias("code"), (-c["n"]).alias("n"), c["x"].alias("x"), c["c"].alias("c"))).cast(_CELLS)))
 
-def _turn(cells: DataFrame, keys: list[str], row: int) -> DataFrame:
-    """Takes the hashes that are alone in a cell of ``row`` out of the other rows, and counts them. A hash has one cell in
-    a row, so none is taken twice."""
-    code, x = F.col("code"), F.col("x")
-    bits = F.shiftright(code, 23).bitwiseAND(31).cast("int")
-    alone = (F.shiftright(code, 21).bitwiseAND(3) == row) & (F.abs(F.col("n")) == 1) & (F.col("c") == check(x))
-    top = F.shiftright(code, 23) * _BITS
-    out = [F.struct((top + r * _ROW + place(x, r, bits)).alias("code"), (-F.col("n")).alias("n"), x.alias("x"), F.col("c").alias("c")) for r in range(3) if r != row]
-    zero = F.lit(0).cast("long")
-    counted = F.struct((top + 3 * _ROW).alias("code"), F.lit(1).cast("long").alias("n"), zero.alias("x"), zero.alias("c"))
-    same = F.struct("code", "n", "x", "c")
-    return _gather(cells.select(*keys, F.inline(F.when(alone, F.array(*out, counted)).otherwise(F.array(same)))), keys)
 
+def peel(cells: Column, bits: Column, tries: int) -> Column:
+    """found (x, n: 1 if the first version has it, -1 if the second) and left, the cells that no turn could empty.
 
-def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """``keys`` and, for each pair of columns of hashes, ``d0``, ``d1``, ...: how many hashes only one of them has, as
-    peeling recovers them, from the small sketches or, where those get stuck, from the large ones.
+    A turn takes the hashes that are alone in a cell of one row out of all three. A hash has one cell in a row, so none is
+    taken twice. Three turns without any, and nothing more comes."""
+    zero = F.struct(cells.alias("left"), F.array().cast(_KEYS).alias("found"), F.lit(0).alias("idle"))
 
-    Rows without any difference are missing. ``keys`` name a row; ``rows`` are partitioned by the first of them.
-    """
-    made = []
-    for k, (a, b) in enumerate(pairs):
-        total = F.size(a) + F.size(b)
-        wide = F.least(F.greatest(F.ceil(F.log2(total.cast("double"))), F.lit(SMALL + 2)), F.lit(LARGE)).cast("int")
-        for step, bits in enumerate((F.lit(SMALL), wide)):
-            made += [_entries(2 * k + step, bits, F.col(a), 1), _entries(2 * k + step, bits, F.col(b), -1)]
-    cells = _gather(rows.select(*keys, F.inline(F.concat(*made))), keys)
-    cells = reduce(lambda c, t: _turn(c, keys, t % 3), range(TURNS), cells)
-    pair, got = F.shiftright("code", 28), F.shiftright("code", 21).bitwiseAND(3) == 3
-    sums = []
-    for k in range(2 * len(pairs)):
-        sums += [F.sum(F.when((pair == k) & got, F.col("n")).otherwise(0)).alias(f"found{k}"), F.sum(F.when((pair == k) & ~got, 1).otherwise(0)).alias(f"left{k}")]
-    found = cells.groupBy(*keys).agg(*sums)
-    # a hash that peeling could not take out of the large sketch is in three cells at most
-    return found.select(*keys, *[F.when(F.col(f"left{2 * k}") == 0, F.col(f"found{2 * k}")).otherwise(F.col(f"found{2 * k + 1}") + F.ceil(F.col(f"left{2 * k + 1}") / 3)).alias(f"d{k}") for k in range(len(pairs))])
+    def turn(acc: Column, t: Column) -> Column:
+        alone = F.filter(acc["left"], lambda c: (F.abs(c["n"]) == 1) & (F.shiftright(c["code"], 40) == t % 3) & (c["c"] == check(c["x"])))
+
+        def taken(p: Column) -> Column:
+            out = F.flatten(F.transform(p, lambda c: F.array(*[F.struct((place(c["x"], r, bits, tries) + r * _ROW).alias("code"), (-c["n"]).alias("n"), c["x"].alias("x"), c["c"].alias("c")) for r in range(3)])))
+            more = F.transform(p, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))).cast(_KEYS)
+            return F.when(F.size(p) == 0, F.struct(acc["left"].alias("left"), acc["found"].alias("found"), (acc["idle"] + 1).alias("idle"))).otherwise(
+                F.struct(_gather(F.concat(acc["left"], out.cast(_CELLS))).alias("left"), F.concat(acc["found"], more).alias("found"), F.lit(0).alias("idle")))
+
+        return F.when((F.size(acc["left"]) == 0) | (acc["idle"] > 2), acc).otherwise(bound(alone, taken))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TURNS - 1)), zero, turn, lambda acc: F.struct(acc["found"].alias("found"), acc["left"].alias("left")))
+
+
+def differing(rows: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """``rows`` with a column for each of ``pairs`` (two columns of hashes, and those of their small sketches): found (the
+    hashes x that only one has, with n 1 or -1) and tries (how many sketches it took).
+
+    Where peeling the small sketches gets stuck, larger ones are made of the same hashes, the first with four cells of each
+    row for each hash, the next with four times as many and other places; as empty cells aren't stored, more of them cost
+    nothing and save turns. Should none do, the two are compared hash by hash."""
+    plus, minus = F.lit(1).cast("long"), F.lit(-1).cast("long")
+    only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("x"), n.alias("n")))
+    for name, (a, b, cells_a, cells_b) in pairs.items():
+        rows = rows.withColumn(f"__{name}0", peel(subtract(F.col(cells_a), F.col(cells_b)), F.lit(SMALL), 0))
+        rows = rows.withColumn(f"__{name}_bits", F.greatest(F.ceil(F.log2((F.size(a) + F.size(b)).cast("double"))).cast("int") + 2, F.lit(SMALL + 2)))
+        for tries in range(1, RETRIES + 1):
+            bits = F.col(f"__{name}_bits") + 2 * (tries - 1)
+            stuck = F.size(F.col(f"__{name}{tries - 1}.left")) > 0
+            # a step for the cells and one for peeling, so that each is made once
+            rows = rows.withColumn(f"__{name}_cells", F.when(stuck, _gather(F.concat(_entries(F.col(a), plus, bits, tries), _entries(F.col(b), minus, bits, tries)))))
+            rows = rows.withColumn(f"__{name}{tries}", F.when(F.col(f"__{name}_cells").isNotNull(), peel(F.col(f"__{name}_cells"), bits, tries)))
+        done = [F.when(F.size(F.col(f"__{name}{t}.left")) == 0, F.struct(F.col(f"__{name}{t}.found").alias("found"), F.lit(t + 1).alias("tries"))) for t in range(RETRIES + 1)]
+        exact = F.struct(F.concat(only(F.col(a), F.col(b), plus), only(F.col(b), F.col(a), minus)).cast(_KEYS).alias("found"), F.lit(RETRIES + 2).alias("tries"))
+        rows = rows.withColumn(name, F.coalesce(*done, exact)).drop(f"__{name}_bits", f"__{name}_cells", *[f"__{name}{t}" for t in range(RETRIES + 1)])
+    return rows
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -151,12 +167,12 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     return coarse + F.size(F.filter(F.slice(F.lit(bounds).cast("array<bigint>"), coarse + 1, F.lit(32)), below))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
-    """doc_id and ``columns`` of every row, as ``next_`` those of the next in falling order of doc_id (after the last:
-    the first), and ``part`` and ``nth``, which name the row. Ties in doc_id are ordered by text; a null id comes last.
+def with_next(docs: DataFrame, columns: list[str], ranges: int, derived: list[tuple[str, Callable[[], Column]]]) -> DataFrame:
+    """doc_id, ``columns`` and what is ``derived`` from them (in turn) of every row, and as ``next_`` those of the next in
+    falling order of doc_id (after the last: the first). Ties in doc_id are ordered by text; a null id comes last.
 
     Ids are dealt to ``ranges``, whose first rows also go, as guests, to the range before; then each range finds its rows'
-    next alone. Only the ranges' bounds and first ids come to the driver.
+    next alone. Only the ranges' bounds and first ids come to the driver. Rows of one id are in one range.
     """
     least = -(1 << 63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(least))
@@ -173,33 +189,52 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
     first = F.col("__key") == of(heads, F.col("__own"))
     dealt = rows.select("doc_id", *columns, F.inline(F.when(first, F.array(host, guest)).otherwise(F.array(host))))
     by = Window.partitionBy("part").orderBy("__guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    # a join above would ask for this on one of its sides alone, and the texts would be shuffled for each
     dealt = dealt.where(F.col("part").isNotNull()).repartition(ranges, "part")
-    return dealt.select("doc_id", *columns, "part", F.row_number().over(by).alias("nth"), *[F.lead(c).over(by).alias(f"next_{c}") for c in columns], "__guest").where("not __guest").drop("__guest")
+    # texts alone are shuffled; what is derived from them is made where they arrive
+    for name, made in derived:
+        dealt = dealt.withColumn(name, made())
+    all_ = [*columns, *[name for name, _ in derived]]
+    return dealt.select("doc_id", *all_, *[F.lead(c).over(by).alias(f"next_{c}") for c in all_], "__guest").where("not __guest").drop("__guest")
 
 
 def compare(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row, and
+    differ_edited, differ_next (how many paragraphs were recovered that only one of the two has) and tries_edited,
+    tries_next (how many sketches that took: 1 where the printed ones do).
 
     The edited text has its last third replaced by as much of the beginning of the next document, in falling order of
-    doc_id. A null text is taken as empty. Texts without a paragraph are alike (1.0). Repeated rows each come back and
-    are each other's next. An empty table gives no rows. ``ranges``: into how many ranges of ids the work is cut, 8 for
-    each shuffle partition if not given, as a document has some hundred cells.
+    doc_id. A null text is taken as empty; a text of any length is read whole. Texts without a paragraph are alike (1.0).
+    Repeated rows each come back and are each other's next; other columns are not read. An empty table gives no rows.
+    ``ranges``: into how many ranges of ids the work is cut, 8 for each shuffle partition if not given.
     """
     ranges = ranges or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("own", digests(F.col("text")))
-    rows = with_next(texts, ["text", "own"], ranges)
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    own = [("raw", lambda: digests(F.col("text"))), ("own", lambda: numbered(F.col("raw"))), ("cells", lambda: sketch(F.col("own")))]
+    rows = with_next(texts, ["text"], ranges, own).withColumnRenamed("next_own", "next")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - third), F.substr(F.col("next_text"), F.lit(1), third))
-    rows = rows.withColumn("__edited", edited).withColumn("edited", digests(F.col("__edited")))
-    rows = rows.select("part", "nth", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("__edited", 256).alias("edited_sha256"), *[numbered(F.col(c)).alias(k) for c, k in (("own", "own"), ("edited", "edited"), ("next_own", "next"))])
-    sizes = [F.size(c).alias(f"n_{c}") for c in ("own", "edited", "next")]
-    # both sides read the same shuffled texts, which Spark shuffles once
-    found = differences(rows, ["part", "nth"], [("own", "edited"), ("own", "next")])
-    told = rows.select("part", "nth", "doc_id", "n_chars", "edited_sha256", said(F.col("own")).alias("fingerprint"), said(F.col("edited")).alias("edited_fingerprint"), *sizes)
-    return told.join(found, ["part", "nth"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("n_own"), F.col("n_edited"), F.col("d0")).alias("near_edited"),
-        likeness(F.col("n_own"), F.col("n_next"), F.col("d1")).alias("near_next"),
+    # one step after the other, so that each is made once
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("__text"), "own", "next", "cells", "next_cells")
+    rows = rows.withColumn("__raw", digests(F.col("__text"))).withColumn("edited", numbered(F.col("__raw"))).withColumn("edited_cells", sketch(F.col("edited")))
+    rows = differing(rows, {f"to_{name}": ("own", name, "cells", f"{name}_cells") for name in ("edited", "next")})
+    d = {name: F.size(f"to_{name}.found") for name in ("edited", "next")}
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("__text", 256).alias("edited_sha256"), said(F.col("cells")).alias("fingerprint"), said(F.col("edited_cells")).alias("edited_fingerprint"),
+        *[likeness(F.size("own"), F.size(name), d[name]).alias(f"near_{name}") for name in d],
+        *[d[name].cast("long").alias(f"differ_{name}") for name in d],
+        *[F.col(f"to_{name}.tries").cast("long").alias(f"tries_{name}") for name in d],
     )
+
+
+def recovered(versions: DataFrame) -> DataFrame:
+    """id, only_old, only_new (the digests of the paragraphs that only one of two versions has, as peeling recovers them)
+    and tries, for rows (id, old, new). A paragraph that a version has twice counts twice: the second digest is another.
+
+    Null texts are empty; equal texts leave nothing; repeated rows each come back; an empty table gives no rows.
+    """
+    rows = versions.select("id", *[numbered(digests(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in ("old", "new")])
+    rows = rows.withColumns({"__a": sketch(F.col("old")), "__b": sketch(F.col("new"))})
+    rows = differing(rows, {"__d": ("old", "new", "__a", "__b")})
+    only = lambda n: F.transform(F.filter("__d.found", lambda k: k["n"] == n), lambda k: k["x"])
+    return rows.select("id", only(1).alias("only_old"), only(-1).alias("only_new"), F.col("__d.tries").alias("tries"))

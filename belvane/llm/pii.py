@@ -12,13 +12,12 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from belvane.llm._common import materialise
+from belvane.llm._common import bound, materialise, scan
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 # The base patterns. Each starts where a leftmost match can start only, and takes no step back, so that long runs of
@@ -74,38 +73,6 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(good, F.lit("1")).when(bad, F.lit("0")).otherwise(F.lit("-"))
 
 
-#: Steps that a fold makes before its results are put behind the earlier ones.
-FOLD = 256
-
-
-def bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x evaluated once however often f names it: inside a lambda function, Spark shares no expressions."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
-def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
-    """The states (of SQL type ``kind``) after each item, from ``start``, by step(state, item).
-
-    A fold that appends to one array copies it at every step; here ``FOLD`` states are gathered at a time, and the runs
-    are joined at the end, so that the work grows with the number of items."""
-    none, runs = f"array<{kind}>", f"array<array<{kind}>>"
-
-    def over(all_: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / FOLD).cast("int")), lambda j: F.slice(all_, j * FOLD + 1, FOLD))
-
-        def run(acc: Column, part: Column) -> Column:
-            zero = F.struct(acc["last"].alias("last"), F.array().cast(none).alias("out"))
-
-            def one(a: Column, x: Column) -> Column:
-                return bound(step(a["last"], x).cast(kind), lambda y: F.struct(y.alias("last"), F.concat(a["out"], F.array(y)).alias("out")))
-
-            return bound(F.aggregate(part, zero, one), lambda r: F.struct(r["last"].alias("last"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
-
-        return F.flatten(F.aggregate(cut, F.struct(start.cast(kind).alias("last"), F.array().cast(runs).alias("out")), run, lambda acc: acc["out"]))
-
-    return bound(items, lambda all_: F.when(F.size(all_) > 0, over(all_)).otherwise(F.array().cast(none)))
-
-
 def _span(kind: int, base: bool, hit: Column, left: Column, right: Column, end: Column) -> Column:
     """A proposed span with its votes and features, or null; ``left`` and ``right`` are the texts around the hit."""
     name = KINDS[kind]
@@ -254,7 +221,7 @@ def accept(cands: Column, weights: dict[str, float], least: float) -> Column:
     table = F.from_json(F.lit(json.dumps(weights)), "map<string,double>")
     limit = math.log(least / (1 - least)) - weights.get("", 0.0)
     taken = F.filter(cands, lambda c: c["base"] | (F.aggregate(c["feats"], F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0))) > limit))
-    placed = F.array_sort(F.transform(taken, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["base"].alias("base"))))
+    placed = F.sort_array(F.transform(taken, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["base"].alias("base"))))
     once = bound(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
     mixed = lambda p: F.exists(p, lambda x: ~x["base"]) & F.exists(p, lambda x: x["base"])
     return bound(once, lambda p: F.when(mixed(p), _apart(p)).otherwise(p))
@@ -262,7 +229,7 @@ def accept(cands: Column, weights: dict[str, float], least: float) -> Column:
 
 def _in_order(spans: Column) -> Column:
     """k, s, e by kind, then place."""
-    return F.array_sort(F.transform(spans, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"))))
+    return F.sort_array(F.transform(spans, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"))))
 
 
 def _said(spans: Column) -> Column:

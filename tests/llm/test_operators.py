@@ -431,15 +431,52 @@ def test_fingerprints(table, request):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else least, r["n_chars"]) for r in found) == sorted((d if d is not None else least, len(t)) for d, t in rows)
 
 
-def test_peeling_recovers_differences(spark):
+def paragraphs(text):
+    """Paragraphs of a text with how many equal ones came before."""
+    seen, out = Counter(), set()
+    for x in (x for line in text.split("\n") for x in re.findall(r"(?:[^ ]*+ ?+){1,12}", line) if x):
+        out.add((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
+def test_likeness_by_brute_force(docs):
+    """near_edited and near_next from sets of paragraphs, for every document of the table."""
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    found = {r["doc_id"]: r for r in rows_of(fingerprints.compare(docs))}
+    tries = Counter()
+    for k, (d, t) in enumerate(rows):
+        n, nxt = len(t) // 3, rows[(k + 1) % len(rows)][1]
+        own = paragraphs(t)
+        for name, other in (("edited", t[: len(t) - n] + nxt[:n]), ("next", nxt)):
+            theirs = paragraphs(other)
+            differ = len(own ^ theirs)
+            both = len(own) + len(theirs)
+            assert found[d][f"differ_{name}"] == differ
+            assert found[d][f"near_{name}"] == pytest.approx((both - differ) / (both + differ) if both else 1.0)
+            tries[found[d][f"tries_{name}"]] += 1
+    assert tries[1] and tries[2] and max(tries) <= fingerprints.RETRIES + 1
+
+
+def test_peeling_recovers_digests(spark):
+    """Which paragraphs only one version has, from none to thousands; repeated ones count."""
     r = np.random.default_rng(6)
+    line = lambda: " ".join(map(str, r.integers(0, 10**9, 5)))
     rows = []
     for k, d in enumerate((0, 1, 5, 12, 30, 200, 1500)):
-        both = [int(x) for x in r.integers(-(1 << 62), 1 << 62, 50)]
-        rows.append((1, k, both + [int(x) for x in r.integers(-(1 << 62), 1 << 62, d // 2)], both + [int(x) for x in r.integers(-(1 << 62), 1 << 62, d - d // 2)], d))
-    df = spark.createDataFrame(rows, "part int, nth int, a array<long>, b array<long>, d int").repartition(2, "part")
-    found = {x["nth"]: x["d0"] for x in fingerprints.differences(df, ["part", "nth"], [("a", "b")]).collect()}
-    assert {k: found.get(k, 0) for k in range(7)} == {k: d for k, d in enumerate((0, 1, 5, 12, 30, 200, 1500))}
+        both, a, b = ([line() for _ in range(n)] for n in (50, d // 2, d - d // 2))
+        rows.append((k, "\n".join(both + a), "\n".join(b + both)))
+    rows += [(100, "x\nx\nx", "x\nx"), (101, None, None), (102, "", "one"), (102, "", "one")]
+    df = spark.createDataFrame(rows, "id long, old string, new string")
+    hashes = lambda c: {x["id"]: set(x["h"]) for x in df.where("id < 100").select("id", fingerprints.digests(fingerprints.F.col(c)).alias("h")).collect()}
+    old, new = hashes("old"), hashes("new")
+    found = [x.asDict() for x in fingerprints.recovered(df).collect()]
+    for x in found:
+        if x["id"] < 100:
+            assert set(x["only_old"]) == old[x["id"]] - new[x["id"]] and set(x["only_new"]) == new[x["id"]] - old[x["id"]]
+    sizes = sorted((x["id"], len(x["only_old"]), len(x["only_new"])) for x in found if x["id"] >= 100)
+    assert sizes == [(100, 1, 0), (101, 0, 0), (102, 0, 1), (102, 0, 1)]
+    assert {x["id"]: x["tries"] for x in found}[1] == 1 and {x["id"]: x["tries"] for x in found}[6] > 1
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
