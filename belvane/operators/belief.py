@@ -34,11 +34,18 @@ def shift_parameter(env: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def scale_parameter(env: DataFrame, changes: DataFrame) -> DataFrame:
-    """Means and standard deviations times ``factor``, which must not be 0."""
+    """Means and standard deviations times ``factor``. A factor of 0 or null is refused: its variable stays as it is, and
+    :func:`refused_factors` tells of it."""
     f = F.coalesce(F.when(F.col("factor") != 0, F.col("factor")), F.lit(1.0))
     return env.join(changes, ["model", "var_id"], "left").select("model", "var_id", (F.col("mu") * f).alias("mu"), (F.col("sigma") * F.abs(f)).alias("sigma"))
 
 
+def refused_factors(changes: DataFrame) -> DataFrame:
+    """``changes`` (model, var_id, factor) that :func:`scale_parameter` refuses, with the reason."""
+    bad = F.col("factor").isNull() | (F.col("factor") == 0) | F.isnan("factor") | (F.abs("factor") == float("inf"))
+    return changes.where(bad).withColumn("reason", F.when(F.col("factor") == 0, "FACTOR_IS_ZERO").otherwise("FACTOR_IS_NOT_FINITE"))
+
+
 def posterior(observations: DataFrame, key: str, prior_mu: float, prior_var: float) -> DataFrame:
     """``key``, n, mu, var: a scalar after any number of noisy readings (y, r: the noise variance), by sums of precisions.
 
@@ -148,3 +155,13 @@ def observation_plan(jacobian: DataFrame, sigma: DataFrame, noise: float, cost:
     left = 1 - F.col("part") / (F.sum("part").over(each) * (1 + noise * noise))
     gained = part.select("model", "out_var", "var_id", (-0.5 * F.log(left) - cost).alias("gain"))
     return gained.withColumn("place", F.row_number().over(each.orderBy(F.desc("gain"), "var_id")))
+
+
+def best_reading(rows: DataFrame, parts: dict[str, Column], names: dict[str, Column], noise: float, cost: float = 0.0) -> DataFrame:
+    """model, entity, var_id, gain: the one raw variable of each row whose reading would tell most about its output, ties by
+    var_id. ``parts`` has each raw variable's part of the output's variance, ``names`` its var_id. See
+    :func:`observation_plan`, of which this is the first place, within the row."""
+    total = sum(parts.values(), F.lit(0.0))
+    options = [F.struct((-(-0.5 * F.log(1 - p / (F.col("__total") * (1 + noise * noise))) - cost)).alias("loss"), names[r].alias("var_id")) for r, p in parts.items()]
+    best = rows.withColumn("__total", total).withColumn("__best", F.array_min(F.array(*options)))
+    return best.select("model", "entity", "__best.var_id", (-F.col("__best.loss")).alias("gain"))

@@ -79,3 +79,9 @@ def close(a: DataFrame, b: DataFrame, keys: list[str], value: str, *, atol: floa
     off = both & (F.abs(F.col("__a") - F.col("__b")) > atol + rtol * F.abs("__b"))
     found = joined.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~both, 1)).alias("unmatched"), F.count(F.when(off, 1)).alias("apart"))
     return found.withColumn("same", (F.col("unmatched") + F.col("apart")) == 0)
+
+
+def last_values(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``keys``, value, place and n: the value that was written last for each key (the greatest of equal places)."""
+    last = F.max(F.struct(F.col(order).alias("place"), F.col(value).alias("value")))
+    return rows.groupBy(*keys).agg(last.alias("__last"), F.count(F.lit(1)).alias("n")).select(*keys, "__last.value", "__last.place", "n")

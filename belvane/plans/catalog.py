@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belvane.functions import scalars
-from belvane.operators import belief, dag, geometry, graph, ledger
+from belvane.operators import belief, dag, geometry, graph, ledger, lowering, rules
 from belvane.plans import views
 from belvane.sources.tables import digest, table
 from belvane.streaming.posterior import posterior_of_stream
@@ -47,26 +47,23 @@ def prior_slots(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT entity, round(q*p, 7) AS gross, round(q*p*(1-d), 7) AS net, round({_CHARGE}, 7) AS charge FROM ({_LINES})")
 def evaluate_definitions(spark: SparkSession, d: str) -> DataFrame:
-    found = dag.evaluate(views.definitions(spark, d, nested=True), views.slots(spark, d)).select(F.substring_index("out_var", ".", 1).alias("entity"), F.lower(F.substring_index("out_var", ".", -1)).alias("k"), "mu")
-    return rounded(found.groupBy("entity").pivot("k", ["gross", "net", "charge"]).agg(F.first("mu")), 7, "gross", "net", "charge")
+    found = rules.evaluated(views.wide(spark, d), views.RULES)
+    return rounded(found.select("entity", F.col("Gross").alias("gross"), F.col("Net").alias("net"), F.col("Charge").alias("charge")), 7, "gross", "net", "charge")
 
 
 @query(f"""SELECT model, quantity, round(sum(v), 2) AS v FROM (SELECT model, 'Qty' AS quantity, p*(1-d)*(1+t) AS v FROM ({_LINES}) UNION ALL SELECT model, 'Price', q*(1-d)*(1+t) FROM ({_LINES})
   UNION ALL SELECT model, 'Disc', -q*p*(1+t) FROM ({_LINES}) UNION ALL SELECT model, 'Tax', q*p*(1-d) FROM ({_LINES}) UNION ALL SELECT model, 'Fx', {_CHARGE} FROM ({_LINES})) GROUP BY 1, 2""")
 def jacobian_by_quantity(spark: SparkSession, d: str) -> DataFrame:
-    terms = views.definitions(spark, d, nested=True)
-    j = dag.partials(terms, views.slots(spark, d)).where("out_var like '%.Charge'").groupBy("model", F.substring_index("var_id", ".", -1).alias("quantity")).agg(F.sum("v").alias("v"))
+    rows = rules.with_gradient(views.wide(spark, d), views.RULES, only=["Charge"])
+    sums = rows.groupBy("model").agg(*[F.sum(f"d_Charge_{r}").alias(r) for r in rules.raws_of(views.RULES, "Charge")])
+    j = sums.select("model", F.inline(F.array(*[F.struct(F.lit(r).alias("quantity"), F.col(r).alias("v")) for r in rules.raws_of(views.RULES, "Charge")])))
     return rounded(j, 2, "v")
 
 
 def _total(spark: SparkSession, d: str) -> DataFrame:
     """model, total and var of the rollup of all charges of a model."""
-    terms, slots = views.definitions(spark, d, nested=True), views.slots(spark, d)
-    each = dag.partials(terms, slots).where("out_var like '%.Charge'")
-    rolled = dag.jacobian_of_sum(each, each.select("model", "out_var").distinct().withColumn("parent", F.lit("Total")))
-    var = belief.variance_of(rolled, slots.select("model", "var_id", "sigma")).select("model", "var")
-    mean = dag.evaluate(terms, slots).where("out_var like '%.Charge'").groupBy("model").agg(F.sum("mu").alias("total"))
-    return mean.join(var, "model")
+    rows = rules.with_gradient(views.wide(spark, d), views.RULES, only=["Charge"])
+    return rules.totals(rows, views.RULES, "Charge", views.SHARED).drop("entities")
 
 
 @query(f"SELECT model, round(total, 2) AS total, round(sqrt(var), 2) AS sigma FROM ({_VAR})")
@@ -92,9 +89,10 @@ def decide_minimum(spark: SparkSession, d: str) -> DataFrame:
   struct_pack(k := 'Tax', x := pow(q*p*(1-d)*0.002, 2)), struct_pack(k := 'Fx', x := pow({_CHARGE}*0.01, 2))] AS a FROM ({_LINES})), e AS (SELECT model, entity, unnest(a) AS s FROM j),
   f AS (SELECT model, s.k AS quantity, s.x / sum(s.x) OVER (PARTITION BY entity) AS share FROM e) SELECT model, quantity, round(avg(share), 6) AS share FROM f GROUP BY 1, 2""")
 def variance_shares(spark: SparkSession, d: str) -> DataFrame:
-    slots = views.slots(spark, d)
-    found = dag.shares(dag.partials(views.definitions(spark, d).where("quantity = 'Charge'"), slots), slots.select("model", "var_id", "sigma"))
-    return rounded(found.groupBy("model", F.substring_index("var_id", ".", -1).alias("quantity")).agg(F.avg("share").alias("share")), 6, "share")
+    rows = rules.with_gradient(views.wide(spark, d), views.RULES, only=["Charge"]).withColumn("var", rules.variance(views.RULES, "Charge"))
+    raws = rules.raws_of(views.RULES, "Charge")
+    sums = rows.groupBy("model").agg(*[F.avg(F.pow(F.col(f"d_Charge_{r}") * F.col(f"s_{r}"), F.lit(2)) / F.col("var")).alias(r) for r in raws])
+    return rounded(sums.select("model", F.inline(F.array(*[F.struct(F.lit(r).alias("quantity"), F.col(r).alias("share")) for r in raws]))), 6, "share")
 
 
 def _changed(kind: str) -> tuple[Query, str]:
@@ -113,11 +111,17 @@ def _changed(kind: str) -> tuple[Query, str]:
             env = belief.shift_parameter(env, picked.withColumn("delta", F.lit(0.01)))
         else:
             env = belief.scale_parameter(env, picked.withColumn("factor", F.lit(0.5)))
-        terms = views.definitions(spark, d).where("quantity = 'Net'")
-        net = dag.evaluate(terms, env).groupBy("model").agg(F.sum("mu").alias("net"))
-        j = dag.partials(terms, env).where("var_id like '%.Disc'")
-        var = belief.variance_of(j, env).groupBy("model").agg(F.sum("var").alias("var_of_disc"))
-        return rounded(net.join(var, "model"), 2, "net", "var_of_disc")
+        if kind == "scale":  # as definitions entity by entity, which ``dag`` evaluates
+            terms = views.definitions(spark, d).where("quantity = 'Net'")
+            net = dag.evaluate(terms, env).groupBy("model").agg(F.sum("mu").alias("net"))
+            var = belief.variance_of(dag.partials(terms, env).where("var_id like '%.Disc'"), env).groupBy("model").agg(F.sum("var").alias("var_of_disc"))
+            return rounded(net.join(var, "model"), 2, "net", "var_of_disc")
+        parted = F.split("var_id", "[.]")
+        back = env.select("model", F.get(parted, F.lit(0)).alias("entity"), F.get(parted, F.lit(1)).alias("quantity"), "mu", "sigma")
+        net = {k: v for k, v in views.RULES.items() if k != "Charge"}
+        rows = rules.with_gradient(rules.side_by_side(back, ["Qty", "Price", "Disc"]), net, only=["Net"])
+        found = rows.groupBy("model").agg(F.sum("Net").alias("net"), F.sum(F.pow(F.col("d_Net_Disc") * F.col("s_Disc"), F.lit(2))).alias("var_of_disc"))
+        return rounded(found, 2, "net", "var_of_disc")
 
     return run, sql
 
@@ -279,10 +283,10 @@ def mixture_responsibilities(spark: SparkSession, d: str) -> DataFrame:
     return rounded(geometry.responsibilities(p, g, ["x", "y", "z"]).select("id", "part", "share"), 6, "share")
 
 
-@query("SELECT conv_id, sum(turn * length(text))::bigint AS moment, count(*) AS n, max(text) FILTER (turn = 0) AS opening FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, arg_max(text, turn) AS last_text, max(turn) AS last_turn, count(*) AS n FROM conversations GROUP BY conv_id")
 def last_value_per_key(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.sum(F.col("turn") * F.length("text")).alias("moment"), F.count(F.lit(1)).alias("n"), F.min_by("text", "turn").alias("opening"))
+    """The text of each conversation's last turn: the last write wins."""
+    return lowering.last_values(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text").withColumnsRenamed({"value": "last_text", "place": "last_turn"})
 
 
 @query("SELECT event_type, json_extract_string(props, '$.k')::bigint AS k, count(*) AS n FROM events GROUP BY 1, 2")
@@ -376,9 +380,10 @@ def axis_length(spark: SparkSession, d: str) -> DataFrame:
   SELECT model, out_var, var_id, round(gain, 6) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY model, out_var ORDER BY gain DESC, var_id) = 1""")
 def select_observation(spark: SparkSession, d: str) -> DataFrame:
     """Which one reading, half as noisy as its prior, tells most about each charge?"""
-    slots = views.slots(spark, d)
-    j = dag.partials(views.definitions(spark, d).where("quantity = 'Charge'"), slots)
-    return rounded(belief.observation_plan(j, slots.select("model", "var_id", "sigma"), 0.5).where("place = 1").drop("place"), 6, "gain")
+    rows = rules.with_gradient(views.wide(spark, d), views.RULES, only=["Charge"])
+    names = {r: F.concat(F.lit("*" if r in views.SHARED else ""), F.when(F.lit(r not in views.SHARED), F.col("entity")).otherwise(""), F.lit(f".{r}")) for r in rules.raws_of(views.RULES, "Charge")}
+    best = belief.best_reading(rows, {r: F.pow(F.col(f"d_Charge_{r}") * F.col(f"s_{r}"), F.lit(2)) for r in names}, names, 0.5)
+    return rounded(best.select("model", F.concat("entity", F.lit(".Charge")).alias("out_var"), "var_id", "gain"), 6, "gain")
 
 
 @query(f"SELECT user_id, event_id, seq = count(*) OVER (PARTITION BY user_id) - 1 AS accepted, CASE WHEN seq < count(*) OVER (PARTITION BY user_id) - 1 THEN 'STALE_HEAD' ELSE 'FRESH' END AS reason FROM {_LOG}")

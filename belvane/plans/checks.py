@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belvane.functions import scalars
-from belvane.operators import attention, belief, dag, decision, geometry, ledger, lowering
+from belvane.operators import attention, belief, dag, decision, geometry, ledger, lowering, rules
 from belvane.plans import views
 from belvane.plans.catalog import _AABB, _CHARGE, _LINES, _LOG, _P, _REL, _VAR, SQL, _total, query, rounded
 from belvane.sources.tables import materialise, table
@@ -222,10 +222,14 @@ def evidence_plan(spark: SparkSession, d: str) -> DataFrame:
     t = materialise(_total(spark, d))
     level = t.agg(F.avg("total").alias("level"))  # one row
     decided = t.join(F.broadcast(level)).select("model", scalars.verdict(scalars.normal_cdf((F.col("total") - F.col("level")) / F.sqrt("var")), 0.95).alias("verdict"))
-    slots = views.slots(spark, d)
-    each = materialise(dag.partials(views.definitions(spark, d).where("quantity = 'Charge'"), slots))
-    rolled = dag.jacobian_of_sum(each, each.select("model", "out_var").distinct().withColumn("parent", F.lit("Total")))
-    best = belief.observation_plan(rolled, slots.select("model", "var_id", "sigma"), 0.5, 0.1).where("place = 1")
+    # what each raw variable adds to the variance of the total: an entity's own by itself, a shared one by its sum
+    rows = rules.with_gradient(views.wide(spark, d), views.RULES, only=["Charge"])
+    own = [F.struct(F.concat(F.col("entity"), F.lit(f".{r}")).alias("var_id"), F.pow(F.col(f"d_Charge_{r}") * F.col(f"s_{r}"), F.lit(2)).alias("part")) for r in views.OWN]
+    top = rows.select("model", F.inline(F.array(*own))).groupBy("model").agg(F.max(F.struct("part", "var_id")).alias("own"))
+    fx = rows.groupBy("model").agg(F.pow(F.sum("d_Charge_Fx") * F.max("s_Fx"), F.lit(2)).alias("fx"))
+    both = t.select("model", "var").join(top, "model").join(fx, "model")
+    best = F.when(F.col("fx") >= F.col("own.part"), F.struct(F.col("fx").alias("part"), F.lit("*.Fx").alias("var_id"))).otherwise(F.col("own"))
+    best = both.select("model", best["var_id"].alias("var_id"), (-0.5 * F.log(1 - best["part"] / (F.col("var") * 1.25)) - 0.1).alias("gain"))
     return rounded(decision.evidence_plan(decided, best.select("model", "var_id", "gain")), 6, "gain")
 
 

@@ -46,6 +46,18 @@ def definitions(spark: SparkSession, d: str, *, nested: bool = False) -> DataFra
     return made.select("model", "entity", "quantity", F.concat_ws(".", "entity", "quantity").alias("out_var"), "term_id", "coef", "factors")
 
 
+#: Gross, net and charge of a line, as they are stated.
+RULES = {"Gross": [(1, ("Qty", "Price"))], "Net": [(1, ("Gross",)), (-1, ("Gross", "Disc"))], "Charge": [(1, ("Net", "Fx")), (1, ("Net", "Tax", "Fx"))]}
+OWN, SHARED = ["Qty", "Price", "Disc", "Tax"], ["Fx"]
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    """model, entity and a column for each quantity of :func:`slots`, with s_ for its deviation."""
+    from belvane.operators import rules
+
+    return rules.side_by_side(slots(spark, d), OWN, SHARED)
+
+
 def relations(spark: SparkSession, d: str) -> DataFrame:
     """kind, source, target: regions aggregate nations, these suppliers and customers; customers contain orders."""
     def edge(name: str, kind: str, a: str, source: str, b: str, target: str) -> DataFrame:
