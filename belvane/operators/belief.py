@@ -165,3 +165,110 @@ def best_reading(rows: DataFrame, parts: dict[str, Column], names: dict[str, Col
     options = [F.struct((-(-0.5 * F.log(1 - p / (F.col("__total") * (1 + noise * noise))) - cost)).alias("loss"), names[r].alias("var_id")) for r, p in parts.items()]
     best = rows.withColumn("__total", total).withColumn("__best", F.array_min(F.array(*options)))
     return best.select("model", "entity", "__best.var_id", (-F.col("__best.loss")).alias("gain"))
+
+
+def correlations(cov: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, i, j, cov, corr (0 where a deviation is below 1e-150) of ``cov`` (by, i, j, v), i < j."""
+    d = cov.where("i = j")
+    one = d.select(*by, F.col("i"), F.col("v").alias("__di"))
+    two = d.select(*by, F.col("i").alias("j"), F.col("v").alias("__dj"))
+    root = F.sqrt(F.col("__di")) * F.sqrt(F.col("__dj"))
+    small = (F.sqrt("__di") < 1e-150) | (F.sqrt("__dj") < 1e-150)
+    return cov.where("i < j").join(one, [*by, "i"]).join(two, [*by, "j"]).select(*by, "i", "j", F.col("v").alias("cov"), F.when(small, 0.0).otherwise(F.col("v") / root).alias("corr"))
+
+
+def marginal(cov: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """The entries of ``cov`` (by, i, j, v) of which both sides are among ``wanted`` (by, var_id)."""
+    w = wanted.select(*by, "var_id").distinct()
+    return cov.join(w.withColumnRenamed("var_id", "i"), [*by, "i"], "left_semi").join(w.withColumnRenamed("var_id", "j"), [*by, "j"], "left_semi")
+
+
+def observation_rows(jacobian: DataFrame, raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """model, var_id, raw, h: the rows of H for ``wanted`` (model, var_id): the derivatives of a derived variable
+    (``jacobian``: model, out_var, var_id, v), and a single 1 for a raw one (``raw``: model, var_id)."""
+    w = wanted.select("model", "var_id").distinct()
+    derived = jacobian.select("model", F.col("out_var").alias("var_id"), F.col("var_id").alias("raw"), F.col("v").alias("h"))
+    same = raw.select("model", "var_id", F.col("var_id").alias("raw"), F.lit(1.0).alias("h"))
+    return derived.unionByName(same).join(w, ["model", "var_id"], "left_semi")
+
+
+def observed(evidence: DataFrame, slots: DataFrame, kinds: list[str]) -> DataFrame:
+    """``evidence`` (model, var_id, unit, kind, y, r) with a reason, null where it may be used: the subject must be a raw
+    variable of ``slots`` (model, var_id, unit), in its unit, of a known kind, and with a noise variance above 0."""
+    joined = evidence.join(slots.select("model", "var_id", F.col("unit").alias("__unit")), ["model", "var_id"], "left")
+    reason = F.when(F.col("__unit").isNull(), "NOT_RAW").when(F.col("unit") != F.col("__unit"), "UNIT").when(~F.col("kind").isin(kinds), "KIND").when(F.coalesce(F.col("r") <= 0, F.lit(True)), "NOISE")
+    return joined.withColumn("reason", reason).drop("__unit")
+
+
+def conditioned(cov: DataFrame, row: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, i, j, v: the covariance after one observation of each block: ``row`` (by, var_id, h, r; the noise variance is
+    the same in a block's rows). S - S h' h S / (h S h' + r), by joins and sums; a block without a row stays."""
+    h = row.select(*by, F.col("var_id").alias("j"), "h", "r")
+    sh = cov.join(h, [*by, "j"]).groupBy(*by, "i").agg(F.sum(F.col("v") * F.col("h")).alias("g"), F.max("r").alias("r"))
+    s = sh.join(row.select(*by, F.col("var_id").alias("i"), "h"), [*by, "i"]).groupBy(*by).agg((F.sum(F.col("g") * F.col("h")) + F.max("r")).alias("s"))
+    left, right = sh.select(*by, "i", F.col("g").alias("gi")), sh.select(*by, F.col("i").alias("j"), F.col("g").alias("gj"))
+    joined = cov.join(s, by, "left").join(left, [*by, "i"], "left").join(right, [*by, "j"], "left")
+    less = F.coalesce(F.col("gi") * F.col("gj") / F.col("s"), F.lit(0.0))
+    return joined.select(*by, "i", "j", (F.col("v") - less).alias("v"))
+
+
+def evolved(cov: DataFrame, step: DataFrame, noise: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, i, j, v: F S F' + Q for ``step`` (by, i, k, f) and ``noise`` (by, i, j, v), in coordinate form; a variable that
+    ``step`` has no row of stays as it is."""
+    named = step.select(*by, "i").distinct()
+    same = cov.select(*by, "i").distinct().join(named, [*by, "i"], "left_anti").select(*by, "i", F.col("i").alias("k"), F.lit(1.0).alias("f"))
+    full = step.select(*by, "i", "k", "f").unionByName(same)
+    half = full.join(cov.select(*by, F.col("i").alias("k"), F.col("j").alias("m"), "v"), [*by, "k"]).groupBy(*by, "i", "m").agg(F.sum(F.col("f") * F.col("v")).alias("v"))
+    whole = half.join(full.select(*by, F.col("i").alias("j"), F.col("k").alias("m"), "f"), [*by, "m"]).select(*by, "i", "j", (F.col("v") * F.col("f")).alias("v"))
+    return whole.unionByName(noise.select(*by, "i", "j", "v")).groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
+
+
+def energy(cov: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, n, trace: the sum of the variances."""
+    return cov.where("i = j").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("trace"))
+
+
+def positive(cov: DataFrame, block: str) -> DataFrame:
+    """``block``, n, jitter, positive: whether each block of ``cov`` (block, i, j, v) has a Cholesky factor, with the first
+    of 0, 1e-12 and 1e-10 times the mean variance (1 at least) added to its diagonal that gives one; jitter is null if none
+    does. A block must fit a task; blocks are spread over the cluster."""
+    import numpy as np
+    import pandas as pd
+
+    def factor(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(s["i"]) | set(s["j"]))
+        at = {x: k for k, x in enumerate(names)}
+        c = np.zeros((len(names), len(names)))
+        c[s["i"].map(at), s["j"].map(at)] = s["v"]
+        c, unit = (c + c.T) / 2, max(float(np.trace(c)) / len(names), 1.0)
+        found = None
+        for jitter in (0.0, 1e-12 * unit, 1e-10 * unit):
+            try:
+                np.linalg.cholesky(c + jitter * np.eye(len(names)))
+                found = jitter
+                break
+            except np.linalg.LinAlgError:
+                continue
+        return pd.DataFrame({block: [key[0]], "n": [len(names)], "jitter": [found], "positive": [found is not None]}).astype({"jitter": "float64"})
+
+    kind = cov.schema[block].dataType.simpleString()
+    return cov.select(block, "i", "j", "v").groupBy(block).applyInPandas(factor, f"`{block}` {kind}, n long, jitter double, positive boolean")
+
+
+def belief_digest(env: DataFrame) -> DataFrame:
+    """model, n, digest of a belief's means and deviations (model, var_id, mu, sigma), in whole millionths."""
+    from belvane.functions.scalars import quantised
+    from belvane.operators.lowering import module_digest
+
+    return module_digest(env.select("model", F.concat_ws("|", "var_id", quantised(F.col("mu")).cast("string"), quantised(F.col("sigma")).cast("string")).alias("line")))
+
+
+def difference(pairs: DataFrame, least: float, confidence: float) -> DataFrame:
+    """``pairs`` (..., lhs, rhs, var_lhs, var_rhs, cov) with p, the chance that lhs - rhs is at least ``least``, and a
+    verdict; a difference without variance is sure."""
+    from belvane.functions import scalars
+
+    var = F.col("var_lhs") + F.col("var_rhs") - 2 * F.col("cov")
+    gap = F.col("lhs") - F.col("rhs") - least
+    p = F.when(var > 1e-30, scalars.normal_cdf(gap / F.sqrt(var))).otherwise(F.when(gap >= 0, 1.0).otherwise(0.0))
+    return pairs.withColumn("p", F.round(p, 9)).withColumn("verdict", scalars.verdict(F.col("p"), confidence))

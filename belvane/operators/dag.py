@@ -152,3 +152,8 @@ def shares(jacobian: DataFrame, sigma: DataFrame) -> DataFrame:
     """model, out_var, var_id, sensitivity and share of the variance, for independent raw variables (model, var_id, sigma)."""
     part = jacobian.join(sigma, ["model", "var_id"]).withColumn("part", F.pow(F.col("v") * F.col("sigma"), F.lit(2)))
     return part.select("model", "out_var", "var_id", F.col("v").alias("sensitivity"), (F.col("part") / F.sum("part").over(Window.partitionBy("model", "out_var"))).alias("share"))
+
+
+def free_variables(terms: DataFrame) -> DataFrame:
+    """model, out_var, variables: those that each definition names, in order, each once."""
+    return terms.select("model", "out_var", F.explode_outer("factors.var_id").alias("v")).groupBy("model", "out_var").agg(F.array_sort(F.collect_set("v")).alias("variables"))

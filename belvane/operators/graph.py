@@ -51,3 +51,27 @@ def relabel(nodes: DataFrame, rel: DataFrame, rounds: int = 3) -> DataFrame:
         around = both.join(now, F.col("y") == F.col("node")).groupBy("x").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"))
         now = now.join(around, F.col("node") == F.col("x"), "left").select("node", F.sha2(F.concat_ws("|", "label", F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("s", F.lit(0)).cast("string")), 256).alias("label"))
     return now
+
+
+def spatial(rel: DataFrame) -> DataFrame:
+    """The edges that say what lies in what."""
+    return rel.where(F.col("kind").isin("aggregates", "contains"))
+
+
+def exempt(rel: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
+    """a, b: pairs a < b that may touch, each once: both are sources of an edge to the same target, by the kinds of one of
+    ``paths``. A target has the few sources that its record lists."""
+    found = None
+    for one, two in paths:
+        x = rel.where(F.col("kind") == one).select(F.col("source").alias("a"), "target")
+        y = rel.where(F.col("kind") == two).select(F.col("source").alias("b"), "target")
+        pairs = x.join(y, "target").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
+def depths(rel: DataFrame, most: int) -> DataFrame:
+    """node, depth of all nodes at most ``most`` edges below a root; a node with several ways counts by the longest."""
+    from belvane.operators.dag import levels
+
+    return levels(rel.select(F.col("source").alias("parent"), F.col("target").alias("child"))).where(F.col("level") <= most).withColumnRenamed("level", "depth")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "0" * 64
@@ -125,3 +125,15 @@ def committed(results: DataFrame, log: DataFrame, key: str) -> DataFrame:
     Only the last event of each digest is compared, so a digest that is named often isn't multiplied."""
     last = log.groupBy(key, "digest").agg(F.max("seq").alias("__last"))
     return results.join(last, [key, "digest"]).where(F.col("__last") > F.col("seq")).drop("__last")
+
+
+def shape_faults(events: DataFrame, needs: dict[str, list[str]], rules: dict[str, Column]) -> DataFrame:
+    """``events`` (kind, ...) with a ``fault``, null where an event has the shape of its kind: UNKNOWN_KIND, MISSING (a column
+    that the kind ``needs`` is null) or RULE (a kind's own rule doesn't hold, or can't be told)."""
+    fault = F.when(~F.coalesce(F.col("kind").isin(list(needs)), F.lit(False)), "UNKNOWN_KIND")
+    for kind, columns in needs.items():
+        for c in columns:
+            fault = fault.when((F.col("kind") == kind) & F.col(c).isNull(), "MISSING")
+    for kind, rule in rules.items():
+        fault = fault.when((F.col("kind") == kind) & ~F.coalesce(rule, F.lit(False)), "RULE")
+    return events.withColumn("fault", fault)

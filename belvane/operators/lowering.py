@@ -85,3 +85,12 @@ def last_values(rows: DataFrame, keys: list[str], order: str, value: str) -> Dat
     """``keys``, value, place and n: the value that was written last for each key (the greatest of equal places)."""
     last = F.max(F.struct(F.col(order).alias("place"), F.col(value).alias("value")))
     return rows.groupBy(*keys).agg(last.alias("__last"), F.count(F.lit(1)).alias("n")).select(*keys, "__last.value", "__last.place", "n")
+
+
+def model_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """model and how many rows each of ``tables`` (model, ...) has of it; 0 where it has none."""
+    found = None
+    for name, rows in tables.items():
+        n = rows.groupBy("model").agg(F.count(F.lit(1)).alias(name))
+        found = n if found is None else found.join(n, "model", "full")
+    return found.select("model", *[F.coalesce(n, F.lit(0)).alias(n) for n in tables])

@@ -163,3 +163,28 @@ def mean_of(names: list[str]) -> list[tuple[float, tuple[str, ...]]]:
     if not names:
         raise ValueError("a mean of nothing")
     return [(1 / len(names), (x,)) for x in names]
+
+
+def covariance(rows: DataFrame, rules: Rules, outs: list[str], *, across: list[str] | None = None) -> DataFrame:
+    """model, entity, i, j, v: the covariances of ``outs`` within each entity, J S J' over the raw quantities that both rest
+    on; ``across`` names raw quantities that are left out, such as those shared with other entities."""
+    cells = []
+    for i in outs:
+        for j in outs:
+            both = [r for r in raws_of(rules, i) if r in raws_of(rules, j) and r not in (across or [])]
+            v = reduce(lambda a, b: a + b, [F.col(f"d_{i}_{r}") * F.col(f"d_{j}_{r}") * F.pow(F.col(f"s_{r}"), F.lit(2)) for r in both], F.lit(0.0))
+            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v")))
+    return rows.select("model", "entity", F.inline(F.array(*cells)))
+
+
+def incremental(before: DataFrame, wide: DataFrame, changed: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """Values after a change, and how many rows that took: ``before`` has the values of all entities (model, entity and
+    derived columns), ``wide`` the raw quantities as they are now, ``changed`` (model, entity) what has changed. Only changed
+    entities are evaluated anew; the rest is taken over. The second table is model, recomputed, kept."""
+    names = list(rules)
+    keys = changed.select("model", "entity").distinct()
+    again = evaluated(wide.join(keys, ["model", "entity"], "left_semi"), rules).select("model", "entity", *names).withColumn("recomputed", F.lit(True))
+    kept = before.select("model", "entity", *names).join(keys, ["model", "entity"], "left_anti").withColumn("recomputed", F.lit(False))
+    both = again.unionByName(kept)
+    work = both.groupBy("model").agg(F.count(F.when(F.col("recomputed"), 1)).alias("recomputed"), F.count(F.when(~F.col("recomputed"), 1)).alias("kept"))
+    return both.drop("recomputed"), work
