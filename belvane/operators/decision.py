@@ -126,3 +126,24 @@ def route_inspections(risks: DataFrame, evidence: DataFrame, *, enough: float, s
     joined = risks.join(evidence, "element", "left").withColumn("deficit", F.greatest(F.lit(0.0), 1 - F.coalesce("mass", F.lit(0.0)) / enough)).withColumn("entropy", scalars.binary_entropy(p))
     action = F.when(F.col("deficit") == 0, "EXTRACT_SCAN_MEASUREMENT").otherwise("RESCAN_ELEMENT")
     return joined.select("id", "element", "entropy", "deficit", action.alias("action"), (F.col("entropy") * (1 + F.col("deficit"))).alias("priority"))
+
+
+def _resting_on(columns: list[str]) -> Column:
+    """A digest of columns; each part comes with its length, so none can be read as two."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.sha2(F.concat_ws("|", *[x for c, p in zip(columns, parts, strict=True) for x in (F.when(F.col(c).isNull(), "-").otherwise(F.length(p).cast("string")), p)]), 256)
+
+
+def decided(cases: DataFrame, passed: Column, rests_on: list[str]) -> DataFrame:
+    """digest, verdict of ``cases``: the digest of what each rests on, and PASS or FAIL."""
+    return cases.select(_resting_on(rests_on).alias("digest"), F.when(passed, "PASS").otherwise("FAIL").alias("verdict"))
+
+
+def with_reuse(cases: DataFrame, known: DataFrame, passed: Column, rests_on: list[str]) -> DataFrame:
+    """``cases`` with digest, verdict and ``reused``: a verdict that is ``known`` (:func:`decided`) for the same digest is
+    taken over, only the others are worked out."""
+    marked = cases.withColumn("digest", _resting_on(rests_on))
+    told = known.groupBy("digest").agg(F.max("verdict").alias("__known"))
+    joined = marked.join(told, "digest", "left")
+    verdict = F.when(F.col("__known").isNotNull(), F.col("__known")).when(passed, "PASS").otherwise("FAIL")
+    return joined.withColumns({"verdict": verdict, "reused": F.col("__known").isNotNull()}).drop("__known")

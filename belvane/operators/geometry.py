@@ -161,3 +161,91 @@ def invalid_parts(parts: DataFrame) -> DataFrame:
     for c in names:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     return parts.where(~(finite & (F.col("weight") > 0) & (F.col("c_x_x") > 0) & (F.col("c_x_x") * F.col("c_y_y") - F.col("c_x_y") * F.col("c_x_y") > 0)))
+
+
+def sections(points: DataFrame, key: str, order: str) -> DataFrame:
+    """``key``, area, cx, cy, ix, iy, sx, sy: a polygon's area and centroid, its second moments about axes through the
+    centroid, and its elastic moduli, whichever way its points (x, y) go round. One without area has nulls."""
+    w = Window.partitionBy(key).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = points.withColumns({"nx": F.coalesce(F.lead("x").over(w), F.first("x").over(whole)), "ny": F.coalesce(F.lead("y").over(w), F.first("y").over(whole))})
+    x, y, nx, ny = (F.col(c) for c in ("x", "y", "nx", "ny"))
+    p = p.withColumn("c", x * ny - nx * y)
+    s = p.groupBy(key).agg(
+        (F.sum("c") / 2).alias("a"), F.sum((x + nx) * F.col("c")).alias("sx"), F.sum((y + ny) * F.col("c")).alias("sy"),
+        F.sum((y * y + y * ny + ny * ny) * F.col("c")).alias("ix"), F.sum((x * x + x * nx + nx * nx) * F.col("c")).alias("iy"),
+        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+    ).where("a <> 0")
+    s = s.withColumns({"cx": F.col("sx") / (6 * F.col("a")), "cy": F.col("sy") / (6 * F.col("a"))})
+    s = s.withColumns({"area": F.abs("a"), "ix": F.abs(F.col("ix") / 12 - F.col("a") * F.col("cy") * F.col("cy")), "iy": F.abs(F.col("iy") / 12 - F.col("a") * F.col("cx") * F.col("cx"))})
+    far = lambda c: F.greatest(F.col(f"{c}1") - F.col(f"c{c}"), F.col(f"c{c}") - F.col(f"{c}0"))
+    return s.select(key, "area", "cx", "cy", "ix", "iy", (F.col("ix") / far("y")).alias("sx"), (F.col("iy") / far("x")).alias("sy"))
+
+
+def arc(curves: DataFrame, n: int) -> DataFrame:
+    """id, k, x, y: n + 1 points on each circular arc (id, cx, cy, radius, start, sweep in radians), ends included."""
+    at = F.col("start") + F.col("sweep") * F.col("k") / n
+    dealt = curves.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    return dealt.select("id", "k", (F.col("cx") + F.col("radius") * F.cos(at)).alias("x"), (F.col("cy") + F.col("radius") * F.sin(at)).alias("y"))
+
+
+def derived_lengths(fine: DataFrame, coarse: DataFrame) -> DataFrame:
+    """id, length, error, status from lengths (id, length) at two tolerances: COMPLETE, LENGTH_ONLY (no coarse one) or
+    BLOCKED (no fine one). The error is their difference, a trillionth of the length at least."""
+    both = fine.join(coarse.withColumnRenamed("length", "__c"), "id", "full")
+    error = F.when(F.col("__c").isNotNull(), F.greatest(F.abs(F.col("length") - F.col("__c")), 1e-12 * F.abs("length")))
+    return both.select("id", "length", error.alias("error"), F.when(F.col("length").isNull(), "BLOCKED").when(F.col("__c").isNull(), "LENGTH_ONLY").otherwise("COMPLETE").alias("status"))
+
+
+def mahalanobis2(parts: DataFrame, dims: list[str]) -> DataFrame:
+    """a, b, m2: the squared distance of pairs a < b of a mixture's parts (part, mean_*, var_*) under their summed
+    covariances, which are diagonal."""
+    p = parts.select(F.col("part").alias("a"), *[F.col(f"{m}_{x}").alias(f"p_{m}_{x}") for m in ("mean", "var") for x in dims])
+    q = parts.select(F.col("part").alias("b"), *[F.col(f"{m}_{x}").alias(f"q_{m}_{x}") for m in ("mean", "var") for x in dims])
+    m2 = sum([F.pow(F.col(f"p_mean_{x}") - F.col(f"q_mean_{x}"), F.lit(2)) / (F.col(f"p_var_{x}") + F.col(f"q_var_{x}")) for x in dims], F.lit(0.0))
+    return p.join(q, F.col("a") < F.col("b")).select("a", "b", m2.alias("m2"))
+
+
+def overlap_mass(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, mass, nearest_a, nearest_b: for pairs of elements (a, b) the sum over their primitives (id, n, mean_x .. mean_z,
+    var_x .. var_z, weight) of both weights times the integral of the product, and the nearest primitives of the two. Pairs
+    come from a broad phase, so the work grows with what is near."""
+    side = lambda df, s: df.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "weight", *[f"{m}_{x}" for m in ("mean", "var") for x in "xyz"])])
+    joined = pairs.select("a", "b").join(side(left, "a"), "a").join(side(right, "b"), "b")
+    far = sum([F.pow(F.col(f"mean_{x}_a") - F.col(f"mean_{x}_b"), F.lit(2)) for x in "xyz"], F.lit(0.0))
+    log = sum([F.pow(F.col(f"mean_{x}_a") - F.col(f"mean_{x}_b"), F.lit(2)) / (F.col(f"var_{x}_a") + F.col(f"var_{x}_b")) + F.log(F.col(f"var_{x}_a") + F.col(f"var_{x}_b")) for x in "xyz"], F.lit(0.0))
+    mass = F.col("weight_a") * F.col("weight_b") * F.exp(-0.5 * (3 * math.log(2 * math.pi) + log))
+    found = joined.groupBy("a", "b").agg(F.sum(mass).alias("mass"), F.min(F.struct(far.alias("far"), "n_a", "n_b")).alias("__n"))
+    return found.select("a", "b", "mass", F.col("__n.n_a").alias("nearest_a"), F.col("__n.n_b").alias("nearest_b"))
+
+
+def pair_risk(pairs: DataFrame, tol: float = 0.01) -> DataFrame:
+    """``pairs`` (clearance, variance) with ``p``, the chance that the clearance is below ``tol``, and ``significance``, the
+    clearance in deviations; a pair without variance is sure, and its significance null."""
+    from belvane.functions import scalars
+
+    sigma = F.sqrt("variance")
+    p = F.when(sigma > 1e-12, scalars.normal_cdf((tol - F.col("clearance")) / sigma)).otherwise(F.when(F.col("clearance") < tol, 1.0).otherwise(0.0))
+    return pairs.withColumns({"p": F.round(p, 9), "significance": F.when(sigma > 1e-12, F.col("clearance") / sigma)})
+
+
+def payload_means(tokens: DataFrame) -> DataFrame:
+    """element, label, payload: the mean payload of each element's tokens (element, name, weight, payload) by weight; of
+    elements that share a name, all but the first have their place behind it."""
+    found = tokens.groupBy("element", "name").agg((F.sum(F.col("weight") * F.col("payload")) / F.sum("weight")).alias("payload"))
+    k = F.row_number().over(Window.partitionBy("name").orderBy("element"))
+    return found.select("element", F.when(k == 1, F.col("name")).otherwise(F.concat_ws("#", "name", k.cast("string"))).alias("label"), "payload")
+
+
+def transmittance(rays: DataFrame, parts: DataFrame) -> DataFrame:
+    """ray, depth, transmittance of rays along x (ray, y, z, x0, x1) through round Gaussians (part, mean_x .. mean_z, var,
+    weight): each adds its weight times what lies between the ends. Rays come with the parts that are near (ray, part)
+    already joined, as ``near`` of a broad phase."""
+    from belvane.functions import scalars
+
+    joined = rays.join(parts, "part")
+    s = F.sqrt("var")
+    across = F.exp(-(F.pow(F.col("y") - F.col("mean_y"), F.lit(2)) + F.pow(F.col("z") - F.col("mean_z"), F.lit(2))) / (2 * F.col("var"))) / (2 * math.pi * F.col("var"))
+    along = scalars.normal_cdf((F.col("x1") - F.col("mean_x")) / s) - scalars.normal_cdf((F.col("x0") - F.col("mean_x")) / s)
+    found = joined.groupBy("ray").agg(F.sum(F.col("weight") * across * along).alias("depth"))
+    return found.withColumn("transmittance", F.exp(-F.col("depth")))

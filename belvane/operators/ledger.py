@@ -137,3 +137,73 @@ def shape_faults(events: DataFrame, needs: dict[str, list[str]], rules: dict[str
     for kind, rule in rules.items():
         fault = fault.when((F.col("kind") == kind) & ~F.coalesce(rule, F.lit(False)), "RULE")
     return events.withColumn("fault", fault)
+
+
+def normalised_checks(clearances: DataFrame, minima: DataFrame, differences: DataFrame) -> DataFrame:
+    """kind, check_id, p_lower, p_upper, verdict of checks of three kinds: a clearance (check_id, p_lower, p_upper, verdict) has
+    bounds, a minimum or a difference (check_id, p, verdict) one chance, which is both."""
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "check_id", F.col("p").alias("p_lower"), F.col("p").alias("p_upper"), "verdict")
+    return clearances.select(F.lit("clearance").alias("kind"), "check_id", "p_lower", "p_upper", "verdict").unionByName(one(minima, "minimum")).unionByName(one(differences, "difference"))
+
+
+def evidence_requests(plans: DataFrame) -> DataFrame:
+    """request_id, case_id, check_id, subject, place: what is to be read for each case, by falling gain, from ``plans``
+    (case_id, check_id, disposition, subject, gain); the id is the digest of what is asked."""
+    asked = plans.where("disposition = 'OBSERVE'")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("gain"), "check_id"))
+    line = F.concat_ws("|", *[F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")) for c in ("case_id", "check_id", "subject")])
+    return asked.select(F.sha2(line, 256).alias("request_id"), "case_id", "check_id", "subject", place.alias("place"))
+
+
+def bound_manifests(manifests: DataFrame, log: DataFrame, checks: dict[str, tuple[str, str]]) -> DataFrame:
+    """``manifests`` (ledger, seq, ...) with a boolean for each of ``checks`` (name: a column of the manifest, and the one of
+    the event that it must equal), ``found`` (exactly one event of that ledger and place) and ``bound`` (all of them)."""
+    theirs = log.groupBy("ledger", "seq").agg(F.count(F.lit(1)).alias("__n"), *[F.first(b).alias(f"__{b}") for _, b in checks.values()])
+    joined = manifests.join(theirs, ["ledger", "seq"], "left").withColumn("found", F.coalesce(F.col("__n") == 1, F.lit(False)))
+    joined = joined.withColumns({name: F.col("found") & F.coalesce(F.col(a) == F.col(f"__{b}"), F.lit(False)) for name, (a, b) in checks.items()})
+    every = F.col("found")
+    for name in checks:
+        every = every & F.col(name)
+    return joined.withColumn("bound", every).drop("__n", *{f"__{b}" for _, b in checks.values()})
+
+
+def operations(events: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """``events`` (body: JSON) with op, args (name to text) and a fault, null where the operation is of a known kind and has
+    exactly the fields of its kind: NOT_JSON, UNKNOWN_OP or FIELDS. An observation's noise variance must be above 0 (NOISE)."""
+    told = F.from_json("body", "map<string,string>")
+    found = events.withColumns({"args": F.map_filter(told, lambda k, _: k != "op"), "op": told["op"], "__keys": F.array_sort(F.json_object_keys("body"))})
+    fault = F.when(F.col("__keys").isNull(), "NOT_JSON").when(~F.coalesce(F.col("op").isin(list(fields)), F.lit(False)), "UNKNOWN_OP")
+    for op, names in fields.items():
+        fault = fault.when((F.col("op") == op) & (F.col("__keys") != F.array(*[F.lit(n) for n in sorted([*names, "op"])])), "FIELDS")
+    fault = fault.when((F.col("op") == "observe") & ~F.coalesce(F.expr("try_cast(args['r'] as double)") > 0, F.lit(False)), "NOISE")
+    return found.withColumn("fault", fault).drop("__keys")
+
+
+def encoded_operations(rows: DataFrame, op: str, fields: list[str]) -> DataFrame:
+    """``rows`` with body: the operation ``op`` with ``fields`` as JSON, which :func:`operations` reads back."""
+    return rows.withColumn("body", F.to_json(F.struct(F.lit(op).alias("op"), *[F.col(f).cast("string").alias(f) for f in fields])))
+
+
+def replayed(events: DataFrame, start: dict[str, float]) -> DataFrame:
+    """model, accepted, rejected, other, mu: a scalar state after its accepted operations in order: ``events`` (model, seq,
+    status, op, value). ``set`` puts the value, ``shift`` adds it, ``scale`` multiplies; what is rejected or no operation is
+    counted and changes nothing.
+
+    Each operation is the map x -> a x + b; such maps compose, so runs of a log fold apart and their maps are folded then:
+    a long log is no one task's."""
+    live = F.col("status") == "accepted"
+    a = F.when(F.col("op") == "set", 0.0).when(F.col("op") == "scale", F.col("value")).otherwise(1.0)
+    b = F.when(F.col("op").isin("set", "shift"), F.col("value")).otherwise(0.0)
+    state = live & F.col("op").isin("set", "shift", "scale")
+    rows = events.select("model", "seq", F.floor(F.col("seq") / 4096).alias("__run"), F.when(state, a).otherwise(1.0).alias("a"), F.when(state, b).otherwise(0.0).alias("b"), state.alias("s"), (F.col("status") == "rejected").alias("r"))
+
+    def fold(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        ops = F.array_sort(F.collect_list(F.struct(F.col(order), "a", "b")))
+        zero = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+        done = F.aggregate("ops", zero, lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b")))
+        counts = [F.sum(c).alias(c) for c in ("accepted", "rejected", "other")]
+        return df.groupBy(*by).agg(ops.alias("ops"), *counts).select(*by, done.alias("m"), "accepted", "rejected", "other").select(*by, "m.a", "m.b", "accepted", "rejected", "other")
+
+    told = rows.withColumns({"accepted": F.col("s").cast("long"), "rejected": F.col("r").cast("long"), "other": (~F.col("s") & ~F.col("r")).cast("long")})
+    runs = fold(told, ["model", "__run"], "seq")  # 4096 operations at most
+    return fold(runs, ["model"], "__run").select("model", "accepted", "rejected", "other", (F.col("a") * start.get("mu", 0.0) + F.col("b")).alias("mu"))

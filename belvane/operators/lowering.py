@@ -94,3 +94,10 @@ def model_summary(tables: dict[str, DataFrame]) -> DataFrame:
         n = rows.groupBy("model").agg(F.count(F.lit(1)).alias(name))
         found = n if found is None else found.join(n, "model", "full")
     return found.select("model", *[F.coalesce(n, F.lit(0)).alias(n) for n in tables])
+
+
+def bound_statuses(entities: DataFrame, told: DataFrame, known: list[str]) -> DataFrame:
+    """``entities`` (id) with the status that an audit ``told`` (id, status) of them: UNMATCHED if none, UNKNOWN_STATUS for
+    one that is not among ``known``."""
+    found = entities.join(told, "id", "left")
+    return found.select(*entities.columns, F.when(F.col("status").isNull(), "UNMATCHED").when(~F.col("status").isin(known), "UNKNOWN_STATUS").otherwise(F.col("status")).alias("status"))
