@@ -13,6 +13,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # columns are built faster
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
