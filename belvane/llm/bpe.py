@@ -222,5 +222,7 @@ def encode(docs: DataFrame, *, path: str | None = None) -> DataFrame:
 
 def encode_digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     """As :func:`encode`, but each row's n_tokens and the SHA-256 of its ids (little-endian, 32 bits) and decoded text,
-    taken where they are made, so that neither leaves its task."""
+    taken where they are made, so that neither leaves its task. A null text is taken as empty and has no tokens; a text of
+    any length is read whole, word by word. Repeated rows each come back; other columns are not read; an empty table gives
+    no rows."""
     return docs.select("doc_id", "text").mapInArrow(partial(_digest, path=path or _default_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -123,7 +123,8 @@ def identify(docs: DataFrame, *, max_languages: int = 500) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) for every row, with profiles learned from the other three quarters.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when nothing could be learned.
-    Equal distances go to the first language in order. Repeated rows each count and come back.
+    Equal distances go to the first language in order. A text of any length is read whole. Repeated rows each count and come
+    back; a null doc_id is not held out; other columns are not read; an empty table gives no rows.
     """
     langs, places = learn(docs.where(~held_out(F.col("doc_id"))), max_languages=max_languages)
     profile = docs.sparkSession.sparkContext.broadcast(places)  # at most max_languages * 128 KB

@@ -212,8 +212,9 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, max_templa
     last word, exclusive) and contained (the largest share of a template's shingles found) for every row.
 
     A template is found where a window holds at least 0.8 of its shingles. Templates go to every task, so more than
-    ``max_templates`` are an error. Texts that are null or shorter than five words match none. Repeated rows each come
-    back; an empty table gives no rows.
+    ``max_templates`` are an error. Texts that are null or shorter than five words match none; a text of any length is read
+    whole. Of a template's windows the one that holds most of it counts. Repeated rows each come back; other columns are not
+    read; an empty table gives no rows.
     """
     texts = TEMPLATES if templates is None else templates
     if len(texts) > max_templates:

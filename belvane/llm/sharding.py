@@ -53,7 +53,8 @@ def shard(docs: DataFrame, *, shards: int = 8, whole: float = 0.01) -> DataFrame
 
     The sum of sizes is cut into ``shards`` equal runs. Equal texts stay together, unless they are more than ``whole``
     of a shard; then the cut may fall between them. Ties are ordered by text, doc_id, source and language; rows equal in
-    all of them may swap slots. A null text is taken as empty. An empty table gives no rows.
+    all of them may swap slots. A null text is taken as empty; a long one counts by its bytes and is in one shard. Other
+    columns are not read. An empty table gives no rows.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = materialise(docs.select("doc_id", "source", "lang", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("__text")))

@@ -204,7 +204,9 @@ def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, tree_
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id of the group) for every row.
 
     Null, empty and blank texts have fingerprint zero and link like any other. A null doc_id takes part but is never the
-    smallest, unless its group has no other. Repeated rows each come back. An empty table gives no rows.
+    smallest, unless its group has no other. A bit set in exactly half the hashes is 0. A text of any length is read whole;
+    its hashes are one array of a task. Repeated rows each come back; other columns are not read. An empty table gives no
+    rows.
     """
     marked = materialise(fingerprints(docs, ["doc_id"], shingle=shingle))
     found = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups(marked, radius=radius, tree_size=tree_size), "fp"))
@@ -215,7 +217,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = 3, shingle: int = 3, tree_
 
 def keep_one(docs: DataFrame, *, radius: int = 3, shingle: int = 3, tree_size: int = TREE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id stays (among equal
-    ids the one that is read first), with all its columns. A null doc_id comes after all others."""
+    ids the one that is read first), with all its columns, whatever their names. A null doc_id comes after all others; null,
+    empty and blank texts make one group; an empty table gives no rows."""
     named = with_row_id(docs)
     marked = materialise(fingerprints(named, ["doc_id", "__file", "__row"], shingle=shingle))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__file"), F.col("__row")))
