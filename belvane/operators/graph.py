@@ -33,9 +33,13 @@ def affinity(incidence: DataFrame, strength: float = 0.5) -> DataFrame:
 
 
 def layout(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (class, node) in rows by class and columns by node, with the number of nodes of the class."""
+    """``nodes`` (class, node) in rows by class and columns by node, with the number of nodes of the class.
+
+    Only the distinct classes, of which a model has a few, are ranked in one task; nodes are ranked within their class."""
+    ranks = nodes.select("class").distinct().select(F.col("class").alias("__class"), F.row_number().over(Window.orderBy("class")).cast("long").alias("row"))
     by = Window.partitionBy("class")
-    return nodes.select("node", "class", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("class")).cast("long").alias("row"), F.row_number().over(by.orderBy("node")).cast("long").alias("column"), F.count(F.lit(1)).over(by).alias("of_class"))
+    placed = nodes.select("node", "class", F.row_number().over(by.orderBy("node")).cast("long").alias("column"), F.count(F.lit(1)).over(by).alias("of_class"))
+    return placed.join(ranks, F.col("class").eqNullSafe(F.col("__class"))).select("node", "class", "row", "column", "of_class")
 
 
 def relabel(nodes: DataFrame, rel: DataFrame, rounds: int = 3) -> DataFrame:
