@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belvane.llm._common import materialise, n_words, running, with_row_id
+from belvane.llm._common import bound, materialise, n_words, running, with_row_id
 
 #: Runs of a source that are summed apart and then put one after the other: no task gathers a source.
 RUNS = 1024
@@ -101,15 +101,20 @@ def _taken(docs: DataFrame, keys: list[str], seed: int, block: int, shards: int,
     joined = joined.withColumn("__a", F.col("__before") + F.col("__own")).withColumn("__b", F.col("__a") + F.col("size"))
     first, last = F.floor(F.col("__a") / block), F.floor((F.col("__b") - 1) / block)
 
-    def step(sums: Column, i: Column) -> Column:
+    def piece(i: Column) -> Column:
+        """Where the row's words in block i lie in the shuffled order, and how many they are."""
         inside = F.greatest(F.col("__a") - i * block, F.lit(0))
         here = F.least(F.col("__b") - i * block, F.lit(block)) - inside
         shuffled = (i * F.col("__stride") + F.col("__shift")) % F.col("__blocks")
-        at = F.when(i < F.col("__blocks"), shuffled).otherwise(i) * block + inside
-        return F.zip_with(sums, "__held", lambda n, held: n + held["whole"] * here + F.least(F.greatest(held["rest"] - at, F.lit(0)), here))
+        return F.struct((F.when(i < F.col("__blocks"), shuffled).otherwise(i) * block + inside).alias("at"), here.alias("n"))
 
-    zero = F.transform("__held", lambda _: F.lit(0).cast("long"))
-    words = F.when(F.col("size") > 0, F.aggregate(F.sequence(first, last), zero, step)).otherwise(zero)
+    def up_to_shard(pieces: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        rest = lambda held: F.aggregate(pieces, zero, lambda n, p: n + F.least(F.greatest(held["rest"] - p["at"], zero), p["n"]))
+        return F.transform("__held", lambda held: held["whole"] * F.col("size") + rest(held))
+
+    pieces = F.when(F.col("size") > 0, F.transform(F.sequence(first, last), piece)).otherwise(F.array().cast("array<struct<at:bigint,n:bigint>>"))
+    words = bound(pieces, up_to_shard)
     by_shard = F.transform("__sums", lambda n, k: n - F.when(k > 0, F.get("__sums", k - 1)).otherwise(F.lit(0).cast("long")))
     return joined.withColumn("__sums", words).withColumns({"taken": F.element_at("__sums", -1), "by_shard": by_shard})
 
