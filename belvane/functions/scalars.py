@@ -78,6 +78,12 @@ def quantised(x: Column, step: float = 1e-6) -> Column:
     return F.bround(x / step, 0).cast("long")
 
 
+def significant(x: Column, digits: int = 6) -> Column:
+    """``x`` to so many significant digits, ties away from zero; null stays null."""
+    unit = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit)
+
+
 def verdict(p: Column, confidence: float) -> Column:
     """SATISFIED or VIOLATED where the chance is sure enough either way, else UNRESOLVED."""
     return F.when(p >= confidence, "SATISFIED").when(p <= 1 - confidence, "VIOLATED").otherwise("UNRESOLVED")

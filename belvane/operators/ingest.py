@@ -109,3 +109,11 @@ def text_status(text: Column, digest: Column) -> Column:
     """OK, or what is wrong with a text and the digest that it came with: EMPTY, NO_DIGEST (not 64 hexadecimal digits) or
     WRONG_DIGEST."""
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "EMPTY").when(~F.coalesce(digest, F.lit("")).rlike("^[0-9a-f]{64}$"), "NO_DIGEST").when(F.sha2(text, 256) != digest, "WRONG_DIGEST").otherwise("OK")
+
+
+def attached(products: DataFrame, relations: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, set, name, value: the properties that ``relations`` (set, related: an array of ids) attach to ``products`` (id),
+    by their ``sets`` (set, name, value). A set that is attached to a product twice counts once; ids that are no products
+    and sets without properties are left out."""
+    pairs = relations.select("set", F.explode("related").alias("id")).distinct()
+    return pairs.join(products.select("id").distinct(), "id", "left_semi").join(sets.select("set", "name", "value"), "set").select("id", "set", "name", "value")

@@ -184,26 +184,32 @@ def encoded_operations(rows: DataFrame, op: str, fields: list[str]) -> DataFrame
     return rows.withColumn("body", F.to_json(F.struct(F.lit(op).alias("op"), *[F.col(f).cast("string").alias(f) for f in fields])))
 
 
-def replayed(events: DataFrame, start: dict[str, float]) -> DataFrame:
-    """model, accepted, rejected, other, mu: a scalar state after its accepted operations in order: ``events`` (model, seq,
-    status, op, value). ``set`` puts the value, ``shift`` adds it, ``scale`` multiplies; what is rejected or no operation is
-    counted and changes nothing.
+def composed(steps: DataFrame, keys: list[str], counts: list[str] | None = None, *, run: int = 4096) -> DataFrame:
+    """``keys``, a, b and the sums of ``counts``: the map x -> a x + b that ``steps`` (keys, seq, op, value) make in order of
+    seq. ``set`` puts the value, ``shift`` adds it, ``scale`` multiplies; any other operation, or none, changes nothing.
 
-    Each operation is the map x -> a x + b; such maps compose, so runs of a log fold apart and their maps are folded then:
-    a long log is no one task's."""
-    live = F.col("status") == "accepted"
+    Such maps compose, so runs of ``run`` sequence numbers fold apart and their maps are folded then: a long log is no one
+    task's. Steps that tie in seq are taken by their maps' order; no step, no row."""
+    counts = counts or []
     a = F.when(F.col("op") == "set", 0.0).when(F.col("op") == "scale", F.col("value")).otherwise(1.0)
     b = F.when(F.col("op").isin("set", "shift"), F.col("value")).otherwise(0.0)
-    state = live & F.col("op").isin("set", "shift", "scale")
-    rows = events.select("model", "seq", F.floor(F.col("seq") / 4096).alias("__run"), F.when(state, a).otherwise(1.0).alias("a"), F.when(state, b).otherwise(0.0).alias("b"), state.alias("s"), (F.col("status") == "rejected").alias("r"))
+    rows = steps.select(*keys, "seq", F.floor(F.col("seq") / run).alias("__run"), a.alias("a"), b.alias("b"), *counts)
 
     def fold(df: DataFrame, by: list[str], order: str) -> DataFrame:
         ops = F.array_sort(F.collect_list(F.struct(F.col(order), "a", "b")))
         zero = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
         done = F.aggregate("ops", zero, lambda m, x: F.struct((x["a"] * m["a"]).alias("a"), (x["a"] * m["b"] + x["b"]).alias("b")))
-        counts = [F.sum(c).alias(c) for c in ("accepted", "rejected", "other")]
-        return df.groupBy(*by).agg(ops.alias("ops"), *counts).select(*by, done.alias("m"), "accepted", "rejected", "other").select(*by, "m.a", "m.b", "accepted", "rejected", "other")
+        sums = [F.sum(c).alias(c) for c in counts]
+        return df.groupBy(*by).agg(ops.alias("ops"), *sums).select(*by, done.alias("m"), *counts).select(*by, "m.a", "m.b", *counts)
+
+    return fold(fold(rows, [*keys, "__run"], "seq"), keys, "__run")
 
-    told = rows.withColumns({"accepted": F.col("s").cast("long"), "rejected": F.col("r").cast("long"), "other": (~F.col("s") & ~F.col("r")).cast("long")})
-    runs = fold(told, ["model", "__run"], "seq")  # 4096 operations at most
-    return fold(runs, ["model"], "__run").select("model", "accepted", "rejected", "other", (F.col("a") * start.get("mu", 0.0) + F.col("b")).alias("mu"))
+
+def replayed(events: DataFrame, start: dict[str, float]) -> DataFrame:
+    """model, accepted, rejected, other, mu: a scalar state after its accepted operations in order: ``events`` (model, seq,
+    status, op, value), by :func:`composed`. What is rejected or no operation is counted and changes nothing."""
+    state = (F.col("status") == "accepted") & F.coalesce(F.col("op").isin("set", "shift", "scale"), F.lit(False))
+    refused = F.col("status") == "rejected"
+    told = events.select("model", "seq", "value", F.when(state, F.col("op")).alias("op"), state.cast("long").alias("accepted"), refused.cast("long").alias("rejected"), (~state & ~refused).cast("long").alias("other"))
+    done = composed(told, ["model"], ["accepted", "rejected", "other"])
+    return done.select("model", "accepted", "rejected", "other", (F.col("a") * start.get("mu", 0.0) + F.col("b")).alias("mu"))

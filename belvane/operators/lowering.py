@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from belvane.functions.scalars import significant
+
 
 def missing(entities: DataFrame, required: DataFrame, slots: DataFrame) -> DataFrame:
     """model, entity, quantity: what ``required`` (class, quantity) asks of ``entities`` (model, entity, class) and
@@ -101,3 +103,10 @@ def bound_statuses(entities: DataFrame, told: DataFrame, known: list[str]) -> Da
     one that is not among ``known``."""
     found = entities.join(told, "id", "left")
     return found.select(*entities.columns, F.when(F.col("status").isNull(), "UNMATCHED").when(~F.col("status").isin(known), "UNKNOWN_STATUS").otherwise(F.col("status")).alias("status"))
+
+
+def listed(slots: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
+    """``by`` (an entity's key) and quantities: an array of (quantity, mu, sigma) in order of their names, to so many
+    significant digits. An entity has few quantities, those of its class."""
+    row = F.struct("quantity", significant(F.col("mu"), digits).alias("mu"), significant(F.col("sigma"), digits).alias("sigma"))
+    return slots.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("quantities"))

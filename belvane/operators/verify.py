@@ -125,3 +125,14 @@ def committed(before: DataFrame, candidate: DataFrame, found: DataFrame, stray:
     bad = (bad if stray is None else bad.unionByName(stray.select("model"))).distinct()
     kept = candidate.join(bad, "model", "left_anti").withColumn("committed", F.lit(True))
     return kept.unionByName(before.join(bad, "model", "left_semi").withColumn("committed", F.lit(False)))
+
+
+def composite(before: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """``before`` (keys, mu, ...) after all of ``steps`` (keys, seq, op, value) in order, as one change: what lies between
+    two steps is never verified, so judge the result by :func:`findings` and :func:`committed`. A row without steps stays
+    as it is; a step without a row is left out."""
+    from belvane.operators.ledger import composed
+
+    done = composed(steps, keys).withColumnsRenamed({"a": "__a", "b": "__b"})
+    moved = F.coalesce(F.col("__a") * F.col("mu") + F.col("__b"), F.col("mu"))
+    return before.join(done, keys, "left").withColumn("mu", moved).select(*before.columns)

@@ -344,3 +344,38 @@ def event_shapes(spark: SparkSession, d: str) -> DataFrame:
     needs = {k: ["payload"] for k in ("click", "error", "purchase", "signup", "view")}
     found = ledger.shape_faults(e, needs, {"purchase": F.col("value") >= 20})
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("fault").alias("refused"))
+
+
+_SIX = lambda x: f"CASE WHEN {x} = 0 THEN 0.0 ELSE sign({x}) * floor(abs({x}) * pow(10.0::double, 5 - floor(log10(abs({x})))) + 0.5) / pow(10.0::double, 5 - floor(log10(abs({x})))) END"
+
+
+@query(f"""SELECT model, entity, quantity, {_SIX('mu')} AS mu, {_SIX('sigma')} AS sigma FROM (SELECT model, entity, 'Qty' AS quantity, q::double AS mu, 0.5::double AS sigma FROM ({_LINES}) UNION ALL SELECT model, entity, 'Price', p, 0.08::double * abs(p) FROM ({_LINES})
+  UNION ALL SELECT model, entity, 'Disc', d, 0.002::double FROM ({_LINES}) UNION ALL SELECT model, entity, 'Tax', t, 0.002::double FROM ({_LINES}) UNION ALL SELECT s_suppkey, '*', 'Fx', 1.0::double, 0.01::double FROM supplier)""")
+def state_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity's quantities to six significant digits, a row each."""
+    return lowering.listed(views.slots(spark, d), ["model", "entity"]).select("model", "entity", F.inline("quantities"))
+
+
+@query("""SELECT p.l_partkey AS id, n.name, count(*) AS n, round(sum(CASE n.name WHEN 'Balance' THEN s_acctbal ELSE s_nationkey END), 2) AS total
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) p JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey, (SELECT unnest(['Balance', 'Nation']) AS name) n GROUP BY 1, 2""")
+def attached_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers are sets of two properties; each order attaches a supplier's set to the parts that it takes from it."""
+    relations = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_suppkey").alias("set")).agg(F.collect_list("l_partkey").alias("related"))
+    two = F.array(F.struct(F.lit("Balance").alias("name"), F.col("s_acctbal").alias("value")), F.struct(F.lit("Nation").alias("name"), F.col("s_nationkey").cast("double").alias("value")))
+    sets = table(spark, d, "supplier").select(F.col("s_suppkey").alias("set"), F.inline(two))
+    found = ingest.attached(table(spark, d, "part").select(F.col("p_partkey").alias("id")), relations, sets)
+    return rounded(found.groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 2, "total")
+
+
+@query(f"""SELECT model, committed, count(*) AS n, round(sum(CASE WHEN committed THEN (q + 1) * (1 - d) ELSE q END), 5) AS mu
+  FROM (SELECT *, count(*) FILTER ((q + 1) * (1 - d) < 1.85) OVER (PARTITION BY model) = 0 AS committed FROM ({_LINES})) GROUP BY 1, 2""")
+def composite_change(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities rise by one and then shrink by the discount, as one change, verified once; the steps are listed backwards.
+    A model with a result below 1.85 stays as it was."""
+    before = views.lines(spark, d).select("model", "entity", F.col("qty").cast("double").alias("mu"), "disc")
+    steps = F.array(F.struct(F.lit(1).alias("seq"), F.lit("scale").alias("op"), (1 - F.col("disc")).alias("value")), F.struct(F.lit(0).alias("seq"), F.lit("shift").alias("op"), F.lit(1.0).alias("value")))
+    before = materialise(before)
+    after = materialise(verify.composite(before, before.select("model", "entity", F.inline(steps)), ["model", "entity"]))
+    found = after.where("mu < 1.85").select("model", F.lit("FAIL").alias("status"))
+    done = verify.committed(before, after, found)
+    return rounded(done.groupBy("model", "committed").agg(F.count(F.lit(1)).alias("n"), F.sum("mu").alias("mu")), 5, "mu")

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from belvane.operators import belief, ingest, ledger, rules, scan, verify
+from belvane.operators import belief, ingest, ledger, lowering, rules, scan, verify
 
 STOREY = {"Area": [(1, ("H", "H"))], "Volume": [(1, ("Area", "H"))]}
 
@@ -94,3 +94,21 @@ def test_registration_finds_a_shift(spark):
     assert shift["x"] == pytest.approx(-0.3, abs=0.01) and shift["y"] == pytest.approx(-0.2, abs=0.01) and trace == sorted(trace, reverse=True)
     with pytest.raises(ValueError):
         scan.with_parts(points, parts, ["x", "y"], most=1)
+
+
+def test_composite_is_one_change(spark):
+    before = spark.createDataFrame([("m", "x", 2.0), ("m", "y", 5.0)], "model string, var string, mu double")
+    steps = spark.createDataFrame([("m", "x", 3, "scale", 2.0), ("m", "x", 1, "set", -4.0), ("m", "x", 2, "shift", 5.0), ("m", "z", 1, "set", 1.0), ("m", "x", 5000, "shift", 1.0)], "model string, var string, seq long, op string, value double")
+    found = {r["var"]: r["mu"] for r in verify.composite(before, steps, ["model", "var"]).collect()}
+    assert found == {"x": 3.0, "y": 5.0}
+    assert verify.composite(before.limit(0), steps, ["model", "var"]).count() == 0
+
+
+def test_attached_properties_and_listing(spark):
+    products = spark.createDataFrame([(1,), (2,)], "id long")
+    relations = spark.createDataFrame([("s", [1, 9]), ("s", [1]), ("t", [2]), ("u", None)], "set string, related array<long>")
+    sets = spark.createDataFrame([("s", "Fire", "F30"), ("u", "Load", "1")], "set string, name string, value string")
+    assert [tuple(r) for r in ingest.attached(products, relations, sets).collect()] == [(1, "s", "Fire", "F30")]
+    slots = spark.createDataFrame([("e", "b", 123456.5, 0.0), ("e", "a", -0.00012345678, None)], "entity string, quantity string, mu double, sigma double")
+    rows = lowering.listed(slots, ["entity"]).first()["quantities"]
+    assert [(r["quantity"], pytest.approx(r["mu"]), r["sigma"]) for r in rows] == [("a", -0.000123457, None), ("b", 123457.0, 0.0)]
