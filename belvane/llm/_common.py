@@ -21,17 +21,19 @@ def n_words(text: Column) -> Column:
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__file`` and ``__row``, which together name a row of its Parquet files.
+    """``row`` (all columns of ``docs``, so that no name clashes), and ``file`` and ``at``, which together name a row of its
+    Parquet files. ``select("row.*")`` gives the rows back.
 
     A frame that isn't read from files is written first, since an id must be the same each time it is computed.
     """
-    plain = docs.select([F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     try:
-        return plain.withColumns({"__file": F.xxhash64(F.col("_metadata.file_path")), "__row": F.col("_metadata.row_index")})
+        at = docs.metadataColumn("_metadata")
+        return docs.select(row, F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at"))
     except AnalysisException as e:
         if (e.getCondition() or "").split(".")[0] not in ("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND"):
             raise
-    return with_row_id(materialise(plain))
+    return with_row_id(materialise(docs))
 
 
 def running(df: DataFrame, order: list[str], size: str) -> DataFrame:

@@ -137,7 +137,7 @@ def repeat(docs: DataFrame, *, seed: int = 13, block: int = 16, shards: int = 8,
     rounded half up. A text without words, or a null one, isn't taken; repeated rows each count; columns whatever their names
     stay as they are. An empty table gives no rows."""
     named = with_row_id(docs)
-    found = _taken(named, ["__file", "__row"], seed, block, shards, cap)
-    times = found.select("__file", "__row", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("__times")).where("__times > 0")
-    joined = named.join(times, ["__file", "__row"])
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    read = named.select("file", "at", F.col("row.source").alias("source"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    found = _taken(read, ["file", "at"], seed, block, shards, cap)
+    times = found.select("file", "at", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("times")).where("times > 0")
+    return named.join(times, ["file", "at"]).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

@@ -306,12 +306,13 @@ def redact(docs: DataFrame, *, least: float = 0.9) -> DataFrame:
     they are. Repeated rows come back alike; an empty table gives no rows.
     """
     weights = train(materialise(proposals(docs, [])))
-    plain = [F.col(f"`{c}`") for c in docs.columns]
-    found = proposals(docs, plain, "__c").withColumn("__s", accept(F.col("__c"), weights, least))
-    text = F.when(F.col("text").isNull() | (F.size("__s") == 0), F.col("text")).otherwise(_replaced(F.col("text"), merged(F.col("__s"))))
-    found = found.withColumn("__t", text)
-    new = {"text": F.col("__t")} | ({"n_chars": F.length("__t").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    # all columns are one, so that no name clashes
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = proposals(read, ["row", "text"]).withColumn("spans", accept(F.col("cands"), weights, least))
+    text = F.when(F.col("text").isNull() | (F.size("spans") == 0), F.col("text")).otherwise(_replaced(F.col("text"), merged(F.col("spans"))))
+    found = found.select("row", text.alias("text"))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 #: The base patterns as they are stated, for tests.

@@ -175,7 +175,7 @@ def _score(batches: Iterator[pa.RecordBatch], w: np.ndarray, b: float, limit: fl
 
 def _keep(batches: Iterator[pa.RecordBatch], w: np.ndarray, b: float, limit: float) -> Iterator[pa.RecordBatch]:
     for r in batches:
-        yield r.filter(pc.is_in(pa.array(_scores(r.column("text").to_pylist(), w, b) >= limit), pa.array([True])))
+        yield r.select(["row"]).filter(pa.array(_scores(r.column("text").to_pylist(), w, b) >= limit))
 
 
 def score(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataFrame:
@@ -190,6 +190,8 @@ def score(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataF
 
 def keep_good(docs: DataFrame, *, limit: float = 0.4, max_rows: int = 3000) -> DataFrame:
     """The rows of ``docs`` that :func:`score` keeps, with all their columns, whatever their names. Rows with a null or empty
-    text go; repeated rows are kept or go together. An empty table gives no rows."""
+    text go; a text of any length is read whole; a score equal to ``limit`` is kept; repeated rows are kept or go together. An
+    empty table gives no rows."""
     w, b = fit(docs, max_rows=max_rows)
-    return docs.mapInArrow(partial(_keep, w=w, b=b, limit=limit), docs.schema)
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return read.mapInArrow(partial(_keep, w=w, b=b, limit=limit), read.select("row").schema).select("row.*")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from belvane.llm._common import materialise
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
-FEATURES = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: list[str]) -> int:
@@ -46,11 +47,10 @@ def measure(text: str | None) -> tuple[int, ...]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in FEATURES.split(", ")][2:]
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = pd.DataFrame([measure(x) for x in b["text"]], columns=names, dtype="int64")
-        yield pd.concat([b[["doc_id", "source"]].reset_index(drop=True), found], axis=1)
+        found = np.array([measure(x) for x in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *[pa.array(found[:, k]) for k in range(len(COUNTS))]], ["doc_id", "source", *COUNTS])
 
 
 def rules(min_words: int, max_symbol_share: float, max_dup_share: float, max_repeat_share: float) -> dict[str, Column]:
@@ -87,7 +87,9 @@ def judge_hosts(
     prior is as strong as 1000 documents. Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     tests = rules(min_words, max_symbol_share, max_dup_share, max_repeat_share)
-    measured = docs.select("doc_id", "source", "text").mapInPandas(_measure, FEATURES)
+    read = docs.select("doc_id", "source", "text")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in read.schema if f.name != "text"]
+    measured = read.mapInArrow(_measure, ", ".join([*kinds, *[f"{c} long" for c in COUNTS]]))
     found = materialise(measured.withColumns(tests))
     hosts = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in tests])
     # moments over hosts: mean and variance of the raw rates, and the variance that sampling alone would give; one row

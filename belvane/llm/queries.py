@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from belvane.llm import bpe, fingerprints, language_id, licenses, mixing, pii, quality_classifier, quality_rules, sharding, simhash
+from belvane.llm import bpe, collocations, fingerprints, language_id, licenses, mixing, ngram_join, pii, quality_classifier, quality_rules, runs, sharding, simhash
 
 
 def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,9 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "op8_sharding": sharding.shard,
     "op9_licenses": licenses.scan,
     "op10_language_id": language_id.identify,
+    "op11_collocations": collocations.collocations,
+    "op12_ngram_join": ngram_join.join,
+    "op13_periodic_runs": runs.digests,
 }
 
 

@@ -220,9 +220,10 @@ def keep_one(docs: DataFrame, *, radius: int = 3, shingle: int = 3, tree_size: i
     ids the one that is read first), with all its columns, whatever their names. A null doc_id comes after all others; null,
     empty and blank texts make one group; an empty table gives no rows."""
     named = with_row_id(docs)
-    marked = materialise(fingerprints(named, ["doc_id", "__file", "__row"], shingle=shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__file"), F.col("__row")))
+    read = named.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "file", "at")
+    marked = materialise(fingerprints(read, ["doc_id", "file", "at"], shingle=shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("file"), F.col("at")))
     least = marked.groupBy("fp").agg(first.alias("first"))
     kept = least.join(groups(marked, radius=radius, tree_size=tree_size), "fp").groupBy("component").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.__file").alias("__file"), F.col("first.__row").alias("__row"))
-    return named.join(kept, ["__file", "__row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.select(F.col("first.file").alias("file"), F.col("first.at").alias("at"))
+    return named.join(kept, ["file", "at"], "left_semi").select("row.*")

@@ -52,6 +52,13 @@ def odd(spark, odd_rows):
     return spark.createDataFrame(odd_rows, SCHEMA)
 
 
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with columns named as the operators name their own, and as Spark names a file's."""
+    names = ["__file", "__row", "__n", "__s", "__t", "__c", "__a", "__id", "__key", "__times", "__best", "_metadata", "file", "at", "row", "same", "c", "cands", "spans", "first", "prefix", "times", "part", "n", "component", "a.b"]
+    return odd.select("*", *[odd["doc_id"].alias(c) for c in names])
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
