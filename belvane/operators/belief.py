@@ -60,40 +60,70 @@ def posterior(observations: DataFrame, key: str, prior_mu: float, prior_var: flo
     return sums.select(key, "n", "rejected", ((F.col("wy") + prior_mu / prior_var) / precision).alias("mu"), (1 / precision).alias("var"))
 
 
-def _filtered(batches: Iterator[pa.RecordBatch], key: str, mu0: float, var0: float, q: float, a: float, b: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and place; only the mean and variance go from a batch to the next. Null readings leave nulls."""
-    kind, began, now, n, mu, var = None, False, None, 0, mu0, var0
+#: A stretch of readings as one map of beliefs: from a belief before them (mean m, variance P) to the one after, which has
+#: mean ``a`` (m + P ``eta``) / (1 + P ``info``) + ``b`` and variance ``a``^2 P / (1 + P ``info``) + ``c``. Such maps compose.
+_MAP = ("a", "b", "c", "eta", "info")
 
-    def state(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (kind, pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [key, "n", "mu", "var"])
+
+def _after(first: tuple[float, ...], then: tuple[float, ...]) -> tuple[float, ...]:
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then
+    t = 1 / (1 + c1 * j2)
+    return a2 * t * a1, a2 * t * (b1 + c1 * e2) + b2, a2 * t * c1 * a2 + c2, a1 * t * (e2 - j2 * b1) + e1, a1 * t * j2 * a1 + j1
+
+
+def _reading(y: float, r: float, a: float, b: float, q: float) -> tuple[float, ...]:
+    """One step x' = a x + b with noise q and a reading of it."""
+    s = q + r
+    if s == 0:  # an exact reading of a sure step: nothing before it matters
+        return 0.0, y, 0.0, 0.0, 0.0
+    return a * r / s, b + q * (y - b) / s, q * r / s, a * (y - b) / s, a * a / s
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], key: str, q: float, a: float, b: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and place; a row for each key of a task, with the map of its readings there. A null reading
+    makes the mean unknown, a null variance both."""
+    kind, began, now, n, no_mu, no_var, f = None, False, None, 0, False, False, None
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (kind, pa.int64(), pa.bool_(), pa.bool_(), *[pa.float64()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [key, "n", "no_mu", "no_var", *_MAP])
 
     for rows in batches:
         kind, out = rows.schema.field(key).type, []
         for k, y, r in zip(*[rows.column(c).to_pylist() for c in (key, "__y", "__r")], strict=True):
             if not began or k != now:
                 if began:
-                    out.append((now, n, mu, var))
-                began, now, n, mu, var = True, k, 0, mu0, var0
-            p = None if var is None else a * a * var + q
-            gain = None if p is None or r is None else p / (p + r)
-            m = None if mu is None else a * mu + b
-            mu = None if gain is None or m is None or y is None else m + gain * (y - m)
-            var = None if gain is None else (1 - gain) * p
-            n += 1
-        yield state(out)
+                    out.append((now, n, no_mu, no_var, *f))
+                began, now, n, no_mu, no_var, f = True, k, 0, False, False, (1.0, 0.0, 0.0, 0.0, 0.0)
+            no_mu, no_var, n = no_mu or y is None, no_var or r is None, n + 1
+            if not no_var:
+                f = _after(f, _reading(0.0 if y is None else y, r, a, b, q))
+        yield told(out)
     if began:
-        yield state([(now, n, mu, var)])
+        yield told([(now, n, no_mu, no_var, *f)])
 
 
 def predict_update(readings: DataFrame, key: str, order: list[str], *, mu0: float, var0: float, q: float, a: float = 1.0, b: float = 0.0) -> DataFrame:
     """``key``, n, mu, var: a scalar process x' = a x + b with noise variance ``q``, corrected by each reading (y, r) in
-    order. The readings of one key go through one task batch by batch, as each step needs the one before; they are sorted
-    on disk where need be."""
+    order. From a null y on the mean is null, from a null r on the variance too.
+
+    The steps compose, so the readings are cut into ranges of key and order, whatever a key's share of them; each range gives
+    one map for each of its keys, and a key's maps, one a range at most, are applied in turn."""
     rows = readings.select(key, *order, F.col("y").cast("double").alias("__y"), F.col("r").cast("double").alias("__r"))
-    dealt = rows.repartition(key).sortWithinPartitions(key, *order, "__y", "__r").select(key, "__y", "__r")
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, mu double, var double"
-    return dealt.mapInArrow(partial(_filtered, key=key, mu0=mu0, var0=var0, q=q, a=a, b=b), schema)
+    places = [key, *order, "__y", "__r"]
+    dealt = rows.repartitionByRange(*places).sortWithinPartitions(*places).select(key, "__y", "__r")
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, no_mu boolean, no_var boolean, " + ", ".join(f"{c} double" for c in _MAP)
+    maps = dealt.mapInArrow(partial(_stretches, key=key, q=q, a=a, b=b), schema).withColumn("part", F.spark_partition_id())
+    turn = F.array_sort(F.collect_list(F.struct("part", *_MAP)))
+
+    def apply(s: Column, f: Column) -> Column:
+        t = 1 + s["var"] * f["info"]
+        return F.struct((f["a"] * (s["mu"] + s["var"] * f["eta"]) / t + f["b"]).alias("mu"), (f["a"] * f["a"] * s["var"] / t + f["c"]).alias("var"))
+
+    start = F.struct(F.lit(float(mu0)).alias("mu"), F.lit(float(var0)).alias("var"))
+    found = maps.groupBy(key).agg(F.sum("n").alias("n"), F.bool_or("no_mu").alias("no_mu"), F.bool_or("no_var").alias("no_var"), turn.alias("maps"))
+    found = found.withColumn("__s", F.aggregate("maps", start, apply))
+    return found.select(key, "n", F.when(~F.col("no_mu") & ~F.col("no_var"), F.col("__s.mu")).alias("mu"), F.when(~F.col("no_var"), F.col("__s.var")).alias("var"))
 
 
 def forecast(state: DataFrame, steps: int, *, a: float, b: float, q: float) -> DataFrame:
@@ -272,3 +302,92 @@ def difference(pairs: DataFrame, least: float, confidence: float) -> DataFrame:
     gap = F.col("lhs") - F.col("rhs") - least
     p = F.when(var > 1e-30, scalars.normal_cdf(gap / F.sqrt(var))).otherwise(F.when(gap >= 0, 1.0).otherwise(0.0))
     return pairs.withColumn("p", F.round(p, 9)).withColumn("verdict", scalars.verdict(F.col("p"), confidence))
+
+
+def pair_covariances(jacobian: DataFrame, cov: DataFrame, pairs: DataFrame) -> DataFrame:
+    """model, a, b, var_a, var_b, cov of the ``pairs`` (model, a, b) of derived variables, of any entities: the entries of
+    J S J' that are asked for. ``jacobian`` is (model, out_var, var_id, v), ``cov`` (model, i, j, v; both triangles).
+
+    J S is made once for each variable that a pair names; then only what a pair's two rows have in common is multiplied, so
+    pairs that share nothing cost nothing but their row. A raw variable that all share is no hot key, as rows meet by
+    pair."""
+    p = pairs.select("model", "a", "b").distinct()
+    named = p.select("model", F.col("a").alias("out_var")).unionByName(p.select("model", F.col("b").alias("out_var"))).distinct()
+    j = jacobian.join(named, ["model", "out_var"], "left_semi").groupBy("model", "out_var", "var_id").agg(F.sum("v").alias("v"))
+    half = j.join(cov.select("model", F.col("i").alias("var_id"), "j", F.col("v").alias("s")), ["model", "var_id"]).groupBy("model", "out_var", "j").agg(F.sum(F.col("v") * F.col("s")).alias("h"))
+    own = half.join(j.select("model", "out_var", F.col("var_id").alias("j"), "v"), ["model", "out_var", "j"]).groupBy("model", "out_var").agg(F.sum(F.col("h") * F.col("v")).alias("var"))
+    left = p.join(half.select("model", F.col("out_var").alias("a"), "j", "h"), ["model", "a"])
+    both = left.join(j.select("model", F.col("out_var").alias("b"), F.col("var_id").alias("j"), "v"), ["model", "b", "j"]).groupBy("model", "a", "b").agg(F.sum(F.col("h") * F.col("v")).alias("cov"))
+    found = p.join(both, ["model", "a", "b"], "left")
+    for end in ("a", "b"):
+        found = found.join(own.select("model", F.col("out_var").alias(end), F.col("var").alias(f"var_{end}")), ["model", end], "left")
+    return found.select("model", "a", "b", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("var_a", "var_b", "cov")])
+
+
+def relative_covariances(jacobian: DataFrame, cov: DataFrame, pairs: DataFrame) -> DataFrame:
+    """model, a, b, p, q, v: the covariance of the difference of two entities in each pair of components, (Ja - Jb) S
+    (Ja - Jb)', for ``pairs`` (model, a, b) and ``jacobian`` (model, entity, component, var_id, v), such as those of centres
+    by x, y and z. What both share cancels before it is squared; components without any variance have no row."""
+    side = lambda end, sign: pairs.select("model", "a", "b").join(jacobian.withColumnRenamed("entity", end), ["model", end]).select("model", "a", "b", "component", "var_id", (sign * F.col("v")).alias("v"))
+    d = side("a", 1).unionByName(side("b", -1)).groupBy("model", "a", "b", "component", "var_id").agg(F.sum("v").alias("v")).where("v <> 0")
+    half = d.join(cov.select("model", F.col("i").alias("var_id"), "j", F.col("v").alias("s")), ["model", "var_id"]).groupBy("model", "a", "b", "component", "j").agg(F.sum(F.col("v") * F.col("s")).alias("h"))
+    right = d.select("model", "a", "b", F.col("component").alias("q"), F.col("var_id").alias("j"), "v")
+    return half.join(right, ["model", "a", "b", "j"]).groupBy("model", "a", "b", F.col("component").alias("p"), "q").agg(F.sum(F.col("h") * F.col("v")).alias("v"))
+
+
+def conditioned_jointly(cov: DataFrame, rows: DataFrame, readings: DataFrame, *, tol: float = 1e-10, rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The shift of every variable's mean by any number of joint observations, of models of any size: S H' (H S H' + R)^-1 e.
+
+    ``cov`` is (model, i, j, v; both triangles), ``rows`` the observations' rows (model, obs, var_id, h), ``readings`` (model,
+    obs, innovation, r; r is a noise variance, 0 for an exact reading). Returns model, var_id, shift for the variables that
+    move, and model, rounds, residual, status.
+
+    Conjugate gradients: the matrix of the observations is made once, as entries; a product with a vector is a join and a
+    sum, and all models step together, each until its residual is below ``tol`` of the beginning's. A model whose matrix
+    isn't positive, as where an exact reading is repeated, is REDUNDANT, one with a negative or missing r INVALID, one that
+    has not settled after ``rounds`` rounds OPEN; these shift nothing.
+    """
+    from belvane.sources.tables import materialise
+
+    bad = readings.groupBy("model").agg(F.bool_or(F.coalesce(F.col("r") < 0, F.lit(True)) | F.col("innovation").isNull() | F.isnan("r") | F.isnan("innovation")).alias("bad"))
+    h = materialise(rows.groupBy("model", "obs", "var_id").agg(F.sum("h").alias("h")))
+    hs = materialise(h.join(cov.select("model", F.col("i").alias("var_id"), "j", "v"), ["model", "var_id"]).groupBy("model", "obs", "j").agg(F.sum(F.col("h") * F.col("v")).alias("g")))
+    made = hs.join(h.select("model", F.col("obs").alias("other"), F.col("var_id").alias("j"), "h"), ["model", "j"]).select("model", "obs", "other", (F.col("g") * F.col("h")).alias("v"))
+    noise = readings.where("r <> 0").select("model", "obs", F.col("obs").alias("other"), F.col("r").alias("v"))
+    matrix = materialise(made.unionByName(noise).groupBy("model", "obs", "other").agg(F.sum("v").alias("v")))
+    zero, keys = F.lit(0.0), ["model", "probe"]
+    good = readings.join(bad.where("not bad"), "model", "left_semi").select("model", "obs", F.col("innovation").cast("double").alias("e"), "r")
+    # where readings are exact, a second right side by chance: dependent readings may agree on the first, not on this
+    exact = good.where("r = 0").select("model").distinct()
+    chance = good.join(exact, "model", "left_semi").select("model", "obs", (F.pmod(F.xxhash64(F.col("obs").cast("string")), F.lit(1 << 20)) / float(1 << 19) - 1).alias("e"), F.lit(True).alias("probe"))
+    sides = good.select("model", "obs", "e", F.lit(False).alias("probe")).unionByName(chance)
+    vec = materialise(sides.select(*keys, "obs", zero.alias("x"), "e", F.col("e").alias("p")))
+    # the largest diagonal entry, against which a pivot counts as nothing
+    scale = matrix.where("obs = other").groupBy("model").agg(F.max("v").alias("largest"))
+    begun = vec.groupBy(*keys).agg(F.sum(F.col("e") * F.col("e")).alias("ee")).join(scale, "model", "left")
+    state = materialise(begun.select(*keys, "ee", F.col("ee").alias("ee0"), F.coalesce("largest", zero).alias("largest"), F.lit(0).alias("rounds"), F.when(F.col("ee") == 0, "SOLVED").alias("status")))
+    for k in range(1, rounds + 1):
+        live = state.where("status is null")
+        if live.isEmpty():
+            break
+        going = vec.join(live.select(*keys), keys, "left_semi")
+        product = matrix.join(going.select(*keys, F.col("obs").alias("other"), F.col("p").alias("w")), ["model", "other"]).groupBy(*keys, "obs").agg(F.sum(F.col("v") * F.col("w")).alias("ap"))
+        step = materialise(going.join(product, [*keys, "obs"], "left").withColumn("ap", F.coalesce("ap", zero)))
+        sums = step.groupBy(*keys).agg(F.sum(F.col("p") * F.col("ap")).alias("pap"), F.sum(F.col("p") * F.col("p")).alias("pp"))
+        sized = live.join(sums, keys).withColumn("flat", F.col("pap") <= 1e-11 * F.col("largest") * F.col("pp"))
+        alpha = F.when(F.col("flat"), zero).otherwise(F.col("ee") / F.col("pap"))
+        # a row or two for each model, joined to its observations
+        moved = materialise(step.join(sized.select(*keys, alpha.alias("alpha")), keys).select(*keys, "obs", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"), (F.col("e") - F.col("alpha") * F.col("ap")).alias("e"), "p"))
+        told = sized.join(moved.groupBy(*keys).agg(F.sum(F.col("e") * F.col("e")).alias("now")), keys)
+        status = F.when(F.col("flat"), "REDUNDANT").when(F.col("now") <= tol * tol * F.col("ee0"), "SOLVED")
+        told = materialise(told.select(*keys, F.col("now").alias("ee"), (F.col("now") / F.col("ee")).alias("beta"), "ee0", "largest", F.lit(k).alias("rounds"), status.alias("status")))
+        new = moved.join(told.select(*keys, "beta"), keys).select(*keys, "obs", "x", "e", (F.col("e") + F.col("beta") * F.col("p")).alias("p"))
+        vec = materialise(new.unionByName(vec.join(live.select(*keys), keys, "left_anti")))
+        state = materialise(told.drop("beta").unionByName(state.where("status is not null")))
+    part = F.when(F.col("ee0") > 0, F.sqrt(F.col("ee") / F.col("ee0"))).otherwise(zero)
+    worst = F.max(F.when(F.col("status") == "REDUNDANT", 2).when(F.col("status").isNull(), 1).otherwise(0))
+    told = state.groupBy("model").agg(F.max(F.when(~F.col("probe"), F.col("rounds"))).alias("rounds"), F.max(F.when(~F.col("probe"), part)).alias("residual"), worst.alias("worst"))
+    told = materialise(told.select("model", "rounds", "residual", F.when(F.col("worst") == 2, "REDUNDANT").when(F.col("worst") == 1, "OPEN").otherwise("SOLVED").alias("status")))
+    solved = vec.where("not probe").join(told.where("status = 'SOLVED'").select("model"), "model", "left_semi").select("model", "obs", "x")
+    shift = hs.join(solved, ["model", "obs"]).groupBy("model", F.col("j").alias("var_id")).agg(F.sum(F.col("g") * F.col("x")).alias("shift"))
+    return shift, told.unionByName(bad.where("bad").select("model", F.lit(0).alias("rounds"), F.lit(None).cast("double").alias("residual"), F.lit("INVALID").alias("status")))

@@ -72,6 +72,40 @@ def separation(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("__gaps", F.array(*gaps)).withColumn("clearance", F.array_max("__gaps")).withColumn("axis", F.array_position("__gaps", F.col("clearance")) - 1).drop("__gaps")
 
 
+def flat_clearance(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and each side's box, as ``geometry.sided`` gives them) with pair (the text a:b), clearance, axis (0 to 3:
+    two of a, two of b), its direction nx, ny and side (1 where b lies along it, else -1). The widest gap is the clearance,
+    compared at nine digits; ties go to the first axis, so the gradient is that of one axis."""
+    across = [(F.cos(F.col(f"yaw_{s}") + t), F.sin(F.col(f"yaw_{s}") + t)) for s in "ab" for t in (0.0, math.pi / 2)]
+    middle = lambda s: (F.col(f"ox_{s}") + F.col(f"ex_{s}") / 2 * F.cos(f"yaw_{s}") - F.col(f"ey_{s}") / 2 * F.sin(f"yaw_{s}"), F.col(f"oy_{s}") + F.col(f"ex_{s}") / 2 * F.sin(f"yaw_{s}") + F.col(f"ey_{s}") / 2 * F.cos(f"yaw_{s}"))
+    (ax, ay), (bx, by) = middle("a"), middle("b")
+    options = []
+    for k, (nx, ny) in enumerate(across):
+        along = (bx - ax) * nx + (by - ay) * ny
+        side = F.when(along >= 0, 1.0).otherwise(-1.0)
+        gap = side * along - sum([r * F.col(f"e{e}_{s}") for s in "ab" for e, r in _reach(s, nx, ny).items()], F.lit(0.0))
+        options.append(F.struct((-F.round(gap, 9)).alias("less"), F.lit(k).alias("axis"), gap.alias("clearance"), nx.alias("nx"), ny.alias("ny"), side.alias("side")))
+    best = pairs.withColumn("__best", F.array_min(F.array(*options)))
+    return best.select("*", F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"), *[f"__best.{c}" for c in ("clearance", "axis", "nx", "ny", "side")]).drop("__best")
+
+
+def _reach(s: str, nx: Column, ny: Column) -> dict[str, Column]:
+    """How far box ``s`` reaches along a direction for each unit of its extents."""
+    yaw = F.col(f"yaw_{s}")
+    return {"x": F.abs(nx * F.cos(yaw) + ny * F.sin(yaw)) / 2, "y": F.abs(ny * F.cos(yaw) - nx * F.sin(yaw)) / 2}
+
+
+def clearance_gradient(apart: DataFrame) -> DataFrame:
+    """pair, id, extent, v: the derivatives of each clearance of :func:`flat_clearance` by both boxes' extents. An extent moves
+    the box's centre, as the origin stays, and its reach."""
+    nx, ny, cells = F.col("nx"), F.col("ny"), []
+    for s, sign in (("a", -1), ("b", 1)):
+        yaw = F.col(f"yaw_{s}")
+        along = {"x": (nx * F.cos(yaw) + ny * F.sin(yaw)) / 2, "y": (ny * F.cos(yaw) - nx * F.sin(yaw)) / 2}
+        cells += [F.struct(F.col(s).alias("id"), F.lit(e).alias("extent"), (sign * F.col("side") * along[e] - r).alias("v")) for e, r in _reach(s, nx, ny).items()]
+    return apart.select("pair", F.inline(F.array(*cells)))
+
+
 def assess_clearance(risks: DataFrame, key: str, required: float, sigma: float, *, confidence: float = 0.95) -> DataFrame:
     """``key``, elements, p_lower, p_upper, verdict from ``risks`` (key, clearance).
 

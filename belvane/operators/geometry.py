@@ -249,3 +249,16 @@ def transmittance(rays: DataFrame, parts: DataFrame) -> DataFrame:
     along = scalars.normal_cdf((F.col("x1") - F.col("mean_x")) / s) - scalars.normal_cdf((F.col("x0") - F.col("mean_x")) / s)
     found = joined.groupBy("ray").agg(F.sum(F.col("weight") * across * along).alias("depth"))
     return found.withColumn("transmittance", F.exp(-F.col("depth")))
+
+
+def sided(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with each side's box, as ox_a .. ez_a and ox_b .. ez_b."""
+    side = lambda s: boxes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ox", "oy", "oz", "yaw", "ex", "ey", "ez")])
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+
+def centre_gradient(boxes: DataFrame) -> DataFrame:
+    """id, component, extent, v: the derivatives of the centres of ``boxes`` by their extents; the origin stays."""
+    c, s = F.cos("yaw") / 2, F.sin("yaw") / 2
+    cells = (("x", "x", c), ("x", "y", -s), ("y", "x", s), ("y", "y", c), ("z", "z", F.lit(0.5)))
+    return boxes.select("id", F.inline(F.array(*[F.struct(F.lit(p).alias("component"), F.lit(e).alias("extent"), v.alias("v")) for p, e, v in cells])))

@@ -75,7 +75,8 @@ def exempt(rel: DataFrame, paths: list[tuple[str, str]]) -> DataFrame:
 
 
 def depths(rel: DataFrame, most: int) -> DataFrame:
-    """node, depth of all nodes at most ``most`` edges below a root; a node with several ways counts by the longest."""
+    """node, depth of all nodes below the roots; a node with several ways counts by the longest, and one deeper than ``most``
+    as that deep."""
     from belvane.operators.dag import levels
 
-    return levels(rel.select(F.col("source").alias("parent"), F.col("target").alias("child"))).where(F.col("level") <= most).withColumnRenamed("level", "depth")
+    return levels(rel.select(F.col("source").alias("parent"), F.col("target").alias("child"))).select("node", F.least("level", F.lit(most)).alias("depth"))

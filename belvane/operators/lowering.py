@@ -10,8 +10,9 @@ from belvane.functions.scalars import significant
 
 def missing(entities: DataFrame, required: DataFrame, slots: DataFrame) -> DataFrame:
     """model, entity, quantity: what ``required`` (class, quantity) asks of ``entities`` (model, entity, class) and
-    ``slots`` (entity, quantity) lacks."""
-    return entities.join(required, "class").join(slots.select("entity", "quantity"), ["entity", "quantity"], "left_anti").select("model", "entity", "quantity")
+    ``slots`` (model, entity, quantity) lacks. Two models may name an entity alike."""
+    keys = ["model", "entity", "quantity"]
+    return entities.join(required, "class").join(slots.select(*keys), keys, "left_anti").select(*keys)
 
 
 def audit(entities: DataFrame, required: DataFrame, slots: DataFrame) -> DataFrame:
@@ -36,15 +37,16 @@ def summary(audited: DataFrame) -> DataFrame:
 def sigma_policy(slots: DataFrame, posterior: DataFrame, stated: DataFrame, defaults: DataFrame, relative: dict[str, float]) -> DataFrame:
     """``slots`` (model, var_id, quantity, mu) with ``sigma`` and the ``policy`` that it is from.
 
-    A posterior (var_id, sigma) comes before a stated uncertainty (var_id, sigma), that before a share of the mean by
-    quantity, and that before the default of the quantity (quantity, sigma). A quantity with none is REJECTED.
+    A posterior (model, var_id, sigma) comes before a stated uncertainty (model, var_id, sigma), that before a share of the
+    mean by quantity, and that before the default of the quantity (quantity, sigma). A quantity with none is REJECTED. Two
+    models may name a variable alike.
     """
     share = F.lit(None).cast("double")
     for quantity, part in relative.items():
         share = F.when(F.col("quantity") == quantity, part * F.abs("mu")).otherwise(share)
     joined = (
-        slots.join(posterior.select("var_id", F.col("sigma").alias("__p")), "var_id", "left")
-        .join(stated.select("var_id", F.col("sigma").alias("__s")), "var_id", "left")
+        slots.join(posterior.select("model", "var_id", F.col("sigma").alias("__p")), ["model", "var_id"], "left")
+        .join(stated.select("model", "var_id", F.col("sigma").alias("__s")), ["model", "var_id"], "left")
         .join(defaults.select("quantity", F.col("sigma").alias("__d")), "quantity", "left")
         .withColumn("__r", share)
     )

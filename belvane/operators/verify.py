@@ -56,25 +56,52 @@ def variances(world: World) -> DataFrame:
 
 
 def both_ends(world: World) -> DataFrame:
-    """STRUCT-01: both ends of each of ``rel`` (model, kind, source, target) are among ``nodes`` (node)."""
-    nodes = world["nodes"].select("node").distinct()
-    gone = [world["rel"].join(nodes, F.col(end) == F.col("node"), "left_anti").withColumn("subject", F.concat_ws(" ", "kind", "source", "target")) for end in ("source", "target")]
+    """STRUCT-01: both ends of each of ``rel`` (model, kind, source, target) are among the ``nodes`` (model, node) of its
+    model."""
+    nodes = world["nodes"].select("model", "node").distinct()
+    gone = [world["rel"].join(nodes.withColumnRenamed("node", end), ["model", end], "left_anti").withColumn("subject", F.concat_ws(" ", "kind", "source", "target")) for end in ("source", "target")]
     return _rows(gone[0].unionByName(gone[1]), "STRUCT-01", F.lit("FAIL"), F.lit(None))
 
 
 def acyclic(world: World) -> DataFrame:
-    """STRUCT-02: nodes of ``rel`` that lie on a cycle of spatial edges or behind one; no cycle, no row."""
+    """STRUCT-02: nodes of ``rel`` that lie on a cycle of spatial edges of their model or behind one; no cycle, no row."""
     from belvane.operators.dag import levels
 
     spatial = world["rel"].where(F.col("kind").isin("aggregates", "contains"))
+    end = lambda c: F.struct("model", F.col(c).alias("node"))
     nodes = spatial.select("model", F.col("source").alias("node")).unionByName(spatial.select("model", F.col("target").alias("node"))).distinct()
-    placed = levels(spatial.select(F.col("source").alias("parent"), F.col("target").alias("child")))
-    return _rows(nodes.join(placed, "node", "left_anti").withColumn("subject", F.col("node")), "STRUCT-02", F.lit("FAIL"), F.lit(None))
+    placed = levels(spatial.select(end("source").alias("parent"), end("target").alias("child"))).select("node.model", "node.node")
+    return _rows(nodes.join(placed, ["model", "node"], "left_anti").withColumn("subject", F.col("node")), "STRUCT-02", F.lit("FAIL"), F.lit(None))
+
+
+def exactly_one(world: World) -> DataFrame:
+    """STRUCT-03: each of ``single`` (model, node, kind), such as an opening that voids a wall, is the source of exactly one
+    edge of ``rel`` of that kind; ``detail`` is how many it has."""
+    n = world["rel"].groupBy("model", F.col("source").alias("node"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    found = world["single"].join(n, ["model", "node", "kind"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "subject": F.concat_ws(" ", "kind", "node")})
+    return _rows(found, "STRUCT-03", F.when(F.col("n") != 1, "FAIL"), F.col("n"))
+
+
+def factors(world: World) -> DataFrame:
+    """GAUSS-02: each model's ``cov`` has a Cholesky factor, with a small jitter at most; a jitter that it took warns. A
+    model's covariance must fit a task."""
+    from belvane.operators.belief import positive
+
+    found = positive(world["cov"], "model").withColumn("subject", F.lit("covariance"))
+    return _rows(found, "GAUSS-02", F.when(~F.col("positive"), "FAIL").when(F.col("jitter") > 0, "WARN"), F.col("jitter"))
+
+
+def reevaluated(world: World) -> DataFrame:
+    """GAUSS-03: ``derived`` (model, subject, value, again), the stored mean of a derived quantity and its definition at the
+    raw means, equal to a billionth; the worst of each model only."""
+    gap = F.abs(F.col("value") - F.col("again")) / F.greatest(F.abs("value"), F.lit(1.0))
+    worst = world["derived"].groupBy("model").agg(F.max_by(F.struct("subject", gap.alias("gap")), F.struct(gap, F.col("subject"))).alias("w")).select("model", "w.*")
+    return _rows(worst, "GAUSS-03", F.when(F.col("gap") > 1e-9, "FAIL"), F.col("gap"))
 
 
 #: Each invariant with the tables that it reads; one whose tables a world lacks is not run.
 REGISTRY: list[tuple[Invariant, tuple[str, ...]]] = [
-    (both_ends, ("rel", "nodes")), (acyclic, ("rel",)), (symmetric, ("cov",)), (variances, ("cov",)), (non_negative, ("slots",)), (at_most, ("pairs",)), (restated, ("restatements",)), (rolled_up, ("totals", "members")),
+    (both_ends, ("rel", "nodes")), (acyclic, ("rel",)), (exactly_one, ("rel", "single")), (symmetric, ("cov",)), (variances, ("cov",)), (factors, ("cov",)), (reevaluated, ("derived",)), (non_negative, ("slots",)), (at_most, ("pairs",)), (restated, ("restatements",)), (rolled_up, ("totals", "members")),
 ]
 
 
@@ -87,10 +114,11 @@ def findings(world: World, registry: list[tuple[Invariant, tuple[str, ...]]] | N
 
 
 def report(found: DataFrame, models: DataFrame) -> DataFrame:
-    """model, failed, warned, passed (a flag: nothing failed) of ``models`` (model) by their :func:`findings`."""
+    """model, failed, warned, passed (a flag: nothing failed) of ``models`` (model) by their :func:`findings`. A finding
+    about a model that ``models`` lacks, a null one among them, is a row of its own, so that none is lost."""
     n = found.groupBy("model").agg(F.count(F.when(F.col("status") == "FAIL", 1)).alias("failed"), F.count(F.when(F.col("status") == "WARN", 1)).alias("warned"))
-    joined = models.join(n, "model", "left")
-    return joined.select("model", F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("warned", F.lit(0)).alias("warned"), (F.coalesce("failed", F.lit(0)) == 0).alias("passed"))
+    joined = models.alias("m").join(n.alias("n"), F.col("m.model").eqNullSafe(F.col("n.model")), "full")
+    return joined.select(F.coalesce("m.model", "n.model").alias("model"), F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("warned", F.lit(0)).alias("warned"), (F.coalesce("failed", F.lit(0)) == 0).alias("passed"))
 
 
 def asymmetry(cov: DataFrame) -> DataFrame:

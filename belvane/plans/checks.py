@@ -21,7 +21,8 @@ def _required(spark: SparkSession) -> DataFrame:
 def _orders(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Orders as entities of customers, and the flags of their lines as the quantities that they have."""
     entities = table(spark, d, "orders").select(F.col("o_custkey").alias("model"), F.col("o_orderkey").alias("entity"), F.col("o_orderstatus").alias("class"), (F.col("o_totalprice") < 1000).alias("blocked"), (F.col("o_orderpriority") < "3").alias("has_geometry"))
-    return entities, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("quantity"))
+    flags = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("quantity"))
+    return entities, flags.join(entities.select("model", "entity"), "entity")
 
 
 _MISSING = f"(SELECT o_custkey AS model, o_orderkey AS entity, r.quantity FROM orders JOIN {_REQUIRED} ON r.class = o_orderstatus WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = r.quantity))"
@@ -55,9 +56,9 @@ def model_audit(spark: SparkSession, d: str) -> DataFrame:
   SELECT model, quantity, policy, count(*) AS n, round(sum(CASE policy WHEN 'POSTERIOR' THEN 0.1 WHEN 'STATED' THEN 0.3 WHEN 'RELATIVE' THEN 0.08::double * p WHEN 'DEFAULT' THEN (CASE quantity WHEN 'Qty' THEN 0.5 ELSE 0.002 END) END::double), 5) AS sigma FROM s GROUP BY 1, 2, 3""")
 def sigma_policy(spark: SparkSession, d: str) -> DataFrame:
     slots = views.slots(spark, d).where("entity <> '*'").select("model", "entity", "var_id", "quantity", "mu")
-    flags = views.lines(spark, d).select("entity", "l_returnflag")
+    flags = views.lines(spark, d).select("model", "entity", "l_returnflag")
     quantities = lambda names: F.explode(F.array(*map(F.lit, names))).alias("quantity")
-    stated = lambda flag, names, sigma: flags.where(F.col("l_returnflag") == flag).select("entity", quantities(names)).select(F.concat_ws(".", "entity", "quantity").alias("var_id"), F.lit(sigma).alias("sigma"))
+    stated = lambda flag, names, sigma: flags.where(F.col("l_returnflag") == flag).select("model", "entity", quantities(names)).select("model", F.concat_ws(".", "entity", "quantity").alias("var_id"), F.lit(sigma).alias("sigma"))
     defaults = spark.sql("SELECT quantity, sigma FROM (VALUES ('Qty', 0.5D), ('Disc', 0.002D)) AS k(quantity, sigma)")
     found = lowering.sigma_policy(slots, stated("R", ["Qty", "Price", "Disc"], 0.1), stated("A", ["Qty", "Price"], 0.3), defaults, {"Price": 0.08})
     return rounded(found.groupBy("model", "quantity", "policy").agg(F.count(F.lit(1)).alias("n"), F.sum("sigma").alias("sigma")), 5, "sigma")

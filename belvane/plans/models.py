@@ -292,7 +292,7 @@ def invariant_report(spark: SparkSession, d: str) -> DataFrame:
         "pairs": rows.select("model", F.col("entity").alias("subject"), (F.col("Gross") - F.col("Net")).alias("gap"), sigma.alias("sigma")),
         "restatements": rows.join(flags, "entity").select("model", F.col("entity").alias("subject"), F.col("Net").alias("value"), (F.col("Qty") * F.col("Price") * (1 - F.col("Disc")) * F.when(spoilt, 1.1).otherwise(1.0)).alias("again")),
         "totals": rows.groupBy("model").agg(F.sum("Net").alias("total")), "members": rows.select("model", F.col("Net").alias("value")),
-        "rel": views.relations(spark, d).withColumn("model", F.lit(None).cast("bigint")), "cov": rules.covariance(rows, own, ["Gross", "Net"]).groupBy("model", "i", "j").agg(F.sum("v").alias("v")),
+        "rel": views.supplier_relations(spark, d), "nodes": views.nodes_of(views.supplier_relations(spark, d)), "cov": rules.covariance(rows, own, ["Gross", "Net"]).groupBy("model", "i", "j").agg(F.sum("v").alias("v")),
     }
     return verify.report(verify.findings(world), rows.select("model").distinct())
 

@@ -52,10 +52,15 @@ OWN, SHARED = ["Qty", "Price", "Disc", "Tax"], ["Fx"]
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    """model, entity and a column for each quantity of :func:`slots`, with s_ for its deviation."""
-    from belvane.operators import rules
-
-    return rules.side_by_side(slots(spark, d), OWN, SHARED)
+    """model, entity and a column for each quantity of :func:`slots`, with s_ for its deviation: what
+    :func:`~belvane.operators.rules.side_by_side` makes of the slots. A line has its quantities side by side already, so
+    nothing is shuffled but the models' shared ones, of which Spark broadcasts a small table."""
+    own = lines(spark, d).select(
+        "model", "entity", F.col("qty").alias("Qty"), F.lit(0.5).alias("s_Qty"), F.col("price").alias("Price"), (0.08 * F.abs("price")).alias("s_Price"),
+        F.col("disc").alias("Disc"), F.lit(0.002).alias("s_Disc"), F.col("tax").alias("Tax"), F.lit(0.002).alias("s_Tax"),
+    )
+    shared = table(spark, d, "supplier").select(F.col("s_suppkey").alias("model"), F.lit(1.0).alias("Fx"), F.lit(0.01).alias("s_Fx"))
+    return own.join(shared, "model", "left")
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +76,30 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def supplier_relations(spark: SparkSession, d: str) -> DataFrame:
+    """model, kind, source, target: each supplier is a model that contains its orders, which aggregate its lines."""
+    lines_ = table(spark, d, "lineitem")
+    model, order = F.col("l_suppkey").alias("model"), F.concat(F.lit("o"), "l_orderkey")
+    contains = lines_.select(model, F.lit("contains").alias("kind"), F.concat(F.lit("s"), "l_suppkey").alias("source"), order.alias("target")).distinct()
+    line = F.concat_ws(":", F.lit("l"), *[F.col(c).cast("string") for c in ENTITY])
+    return contains.unionByName(lines_.select(model, F.lit("aggregates").alias("kind"), order.alias("source"), line.alias("target")).distinct())
+
+
+def nodes_of(rel: DataFrame) -> DataFrame:
+    """model, node of all ends of ``rel``."""
+    return rel.select("model", F.col("source").alias("node")).unionByName(rel.select("model", F.col("target").alias("node"))).distinct()
+
+
+def region_relations(spark: SparkSession, d: str) -> DataFrame:
+    """model, kind, source, target: each region is a model of its nations, customers and orders, which are named within it."""
+    nation, customer, orders = table(spark, d, "nation"), table(spark, d, "customer"), table(spark, d, "orders")
+    own = customer.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("model")), "c_nationkey")
+    edge = lambda kind, a, source, b, target: (F.lit(kind).alias("kind"), F.concat(F.lit(a), F.col(source)).alias("source"), F.concat(F.lit(b), F.col(target)).alias("target"))
+    return own.select("model", *edge("aggregates", "n", "c_nationkey", "c", "c_custkey")).unionByName(
+        orders.join(own.select("model", F.col("c_custkey").alias("o_custkey")), "o_custkey").select("model", *edge("contains", "c", "o_custkey", "o", "o_orderkey"))
+    )
+
+
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """id, origin, yaw, extents: boxes on a floor, from parts."""
     return table(spark, d, "part").selectExpr(
