@@ -5,10 +5,11 @@ The counts of all phrases that occur ``least`` times or more are kept as two str
 order its ends, so merge joins of sorted streams bring together a phrase's count, those of its left and right parts, and
 the greatest count among the phrases that are longer by a word on either side. No hash table is built for a join.
 
-A phrase that is frequent has frequent parts only. So before phrases are counted as text, words and pairs of words are
-counted by a range of their hash; ranges that hold a count of ``least`` are set in a table of 2 ** 27 bits, and longer
-phrases are counted only where all their pairs are set. Hashes decide nothing else: what the table lets through in excess
-is counted by its words and dropped then. Where the table is full it drops less, and the result is the same.
+A phrase that is frequent has frequent parts only. So before phrases are counted as text, they are counted by a hash of 48
+bits: first words and pairs of words, then phrases of three and four whose pairs all were frequent. Hashes that are counted
+``least`` times are set in two tables of 2 ** 27 bits, by their first bits, and only what is set is counted as text. Hashes
+decide nothing else: what the tables let through in excess is counted by its words and dropped then. Where a table is full
+it drops less, and the result is the same.
 """
 
 from __future__ import annotations
@@ -68,15 +69,37 @@ class _Stretch:
         self.ids.append(ids)
         self.size += len(ids)
 
-    def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The numbers, and the hashes of each word and of the pair that it starts; 0 where there is none."""
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers, and the hashes of the words. The last is an end."""
         ids = np.concatenate(self.ids)
-        h = np.array(self.hashes, dtype=np.uint64)[ids]
-        one = np.where(ids > 0, (h ^ h >> _FAR) * _STEP >> np.uint64(64 - HASH), 0)
-        pair = np.zeros(len(ids), dtype=np.uint64)
-        both = h[:-1] * _STEP + (h[1:] ^ h[1:] >> _FAR) * _MIX
-        pair[:-1] = np.where((ids[:-1] > 0) & (ids[1:] > 0), (both ^ both >> _FAR) * _STEP >> np.uint64(64 - HASH), 0)
-        return ids, one, pair
+        return ids, np.array(self.hashes, dtype=np.uint64)[ids]
+
+
+def _hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The hashes, of ``HASH`` bits, of the k words from each of the places ``at``."""
+    out = np.full(len(at), k, dtype=np.uint64)
+    for j in range(k):
+        x = h[at + j]
+        out = out * _STEP + (x ^ x >> _FAR) * _MIX
+    return (out ^ out >> _FAR) * _STEP >> np.uint64(64 - HASH)
+
+
+def _is_set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes >> np.uint64(HASH - TABLE)).astype(np.int64)
+    return table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 > 0
+
+
+def _places(ids: np.ndarray, h: np.ndarray, table: np.ndarray | None) -> dict[int, np.ndarray]:
+    """Where phrases of one to four words begin; with a table of words and pairs, those of which it has all."""
+    one = np.flatnonzero(ids > 0)
+    two = one[ids[one + 1] > 0]
+    if table is None:
+        return {1: one, 2: two}
+    one, two = one[_is_set(table, _hash(h, one, 1))], two[_is_set(table, _hash(h, two, 2))]
+    pair = np.zeros(len(ids) + 2, dtype=bool)
+    pair[two] = True
+    three = two[pair[two + 1]]
+    return {1: one, 2: two, 3: three, 4: three[pair[three + 2]]}
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Stretch]:
@@ -92,20 +115,21 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Stretch]:
         yield s
 
 
-def _hash_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of words and pairs, sorted, with their counts (255 at most): a row for each range of hashes."""
+def _hash_counts(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """The hashes of words and pairs, or with their table those of longer phrases, sorted, with their counts (255 at most): a
+    row for each range of hashes."""
     for s in _stretches(batches):
-        _, one, pair = s.read()
-        found, times = np.unique(np.concatenate([one, pair]), return_counts=True)
-        found, times = found[found > 0], np.minimum(times[found > 0], 255).astype(np.uint8)
+        ids, h = s.read()
+        at = _places(ids, h, bits.value if bits else None)
+        found, times = np.unique(np.concatenate([_hash(h, at[k], k) for k in ((3, 4) if bits else (1, 2))]), return_counts=True)
         if not len(found):
             continue
+        times = np.minimum(times, 255).astype(np.uint8)
         rest = (found & np.uint64((1 << HASH - RANGES) - 1)).astype(np.uint32)
         ranges, start = np.unique((found >> np.uint64(HASH - RANGES)).astype(np.int32), return_index=True)
-        at = pa.array(np.append(start, len(found)).astype(np.int32))
-        four = pa.array(np.append(start, len(found)).astype(np.int32) * 4)
-        packed = lambda ends, x: pa.Array.from_buffers(pa.binary(), len(ranges), [None, ends.buffers()[1], pa.py_buffer(x.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(ranges), packed(four, rest), packed(at, times)], ["part", "hashes", "times"])
+        ends = np.append(start, len(found)).astype(np.int32)
+        packed = lambda x: pa.Array.from_buffers(pa.binary(), len(ranges), [None, pa.py_buffer((ends * x.itemsize).tobytes()), pa.py_buffer(x.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(ranges), packed(rest), packed(times)], ["part", "hashes", "times"])
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -138,50 +162,39 @@ def _set_bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
     yield batch(flush())
 
 
-def frequent(texts: DataFrame, least: int) -> np.ndarray:
-    """The table of 2 ** 27 bits, 16 MB whatever the input: a task sums the counts of a range of hashes."""
-    counted = texts.mapInArrow(_hash_counts, "part int, hashes binary, times binary")
+def frequent(texts: DataFrame, least: int, bits=None) -> np.ndarray:
+    """The table of words and pairs, or with it (``bits``) that of longer phrases: 2 ** 27 bits, 16 MB whatever the input. A
+    task sums the counts of a range of hashes."""
+    counted = texts.mapInArrow(partial(_hash_counts, bits=bits), "part int, hashes binary, times binary")
     found = counted.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_set_bits, least=least), "part int, bits binary")
     table = np.zeros((1 << RANGES, 1 << TABLE - RANGES - 3), dtype=np.uint8)
     for b in found.toArrow().to_batches():  # one row a range at most, 2 ** 27 bits in all
-        for k, bits in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            table[k] = np.frombuffer(bits, dtype=np.uint8)
+        for k, row in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
+            table[k] = np.frombuffer(row, dtype=np.uint8)
     return table.reshape(-1)
 
 
-def _is_set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bit = (hashes >> np.uint64(HASH - TABLE)).astype(np.int64)
-    return (hashes > 0) & (table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1 > 0)
-
-
-def _phrase_counts(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    """lang, k, phrase, f: of a stretch, the counts of what the table lets through, phrases of k words; k = 0 counts all
+def _phrase_counts(batches: Iterator[pa.RecordBatch], bits, more) -> Iterator[pa.RecordBatch]:
+    """lang, k, phrase, f: of a stretch, the counts of what the tables let through, phrases of k words; k = 0 counts all
     words of a language."""
-    table = bits.value
     for s in _stretches(batches):
-        ids, one, pair = s.read()
-        words = [x.decode("utf-8") for x in s.words[1:]]
-        words.insert(0, "")
-        lang_of = np.zeros(len(s.words), dtype=np.int64)
+        ids, h = s.read()
+        words = ["", *[x.decode("utf-8") for x in s.words[1:]]]
         langs = list(s.of_lang)
+        lang_of = np.zeros(len(words), dtype=np.int64)
         for k, lang in enumerate(langs):
             lang_of[[n for n in s.of_lang[lang].values() if n > 0]] = k
-        out: list[tuple[str, int, str, int]] = []
-        for k, n in enumerate(np.bincount(lang_of[ids[ids > 0]], minlength=len(langs)).tolist()):
-            out.append((langs[k], 0, "", n))
-        two = _is_set(table, pair)
-        at, name = np.flatnonzero(_is_set(table, one)), None
+        out = [(langs[k], 0, "", n) for k, n in enumerate(np.bincount(lang_of[ids[ids > 0]], minlength=len(langs)).tolist())]
+        at = _places(ids, h, bits.value)
+        name = np.zeros(len(ids), dtype=np.int64)  # the number of the phrase that begins here, 0 where none does
         for k in range(1, MOST + 1):
-            if k > 1:
-                # a phrase is named by the number of its beginning and its last word
-                good = two[at + k - 2]
-                at, name = at[good], name[good] * len(s.words) + ids[at[good] + k - 1]
-            else:
-                name = ids[at]
-            _, first, number, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-            name = number
-            for p, n in zip(at[first].tolist(), times.tolist(), strict=True):
-                own = ids[p : p + k].tolist()
+            p = at[k] if k < 3 else at[k][_is_set(more.value, _hash(h, at[k], k))]
+            p = p[(name[p] > 0) & (name[p + 1] > 0)] if k > 1 else p  # both parts were let through too
+            _, first, number, times = np.unique(name[p] * len(words) + ids[p + k - 1], return_index=True, return_inverse=True, return_counts=True)
+            name[:] = 0
+            name[p] = number + 1
+            for place, n in zip(p[first].tolist(), times.tolist(), strict=True):
+                own = ids[place : place + k].tolist()
                 out.append((langs[lang_of[own[0]]], k, " ".join([words[x] for x in own]), n))
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "k", "phrase", "f"])
 
@@ -190,8 +203,10 @@ def counts(docs: DataFrame, *, least: int = 30) -> DataFrame:
     """lang, k, phrase, f: every phrase of one to four words within a piece that occurs ``least`` times or more, and the
     number of all words of each language (k = 0, phrase empty)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bits = docs.sparkSession.sparkContext.broadcast(frequent(texts, least))  # 16 MB
-    found = texts.mapInArrow(partial(_phrase_counts, bits=bits), "lang string, k int, phrase string, f long")
+    spark = docs.sparkSession.sparkContext
+    bits = spark.broadcast(frequent(texts, least))  # 16 MB
+    more = spark.broadcast(frequent(texts, least, bits))  # 16 MB
+    found = texts.mapInArrow(partial(_phrase_counts, bits=bits, more=more), "lang string, k int, phrase string, f long")
     return materialise(found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= F.when(F.col("k") > 0, least).otherwise(1)))
 
 

@@ -81,11 +81,11 @@ def test_counts_of_a_stretch_that_is_cut(docs):
     """Counts are passed on every few thousand words and sum to the same."""
     whole = docs.select("lang", "text").toArrow().to_batches()
     once = Counter()
-    for b in collocations._hash_counts(iter(whole)):
+    for b in collocations._hash_counts(iter(whole), None):
         once.update({k: len(x) // 4 for k, x in zip(b.column("part").to_pylist(), b.column("hashes").to_pylist(), strict=True)})
     size, collocations.FLUSH = collocations.FLUSH, 3000
     try:
-        assert len(list(collocations._hash_counts(iter(whole)))) > 5
+        assert len(list(collocations._hash_counts(iter(whole), None))) > 5
     finally:
         collocations.FLUSH = size
     assert once
