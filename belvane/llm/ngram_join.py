@@ -22,10 +22,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belvane.llm._common import materialise, running, with_row_id
+from belvane.llm._common import materialise, with_row_id
 from belvane.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -114,22 +114,29 @@ def _head(found: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
     return found[np.lexsort((found, rare))][:size]
 
 
-def _marks(batches: Iterator[pa.RecordBatch], size: int, percent: int, order) -> Iterator[pa.RecordBatch]:
-    """``same`` names a text's set, ``n`` counts it, ``prefix`` holds its first shingles in the order, ``cuts`` how many lie
-    in each range that the suffix filter compares."""
+def _names(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """``same`` names a text's set of shingles, ``n`` counts it."""
+    hashes = _Hashes()
+    for b in batches:
+        found = [np.unique(shingles(x, size, hashes)) for x in _binary(b.column("text"))]
+        kept = [(f.name, c) for c, f in zip(b.columns, b.schema, strict=True) if f.name != "text"]
+        same = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in found], dtype=np.uint64).view(np.int64)
+        made = [("same", pa.array(same)), ("n", pa.array([len(x) for x in found], pa.int64()))]
+        yield pa.RecordBatch.from_arrays([c for _, c in kept + made], [k for k, _ in kept + made])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, order) -> Iterator[pa.RecordBatch]:
+    """``prefix`` holds the first shingles of a text's set in the order, ``cuts`` how many lie in each range that the suffix
+    filter compares."""
     hashes, table = _Hashes(), order.value
     for b in batches:
-        same, n, prefix, cuts = [], [], [], []
+        prefix, cuts = [], []
         for x in _binary(b.column("text")):
             found = np.unique(shingles(x, size, hashes))
-            same.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
-            n.append(len(found))
             rare = table[(found >> np.uint64(44)).astype(np.int64)]
             prefix.append(_head(found, rare, len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0).view(np.int64))
             cuts.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=CUTS))
-        kept = [(f.name, c) for c, f in zip(b.columns, b.schema, strict=True) if f.name != "text"]
-        made = [("same", pa.array(np.array(same, dtype=np.uint64).view(np.int64))), ("n", pa.array(n, pa.int64())), ("prefix", _lists(prefix, pa.int64())), ("cuts", _lists(cuts, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([c for _, c in kept + made], [k for k, _ in kept + made])
+        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("at"), _lists(prefix, pa.int64()), _lists(cuts, pa.int32())], ["file", "at", "prefix", "cuts"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -150,11 +157,16 @@ def _in_reach(percent: int) -> Column:
 
 
 def _shared(distinct: DataFrame) -> DataFrame:
-    """rank, token, x, n, place: the rows of the shingles that two prefixes or more hold, ranked by shingle, size and x."""
+    """rank, token, x, n, place, c (x itself): the rows of the shingles that two prefixes or more hold, ranked by shingle and
+    x without gaps. The order is cut into ranges; a row for each range, not more, tells how many come before."""
     tokens = distinct.select(F.col("same").alias("x"), "n", F.posexplode("prefix").alias("place", "token"))
     twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     rows = materialise(tokens.join(twice, "token").select("token", "x", "n", "place"))
-    return materialise(running(rows, ["token", "n", "x"], "n").select("rank", "token", "x", "n", "place", F.col("x").alias("c")))
+    ranged = rows.repartitionByRange("token", "x").sortWithinPartitions("token", "x").withColumn("id", F.monotonically_increasing_id())
+    ranged = materialise(ranged.withColumns({"part": F.shiftright("id", 33), "id": F.col("id").bitwiseAND((1 << 33) - 1)}))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", before.alias("before"))
+    return ranged.join(F.broadcast(starts), "part").select((F.col("before") + F.col("id")).alias("rank"), "token", "x", "n", "place", F.col("x").alias("c"))
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -178,14 +190,12 @@ def _pairs(rows: DataFrame, near: int, far: int, percent: int) -> DataFrame:
     return met.select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct()
 
 
-def links(distinct: DataFrame, texts: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """x, c: the component c of each set x of ``distinct`` (same, n, prefix, cuts) that has a link; ``texts`` (same, text)
-    gives a text of each set. Only what a pair needs is compared, see the top of this file."""
+def links(distinct: DataFrame, read: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """x, c: the component c of each set x of ``distinct`` (same, n, prefix, cuts, and the file and at of one of its rows)
+    that has a link; ``read`` (file, at, text) has the texts. Only what a pair needs is compared, see the top of this file."""
     rows = _shared(distinct)
-    # texts that share no shingle of their prefixes are in no pair
-    texts = materialise(texts.join(rows.select(F.col("x").alias("same")).distinct(), "same"))
-    small = distinct.select("same", "n", "cuts")
-    found = failed = None
+    small = distinct.select("same", "n", "cuts", "file", "at")
+    found = failed = texts = None
     near, far = 1, 2
     while True:
         still = materialise(_open(rows))
@@ -201,8 +211,9 @@ def links(distinct: DataFrame, texts: DataFrame, *, size: int = 5, percent: int
         apart = F.aggregate(F.zip_with("cutsa", "cutsb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
         pairs = pairs.withColumn("reach", (100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb")))
         pairs = materialise(pairs.select("a", "b", "reach"))
-        read = pairs.where("reach").join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b")
-        checked = materialise(read.select("a", "b", "x", "y").mapInArrow(partial(_verify, size=size, percent=percent), "a long, b long, good boolean"))
+        texts = _with_texts(texts, pairs.where("reach"), small, read)
+        both = pairs.where("reach").join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b")
+        checked = materialise(both.select("a", "b", "x", "y").mapInArrow(partial(_verify, size=size, percent=percent), "a long, b long, good boolean"))
         out = pairs.where("not reach").select("a", "b").unionByName(checked.where("not good").select("a", "b"))
         failed = out if failed is None else failed.unionByName(out)
         found, moved = _joined(found, checked.where("good").select("a", "b"))
@@ -212,6 +223,20 @@ def links(distinct: DataFrame, texts: DataFrame, *, size: int = 5, percent: int
         near, far = far, max(8, 4 * far)
 
 
+def _with_texts(texts: DataFrame | None, pairs: DataFrame, small: DataFrame, read: DataFrame) -> DataFrame:
+    """``texts`` (same, text) with those of the ends of ``pairs`` that it lacks. Near copies alone are written again, not all
+    texts; each text once."""
+    ends = pairs.select(F.col("a").alias("same")).unionByName(pairs.select(F.col("b").alias("same"))).distinct()
+    if texts is not None:
+        ends = ends.join(texts.select("same"), "same", "left_anti")
+    # Spark broadcasts the places if their measured size is small
+    places = materialise(small.select("same", "file", "at").join(ends, "same"))
+    if texts is not None and places.isEmpty():
+        return texts
+    new = materialise(read.select("file", "at", "text").join(places, ["file", "at"]).select("same", "text"))
+    return new if texts is None else texts.unionByName(new)
+
+
 def _joined(found: DataFrame | None, new: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """The components ``found`` (x, c) with the links ``new`` (a, b), and the components that got another name."""
     if found is not None:
@@ -232,19 +257,18 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80) -> tuple[DataF
     """The rows of ``docs`` (row, file, at as in ``with_row_id``), what is known of each (file, at, doc_id, same, n), and the
     distinct sets (same, n, first, c): the first row by doc_id (null last), file and place, and the component, null where
     nothing links."""
-    spark = docs.sparkSession
     named = with_row_id(docs)
     read = named.select("file", "at", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    order = spark.sparkContext.broadcast(rarity(read, size))  # BINS numbers
+    order = docs.sparkSession.sparkContext.broadcast(rarity(read, size))  # BINS numbers
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.select("file", "at", "doc_id").schema)
-    marked = materialise(read.mapInArrow(partial(_marks, size=size, percent=percent, order=order), f"{kinds}, same long, n long, prefix array<long>, cuts array<int>"))
+    marked = materialise(read.mapInArrow(partial(_names, size=size), f"{kinds}, same long, n long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("file"), F.col("at")))
-    distinct = materialise(marked.groupBy("same").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "prefix", "cuts")]))
-    where = distinct.where("n > 0").select("same", F.col("first.file").alias("file"), F.col("first.at").alias("at"))
-    texts = read.select("file", "at", "text").join(where, ["file", "at"]).select("same", "text")
-    found = links(distinct.where("n > 0"), texts, size=size, percent=percent)
-    named_sets = distinct.join(found.select(F.col("x").alias("same"), "c"), "same", "left").select("same", "n", "first", "c")
-    return named, marked.select("file", "at", "doc_id", "same", "n"), materialise(named_sets)
+    sets = materialise(marked.groupBy("same").agg(first.alias("first"), F.first("n").alias("n")))
+    places = sets.where("n > 0").select("same", "n", F.col("first.file").alias("file"), F.col("first.at").alias("at"))
+    prefixes = read.select("file", "at", "text").mapInArrow(partial(_prefixes, size=size, percent=percent, order=order), "file long, at long, prefix array<long>, cuts array<int>")
+    found = links(materialise(prefixes.join(places, ["file", "at"])), read, size=size, percent=percent)
+    named_sets = sets.join(found.select(F.col("x").alias("same"), "c"), "same", "left").select("same", "n", "first", "c")
+    return named, marked, materialise(named_sets)
 
 
 def join(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
