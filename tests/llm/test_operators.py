@@ -12,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from belvane.llm import bpe, fingerprints, language_id, licenses, mixing, pii, quality_classifier, quality_rules, sharding, simhash
 from belvane.llm.queries import OPERATORS
@@ -504,6 +505,36 @@ def test_sharding(table, request):
         assert all(abs(sizes[k] - share) <= 2 * most + 0.02 * share for k in range(8))
 
 
+def test_equal_texts_are_in_one_shard(spark, docs):
+    """Also large groups of them; only one that is larger than a shard by itself is cut."""
+    rows = [(k, f"{k % 50} " * (20 + k % 50), "en", "abc"[k % 3]) for k in range(200)] + [(1000 + k, None if k % 2 else "", "de", None) for k in range(30)]
+    big = [(2000 + k, "x" * 400, "en", "a") for k in range(60)]
+    for extra in ([], big):
+        shards = defaultdict(set)
+        found = rows_of(sharding.shard(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string").repartition(5)))
+        text = {r[0]: r[1] or "" for r in rows + extra}
+        for r in found:
+            shards[text[r["doc_id"]]].add(r["shard"])
+        assert all(len(v) == 1 for k, v in shards.items() if k != "x" * 400) and len(shards["x" * 400]) <= 4
+    shards = defaultdict(set)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows_of(sharding.shard(docs)):
+        shards[text[r["doc_id"]]].add(r["shard"])
+    assert all(len(v) == 1 for v in shards.values())
+
+
+def test_shards_can_be_skipped_by_each_dimension(spark):
+    """Of 64 shards, those whose least and greatest value don't rule out a value, for each of the three dimensions."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = sharding.shard(df, shards=64).select("doc_id", "shard", "size").join(df.select("doc_id", "source", "lang"), "doc_id")
+    bounds = [r.asDict() for r in found.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size") for n, f in (("lo", F.min), ("hi", F.max))]).collect()]
+    for c, most in (("source", 0.5), ("lang", 0.6), ("size", 0.6)):
+        values = [r[0] for r in found.select(c).distinct().collect()] if c != "size" else [200, 1000, 3000, 10000]
+        left = sum(b[f"lo_{c}"] <= v <= b[f"hi_{c}"] for b in bounds for v in values) / len(values) / 64
+        print(c, left)
+        assert left <= most
+
+
 def test_hilbert_visits_neighbours(spark):
     cells = spark.range(512).selectExpr("id % 8 as x", "(id div 8) % 8 as y", "id div 64 as z", "id % 8 as a", "(id div 8) % 8 as b", "id div 64 as c")
     path = [(r["a"], r["b"], r["c"]) for r in sharding.hilbert(cells, ("x", "y", "z"), 3, "h").orderBy("h").collect()]
