@@ -188,3 +188,59 @@ def incremental(before: DataFrame, wide: DataFrame, changed: DataFrame, rules: R
     both = again.unionByName(kept)
     work = both.groupBy("model").agg(F.count(F.when(F.col("recomputed"), 1)).alias("recomputed"), F.count(F.when(~F.col("recomputed"), 1)).alias("kept"))
     return both.drop("recomputed"), work
+
+
+def with_changes(wide: DataFrame, quantity: str, changes: DataFrame, op: str) -> DataFrame:
+    """``wide`` after an intervention on a quantity of some entities, ``changes`` (model, entity, value, and design_sigma for
+    ``set``): ``set`` gives it that mean and deviation, ``shift`` adds to its mean, ``scale`` multiplies both (a factor of 0
+    or null changes nothing). One join of the changed entities; all other rows stay as they are."""
+    named = changes.select("model", "entity", F.col("value").alias("__v"), *([F.col("design_sigma").alias("__s")] if op == "set" else []), F.lit(True).alias("__hit"))
+    joined = wide.join(named, ["model", "entity"], "left")
+    mu, sigma, v = F.col(quantity), F.col(f"s_{quantity}"), F.col("__v")
+    if op == "set":
+        new = {quantity: F.when(F.col("__hit"), v).otherwise(mu), f"s_{quantity}": F.when(F.col("__hit"), F.col("__s")).otherwise(sigma)}
+    elif op == "shift":
+        new = {quantity: mu + F.coalesce(v, F.lit(0.0))}
+    elif op == "scale":
+        factor = F.coalesce(F.when(v != 0, v), F.lit(1.0))
+        new = {quantity: mu * factor, f"s_{quantity}": sigma * F.abs(factor)}
+    else:
+        raise ValueError(f"not an intervention: {op}")
+    return joined.withColumns(new).select(*wide.columns)
+
+
+_PLACE = "__bucket"
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn(_PLACE, F.pmod(F.xxhash64("model", "entity"), F.lit(buckets)).cast("int"))
+
+
+def write_base(wide: DataFrame, rules: Rules, top: str, *, buckets: int = 64) -> None:
+    """Raw and derived quantities of all entities, in folders by a hash of the entity, for :func:`write_overlay`."""
+    _bucketed(evaluated(wide, rules), buckets).repartition(_PLACE).write.partitionBy(_PLACE).parquet(f"{top}/base")
+
+
+def write_overlay(spark, top: str, changes: DataFrame, rules: Rules, name: str, *, buckets: int = 64) -> DataFrame:  # noqa: ANN001
+    """Evaluates the entities of ``changes`` (model, entity and raw quantities as they are now; those that it lacks, or has as
+    null, stay) and writes them, not the others, as overlay ``name`` beside the base. Only folders that a changed entity lies
+    in are read. Returns model, recomputed: the rows written. Overlays don't build on one another: name all that differs from
+    the base."""
+    marked = _bucketed(changes, buckets)
+    touched = [r[0] for r in marked.select(_PLACE).distinct().collect()]  # ``buckets`` numbers at most
+    base = spark.read.parquet(f"{top}/base").where(F.col(_PLACE).isin(touched))
+    given = [c for c in changes.columns if c not in ("model", "entity")]
+    joined = base.drop(*rules).join(marked.drop(_PLACE).withColumnsRenamed({c: f"__{c}" for c in given}), ["model", "entity"])
+    now = joined.withColumns({c: F.coalesce(f"__{c}", c) for c in given}).drop(*[f"__{c}" for c in given])
+    evaluated(now, rules).write.partitionBy(_PLACE).parquet(f"{top}/overlay-{name}")
+    return spark.read.schema(base.schema).parquet(f"{top}/overlay-{name}").groupBy("model").agg(F.count(F.lit(1)).alias("recomputed"))
+
+
+def read_version(spark, top: str, name: str | None = None) -> DataFrame:  # noqa: ANN001
+    """All entities of the base, those of overlay ``name`` in its place."""
+    base = spark.read.parquet(f"{top}/base")
+    if name is None:
+        return base.drop(_PLACE)
+    over = spark.read.schema(base.schema).parquet(f"{top}/overlay-{name}")
+    # the overlay is small: Spark broadcasts its keys if their measured size is
+    return base.join(over.select(_PLACE, "model", "entity"), [_PLACE, "model", "entity"], "left_anti").unionByName(over).drop(_PLACE)

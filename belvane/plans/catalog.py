@@ -102,24 +102,17 @@ def _changed(kind: str) -> tuple[Query, str]:
     sql = f"SELECT model, round(sum(q*p*(1-({d_sql}))), 2) AS net, round(sum(pow(q*p*({s_sql}), 2)), 2) AS var_of_disc FROM ({_LINES}) GROUP BY model"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        slots = views.slots(spark, d)
-        picked = views.lines(spark, d).where("l_returnflag = 'R'").select("model", F.concat(F.col("entity"), F.lit(".Disc")).alias("var_id"))
-        env = slots.select("model", "var_id", "mu", "sigma")
-        if kind == "set":
-            env = belief.set_parameter(env, picked.withColumns({"value": F.lit(0.0), "design_sigma": F.lit(0.0)}))
-        elif kind == "shift":
-            env = belief.shift_parameter(env, picked.withColumn("delta", F.lit(0.01)))
-        else:
-            env = belief.scale_parameter(env, picked.withColumn("factor", F.lit(0.5)))
+        picked = views.lines(spark, d).where("l_returnflag = 'R'")
         if kind == "scale":  # as definitions entity by entity, which ``dag`` evaluates
+            changed = picked.select("model", F.concat(F.col("entity"), F.lit(".Disc")).alias("var_id"), F.lit(0.5).alias("factor"))
+            env = belief.scale_parameter(views.slots(spark, d).select("model", "var_id", "mu", "sigma"), changed)
             terms = views.definitions(spark, d).where("quantity = 'Net'")
             net = dag.evaluate(terms, env).groupBy("model").agg(F.sum("mu").alias("net"))
             var = belief.variance_of(dag.partials(terms, env).where("var_id like '%.Disc'"), env).groupBy("model").agg(F.sum("var").alias("var_of_disc"))
             return rounded(net.join(var, "model"), 2, "net", "var_of_disc")
-        parted = F.split("var_id", "[.]")
-        back = env.select("model", F.get(parted, F.lit(0)).alias("entity"), F.get(parted, F.lit(1)).alias("quantity"), "mu", "sigma")
+        changes = picked.select("model", "entity", F.lit(0.0 if kind == "set" else 0.01).alias("value"), F.lit(0.0).alias("design_sigma"))
         net = {k: v for k, v in views.RULES.items() if k != "Charge"}
-        rows = rules.with_gradient(rules.side_by_side(back, ["Qty", "Price", "Disc"]), net, only=["Net"])
+        rows = rules.with_gradient(rules.with_changes(views.wide(spark, d), "Disc", changes, kind), net, only=["Net"])
         found = rows.groupBy("model").agg(F.sum("Net").alias("net"), F.sum(F.pow(F.col("d_Net_Disc") * F.col("s_Disc"), F.lit(2))).alias("var_of_disc"))
         return rounded(found, 2, "net", "var_of_disc")
 

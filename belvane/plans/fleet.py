@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belvane.functions import scalars
-from belvane.operators import belief, decision, geometry, placement, verify
+from belvane.operators import belief, decision, geometry, placement, registration, rules, verify
 from belvane.plans import views
-from belvane.plans.catalog import _LOG, _R, query, rounded
+from belvane.plans.catalog import _LINES, _LOG, _PARTS, _PTS, _R, _SUM, query, rounded
+from belvane.sources import snapshots
 from belvane.sources.tables import materialise, shared_dir, table
 from belvane.streaming import stateful
 
@@ -180,8 +181,6 @@ def cross_entity_covariance(spark: SparkSession, d: str) -> DataFrame:
     """Net values in another currency rest on a rate that a model's lines share: covariances of each line with the next."""
     from pyspark.sql import Window
 
-    from belvane.operators import rules
-
     wide = views.wide(spark, d)
     net = {"Gross": [(1, ("Qty", "Price"))], "Net": [(1, ("Gross", "Fx")), (-1, ("Gross", "Disc", "Fx"))]}
     rows = rules.with_gradient(wide, net, only=["Net"])
@@ -213,3 +212,53 @@ def joint_conditioning(spark: SparkSession, d: str) -> DataFrame:
     cov = sums.select("model", F.col("obs").alias("i")).join(sums.select("model", F.col("obs").alias("j")), "model").select("model", "i", "j", F.when(F.col("i") == F.col("j"), 1300.0).otherwise(400.0).alias("v"))
     shift, told = belief.conditioned_jointly(cov, rows, readings)
     return rounded(shift.join(told.select("model", "status"), "model").select("model", "var_id", "status", "shift"), 6, "shift")
+
+
+@query(f"""SELECT model, 'CHANGED' AS change, count(*) AS n FROM ({_LINES}) WHERE l_returnflag = 'R' AND d > 0 AND q > 40 AND model % 3 = 0 GROUP BY 1 UNION ALL SELECT model, 'REMOVED', count(*) FROM ({_LINES}) WHERE l_returnflag = 'A' AND q > 49 AND model % 3 = 1 GROUP BY 1""")
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of the lines, of which the second lacks a few and has others without discount, compared by their trees."""
+    rows = views.lines(spark, d)
+    small = F.col("model") % 3
+    gone = (F.col("l_returnflag") == "A") & (F.col("qty") > 49) & (small == 1)
+    free = (F.col("l_returnflag") == "R") & (F.col("qty") > 40) & (small == 0)
+    after = rows.where(~gone).withColumn("disc", F.when(free, 0.0).otherwise(F.col("disc")))
+    top = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    keys = ["model", "entity"]
+    for name, version in (("one", rows), ("two", after)):
+        snapshots.write(version, keys, f"{top}/{name}")
+    return snapshots.changes(spark, f"{top}/one", f"{top}/two", keys).groupBy("model", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT model, CASE WHEN l_returnflag = 'R' THEN 'overlay' ELSE 'base' END AS part, count(*) AS n, round(sum(q*p*(1 - CASE WHEN l_returnflag = 'R' THEN 0 ELSE d END)*(1+t)), 3) AS charge FROM ({_LINES}) GROUP BY 1, 2")
+def overlaid_values(spark: SparkSession, d: str) -> DataFrame:
+    """Returned lines lose their discount: these alone are evaluated and written, beside the values of all lines."""
+    wide = views.wide(spark, d)
+    changed = views.lines(spark, d).where("l_returnflag = 'R'").select("model", "entity", F.lit(0.0).alias("Disc"))
+    top = f"{shared_dir(spark)}/values-{uuid.uuid4().hex}"
+    rules.write_base(wide, views.RULES, top)
+    rules.write_overlay(spark, top, changed, views.RULES, "returned")
+    now = rules.read_version(spark, top, "returned")
+    part = now.join(changed.select("model", "entity", F.lit("overlay").alias("part")), ["model", "entity"], "left").withColumn("part", F.coalesce("part", F.lit("base")))
+    return rounded(part.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("Charge").alias("charge")), 3, "charge")
+
+
+#: Two poses at which the sums of a step are taken.
+_POSES = [registration.Pose(0.05, -0.03, 0.02, 0.3), registration.Pose(0.0, 0.1, 0.0, -1.2)]
+_AT = " UNION ALL ".join(f"SELECT {k} AS pose, {p.x}::double AS tx, {p.y}::double AS ty, {p.z}::double AS tz, {p.yaw}::double AS yaw" for k, p in enumerate(_POSES))
+
+
+@query(f"""WITH g AS (SELECT part, w, mx, my, mz, vx + 0.0064 AS vx, vy + 0.0064 AS vy, vz + 0.0064 AS vz FROM {_PARTS}), o AS (SELECT ln(0.05) - ln((max(mx) - min(mx) + 2) * (max(my) - min(my) + 2) * (max(mz) - min(mz) + 2)) AS flat FROM g),
+  q AS (SELECT pose, id, cos(yaw)*x - sin(yaw)*y + tx AS x, sin(yaw)*x + cos(yaw)*y + ty AS y, z + tz AS z, -(sin(yaw)*x + cos(yaw)*y) AS jx, cos(yaw)*x - sin(yaw)*y AS jy FROM {_PTS}, ({_AT})),
+  l AS (SELECT *, ln(0.95) + ln(w) - 1.5*ln(2*pi()) - ({_SUM("0.5*ln(v?) + pow(?-m?,2)/(2*v?)")}) AS l FROM q, g, o), s AS (SELECT *, sum(exp(l)) OVER (PARTITION BY pose, id) + exp(flat) AS total FROM l), r AS (SELECT *, exp(l) / total AS share FROM s),
+  n AS (SELECT pose, count(*) AS n, avg(-ln(total)) AS nll FROM (SELECT DISTINCT pose, id, total FROM s) GROUP BY pose)
+  SELECT r.pose, any_value(n) AS n, round(any_value(nll), 6) AS nll, round(sum(share*(x-mx)/vx), 4) AS g_x, round(sum(share*(jx*(x-mx)/vx + jy*(y-my)/vy)), 4) AS g_yaw, round(sum(share/vz), 3) AS h_z_z, round(sum(share*jx/vx), 3) AS h_x_yaw, round(sum(share*(jx*jx/vx + jy*jy/vy)), 3) AS h_yaw_yaw FROM r JOIN n ON n.pose = r.pose GROUP BY r.pose""")
+def registration_step(spark: SparkSession, d: str) -> DataFrame:
+    """The sums of a Gauss-Newton step at two poses, in one pass over the points."""
+    from belvane.plans.catalog import _mixture
+
+    points, parts = _mixture(spark, d)
+    zero = F.lit(0.0)
+    shaped = parts.select(F.col("part").cast("string").alias("part"), "weight", *[f"mean_{a}" for a in "xyz"], *[F.col(f"var_{a}").alias(f"s_{a}{a}") for a in "xyz"], zero.alias("s_xy"), zero.alias("s_xz"), zero.alias("s_yz"))
+    found = registration.pose_sums(points, registration.mixture(shaped, smooth=0.08), _POSES)
+    found = rounded(rounded(rounded(found, 6, "nll"), 4, "g_x", "g_yaw"), 3, "h_z_z", "h_x_yaw", "h_yaw_yaw")
+    return found.select("pose", "n", "nll", "g_x", "g_yaw", "h_z_z", "h_x_yaw", "h_yaw_yaw")
