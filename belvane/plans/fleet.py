@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belvane.functions import scalars
-from belvane.operators import belief, decision, geometry, placement, registration, rules, verify
+from belvane.operators import belief, decision, geometry, layout, placement, registration, rules, verify
 from belvane.plans import views
 from belvane.plans.catalog import _LINES, _LOG, _PARTS, _PTS, _R, _SUM, query, rounded
 from belvane.sources import snapshots
@@ -262,3 +262,33 @@ def registration_step(spark: SparkSession, d: str) -> DataFrame:
     found = registration.pose_sums(points, registration.mixture(shaped, smooth=0.08), _POSES)
     found = rounded(rounded(rounded(found, 6, "nll"), 4, "g_x", "g_yaw"), 3, "h_z_z", "h_x_yaw", "h_yaw_yaw")
     return found.select("pose", "n", "nll", "g_x", "g_yaw", "h_z_z", "h_x_yaw", "h_yaw_yaw")
+
+
+#: Rooms from parts: an opening of W by H, a floor of F; a width costs 1000 a metre.
+_ROOM_RULES = {"Opening": [(1, ("W", "H"))], "Cost": [(1000, ("W",)), (50, ("F",))], "Wall": [(4, ("F",)), (-1, ("W", "H"))]}
+_ROOMS = "(SELECT p_partkey AS room, 0.5::double + p_size / 50.0::double AS w, 2.0::double AS h, 8.0::double + p_size / 10.0::double AS f FROM part)"
+
+
+def _rooms(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    size = F.col("p_size").cast("double")
+    return p.select(F.lit(0).alias("model"), F.col("p_partkey").alias("entity"), (0.5 + size / 50).alias("W"), F.lit(0.05).alias("s_W"), F.lit(2.0).alias("H"), F.lit(0.02).alias("s_H"), (8 + size / 10).alias("F"), F.lit(0.1).alias("s_F"))
+
+
+@query(f"""WITH v AS (SELECT *, w*h/f AS ratio, w*h - f + 2 * sqrt(pow(h*0.05, 2) + pow(w*0.02, 2) + pow(0.1, 2)) AS x FROM {_ROOMS})
+  SELECT room, round(0.1 * w + 0.005 * f + 400 * pow(ratio - 0.1, 2) + 0.02 * 0.5 * (4*f - w*h) + 2 * ln(1 + exp(least(x / 0.01, 40))), 6) AS objective, round(0.1 + 800 * (ratio - 0.1) * h/f - 0.01 * h + 200 / (1 + exp(-greatest(least(x / 0.01, 40), -40))) * h, 6) AS g_w FROM v""")
+def layout_objective(spark: SparkSession, d: str) -> DataFrame:
+    """What each room costs by all aims, and the derivative by its opening's width; an opening is to be smaller than the floor."""
+    aim = layout.Objective("Cost", "Opening", "F", {"Wall": 0.5}, (("Opening", "F"),))
+    found = layout.evaluated(_rooms(spark, d), _ROOM_RULES, aim, ["W"])
+    return rounded(found.select(F.col("entity").alias("room"), "objective", F.col("g_W").alias("g_w")), 6, "objective", "g_w")
+
+
+@query(f"""WITH o AS (SELECT *, f/h * (0.1 - (0.1 - 0.01*h) * f / (800*h)) AS best FROM {_ROOMS}) SELECT room, round(best, 2) AS width, round(best * h / f, 2) AS ratio, true AS converged FROM o""")
+def layout_optimum(spark: SparkSession, d: str) -> DataFrame:
+    """The width of each room's opening that costs least, found by descent and set as an intervention."""
+    rooms = _rooms(spark, d)
+    found = materialise(layout.optimised(rooms, _ROOM_RULES, layout.Objective("Cost", "Opening", "F", {"Wall": 0.5}), ["W"], rounds=400))
+    after = rules.evaluated(rules.with_changes(rooms, "W", layout.interventions(found, "W"), "set"), _ROOM_RULES)
+    told = after.join(found.select("model", "entity", "converged"), ["model", "entity"])
+    return told.select(F.col("entity").alias("room"), F.round("W", 2).alias("width"), F.round(F.col("Opening") / F.col("F"), 2).alias("ratio"), "converged")

@@ -140,3 +140,49 @@ def test_pose_disagreement_and_variance(spark):
         for x, v in zip(half, poses[k][5:], strict=True):
             c[int(x[0]), int(x[1])] = c[int(x[1]), int(x[0])] = v
         assert got[k] == pytest.approx(float(j @ c @ j))
+
+
+def test_lengths_and_turns_of_covariances(spark):
+    """Against numpy: random covariances, flat and round ones, and those with two equal lengths."""
+    from belvane.operators import splats
+
+    rng = np.random.default_rng(7)
+    all_ = [m @ m.T * 10.0**k for k, m in zip(rng.integers(-6, 7, 200), rng.normal(size=(200, 3, 3)), strict=True)]
+    for values in ((1, 1, 1), (2, 1, 1), (1, 1, 2), (1, 2, 3), (5, 1e-9, 1e-9), (1, 1, 1 + 1e-9), (1, 1, 1e-7)):
+        for _ in range(5):
+            q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+            all_ += [q @ np.diag(values) @ q.T, np.diag(rng.permutation(values)).astype(float)]
+    rows = [(k, *[float(m[i, j]) for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))]) for k, m in enumerate(all_)]
+    found = splats.scaled_and_turned(spark.createDataFrame(rows, "id long, s_xx double, s_xy double, s_xz double, s_yy double, s_yz double, s_zz double"))
+    for r in found.collect():
+        m = (all_[r["id"]] + all_[r["id"]].T) / 2
+        size = np.abs(m).max()
+        want = np.sqrt(np.clip(np.linalg.eigvalsh(m), 1e-12, None))
+        scale, (w, x, y, z) = np.array([r[f"scale_{k}"] for k in range(3)]), (r[f"rot_{k}"] for k in range(4))
+        assert np.abs(scale**2 - want**2).max() <= 1e-9 * size + 1e-12
+        assert w >= 0 and w * w + x * x + y * y + z * z == pytest.approx(1, abs=1e-9)
+        turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+        assert np.abs(turn @ np.diag(scale**2) @ turn.T - m).max() <= 1e-8 * size + 1e-11
+
+
+def test_layouts_descend_together(spark):
+    """Values and gradients in tasks are those of the columns; the descent of many scenarios is that of each by itself."""
+    from belvane.operators import layout
+
+    rule = {"Opening": [(1, ("W", "H"))], "Cost": [(1000, ("W",)), (50, ("F",))], "Wall": [(4, ("F",)), (-1, ("W", "H"))]}
+    aim = layout.Objective("Cost", "Opening", "F", {"Wall": 0.5}, (("Opening", "F"), ("H", "W")))
+    r = random.Random(2)
+    rows = [(1, k, r.uniform(0.5, 3), 0.05, r.uniform(1.5, 2.5), 0.02, r.uniform(5, 20), 0.1) for k in range(40)] + [(1, 99, float("nan"), 0.1, 2.0, 0.1, 9.0, 0.1)]
+    schema = "model long, entity long, W double, s_W double, H double, s_H double, F double, s_F double"
+    df = spark.createDataFrame(rows, schema)
+    told = {x["entity"]: x for x in layout.evaluated(df, rule, aim, ["W", "H"]).collect()}
+    found = {x["entity"]: x for x in layout.optimised(df, rule, aim, ["W", "H"], rounds=200).collect()}
+    sure = [(*x[:3], 0.0, x[4], 0.0, x[6], 0.0) for x in rows]  # the derivative holds deviations fixed
+    here, step = ({x["entity"]: x for x in layout.evaluated(spark.createDataFrame([(*x[:2], x[2] + e, *x[3:]) for x in sure], schema), rule, aim, ["W", "H"]).collect()} for e in (0.0, 1e-6))
+    for k in range(40):
+        assert found[k]["before"] == pytest.approx(told[k]["objective"], rel=1e-12) and found[k]["after"] < found[k]["before"]
+        assert (step[k]["objective"] - here[k]["objective"]) / 1e-6 == pytest.approx(here[k]["g_W"], rel=1e-3, abs=1e-2)
+    alone = layout.optimised(df.where("entity = 7"), rule, aim, ["W", "H"], rounds=200).first()
+    assert alone.asDict() == found[7].asDict()
+    assert not found[99]["converged"] and math.isnan(found[99]["W"])
+    assert layout.optimised(df.where("false"), rule, aim, ["W", "H"]).count() == 0
