@@ -47,21 +47,20 @@ def moments(points: DataFrame, by: list[str], dims: list[str], weight: str | Non
     return out.select(*by, "weight", *[mean[x].alias(f"m_{x}") for x in dims], *[(F.col(f"s_{x}_{y}") / F.col("weight") - mean[x] * mean[y]).alias(f"c_{x}_{y}") for i, x in enumerate(dims) for y in dims[i:]])
 
 
-def log_density(dims: list[str], mean: str, var: str) -> Column:
-    """Log of a Gaussian density with a diagonal covariance, for columns x, mean_x and var_x."""
-    total = F.lit(-0.5 * len(dims) * math.log(2 * math.pi))
-    for x in dims:
-        total = total - 0.5 * F.log(F.col(f"{var}{x}")) - 0.5 * F.pow(F.col(x) - F.col(f"{mean}{x}"), F.lit(2)) / F.col(f"{var}{x}")
-    return total
-
-
-def responsibilities(points: DataFrame, parts: DataFrame, dims: list[str]) -> DataFrame:
-    """id, part, log_p and share: each point against each of a mixture's parts (part, weight, mean_*, var_*). The parts
-    are a model's, a few; Spark broadcasts them if their measured size is small."""
-    scored = points.join(parts).withColumn("log_p", F.log("weight") + log_density(dims, "mean_", "var_"))
-    w = Window.partitionBy("id")
-    top = F.max("log_p").over(w)
-    return scored.withColumn("e", F.exp(F.col("log_p") - top)).select("id", "part", "log_p", (F.col("e") / F.sum("e").over(w)).alias("share"))
+def responsibilities(points: DataFrame, parts: DataFrame, dims: list[str], *, most: int = 4096) -> DataFrame:
+    """id, part, log_p and share: each point against each of a mixture's parts (part, weight, mean_*, var_*). The parts are a
+    model's, at most ``most`` of them, which is checked; they go to every task as one row, and a point meets them there."""
+    from belvane.operators.scan import one_row
+
+    def density(p: Column) -> Column:
+        total = F.log(p["weight"]) - 0.5 * len(dims) * math.log(2 * math.pi)
+        for x in dims:
+            total = total - 0.5 * F.log(p[f"var_{x}"]) - 0.5 * F.pow(F.col(x) - p[f"mean_{x}"], F.lit(2)) / p[f"var_{x}"]
+        return total
+
+    scored = points.join(F.broadcast(one_row(parts, dims, most))).withColumn("__l", F.transform("parts", density)).withColumn("__top", F.array_max("__l"))
+    scored = scored.withColumn("__sum", F.aggregate("__l", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("__top"))))
+    return scored.select("id", F.inline(F.zip_with("parts", "__l", lambda p, v: F.struct(p["part"].alias("part"), v.alias("log_p"), (F.exp(v - F.col("__top")) / F.col("__sum")).alias("share")))))
 
 
 def polygon(points: DataFrame, key: str, order: str) -> DataFrame:

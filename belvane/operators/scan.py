@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_parts(points: DataFrame, parts: DataFrame, dims: list[str], *, most: int = 4096) -> DataFrame:
-    """``points`` with ``parts``: the mixture (part, weight, mean_*, var_*) as an array in every row. A mixture is a model's
-    and has at most ``most`` parts, which is checked; with more, points meet parts by a join (``geometry``)."""
+def one_row(parts: DataFrame, dims: list[str], most: int) -> DataFrame:
+    """parts: the mixture (part, weight, mean_*, var_*) as one array in one row. More than ``most`` parts are an error."""
     names = ["part", "weight", *[f"{m}_{x}" for m in ("mean", "var") for x in dims]]
-    rows = parts.select(names).limit(most + 1).collect()
-    if len(rows) > most:
+    if parts.limit(most + 1).count() > most:
         raise ValueError(f"a mixture of more than {most} parts")
-    fields = lambda r: F.struct(*[F.lit(r[n]).alias(n) for n in names])
-    return points.withColumn("parts", F.array(*[fields(r) for r in sorted(rows, key=lambda r: str(r["part"]))]))
+    return parts.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("parts"))
+
+
+def with_parts(points: DataFrame, parts: DataFrame, dims: list[str], *, most: int = 4096) -> DataFrame:
+    """``points`` with ``parts``: the mixture as an array in every row. A mixture is a model's and has at most ``most`` parts,
+    which is checked, so that its one row can go to every task."""
+    return points.join(F.broadcast(one_row(parts, dims, most)))
 
 
 def _log(p: Column, dims: list[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from belvane.functions import scalars
-from belvane.operators import belief, decision, geometry, layout, placement, registration, rules, verify
+from belvane.operators import belief, decision, geometry, graph, layout, placement, registration, rules, verify
 from belvane.plans import views
 from belvane.plans.catalog import _LINES, _LOG, _PARTS, _PTS, _R, _SUM, query, rounded
 from belvane.sources import snapshots
@@ -292,3 +292,27 @@ def layout_optimum(spark: SparkSession, d: str) -> DataFrame:
     after = rules.evaluated(rules.with_changes(rooms, "W", layout.interventions(found, "W"), "set"), _ROOM_RULES)
     told = after.join(found.select("model", "entity", "converged"), ["model", "entity"])
     return told.select(F.col("entity").alias("room"), F.round("W", 2).alias("width"), F.round(F.col("Opening") / F.col("F"), 2).alias("ratio"), "converged")
+
+
+@query(f"SELECT model, bool_or(l_returnflag = 'R' AND d > 0 AND q = 50) AS changed FROM ({_LINES}) GROUP BY model")
+def digest_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Which models' beliefs have another digest after some lines lost their discount; the rows are dealt anew meanwhile."""
+    wide = views.wide(spark, d)
+    changes = views.lines(spark, d).where("l_returnflag = 'R' and qty = 50").select("model", "entity", F.lit(0.0).alias("value"), F.lit(0.002).alias("design_sigma"))
+    long = lambda w: w.select("model", F.inline(F.array(*[F.struct(F.concat(F.col("entity"), F.lit(f".{q}")).alias("var_id"), F.col(q).cast("double").alias("mu"), F.col(f"s_{q}").alias("sigma")) for q in views.OWN])))
+    before = belief.belief_digest(long(wide)).withColumnRenamed("digest", "before")
+    after = belief.belief_digest(long(rules.with_changes(wide, "Disc", changes, "set")).repartition(7, "var_id"))
+    return before.join(after, ["model", "n"]).select("model", (F.col("before") != F.col("digest")).alias("changed"))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 101 = 0), n AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_custkey IN (SELECT c FROM a)),
+  f AS (SELECT 'o' AS kind, o_custkey IN (SELECT c FROM a) AS changed FROM orders UNION ALL SELECT 'c', c_nationkey IN (SELECT n FROM n) FROM customer UNION ALL SELECT 's', s_nationkey IN (SELECT n FROM n) FROM supplier UNION ALL
+  SELECT 'n', n_nationkey IN (SELECT n FROM n) FROM nation UNION ALL SELECT 'r', r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT n FROM n)) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)) SELECT kind, count(*) AS n, count(*) FILTER (changed) AS changed FROM f GROUP BY 1""")
+def configuration_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Some orders leave their customer: whose surroundings, three steps far, are others then?"""
+    rel = views.relations(spark, d)
+    nodes = rel.select(F.col("source").alias("node")).unionByName(rel.select(F.col("target").alias("node"))).distinct().withColumn("label", F.substring("node", 1, 1))
+    left = rel.where(~((F.col("kind") == "contains") & (F.substring("target", 2, 20).cast("long") % 101 == 0)))
+    one, two = graph.relabel(nodes, rel), graph.relabel(nodes, left).withColumnRenamed("label", "after")
+    both = one.join(two, "node").groupBy(F.substring("node", 1, 1).alias("kind"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") != F.col("after"), 1)).alias("changed"))
