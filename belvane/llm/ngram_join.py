@@ -157,7 +157,7 @@ def _in_reach(percent: int) -> Column:
 
 
 def _shared(distinct: DataFrame) -> DataFrame:
-    """rank, token, x, n, place, c (x itself): the rows of the shingles that two prefixes or more hold, ranked by shingle and
+    """rank, token, x, n, place: the rows of the shingles that two prefixes or more hold, ranked by shingle and
     x without gaps. The order is cut into ranges; a row for each range, not more, tells how many come before."""
     tokens = distinct.select(F.col("same").alias("x"), "n", F.posexplode("prefix").alias("place", "token"))
     twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
@@ -166,7 +166,7 @@ def _shared(distinct: DataFrame) -> DataFrame:
     ranged = materialise(ranged.withColumns({"part": F.shiftright("id", 33), "id": F.col("id").bitwiseAND((1 << 33) - 1)}))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", before.alias("before"))
-    return ranged.join(F.broadcast(starts), "part").select((F.col("before") + F.col("id")).alias("rank"), "token", "x", "n", "place", F.col("x").alias("c"))
+    return ranged.join(F.broadcast(starts), "part").select((F.col("before") + F.col("id")).alias("rank"), "token", "x", "n", "place")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -179,48 +179,79 @@ def _open(rows: DataFrame) -> DataFrame:
 
 def _pairs(rows: DataFrame, near: int, far: int, percent: int) -> DataFrame:
     """a, b: pairs of ``rows`` (with main, first, last) of one shingle, ``near`` to ``far`` - 1 ranks apart, in two
-    components, that the filters leave. The rows of a shingle's main component wait for the others to come to them."""
-    after = F.sequence(F.col("rank") + near, F.least(F.col("last"), F.col("rank") + far - 1))
-    before = F.sequence(F.greatest(F.col("first"), F.col("rank") - far + 1), F.col("rank") - near)
-    none = F.array().cast("array<long>")
-    to = F.concat(F.when(F.col("rank") + near <= F.col("last"), after).otherwise(none), F.when(F.col("rank") - near >= F.col("first"), before).otherwise(none))
-    asking = rows.where("c <> main").select("x", "n", "place", "c", F.explode(to).alias("to"))
+    components, that the filters leave. The rows of a shingle's main component wait for the others to come to them; of
+    neighbours, each row asks the next."""
     asked = rows.select(F.col("rank").alias("to"), F.col("x").alias("x2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
+    if far == near + 1:
+        asking = rows.where(F.col("rank") + near <= F.col("last")).select("x", "n", "place", "c", (F.col("rank") + near).alias("to"))
+    else:
+        after = F.sequence(F.col("rank") + near, F.least(F.col("last"), F.col("rank") + far - 1))
+        before = F.sequence(F.greatest(F.col("first"), F.col("rank") - far + 1), F.col("rank") - near)
+        none = F.array().cast("array<long>")
+        to = F.concat(F.when(F.col("rank") + near <= F.col("last"), after).otherwise(none), F.when(F.col("rank") - near >= F.col("first"), before).otherwise(none))
+        asking = rows.where("c <> main").select("x", "n", "place", "c", F.explode(to).alias("to"))
     met = asking.join(asked, "to").where(_in_reach(percent) & (F.col("c") != F.col("c2")))
     return met.select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct()
 
 
-def links(distinct: DataFrame, read: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """x, c: the component c of each set x of ``distinct`` (same, n, prefix, cuts, and the file and at of one of its rows)
-    that has a link; ``read`` (file, at, text) has the texts. Only what a pair needs is compared, see the top of this file."""
-    rows = _shared(distinct)
-    small = distinct.select("same", "n", "cuts", "file", "at")
-    found = failed = texts = None
-    near, far = 1, 2
-    while True:
-        still = materialise(_open(rows))
-        longest = still.agg(F.max(F.col("last") - F.col("first"))).first()[0]
-        if longest is None or longest < near:
-            return found if found is not None else rows.select("x", "c").where("false")
-        rows = materialise(rows.select("rank", "token", "x", "n", "place", "c").join(still, "token"))
-        pairs = _pairs(rows, near, far, percent)
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
+class _Walk:
+    """The search: what links so far (``found``: x, c), which pairs don't (``failed``), and the ``texts`` that it has read."""
+
+    def __init__(self, small: DataFrame, read: DataFrame, size: int, percent: int):
+        self.small, self.read, self.size, self.percent = small, read, size, percent
+        self.found = self.failed = self.texts = None
+
+    def over(self, rows: DataFrame, longest: int | None = None) -> None:
+        """Meets the rows (rank, token, x, n, place) of each shingle, 1 rank apart, up to 8, 32, ... apart, or up to
+        ``longest``, while they lie in more than one component."""
+        rows = rows.withColumn("c", F.col("x"))
+        if self.found is not None:
+            rows = rows.drop("c").join(self.found, "x", "left").withColumn("c", F.coalesce("c", "x"))
+        near, far = 1, 2
+        while longest is None or near < longest:
+            # a shingle whose rows have all met is through
+            still = materialise(_open(rows).where(F.col("last") - F.col("first") >= near))
+            if still.isEmpty():
+                return
+            rows = materialise(rows.select("rank", "token", "x", "n", "place", "c").join(still, "token"))
+            moved = self._verify(_pairs(rows, near, far, self.percent))
+            if moved is not None:
+                # a component's new name, for the rows of its members
+                rows = rows.join(moved.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))
+            near, far = far, max(8, 4 * far)
+
+    def _verify(self, pairs: DataFrame) -> DataFrame | None:
+        """Verifies ``pairs`` (a, b) that were not before; the components that got another name, or None."""
+        percent = self.percent
+        if self.failed is not None:
+            pairs = pairs.join(self.failed, ["a", "b"], "left_anti")
         for end in ("a", "b"):
-            pairs = pairs.join(small.select(F.col("same").alias(end), F.col("n").alias(f"n{end}"), F.col("cuts").alias(f"cuts{end}")), end)
+            pairs = pairs.join(self.small.select(F.col("same").alias(end), F.col("n").alias(f"n{end}"), F.col("cuts").alias(f"cuts{end}")), end)
         apart = F.aggregate(F.zip_with("cutsa", "cutsb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
         pairs = pairs.withColumn("reach", (100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb")))
         pairs = materialise(pairs.select("a", "b", "reach"))
-        texts = _with_texts(texts, pairs.where("reach"), small, read)
-        both = pairs.where("reach").join(texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b")
-        checked = materialise(both.select("a", "b", "x", "y").mapInArrow(partial(_verify, size=size, percent=percent), "a long, b long, good boolean"))
+        if pairs.isEmpty():
+            return None
+        self.texts = _with_texts(self.texts, pairs.where("reach"), self.small, self.read)
+        both = pairs.where("reach").join(self.texts.select(F.col("same").alias("a"), F.col("text").alias("x")), "a").join(self.texts.select(F.col("same").alias("b"), F.col("text").alias("y")), "b")
+        checked = materialise(both.select("a", "b", "x", "y").mapInArrow(partial(_verify, size=self.size, percent=percent), "a long, b long, good boolean"))
         out = pairs.where("not reach").select("a", "b").unionByName(checked.where("not good").select("a", "b"))
-        failed = out if failed is None else failed.unionByName(out)
-        found, moved = _joined(found, checked.where("good").select("a", "b"))
-        if moved is not None:
-            # a component's new name, for the rows of its members
-            rows = rows.join(moved.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("c", F.coalesce("component", "c"))
-        near, far = far, max(8, 4 * far)
+        self.failed = out if self.failed is None else self.failed.unionByName(out)
+        self.found, moved = _joined(self.found, checked.where("good").select("a", "b"))
+        return moved
+
+
+def links(distinct: DataFrame, read: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """x, c: the component c of each set x of ``distinct`` (same, n, prefix, cuts, and the file and at of one of its rows)
+    that has a link; ``read`` (file, at, text) has the texts. Only what a pair needs is compared, see the top of this file.
+
+    Near copies share many shingles of their prefixes. So an eighth of the shingles goes first, and only with near
+    neighbours: most groups are one component then, and their other shingles need not be met at all."""
+    rows = _shared(distinct)
+    walk = _Walk(distinct.select("same", "n", "cuts", "file", "at"), read, size, percent)
+    walk.over(rows.where(F.pmod(F.xxhash64("token"), F.lit(8)) == 0), longest=8)
+    walk.over(rows)
+    return walk.found if walk.found is not None else rows.select("x", F.col("x").alias("c")).where("false")
 
 
 def _with_texts(texts: DataFrame | None, pairs: DataFrame, small: DataFrame, read: DataFrame) -> DataFrame:
