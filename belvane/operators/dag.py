@@ -101,46 +101,52 @@ def levels(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """node, level: the longest path to each node of ``edges`` (parent, child); nodes on a cycle or behind one are missing.
 
     Nodes without parents are level 0. Each round takes the nodes whose last parents the round before took, so a node is
-    handled once whatever the number of its paths. More than ``max_depth`` rounds are an error.
+    handled once whatever the number of its paths; it writes what it meets and no node that still waits. More than
+    ``max_depth`` rounds are an error.
     """
     from belvane.sources.tables import materialise
 
     edges = materialise(edges.select("parent", "child").where("parent is not null and child is not null").distinct())
-    waiting = materialise(edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n")))
-    fresh = materialise(edges.select(F.col("parent").alias("node")).distinct().join(waiting, "node", "left_anti"))
-    done = fresh.select("node", F.lit(0).alias("level"))
-    level = 0
+    parents = materialise(edges.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    fresh = materialise(edges.select(F.col("parent").alias("node")).distinct().join(parents, "node", "left_anti"))
+    done, met = [fresh.select("node", F.lit(0).alias("level"))], []
     while not fresh.isEmpty():
-        level += 1
-        if level > max_depth:
+        if len(done) > max_depth:
             raise RuntimeError(f"levels are deeper than {max_depth}")
-        met = edges.join(fresh, edges.parent == fresh.node, "left_semi").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("met"))
-        left = materialise(waiting.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
-        fresh, waiting = left.where("n = 0").select("node"), left.where("n > 0")
-        done = done.unionByName(fresh.select("node", F.lit(level).alias("level")))
-        if level % 50 == 0:
-            done = materialise(done)  # keeps the plan short
-    return done
+        now = materialise(edges.join(fresh, edges.parent == fresh.node, "left_semi").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("met")))
+        met.append(now)
+        sums = reduce(DataFrame.unionByName, met).join(now.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("met").alias("met"))
+        fresh = materialise(sums.join(parents, "node").where("met = n").select("node"))
+        done.append(fresh.select("node", F.lit(len(done)).alias("level")))
+        if len(met) == 32:  # keeps the plan short
+            met = [materialise(reduce(DataFrame.unionByName, met).groupBy("node").agg(F.sum("met").alias("met")))]
+        if len(done) % 64 == 0:
+            first = materialise(reduce(DataFrame.unionByName, [x for x in done if x is not None]))
+            done = [first, *[None] * (len(done) - 1)]
+    return reduce(DataFrame.unionByName, [x for x in done if x is not None])
 
 
 def affected(edges: DataFrame, changed: DataFrame, rounds: int = 10_000) -> DataFrame:
     """node: all that can be reached from ``changed`` (node) along ``edges`` (parent, child), without these themselves.
 
-    Each round joins the newly found nodes only; a cycle ends the search as it finds nothing new. More than ``rounds``
-    rounds are an error.
+    Each round joins and writes the newly found nodes only; a cycle ends the search as it finds nothing new. More than
+    ``rounds`` rounds are an error.
     """
     from belvane.sources.tables import materialise
 
-    seen = materialise(changed.select("node").distinct())
-    fresh = seen
+    fresh = materialise(changed.select("node").distinct())
+    seen = [fresh]
     for _ in range(rounds):
-        fresh = materialise(edges.join(fresh, edges.parent == fresh.node, "left_semi").select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"))
+        reached = edges.join(fresh, edges.parent == fresh.node, "left_semi").select(F.col("child").alias("node")).distinct()
+        fresh = materialise(reached.join(reduce(DataFrame.unionByName, seen), "node", "left_anti"))
         if fresh.isEmpty():
             break
-        seen = materialise(seen.unionByName(fresh))
+        seen.append(fresh)
+        if len(seen) == 32:  # keeps the plan short
+            seen = [materialise(reduce(DataFrame.unionByName, seen))]
     else:
         raise RuntimeError(f"the search did not end in {rounds} rounds")
-    return seen.join(changed.select("node"), "node", "left_anti")
+    return reduce(DataFrame.unionByName, seen).join(changed.select("node"), "node", "left_anti")
 
 
 def jacobian_of_sum(jacobian: DataFrame, members: DataFrame) -> DataFrame:

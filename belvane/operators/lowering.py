@@ -10,9 +10,10 @@ from belvane.functions.scalars import significant
 
 def missing(entities: DataFrame, required: DataFrame, slots: DataFrame) -> DataFrame:
     """model, entity, quantity: what ``required`` (class, quantity) asks of ``entities`` (model, entity, class) and
-    ``slots`` (model, entity, quantity) lacks. Two models may name an entity alike."""
-    keys = ["model", "entity", "quantity"]
-    return entities.join(required, "class").join(slots.select(*keys), keys, "left_anti").select(*keys)
+    ``slots`` (model, entity, quantity) lacks. Two models may name an entity alike; slots without a model are of entities whose names are
+    one model's only."""
+    keys = [k for k in ("model", "entity", "quantity") if k in slots.columns]
+    return entities.join(required, "class").join(slots.select(*keys), keys, "left_anti").select("model", "entity", "quantity")
 
 
 def audit(entities: DataFrame, required: DataFrame, slots: DataFrame) -> DataFrame:
