@@ -31,7 +31,7 @@ def with_row_id(docs: DataFrame) -> DataFrame:
         at = docs.metadataColumn("_metadata")
         return docs.select(row, F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at"))
     except AnalysisException as e:
-        if (e.getCondition() or "").split(".")[0] not in ("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND"):
+        if (e.getCondition() or "").split(".")[0] not in ("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND", "MISSING_ATTRIBUTES"):
             raise
     return with_row_id(materialise(docs))
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from belvane.llm import mixing, ngram_join, quality_classifier
+from belvane.llm import bpe, mixing, ngram_join, quality_classifier
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,9 +120,18 @@ def test_classifier_stage_keeps_what_it_scores_as_good(spark, docs, odd):
         assert Counter(r["doc_id"] for r in corpus_pipeline.reject_low_quality(spark, df, "").collect()) == want
 
 
-def test_encode_stage_gives_the_texts_back(spark, docs):
-    found = corpus_pipeline.encode(spark, docs, "").collect()
-    assert Counter(r["decoded"] for r in found) == Counter(r["text"] or "" for r in docs.collect())
+def test_encode_stage_by_the_library(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe._default_path())
+    t.no_truncation()
+    t.no_padding()
+    for df in (docs, odd.where("length(text) < 1000 or text is null")):
+        want = Counter()
+        for r in df.collect():
+            ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+            want[r["doc_id"], tuple(ids), t.decode(ids, skip_special_tokens=False)] += 1
+        assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in corpus_pipeline.encode(spark, df, "").collect()) == want
 
 
 def test_the_whole_pipeline(spark, odd, clashing, tmp_path):
