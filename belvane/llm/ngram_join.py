@@ -156,11 +156,16 @@ def _in_reach(percent: int) -> Column:
     return F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (1 + least(n - 1 - place, n2 - 1 - place2)) * {100 + percent} >= {percent} * (n + n2)")
 
 
-def _shared(distinct: DataFrame) -> DataFrame:
-    """rank, token, x, n, place: the rows of the shingles that two prefixes or more hold, ranked by shingle and
-    x without gaps. The order is cut into ranges; a row for each range, not more, tells how many come before."""
-    tokens = distinct.select(F.col("same").alias("x"), "n", F.posexplode("prefix").alias("place", "token"))
-    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
+def _shared(distinct: DataFrame, found: DataFrame | None, part: int | None = None) -> DataFrame:
+    """rank, token, x, n, place: the rows of the shingles that prefixes of two components or more hold, ranked by shingle and
+    x without gaps; ``part`` takes one shingle in so many. The order is cut into ranges; a row for each range, not more,
+    tells how many come before."""
+    sets = distinct.select(F.col("same").alias("x"), "n", "prefix")
+    sets = sets.withColumn("c", F.col("x")) if found is None else sets.join(found, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    tokens = sets.select("x", "n", "c", F.posexplode("prefix").alias("place", "token"))
+    if part:
+        tokens = tokens.where(F.pmod(F.xxhash64("token"), F.lit(part)) == 0)
+    twice = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     rows = materialise(tokens.join(twice, "token").select("token", "x", "n", "place"))
     ranged = rows.repartitionByRange("token", "x").sortWithinPartitions("token", "x").withColumn("id", F.monotonically_increasing_id())
     ranged = materialise(ranged.withColumns({"part": F.shiftright("id", 33), "id": F.col("id").bitwiseAND((1 << 33) - 1)}))
@@ -246,12 +251,11 @@ def links(distinct: DataFrame, read: DataFrame, *, size: int = 5, percent: int =
     that has a link; ``read`` (file, at, text) has the texts. Only what a pair needs is compared, see the top of this file.
 
     Near copies share many shingles of their prefixes. So an eighth of the shingles goes first, and only with near
-    neighbours: most groups are one component then, and their other shingles need not be met at all."""
-    rows = _shared(distinct)
+    neighbours: most groups are one component then, and their other shingles need not be ranked or met at all."""
     walk = _Walk(distinct.select("same", "n", "cuts", "file", "at"), read, size, percent)
-    walk.over(rows.where(F.pmod(F.xxhash64("token"), F.lit(8)) == 0), longest=8)
-    walk.over(rows)
-    return walk.found if walk.found is not None else rows.select("x", F.col("x").alias("c")).where("false")
+    walk.over(_shared(distinct, None, part=8), longest=8)
+    walk.over(_shared(distinct, walk.found))
+    return walk.found if walk.found is not None else distinct.select(F.col("same").alias("x"), F.col("same").alias("c")).where("false")
 
 
 def _with_texts(texts: DataFrame | None, pairs: DataFrame, small: DataFrame, read: DataFrame) -> DataFrame:
