@@ -179,22 +179,10 @@ def clearance_risks(spark: SparkSession, d: str) -> DataFrame:
   SELECT a.model, count(*) AS pairs, round(sum(a.x * b.x * 0.0001), 2) AS cov, round(sum(sqrt(a.v * b.v)), 2) AS scale FROM k a JOIN k b ON a.model = b.model AND b.place = a.place + 1 GROUP BY a.model""")
 def cross_entity_covariance(spark: SparkSession, d: str) -> DataFrame:
     """Net values in another currency rest on a rate that a model's lines share: covariances of each line with the next."""
-    from pyspark.sql import Window
-
-    wide = views.wide(spark, d)
     net = {"Gross": [(1, ("Qty", "Price"))], "Net": [(1, ("Gross", "Fx")), (-1, ("Gross", "Disc", "Fx"))]}
-    rows = rules.with_gradient(wide, net, only=["Net"])
-    raws = rules.raws_of(net, "Net")
-    name = lambda r: F.lit("*.Fx") if r in views.SHARED else F.concat(F.col("entity"), F.lit(f".{r}"))
-    j = rows.select("model", F.col("entity").alias("out_var"), F.inline(F.array(*[F.struct(name(r).alias("var_id"), F.col(f"d_Net_{r}").alias("v")) for r in raws])))
-    slots = wide.select("model", F.inline(F.array(*[F.struct(name(r).alias("i"), F.pow(F.col(f"s_{r}"), F.lit(2)).alias("v")) for r in raws if r not in views.SHARED])))
-    shared = wide.select("model", F.lit("*.Fx").alias("i"), F.pow(F.col("s_Fx"), F.lit(2)).alias("v")).distinct()
-    cov = slots.unionByName(shared).select("model", "i", F.col("i").alias("j"), "v")
-    lines = table(spark, d, "lineitem")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    entity = F.concat_ws(":", *[F.col(c).cast("string") for c in views.ENTITY], F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
-    pairs = lines.select(F.col("l_suppkey").alias("model"), entity.alias("a"), F.lead(entity).over(w).alias("b")).where("b is not null")
-    found = belief.pair_covariances(j, cov, pairs)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    rows = rules.with_gradient(views.wide(spark, d, *order), net, only=["Net"])
+    found = rules.neighbour_covariances(rows, net, "Net", views.SHARED, order)
     return rounded(found.groupBy("model").agg(F.count(F.lit(1)).alias("pairs"), F.sum("cov").alias("cov"), F.sum(F.sqrt(F.col("var_a") * F.col("var_b"))).alias("scale")), 2, "cov", "scale")
 
 
