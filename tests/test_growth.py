@@ -27,3 +27,8 @@ def test_neighbours_go_to_their_model_once(spark):
     found = rules.neighbour_covariances(rules.with_gradient(rows, net), net, "Net", ["Fx"], ["k"])
     # by hand: (Q + 1) (Q' + 1) 0.01, and (2 * 0.5)^2 + ((Q + 1) 0.1)^2
     assert [(r["model"], r["place"], pytest.approx(r["cov"]), pytest.approx(r["var_a"]), pytest.approx(r["var_b"])) for r in found.orderBy("place").collect()] == [(1, 1, 0.12, 1.09, 1.16), (1, 2, 0.20, 1.16, 1.25)]
+
+
+def test_scaled_lines_are_met_once(spark):
+    df = QUERIES["scale_parameter"](spark, DIR)
+    assert exchanges(df) <= 3 and "Generate" not in plan_of(df)
