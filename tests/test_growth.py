@@ -32,3 +32,16 @@ def test_neighbours_go_to_their_model_once(spark):
 def test_scaled_lines_are_met_once(spark):
     df = QUERIES["scale_parameter"](spark, DIR)
     assert exchanges(df) <= 3 and "Generate" not in plan_of(df)
+
+
+@pytest.mark.parametrize("name, most", [("change_impact", 3), ("compliance_margins", 0), ("computational_equivalence", 3)])
+def test_terms_are_evaluated_where_the_line_is(spark, name, most):
+    df = QUERIES[name](spark, DIR)
+    assert exchanges(df) <= most and "Generate" not in plan_of(df)
+
+
+def test_like_terms_cancel():
+    nested = {"Gross": [(1, ("Q", "P"))], "Net": [(1, ("Gross",)), (-1, ("Gross", "D"))]}
+    assert rules.multiplied_out(nested, "Net") == [(1.0, ("P", "Q")), (-1.0, ("D", "P", "Q"))]
+    assert rules.margin(nested, "Gross", "Net") == {"Margin": [(1.0, ("D", "P", "Q"))]}
+    assert rules.margin(nested, "Gross", "Gross") == {"Margin": []}
