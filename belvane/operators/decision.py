@@ -20,10 +20,15 @@ def margins(mean: DataFrame, jacobian: DataFrame, sigma: DataFrame, *, pass_p: f
     from belvane.operators.belief import variance_of
 
     joined = mean.join(variance_of(jacobian, sigma), ["model", "out_var"], "left")
+    return judged_margins(joined, pass_p=pass_p, fail_p=fail_p).select("model", "out_var", F.col("mu").alias("mean"), "p", "status")
+
+
+def judged_margins(rows: DataFrame, *, pass_p: float = 0.9987, fail_p: float = 0.5) -> DataFrame:
+    """``rows`` (mu, var) of margins with p and status, as :func:`margins` gives them."""
     sure = F.when(F.col("mu") >= 0, 1.0).otherwise(0.0)
     p = F.round(F.when(F.col("var") > 0, scalars.normal_cdf(F.col("mu") / F.sqrt("var"))).otherwise(sure), 9)
     status = F.when(F.col("p") >= pass_p, "PASS").when(F.col("p") < fail_p, "FAIL").otherwise("MARGINAL")
-    return joined.select("model", "out_var", F.col("mu").alias("mean"), p.alias("p")).withColumn("status", status)
+    return rows.withColumn("p", p).withColumn("status", status)
 
 
 def _uniform(key: Column, at: int) -> Column:
