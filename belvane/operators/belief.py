@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belvane.sources.tables import growing
+
 
 def push_forward(jacobian: DataFrame, cov: DataFrame) -> DataFrame:
     """model, i, j, v: J S J' by two joins and two sums. Only entries that aren't zero are stored or made."""
@@ -313,14 +315,14 @@ def pair_covariances(jacobian: DataFrame, cov: DataFrame, pairs: DataFrame) -> D
     pair."""
     p = pairs.select("model", "a", "b").distinct()
     named = p.select("model", F.col("a").alias("out_var")).unionByName(p.select("model", F.col("b").alias("out_var"))).distinct()
-    j = jacobian.join(named, ["model", "out_var"], "left_semi").groupBy("model", "out_var", "var_id").agg(F.sum("v").alias("v"))
-    half = j.join(cov.select("model", F.col("i").alias("var_id"), "j", F.col("v").alias("s")), ["model", "var_id"]).groupBy("model", "out_var", "j").agg(F.sum(F.col("v") * F.col("s")).alias("h"))
-    own = half.join(j.select("model", "out_var", F.col("var_id").alias("j"), "v"), ["model", "out_var", "j"]).groupBy("model", "out_var").agg(F.sum(F.col("h") * F.col("v")).alias("var"))
-    left = p.join(half.select("model", F.col("out_var").alias("a"), "j", "h"), ["model", "a"])
-    both = left.join(j.select("model", F.col("out_var").alias("b"), F.col("var_id").alias("j"), "v"), ["model", "b", "j"]).groupBy("model", "a", "b").agg(F.sum(F.col("h") * F.col("v")).alias("cov"))
-    found = p.join(both, ["model", "a", "b"], "left")
+    j = jacobian.join(growing(named), ["model", "out_var"], "left_semi").groupBy("model", "out_var", "var_id").agg(F.sum("v").alias("v"))
+    half = j.join(growing(cov.select("model", F.col("i").alias("var_id"), "j", F.col("v").alias("s"))), ["model", "var_id"]).groupBy("model", "out_var", "j").agg(F.sum(F.col("v") * F.col("s")).alias("h"))
+    own = half.join(growing(j.select("model", "out_var", F.col("var_id").alias("j"), "v")), ["model", "out_var", "j"]).groupBy("model", "out_var").agg(F.sum(F.col("h") * F.col("v")).alias("var"))
+    left = p.join(growing(half.select("model", F.col("out_var").alias("a"), "j", "h")), ["model", "a"])
+    both = left.join(growing(j.select("model", F.col("out_var").alias("b"), F.col("var_id").alias("j"), "v")), ["model", "b", "j"]).groupBy("model", "a", "b").agg(F.sum(F.col("h") * F.col("v")).alias("cov"))
+    found = p.join(growing(both), ["model", "a", "b"], "left")
     for end in ("a", "b"):
-        found = found.join(own.select("model", F.col("out_var").alias(end), F.col("var").alias(f"var_{end}")), ["model", end], "left")
+        found = found.join(growing(own.select("model", F.col("out_var").alias(end), F.col("var").alias(f"var_{end}"))), ["model", end], "left")
     return found.select("model", "a", "b", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("var_a", "var_b", "cov")])
 
 
@@ -328,11 +330,11 @@ def relative_covariances(jacobian: DataFrame, cov: DataFrame, pairs: DataFrame)
     """model, a, b, p, q, v: the covariance of the difference of two entities in each pair of components, (Ja - Jb) S
     (Ja - Jb)', for ``pairs`` (model, a, b) and ``jacobian`` (model, entity, component, var_id, v), such as those of centres
     by x, y and z. What both share cancels before it is squared; components without any variance have no row."""
-    side = lambda end, sign: pairs.select("model", "a", "b").join(jacobian.withColumnRenamed("entity", end), ["model", end]).select("model", "a", "b", "component", "var_id", (sign * F.col("v")).alias("v"))
+    side = lambda end, sign: pairs.select("model", "a", "b").join(growing(jacobian.withColumnRenamed("entity", end)), ["model", end]).select("model", "a", "b", "component", "var_id", (sign * F.col("v")).alias("v"))
     d = side("a", 1).unionByName(side("b", -1)).groupBy("model", "a", "b", "component", "var_id").agg(F.sum("v").alias("v")).where("v <> 0")
-    half = d.join(cov.select("model", F.col("i").alias("var_id"), "j", F.col("v").alias("s")), ["model", "var_id"]).groupBy("model", "a", "b", "component", "j").agg(F.sum(F.col("v") * F.col("s")).alias("h"))
+    half = d.join(growing(cov.select("model", F.col("i").alias("var_id"), "j", F.col("v").alias("s"))), ["model", "var_id"]).groupBy("model", "a", "b", "component", "j").agg(F.sum(F.col("v") * F.col("s")).alias("h"))
     right = d.select("model", "a", "b", F.col("component").alias("q"), F.col("var_id").alias("j"), "v")
-    return half.join(right, ["model", "a", "b", "j"]).groupBy("model", "a", "b", F.col("component").alias("p"), "q").agg(F.sum(F.col("h") * F.col("v")).alias("v"))
+    return half.join(growing(right), ["model", "a", "b", "j"]).groupBy("model", "a", "b", F.col("component").alias("p"), "q").agg(F.sum(F.col("h") * F.col("v")).alias("v"))
 
 
 def conditioned_jointly(cov: DataFrame, rows: DataFrame, readings: DataFrame, *, tol: float = 1e-10, rounds: int = 500) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belvane.sources.tables import growing
+
 
 def aabb(boxes: DataFrame, margin: float = 0.0) -> DataFrame:
     """``boxes`` with x0, x1, y0, y1, z0, z1: the box around each turned box, with a margin."""
@@ -35,7 +37,7 @@ def overlapping(boxes: DataFrame, cell: float = 2.0) -> DataFrame:
     on = (F.col("p.gx") == F.col("q.gx")) & (F.col("p.gy") == F.col("q.gy")) & (F.col("p.id") < F.col("q.id"))
     for c in (*meet, *here):
         on = on & c
-    return p.join(q, on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    return p.join(growing(q), on).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
 
 def moments(points: DataFrame, by: list[str], dims: list[str], weight: str | None = None) -> DataFrame:
@@ -253,7 +255,7 @@ def transmittance(rays: DataFrame, parts: DataFrame) -> DataFrame:
 def sided(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with each side's box, as ox_a .. ez_a and ox_b .. ez_b."""
     side = lambda s: boxes.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ox", "oy", "oz", "yaw", "ex", "ey", "ez")])
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return pairs.select("a", "b").join(growing(side("a")), "a").join(growing(side("b")), "b")
 
 
 def centre_gradient(boxes: DataFrame) -> DataFrame:

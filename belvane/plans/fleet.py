@@ -14,7 +14,7 @@ from belvane.operators import belief, decision, geometry, graph, layout, placeme
 from belvane.plans import views
 from belvane.plans.catalog import _LINES, _LOG, _PARTS, _PTS, _R, _SUM, query, rounded
 from belvane.sources import snapshots
-from belvane.sources.tables import materialise, shared_dir, table
+from belvane.sources.tables import growing, materialise, shared_dir, table
 from belvane.streaming import stateful
 
 _OWN = "(SELECT c_custkey, n_regionkey AS model, c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey)"
@@ -145,7 +145,7 @@ def relative_covariances(spark: SparkSession, d: str) -> DataFrame:
     """How uncertain the centres of near boxes are, one against the other; what a brand's boxes share cancels."""
     boxes, extents, cov = _box_state(spark, d)
     pairs = materialise(geometry.overlapping(geometry.aabb(boxes))).select(F.lit(0).alias("model"), "a", "b")
-    centres = geometry.centre_gradient(boxes).join(extents.withColumnRenamed("v", "w"), ["id", "extent"]).groupBy("model", F.col("id").alias("entity"), "component", "var_id").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    centres = geometry.centre_gradient(boxes).join(growing(extents.withColumnRenamed("v", "w")), ["id", "extent"]).groupBy("model", F.col("id").alias("entity"), "component", "var_id").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     found = belief.relative_covariances(centres, cov, pairs)
     cell = lambda p, q: (F.round(F.coalesce(F.max(F.when((F.col("p") == p) & (F.col("q") == q), F.col("v"))), F.lit(0.0)), 9) + 0.0).alias(p + q)
     return found.groupBy("a", "b").agg(cell("x", "x"), cell("x", "y"), cell("y", "y"))
@@ -167,10 +167,10 @@ def clearance_risks(spark: SparkSession, d: str) -> DataFrame:
     pairs = materialise(geometry.overlapping(geometry.aabb(boxes)))
     apart = materialise(decision.flat_clearance(geometry.sided(pairs, boxes)))
     gradient = decision.clearance_gradient(apart).select("pair", "id", "extent", "v")
-    rows = gradient.join(extents.withColumnRenamed("v", "w"), ["id", "extent"]).groupBy("model", F.col("pair").alias("out_var"), "var_id").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    rows = gradient.join(growing(extents.withColumnRenamed("v", "w")), ["id", "extent"]).groupBy("model", F.col("pair").alias("out_var"), "var_id").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     own = rows.select("model", F.col("out_var").alias("a"), F.col("out_var").alias("b")).distinct()
     var = belief.pair_covariances(rows, cov, own).select(F.col("a").alias("pair"), F.col("var_a").alias("variance"))
-    found = geometry.pair_risk(apart.join(var, "pair"))
+    found = geometry.pair_risk(apart.join(growing(var), "pair"))
     return rounded(rounded(rounded(found, 7, "clearance"), 9, "variance"), 6, "p").select("a", "b", (F.col("clearance") + 0.0).alias("clearance"), "variance", "p")
 
 

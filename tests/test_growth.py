@@ -45,3 +45,9 @@ def test_like_terms_cancel():
     assert rules.multiplied_out(nested, "Net") == [(1.0, ("P", "Q")), (-1.0, ("D", "P", "Q"))]
     assert rules.margin(nested, "Gross", "Net") == {"Margin": [(1.0, ("D", "P", "Q"))]}
     assert rules.margin(nested, "Gross", "Gross") == {"Margin": []}
+
+
+def test_boxes_are_not_gathered_on_the_driver(spark):
+    """A part's file is small, its boxes and their derivatives are not: they are joined by shuffles."""
+    df = QUERIES["clearance_risks"](spark, DIR)
+    assert "Broadcast" not in plan_of(df)
