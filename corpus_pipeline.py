@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from belvane.llm import bpe, mixing, ngram_join, pii, quality_classifier
-from belvane.llm._common import shared_dir
+from belvane.llm import bpe, mixing, ngram_join, pii, quality_classifier, simhash
+from belvane.llm._common import materialise, shared_dir
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +17,10 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id (a null one comes last): five-word
-    shingles, a Jaccard index of 0.8. Texts without words make one group."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of near-duplicates stays, that with the smallest doc_id (a null one comes last). Groups are
+    those of SimHash, at three differing bits; an exact join of what is left follows, by five-word shingles at a Jaccard index
+    of 0.8, which finds what lies farther apart. Texts without words make one group."""
+    return ngram_join.keep_one(materialise(simhash.keep_one(docs)))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
