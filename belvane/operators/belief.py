@@ -8,6 +8,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from belvane.sources.tables import growing
 
@@ -264,27 +265,44 @@ def positive(cov: DataFrame, block: str) -> DataFrame:
     """``block``, n, jitter, positive: whether each block of ``cov`` (block, i, j, v) has a Cholesky factor, with the first
     of 0, 1e-12 and 1e-10 times the mean variance (1 at least) added to its diagonal that gives one; jitter is null if none
     does. A block must fit a task; blocks are spread over the cluster."""
-    import numpy as np
-    import pandas as pd
+    def factor(cells: list[tuple]) -> tuple[int, float | None]:
+        import numpy as np
 
-    def factor(key: tuple, s: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(s["i"]) | set(s["j"]))
+        names = sorted({i for i, _, _ in cells} | {j for _, j, _ in cells})
         at = {x: k for k, x in enumerate(names)}
         c = np.zeros((len(names), len(names)))
-        c[s["i"].map(at), s["j"].map(at)] = s["v"]
+        c[[at[i] for i, _, _ in cells], [at[j] for _, j, _ in cells]] = [np.nan if v is None else v for _, _, v in cells]
         c, unit = (c + c.T) / 2, max(float(np.trace(c)) / len(names), 1.0)
-        found = None
         for jitter in (0.0, 1e-12 * unit, 1e-10 * unit):
             try:
                 np.linalg.cholesky(c + jitter * np.eye(len(names)))
-                found = jitter
-                break
+                return len(names), jitter
             except np.linalg.LinAlgError:
                 continue
-        return pd.DataFrame({block: [key[0]], "n": [len(names)], "jitter": [found], "positive": [found is not None]}).astype({"jitter": "float64"})
-
-    kind = cov.schema[block].dataType.simpleString()
-    return cov.select(block, "i", "j", "v").groupBy(block).applyInPandas(factor, f"`{block}` {kind}, n long, jitter double, positive boolean")
+        return len(names), None
+
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, last, cells = None, None, []
+
+        def told(done: list[tuple]) -> pa.RecordBatch:
+            keys, ns, jitters = [k for k, _, _ in done], [n for _, n, _ in done], [x for _, _, x in done]
+            return pa.record_batch([pa.array(keys, kind), pa.array(ns, pa.int64()), pa.array(jitters, pa.float64()), pa.array([x is not None for x in jitters], pa.bool_())], names=[block, "n", "jitter", "positive"])
+
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for key, *cell in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if cells and key != last:
+                    done.append((last, *factor(cells)))
+                    cells = []
+                last = key
+                cells.append(tuple(cell))
+            yield told(done)
+        if cells:
+            yield told([(last, *factor(cells))])
+
+    schema = T.StructType([cov.schema[block], T.StructField("n", T.LongType()), T.StructField("jitter", T.DoubleType()), T.StructField("positive", T.BooleanType())])
+    # a task's blocks come one after the other; a call for each block would take longer than small blocks do
+    return cov.select(block, "i", "j", "v").repartition(block).sortWithinPartitions(block).mapInArrow(factors, schema)
 
 
 def belief_digest(env: DataFrame) -> DataFrame:

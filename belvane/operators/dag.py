@@ -126,6 +126,28 @@ def levels(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
     return reduce(DataFrame.unionByName, [x for x in done if x is not None])
 
 
+def on_cycles(edges: DataFrame, trims: int = 2) -> DataFrame:
+    """node: the nodes of ``edges`` (parent, child) that lie on a cycle or behind one, those that :func:`levels` lacks.
+
+    An edge to a node without children is on no cycle, so such edges go first, ``trims`` times: a hierarchy that is no deeper
+    than that needs no levels. This is done on pairs of hashes; nodes of equal hash can only keep an edge too many. An edge
+    goes or stays with all others to its child, so the levels of what stays are right. What is left without a level, and all
+    behind it, is the result."""
+    from belvane.sources.tables import materialise
+
+    whole = edges.select("parent", "child").where("parent is not null and child is not null")
+    none = whole.select(F.col("child").alias("node")).where("false")
+    core = whole.select(F.xxhash64("parent").alias("p"), F.xxhash64("child").alias("c"))
+    for _ in range(trims):
+        core = materialise(core.join(core.select(F.col("p").alias("c")).distinct(), "c", "left_semi").select("p", "c"))
+        if core.isEmpty():
+            return none
+    left = materialise(whole.withColumn("c", F.xxhash64("child")).join(core.select("c").distinct(), "c", "left_semi").drop("c"))
+    ends = left.select(F.col("parent").alias("node")).unionByName(left.select(F.col("child").alias("node"))).distinct()
+    stuck = materialise(ends.join(levels(left), "node", "left_anti"))
+    return none if stuck.isEmpty() else stuck.unionByName(affected(whole, stuck))
+
+
 def affected(edges: DataFrame, changed: DataFrame, rounds: int = 10_000) -> DataFrame:
     """node: all that can be reached from ``changed`` (node) along ``edges`` (parent, child), without these themselves.
 

@@ -51,3 +51,21 @@ def test_boxes_are_not_gathered_on_the_driver(spark):
     """A part's file is small, its boxes and their derivatives are not: they are joined by shuffles."""
     df = QUERIES["clearance_risks"](spark, DIR)
     assert "Broadcast" not in plan_of(df)
+
+
+def test_hierarchies_need_no_levels(spark, monkeypatch):
+    from belvane.operators import dag, verify
+
+    def no(*_):
+        raise AssertionError("levels of a tree")
+
+    tree = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "x"), ("b", "x")], "parent string, child string")
+    with monkeypatch.context() as m:
+        m.setattr(dag, "levels", no)
+        assert dag.on_cycles(tree).count() == 0
+    # a cycle of b and c, what leads to it and what lies behind it, at any depth
+    ring = tree.union(spark.createDataFrame([("b", "c"), ("c", "b"), ("x", "y"), ("y", "z"), ("a", "w")], tree.schema))
+    assert sorted(r["node"] for r in dag.on_cycles(ring).collect()) == ["b", "c", "x", "y", "z"]
+    rel = spark.createDataFrame([(1, "contains", "a", None), (1, "contains", "a", "b"), (2, "contains", "a", "b")], "model int, kind string, source string, target string")
+    nodes = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "model int, node string")
+    assert sorted((r["model"], r["subject"]) for r in verify.both_ends({"rel": rel, "nodes": nodes}).collect()) == [(1, "contains a"), (2, "contains a b")]
