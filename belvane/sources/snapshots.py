@@ -62,7 +62,7 @@ def write(rows: DataFrame, keys: list[str], top: str, *, depth: int = 3, log: tu
     marked.where("false").coalesce(1).write.parquet(f"{top}/schema")  # also a version without rows has columns
     marked.repartition("leaf").write.partitionBy("folder").parquet(f"{top}/rows")
     spark = rows.sparkSession
-    _tree(_leaves(_rows(spark, top)), depth).coalesce(1).write.parquet(f"{top}/tree")
+    _tree(_leaves(_rows(spark, top)), depth).repartition(1).write.parquet(f"{top}/tree")
     return digest(spark, top)
 
 

@@ -69,3 +69,33 @@ def test_hierarchies_need_no_levels(spark, monkeypatch):
     rel = spark.createDataFrame([(1, "contains", "a", None), (1, "contains", "a", "b"), (2, "contains", "a", "b")], "model int, kind string, source string, target string")
     nodes = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "model int, node string")
     assert sorted((r["model"], r["subject"]) for r in verify.both_ends({"rel": rel, "nodes": nodes}).collect()) == [(1, "contains a"), (2, "contains a b")]
+
+
+@pytest.mark.parametrize("name", ["belief_sizes", "digest_changes"])
+def test_rows_are_dealt_to_as_many_tasks_as_the_session_has(spark, name):
+    plan = plan_of(QUERIES[name](spark, DIR))
+    assert "REPARTITION_BY_COL" in plan and ", 7)" not in plan
+
+
+def test_leaves_are_not_digested_in_one_task(spark, monkeypatch, tmp_path):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from belvane.sources import snapshots
+
+    own = DataFrame.coalesce
+
+    def checked(df, n):
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+        return own(df, n)
+
+    monkeypatch.setattr(DataFrame, "coalesce", checked)
+    rows = spark.range(100).selectExpr("id", "id * 2 as v")
+    assert snapshots.write(rows, ["id"], f"{tmp_path}/a", depth=2) == snapshots.write(rows.repartition(3), ["id"], f"{tmp_path}/b", depth=2)
+
+
+def test_affinity_counts_places_without_sets(spark):
+    from belvane.operators import graph
+
+    seen = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (None, "a"), (None, "b")], "place int, node string")
+    df = graph.affinity(seen)
+    assert [tuple(r) for r in df.collect()] == [("a", "b", 0.5, 2)] and "distinct" not in plan_of(df)
