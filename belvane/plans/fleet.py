@@ -289,7 +289,7 @@ def digest_changes(spark: SparkSession, d: str) -> DataFrame:
     changes = views.lines(spark, d).where("l_returnflag = 'R' and qty = 50").select("model", "entity", F.lit(0.0).alias("value"), F.lit(0.002).alias("design_sigma"))
     long = lambda w: w.select("model", F.inline(F.array(*[F.struct(F.concat(F.col("entity"), F.lit(f".{q}")).alias("var_id"), F.col(q).cast("double").alias("mu"), F.col(f"s_{q}").alias("sigma")) for q in views.OWN])))
     before = belief.belief_digest(long(wide)).withColumnRenamed("digest", "before")
-    after = belief.belief_digest(long(rules.with_changes(wide, "Disc", changes, "set")).repartition(7, "var_id"))
+    after = belief.belief_digest(long(rules.with_changes(wide, "Disc", changes, "set")).repartition("var_id"))
     return before.join(after, ["model", "n"]).select("model", (F.col("before") != F.col("digest")).alias("changed"))
 
 
