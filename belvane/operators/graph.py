@@ -28,8 +28,9 @@ def degree_violations(rel: DataFrame, kind: str, nodes: DataFrame) -> DataFrame:
 def affinity(incidence: DataFrame, strength: float = 0.5) -> DataFrame:
     """a, b, strength and shared: pairs of members (node) that share a place (place), a < b, each once. ``incidence`` lists
     (place, node); places are small by nature (the bounds of a room)."""
-    x, y = incidence.select("place", F.col("node").alias("a")), incidence.select("place", F.col("node").alias("b"))
-    return x.join(y, "place").where("a < b").groupBy("a", "b").agg(F.lit(strength).alias("strength"), F.count_distinct("place").alias("shared"))
+    once = incidence.select("place", "node").distinct()  # so that a pair meets once a place, and its places need no set
+    x, y = once.select("place", F.col("node").alias("a")), once.select("place", F.col("node").alias("b"))
+    return x.join(y, "place").where("a < b and place is not null").groupBy("a", "b").agg(F.lit(strength).alias("strength"), F.count(F.lit(1)).alias("shared"))
 
 
 def layout(nodes: DataFrame) -> DataFrame:
