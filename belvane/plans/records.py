@@ -205,7 +205,7 @@ def same_configuration(spark: SparkSession, d: str) -> DataFrame:
     rel = views.relations(spark, d)
     nodes = rel.select(F.col("source").alias("node")).union(rel.select("target")).distinct().withColumn("label", F.substring("node", 1, 1))
     labels = materialise(graph.relabel(nodes, rel))
-    again = materialise(graph.relabel(nodes.repartition(5, "label"), rel.orderBy(F.desc("target"))))
+    again = materialise(graph.relabel(nodes.repartition("node"), rel.orderBy(F.desc("target"))))
     kept = labels.join(again.withColumnRenamed("label", "again"), "node").where("label = again").select("node")
     both = rel.join(kept, F.col("source") == F.col("node"), "left_semi").join(kept, F.col("target") == F.col("node"), "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("same"))
     return rel.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(both, "kind")
