@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from belvane.sources.tables import dealt, growing
+
 
 def hop(rel: DataFrame, kind: str, nodes: DataFrame, *, back: bool = False) -> DataFrame:
     """node, reached: one step along edges of a kind from ``nodes`` (node), or against them."""
@@ -14,9 +16,10 @@ def hop(rel: DataFrame, kind: str, nodes: DataFrame, *, back: bool = False) -> D
 
 def dangling(rel: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which an end is no node of ``nodes`` (node)."""
-    known = nodes.select("node").distinct()
-    no_source = rel.join(known, F.col("source") == F.col("node"), "left_anti").withColumn("end", F.lit("source"))
-    return no_source.unionByName(rel.join(known, F.col("target") == F.col("node"), "left_anti").withColumn("end", F.lit("target")))
+    known = growing(dealt(nodes.select("node"), "node"))
+    # Spark looks up each kind's table by itself; dealt by number, these tasks stay as many as the session has
+    loose = lambda end: dealt(rel, end).join(known, F.col(end) == F.col("node"), "left_anti").withColumn("end", F.lit(end))
+    return loose("source").unionByName(loose("target"))
 
 
 def degree_violations(rel: DataFrame, kind: str, nodes: DataFrame) -> DataFrame:

@@ -99,3 +99,15 @@ def test_affinity_counts_places_without_sets(spark):
     seen = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (None, "a"), (None, "b")], "place int, node string")
     df = graph.affinity(seen)
     assert [tuple(r) for r in df.collect()] == [("a", "b", 0.5, 2)] and "distinct" not in plan_of(df)
+
+
+def test_ends_are_looked_up_in_tasks_that_are_not_merged(spark):
+    """Spark merged the tasks of these joins by their packed bytes, until one sorted more than a GB."""
+    from belvane.operators import graph
+
+    plan = plan_of(QUERIES["dangling_edges"](spark, DIR))
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") >= plan.count("LeftAnti") > 0
+    rel = spark.createDataFrame([("k", "a", "b"), ("k", "a", "x"), ("k", None, "b"), ("k", "y", "z")], "kind string, source string, target string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "node string")
+    found = sorted((str(r["source"]), r["target"], r["end"]) for r in graph.dangling(rel, nodes).collect())
+    assert found == [("None", "b", "source"), ("a", "x", "target"), ("y", "z", "source"), ("y", "z", "target")]
