@@ -159,6 +159,18 @@ def test_a_log_guards_its_lifecycle_over_restarts(spark, tmp_path):
     assert {x["reason"] for x in found} == {None, "STALE", "ILLEGAL_STEP", "LATE", "REPEATED"}
 
 
+def test_streams_make_no_table_for_each_key(spark, tmp_path):
+    """A pandas table for each key and micro-batch took most of the time."""
+    from pyspark.sql import Row
+
+    rows = [Row(key="k", place=p, y=y, r=r) for p, y, r in [(2, 1.0, 4.0), (1, 9.0, 2.0), (2, None, 4.0), (1, 3.0, 2.0), (1, 0.0, 1.0), (2, 5.0, float("nan"))]]
+    assert [tuple(x)[1:3] for x in stateful.in_turn(iter(rows), "place")] == [(1, 0.0), (1, 3.0), (1, 9.0), (2, 1.0), (2, None), (2, 5.0)]
+    stream = parts(spark, [("a", 1, 5.0, 1.0)], "key string, place long, y double, r double", [range(1)], str(tmp_path))
+    found = stateful.filtered(stream, "key", str(tmp_path), mu0=0.0, var0=1.0, q=0.0)
+    assert [(r["n"], r["mu"], r["var"]) for r in found.collect()] == [(1, 2.5, 0.5)]
+    assert not hasattr(stateful, "pd")
+
+
 def dense(rng, n, rank):
     m = rng.normal(size=(n, rank))
     return m @ m.T + np.eye(n)
