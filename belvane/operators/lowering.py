@@ -113,3 +113,11 @@ def listed(slots: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     significant digits. An entity has few quantities, those of its class."""
     row = F.struct("quantity", significant(F.col("mu"), digits).alias("mu"), significant(F.col("sigma"), digits).alias("sigma"))
     return slots.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("quantities"))
+
+
+def listed_rows(rows: DataFrame, by: list[str], quantities: list[str], digits: int = 6) -> DataFrame:
+    """What :func:`listed` gives, from ``rows`` that have an entity's ``quantities`` side by side, each with its deviation as
+    s_quantity: nothing is shuffled."""
+    six = lambda c: significant(F.col(c), digits)
+    each = [F.struct(F.lit(q).alias("quantity"), six(q).alias("mu"), six(f"s_{q}").alias("sigma")) for q in sorted(quantities)]
+    return rows.select(*by, F.array(*each).alias("quantities"))

@@ -118,3 +118,12 @@ def test_variables_are_told_in_the_line(spark):
     twice = {"Gross": [(1, ("Q", "P")), (1, ("Q", "F"))], "Net": [(1, ("Gross",)), (-1, ("Gross", "D"))], "None": [(1, ())]}
     found = rules.free_variables(spark.createDataFrame([(1, "e")], "model int, entity string"), twice, ["F"]).collect()
     assert {r["quantity"]: r["variables"] for r in found} == {"Gross": ["*.F", "e.P", "e.Q"], "Net": ["*.F", "e.D", "e.P", "e.Q"], "None": []}
+
+
+def test_lines_are_listed_where_they_are(spark):
+    from belvane.operators import lowering
+
+    assert "Exchange" not in plan_of(QUERIES["state_listing"](spark, DIR))
+    slots = spark.createDataFrame([("e", "Qty", 1234567.0, 0.5), ("e", "Disc", None, 0.1)], "entity string, quantity string, mu double, sigma double")
+    rows = spark.createDataFrame([("e", 1234567.0, 0.5, None, 0.1)], "entity string, Qty double, s_Qty double, Disc double, s_Disc double")
+    assert lowering.listed_rows(rows, ["entity"], ["Qty", "Disc"]).collect() == lowering.listed(slots, ["entity"]).collect()
