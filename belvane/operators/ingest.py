@@ -76,6 +76,16 @@ def constraints(slots: DataFrame, below: list[tuple[str, str]], restated: list[s
     return positive.unionByName(less).unionByName(same)
 
 
+def constraints_of_kind(entities: DataFrame, quantities: list[str], below: list[tuple[str, str]], restated: list[str]) -> DataFrame:
+    """What :func:`constraints` gives for ``entities`` (model, entity) of one kind, each of which has the same
+    ``quantities``: told in the entity's row, nothing is shuffled."""
+    told = [("NonNegative", q, None) for q in quantities]
+    told += [("LessEqual", a, b) for a, b in below if a in quantities and b in quantities]
+    told += [("ExprEquals", q, "definition") for q in quantities if q in restated]
+    each = [F.struct(F.lit(k).alias("kind"), F.lit(a).alias("lhs"), F.lit(b).cast("string").alias("rhs")) for k, a, b in told]
+    return entities.select("model", "entity", F.inline(F.array(*each)))
+
+
 def strict_json(files: DataFrame, fields: dict[str, str], *, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """id, sha256, each of ``fields`` (name to SQL type) and a reason from ``files`` (id, body): a document must be an
     object with these keys and no others, each of its type, finite and within its limits. A refused one keeps its id, its

@@ -127,3 +127,13 @@ def test_lines_are_listed_where_they_are(spark):
     slots = spark.createDataFrame([("e", "Qty", 1234567.0, 0.5), ("e", "Disc", None, 0.1)], "entity string, quantity string, mu double, sigma double")
     rows = spark.createDataFrame([("e", 1234567.0, 0.5, None, 0.1)], "entity string, Qty double, s_Qty double, Disc double, s_Disc double")
     assert lowering.listed_rows(rows, ["entity"], ["Qty", "Disc"]).collect() == lowering.listed(slots, ["entity"]).collect()
+
+
+def test_constraints_are_told_in_the_line(spark):
+    from belvane.operators import ingest
+
+    assert exchanges(QUERIES["constraint_rows"](spark, DIR)) == 1
+    slots = spark.createDataFrame([(1, "e", "Qty"), (1, "e", "Disc")], "model int, entity string, quantity string")
+    args = [("Disc", "Qty"), ("Fx", "Qty")], ["Disc", "Price"]
+    found = ingest.constraints_of_kind(slots.select("model", "entity").distinct(), ["Qty", "Disc"], *args)
+    assert sorted(map(str, found.collect())) == sorted(map(str, ingest.constraints(slots, *args).collect())) and found.count() == 4
