@@ -42,15 +42,18 @@ def sigma_policy(slots: DataFrame, posterior: DataFrame, stated: DataFrame, defa
     mean by quantity, and that before the default of the quantity (quantity, sigma). A quantity with none is REJECTED. Two
     models may name a variable alike.
     """
+    told = slots.join(posterior.select("model", "var_id", F.col("sigma").alias("__p")), ["model", "var_id"], "left").join(stated.select("model", "var_id", F.col("sigma").alias("__s")), ["model", "var_id"], "left")
+    return judged_sigma(told, "__p", "__s", defaults, relative).drop("__p", "__s").select(*slots.columns, "sigma", "policy")
+
+
+def judged_sigma(slots: DataFrame, posterior: str, stated: str, defaults: DataFrame, relative: dict[str, float]) -> DataFrame:
+    """:func:`sigma_policy` for ``slots`` (quantity, mu, ...) whose columns ``posterior`` and ``stated`` hold these deviations, or
+    null: no variable is looked up, and only the few ``defaults`` (quantity, sigma) are joined."""
     share = F.lit(None).cast("double")
     for quantity, part in relative.items():
         share = F.when(F.col("quantity") == quantity, part * F.abs("mu")).otherwise(share)
-    joined = (
-        slots.join(posterior.select("model", "var_id", F.col("sigma").alias("__p")), ["model", "var_id"], "left")
-        .join(stated.select("model", "var_id", F.col("sigma").alias("__s")), ["model", "var_id"], "left")
-        .join(defaults.select("quantity", F.col("sigma").alias("__d")), "quantity", "left")
-        .withColumn("__r", share)
-    )
+    known = defaults.select("quantity", F.col("sigma").alias("__d"))
+    joined = slots.withColumns({"__p": F.col(posterior), "__s": F.col(stated), "__r": share}).join(known, "quantity", "left")
     policy = F.when(F.col("__p").isNotNull(), "POSTERIOR").when(F.col("__s").isNotNull(), "STATED").when(F.col("__r").isNotNull(), "RELATIVE").when(F.col("__d").isNotNull(), "DEFAULT")
     return joined.select(*slots.columns, F.coalesce("__p", "__s", "__r", "__d").alias("sigma"), policy.otherwise("REJECTED").alias("policy"))
 

@@ -150,3 +150,16 @@ def test_correlations_are_within_the_row(spark):
     told = lambda df: sorted((r["i"], r["j"], pytest.approx(r["cov"]), pytest.approx(r["corr"])) for r in df.collect())
     want = belief.correlations(rules.covariance(rows, net, list(net)), ["model", "entity"])
     assert told(rules.correlations(rows, net, list(net))) == [(r["i"], r["j"], r["cov"], r["corr"]) for r in want.orderBy("i", "j").collect()]
+
+
+def test_deviations_are_judged_in_the_line(spark):
+    from belvane.operators import lowering
+
+    assert exchanges(QUERIES["sigma_policy"](spark, DIR)) == 1
+    slots = spark.createDataFrame([(1, "a", "Q", 2.0, 0.1, 0.3), (1, "b", "Q", 2.0, None, 0.3), (1, "c", "P", -2.0, None, None), (1, "d", "Q", 2.0, None, None), (2, "a", "T", 2.0, None, None)], "model int, var_id string, quantity string, mu double, p double, s double")
+    side = lambda c: slots.where(f"{c} is not null").select("model", "var_id", slots[c].alias("sigma"))
+    defaults = spark.createDataFrame([("Q", 0.5)], "quantity string, sigma double")
+    bare = slots.drop("p", "s")
+    want = sorted(tuple(r) for r in lowering.sigma_policy(bare, side("p"), side("s"), defaults, {"P": 0.5}).collect())
+    assert want == sorted(tuple(r) for r in lowering.judged_sigma(slots, "p", "s", defaults, {"P": 0.5}).drop("p", "s").collect())
+    assert [r[4:] for r in want] == [(0.1, "POSTERIOR"), (0.3, "STATED"), (1.0, "RELATIVE"), (0.5, "DEFAULT"), (None, "REJECTED")]
