@@ -168,3 +168,12 @@ def composite(before: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
     done = composed(steps, keys).withColumnsRenamed({"a": "__a", "b": "__b"})
     moved = F.coalesce(F.col("__a") * F.col("mu") + F.col("__b"), F.col("mu"))
     return before.join(done, keys, "left").withColumn("mu", moved).select(*before.columns)
+
+
+def composite_rows(before: DataFrame, steps: str) -> DataFrame:
+    """:func:`composite` for rows of ``before`` (mu, ...) that bring their few steps along, in the array column ``steps`` of
+    (seq, op, value): a row's change is worked out in it, and no step is dealt. A value that comes out as null leaves the
+    row as it was."""
+    put = lambda mu, s: F.when(s["op"] == "set", s["value"]).when(s["op"] == "shift", mu + s["value"]).when(s["op"] == "scale", mu * s["value"]).otherwise(mu)
+    mu = F.col("mu").cast("double")
+    return before.withColumn("mu", F.coalesce(F.aggregate(F.array_sort(steps), mu, put), mu)).drop(steps)

@@ -163,3 +163,18 @@ def test_deviations_are_judged_in_the_line(spark):
     want = sorted(tuple(r) for r in lowering.sigma_policy(bare, side("p"), side("s"), defaults, {"P": 0.5}).collect())
     assert want == sorted(tuple(r) for r in lowering.judged_sigma(slots, "p", "s", defaults, {"P": 0.5}).drop("p", "s").collect())
     assert [r[4:] for r in want] == [(0.1, "POSTERIOR"), (0.3, "STATED"), (1.0, "RELATIVE"), (0.5, "DEFAULT"), (None, "REJECTED")]
+
+
+def test_steps_are_composed_in_the_row(spark, monkeypatch):
+    from belvane.operators import verify
+
+    def no(*_):
+        raise AssertionError("written")
+
+    with monkeypatch.context() as m:
+        m.setattr(models, "materialise", no)
+        assert "ObjectHashAggregate" not in plan_of(QUERIES["composite_change"](spark, DIR))
+    rows = spark.createDataFrame([(1, "a", 2.0, [(2, "scale", 3.0), (1, "shift", 1.0)]), (1, "b", 2.0, []), (2, "c", 2.0, None), (2, "d", 2.0, [(0, "shift", None)]), (2, "e", 2.0, [(0, "set", 5.0), (1, "other", 9.0)])], "model int, entity string, mu double, steps array<struct<seq int, op string, value double>>")
+    before = rows.drop("steps")
+    want = verify.composite(before, rows.selectExpr("model", "entity", "inline(steps)"), ["model", "entity"])
+    assert sorted(map(tuple, verify.composite_rows(rows, "steps").collect())) == sorted(map(tuple, want.collect())) == [(1, "a", 9.0), (1, "b", 2.0), (2, "c", 2.0), (2, "d", 2.0), (2, "e", 5.0)]
