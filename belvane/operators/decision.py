@@ -33,7 +33,11 @@ def judged_margins(rows: DataFrame, *, pass_p: float = 0.9987, fail_p: float = 0
 
 def _uniform(key: Column, at: int) -> Column:
     """A number in (0, 1] from 48 bits of a digest."""
-    return (F.conv(F.substring(key, at, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+    return (F.conv(F.substring(key, at, 12), 16, 10).cast("long") + 1) / float(1 << 48)
+
+
+#: No draw is farther from its mean, in deviations: the least number of :func:`_uniform` is 2^-48; and some for rounding.
+REACH = math.sqrt(2 * 48 * math.log(2)) + 0.01
 
 
 def samples(slots: DataFrame, n: int, seed: int) -> DataFrame:
@@ -42,10 +46,29 @@ def samples(slots: DataFrame, n: int, seed: int) -> DataFrame:
     A draw depends on the seed, its number and the variable alone, so it is the same however the rows are partitioned
     and when a lost task runs again.
     """
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), F.col("model").cast("string"), F.col("var_id")))
-    drawn = slots.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__key", key)
-    z = F.sqrt(-2 * F.log(_uniform(F.col("__key"), 1))) * F.cos(2 * math.pi * _uniform(F.col("__key"), 13))
-    return drawn.withColumn("mu", F.col("mu") + F.col("sigma") * z).drop("__key")
+    drawn = _numbered(slots, n).withColumn("__key", _draw_key(seed))
+    return drawn.withColumn("mu", F.col("mu") + F.col("sigma") * _normal(F.col("__key"))).drop("__key")
+
+
+def sampled_negatives(slots: DataFrame, n: int, seed: int) -> DataFrame:
+    """``slots`` (model, var_id, mu, sigma) with ``sample`` (0 to n - 1) and ``bad``: whether the value that :func:`samples`
+    draws is below 0. What lies farther above 0 than any draw reaches needs no digest to tell."""
+    sure = F.coalesce(F.col("mu") > REACH * F.abs("sigma"), F.lit(False))
+    drawn = _numbered(slots, n).withColumn("__key", F.when(~sure, _draw_key(seed)))
+    below = F.col("mu") + F.col("sigma") * _normal(F.col("__key")) < 0
+    return drawn.withColumn("bad", F.when(F.col("__key").isNull(), F.lit(False)).otherwise(below)).drop("__key")
+
+
+def _numbered(slots: DataFrame, n: int) -> DataFrame:
+    return slots.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def _draw_key(seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample").cast("string"), F.col("model").cast("string"), F.col("var_id")))
+
+
+def _normal(key: Column) -> Column:
+    return F.sqrt(-2 * F.log(_uniform(key, 1))) * F.cos(2 * math.pi * _uniform(key, 13))
 
 
 def violation_rates(drawn: DataFrame, n: int, by: list[str]) -> DataFrame:

@@ -192,3 +192,18 @@ def test_observation_rows_are_told_in_the_line(spark):
     raw = spark.createDataFrame([(1, "e.P"), (1, "e.Q")], "model int, var_id string")
     want = belief.observation_rows(j, raw, raw.limit(1).union(j.select("model", "out_var")))
     assert sorted((r["var_id"], r["raw"], r["h"]) for r in want.collect()) == [(f"{e}.{q}", f"{e}.{r}", h) for _, e, q, r, h in found]
+
+
+def test_far_means_need_no_draw(spark):
+    from pyspark.sql import functions as F
+
+    from belvane.operators import decision
+
+    slots = spark.range(400).selectExpr("1 as model", "concat('v', id) as var_id", "CASE WHEN id = 7 THEN NULL ELSE id / 40D - 1 END as mu", "CASE WHEN id = 9 THEN NULL WHEN id % 2 = 0 THEN 0.5D ELSE -0.5D END as sigma")
+    keyed = lambda df: sorted(map(str, df.select("var_id", "sample", "bad").collect()))
+    found = decision.sampled_negatives(slots, 20, 7)
+    assert keyed(found) == keyed(decision.samples(slots, 20, 7).withColumn("bad", F.col("mu") < 0))
+    assert found.where("bad").count() > 50 and found.where("not bad").count() > 50
+    low = decision._normal(F.lit("0" * 12 + "8" + "0" * 19))  # the farthest draw
+    assert -decision.REACH < spark.range(1).select(low.alias("z")).first()["z"] < -8
+    assert "md5" in plan_of(found) and "CASE WHEN" in plan_of(found).split("md5")[0].splitlines()[-1]
