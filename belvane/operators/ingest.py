@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from belvane.sources.tables import dealt
+
 
 def classified(products: DataFrame, classes: DataFrame) -> DataFrame:
     """``products`` (type, ...) of a known type, with the ``class`` that ``classes`` (type, class) gives it."""
@@ -125,5 +127,6 @@ def attached(products: DataFrame, relations: DataFrame, sets: DataFrame) -> Data
     """id, set, name, value: the properties that ``relations`` (set, related: an array of ids) attach to ``products`` (id),
     by their ``sets`` (set, name, value). A set that is attached to a product twice counts once; ids that are no products
     and sets without properties are left out."""
-    pairs = relations.select("set", F.explode("related").alias("id")).distinct()
-    return pairs.join(products.select("id").distinct(), "id", "left_semi").join(sets.select("set", "name", "value"), "set").select("id", "set", "name", "value")
+    # dealt by number: merged by their packed bytes, a task's pairs and hash tables came to more than a GB
+    pairs = dealt(relations.select("set", F.explode("related").alias("id")), "id").distinct()
+    return pairs.join(products.select("id"), "id", "left_semi").join(sets.select("set", "name", "value"), "set").select("id", "set", "name", "value")

@@ -207,3 +207,8 @@ def test_far_means_need_no_draw(spark):
     low = decision._normal(F.lit("0" * 12 + "8" + "0" * 19))  # the farthest draw
     assert -decision.REACH < spark.range(1).select(low.alias("z")).first()["z"] < -8
     assert "md5" in plan_of(found) and "CASE WHEN" in plan_of(found).split("md5")[0].splitlines()[-1]
+
+
+def test_attached_pairs_are_dealt_to_tasks_that_are_not_merged(spark):
+    plan = plan_of(QUERIES["attached_properties"](spark, DIR))
+    assert "REPARTITION_BY_NUM" in plan and "collect_list" not in plan
