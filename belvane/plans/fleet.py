@@ -220,14 +220,13 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT model, CASE WHEN l_returnflag = 'R' THEN 'overlay' ELSE 'base' END AS part, count(*) AS n, round(sum(q*p*(1 - CASE WHEN l_returnflag = 'R' THEN 0 ELSE d END)*(1+t)), 3) AS charge FROM ({_LINES}) GROUP BY 1, 2")
 def overlaid_values(spark: SparkSession, d: str) -> DataFrame:
     """Returned lines lose their discount: these alone are evaluated and written, beside the values of all lines."""
-    wide = views.wide(spark, d)
+    wide = views.wide(spark, d).select("model", "entity", *rules.free(views.RULES))  # values rest on no deviation
     changed = views.lines(spark, d).where("l_returnflag = 'R'").select("model", "entity", F.lit(0.0).alias("Disc"))
     top = f"{shared_dir(spark)}/values-{uuid.uuid4().hex}"
     rules.write_base(wide, views.RULES, top)
     rules.write_overlay(spark, top, changed, views.RULES, "returned")
-    now = rules.read_version(spark, top, "returned")
-    part = now.join(changed.select("model", "entity", F.lit("overlay").alias("part")), ["model", "entity"], "left").withColumn("part", F.coalesce("part", F.lit("base")))
-    return rounded(part.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("Charge").alias("charge")), 3, "charge")
+    now = rules.read_version(spark, top, "returned", part="part")
+    return rounded(now.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("Charge").alias("charge")), 3, "charge")
 
 
 #: Two poses at which the sums of a step are taken.

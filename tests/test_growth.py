@@ -212,3 +212,14 @@ def test_far_means_need_no_draw(spark):
 def test_attached_pairs_are_dealt_to_tasks_that_are_not_merged(spark):
     plan = plan_of(QUERIES["attached_properties"](spark, DIR))
     assert "REPARTITION_BY_NUM" in plan and "collect_list" not in plan
+
+
+def test_a_version_tells_its_parts(spark, tmp_path):
+    assert plan_of(QUERIES["overlaid_values"](spark, DIR)).count("Join") == 1
+    net = {"G": [(1, ("Q", "P"))]}
+    wide = spark.createDataFrame([(1, "a", 2.0, 3.0), (1, "b", 4.0, 5.0)], "model int, entity string, Q double, P double")
+    rules.write_base(wide, net, str(tmp_path), buckets=4)
+    rules.write_overlay(spark, str(tmp_path), spark.createDataFrame([(1, "b", 1.0)], "model int, entity string, Q double"), net, "x", buckets=4)
+    found = rules.read_version(spark, str(tmp_path), "x", part="part").select("entity", "G", "part")
+    assert sorted(map(tuple, found.collect())) == [("a", 6.0, "base"), ("b", 5.0, "overlay")]
+    assert {r["part"] for r in rules.read_version(spark, str(tmp_path), part="part").collect()} == {"base"}
