@@ -33,8 +33,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(30), np.uint64(27), np.uint64(31))
 #: Ranges of hashes whose shingles are counted for the order, and those that the suffix filter compares.
 BINS, CUTS = 1 << 20, 64
-#: Words whose hashes a task remembers.
-WORDS = 1 << 20
+#: Words whose hashes a task remembers, some 40 MB.
+WORDS = 1 << 18
+#: Texts whose shingles a task holds at a time.
+ROWS = 512
 #: Counts of the order travel in rows of so many.
 _PART = 1 << 12
 
@@ -72,10 +74,17 @@ def _binary(column: pa.Array) -> Iterator[bytes | None]:
     return (x.as_py() for x in column.cast(pa.binary()))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, ``ROWS`` at a time: a batch of Spark's has ten thousand texts, whose shingles take some 100 MB of each task."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """How many shingles of a task's texts lie in each bin, ``_PART`` bins a row."""
     hashes, counts = _Hashes(), np.zeros(BINS, dtype=np.int64)
-    for b in batches:
+    for b in _few(batches):
         found = [shingles(x, size, hashes) for x in _binary(b.column("text"))]
         if found:
             counts += np.bincount((np.concatenate(found) >> np.uint64(44)).astype(np.int64), minlength=BINS)
@@ -117,7 +126,7 @@ def _head(found: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
 def _names(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """``same`` names a text's set of shingles, ``n`` counts it."""
     hashes = _Hashes()
-    for b in batches:
+    for b in _few(batches):
         found = [np.unique(shingles(x, size, hashes)) for x in _binary(b.column("text"))]
         kept = [(f.name, c) for c, f in zip(b.columns, b.schema, strict=True) if f.name != "text"]
         same = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in found], dtype=np.uint64).view(np.int64)
@@ -129,7 +138,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, order)
     """``prefix`` holds the first shingles of a text's set in the order, ``cuts`` how many lie in each range that the suffix
     filter compares."""
     hashes, table = _Hashes(), order.value
-    for b in batches:
+    for b in _few(batches):
         prefix, cuts = [], []
         for x in _binary(b.column("text")):
             found = np.unique(shingles(x, size, hashes))
@@ -141,7 +150,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, order)
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for b in batches:
+    for b in _few(batches):
         good = []
         for x, y in zip(_binary(b.column("x")), _binary(b.column("y")), strict=True):
             p, q = np.unique(shingles(x, size, hashes)), np.unique(shingles(y, size, hashes))

@@ -223,3 +223,16 @@ def test_a_version_tells_its_parts(spark, tmp_path):
     found = rules.read_version(spark, str(tmp_path), "x", part="part").select("entity", "G", "part")
     assert sorted(map(tuple, found.collect())) == [("a", 6.0, "base"), ("b", 5.0, "overlay")]
     assert {r["part"] for r in rules.read_version(spark, str(tmp_path), part="part").collect()} == {"base"}
+
+
+def test_few_texts_are_held_at_a_time():
+    """Of a batch of ten thousand texts, all shingles were held at once in each task."""
+    import pyarrow as pa
+
+    from belvane.llm import ngram_join
+
+    n = 2 * ngram_join.ROWS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"a b c d e {k % 7}" for k in range(n)])], ["at", "text"])
+    made = list(ngram_join._names(iter([batch]), 5))
+    assert [b.num_rows for b in made] == [ngram_join.ROWS, ngram_join.ROWS, 1] and pa.Table.from_batches(made)["at"].to_pylist() == list(range(n))
+    assert list(ngram_join._names(iter([batch.slice(0, 0)]), 5)) == [] and pa.Table.from_batches(made)["n"].to_pylist() == [2] * n
