@@ -165,22 +165,43 @@ def _in_reach(percent: int) -> Column:
     return F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and (1 + least(n - 1 - place, n2 - 1 - place2)) * {100 + percent} >= {percent} * (n + n2)")
 
 
-def _shared(distinct: DataFrame, found: DataFrame | None, part: int | None = None) -> DataFrame:
-    """rank, token, x, n, place: the rows of the shingles that prefixes of two components or more hold, ranked by shingle and
-    x without gaps; ``part`` takes one shingle in so many. The order is cut into ranges; a row for each range, not more,
-    tells how many come before."""
+def _partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """The ``rows`` (token, x, n, place, c) that the length and positional filters leave a partner within their shingle.
+
+    At its place a row reaches sets of ``most`` shingles at most, and two rows may link if each reaches the other's size. So one
+    of them reaches its own size, the other one may be of any place; rows far down in their prefixes, as most of a group's
+    that differ too much are, have no partner. Told by the least and greatest sizes and reaches of a shingle."""
+    rows = rows.withColumn("most", F.expr(f"(100 * n - {100 + percent} * place) div {percent}"))
+    own = F.col("most") >= F.col("n")
+    spans = rows.groupBy("token").agg(
+        F.min(F.when(own, F.col("n"))).alias("least"),
+        F.max(F.when(own, F.col("most"))).alias("reach"),
+        F.min(F.when(own, F.col("c"))).alias("lo"),
+        F.max(F.when(own, F.col("c"))).alias("hi"),
+        F.min(F.when(~own, F.col("n"))).alias("other_least"),
+        F.max(F.when(~own, F.col("most"))).alias("other_reach"),
+    )
+    spans = spans.where("lo < hi or other_reach >= least and other_least <= reach").select("token", "least", "reach")
+    return rows.join(spans, "token").where("most >= n or most >= least and n <= reach").select("token", "x", "n", "place", "c")
+
+
+def _shared(distinct: DataFrame, found: DataFrame | None, part: int | None = None, *, percent: int = 80) -> DataFrame:
+    """rank, token, x, n, place, c: the rows of the shingles that prefixes of two components or more hold and that may have a
+    partner, ranked by shingle and x without gaps; ``part`` takes one shingle in so many. The order is cut into ranges; a row
+    for each range, not more, tells how many come before."""
     sets = distinct.select(F.col("same").alias("x"), "n", "prefix")
     sets = sets.withColumn("c", F.col("x")) if found is None else sets.join(found, "x", "left").withColumn("c", F.coalesce("c", "x"))
     tokens = sets.select("x", "n", "c", F.posexplode("prefix").alias("place", "token"))
     if part:
         tokens = tokens.where(F.pmod(F.xxhash64("token"), F.lit(part)) == 0)
     twice = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    rows = materialise(tokens.join(twice, "token").select("token", "x", "n", "place"))
+    rows = materialise(tokens.join(twice, "token").select("token", "x", "n", "place", "c"))
+    rows = materialise(_partnered(rows, percent))
     ranged = rows.repartitionByRange("token", "x").sortWithinPartitions("token", "x").withColumn("id", F.monotonically_increasing_id())
     ranged = materialise(ranged.withColumns({"part": F.shiftright("id", 33), "id": F.col("id").bitwiseAND((1 << 33) - 1)}))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", before.alias("before"))
-    return ranged.join(F.broadcast(starts), "part").select((F.col("before") + F.col("id")).alias("rank"), "token", "x", "n", "place")
+    return ranged.join(F.broadcast(starts), "part").select((F.col("before") + F.col("id")).alias("rank"), "token", "x", "n", "place", "c")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -216,11 +237,8 @@ class _Walk:
         self.found = self.failed = self.texts = None
 
     def over(self, rows: DataFrame, longest: int | None = None) -> None:
-        """Meets the rows (rank, token, x, n, place) of each shingle, 1 rank apart, up to 8, 32, ... apart, or up to
+        """Meets the rows (rank, token, x, n, place, c) of each shingle, 1 rank apart, up to 8, 32, ... apart, or up to
         ``longest``, while they lie in more than one component."""
-        rows = rows.withColumn("c", F.col("x"))
-        if self.found is not None:
-            rows = rows.drop("c").join(self.found, "x", "left").withColumn("c", F.coalesce("c", "x"))
         near, far = 1, 2
         while longest is None or near < longest:
             # a shingle whose rows have all met is through
@@ -262,8 +280,8 @@ def links(distinct: DataFrame, read: DataFrame, *, size: int = 5, percent: int =
     Near copies share many shingles of their prefixes. So an eighth of the shingles goes first, and only with near
     neighbours: most groups are one component then, and their other shingles need not be ranked or met at all."""
     walk = _Walk(distinct.select("same", "n", "cuts", "file", "at"), read, size, percent)
-    walk.over(_shared(distinct, None, part=8), longest=8)
-    walk.over(_shared(distinct, walk.found))
+    walk.over(_shared(distinct, None, part=8, percent=percent), longest=8)
+    walk.over(_shared(distinct, walk.found, percent=percent))
     return walk.found if walk.found is not None else distinct.select(F.col("same").alias("x"), F.col("same").alias("c")).where("false")
 
 

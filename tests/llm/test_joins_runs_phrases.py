@@ -174,6 +174,30 @@ def test_ngram_join_makes_no_pairs_of_a_group_of_near_copies(spark, monkeypatch)
     assert sum(met) < 20 * 500
 
 
+def test_ngram_join_meets_only_rows_that_may_link(spark):
+    """Of a shingle's rows those stay that the filters leave a partner, and no pair that passes is lost."""
+    r = random.Random(4)
+    sets = [(k, n, [f % 40 for f in r.sample(range(400), n - -(-80 * n // 100) + 1)]) for k in range(300) for n in [r.choice((20, 30, 45, 90))]]
+    sets = [(k, n, list(dict.fromkeys(p))) for k, n, p in sets]
+    # so far down, sets of one size have too little left to share
+    sets += [(1000 + k, 100, [10**6 + 100 * k + j for j in range(15)] + [99]) for k in range(50)]
+    rows = [(t, x, n, place) for x, n, prefix in sets for place, t in enumerate(prefix)]
+
+    def passing(rows):
+        by = defaultdict(list)
+        for t, *row in rows:
+            by[t].append(row)
+        pairs = ((t, *sorted((a, b))) for t, some in by.items() for k, a in enumerate(some) for b in some[k + 1 :])
+        near = lambda a, b: 100 * min(a[1], b[1]) >= 80 * max(a[1], b[1])
+        return {(t, a[0], b[0]) for t, a, b in pairs if near(a, b) and 180 * (1 + min(a[1] - 1 - a[2], b[1] - 1 - b[2])) >= 80 * (a[1] + b[1])}
+
+    kept = ngram_join._shared(spark.createDataFrame(sets, "same long, n long, prefix array<long>"), None).collect()
+    assert sorted(x["rank"] for x in kept) == list(range(len(kept)))
+    kept = {(x["token"], x["x"], x["n"], x["place"]) for x in kept}
+    assert passing(kept) == passing(rows) and passing(rows)
+    assert not any(t == 99 for t, *_ in kept) and len(kept) < len([x for x in rows if x[0] < 99])
+
+
 # 13 -----------------------------------------------------------------------------------------------------------------
 def slow_runs(w, least=12):
     n, out = len(w), {}
