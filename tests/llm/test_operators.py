@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 import time
@@ -14,7 +15,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from belvane.llm import bpe, fingerprints, language_id, licenses, mixing, pii, quality_classifier, quality_rules, sharding, simhash
+from belvane.llm import bpe, components, fingerprints, language_id, licenses, mixing, pii, quality_classifier, quality_rules, sharding, simhash
+from belvane.llm._common import materialise
 from belvane.llm.queries import OPERATORS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,6 +252,24 @@ def test_links_of_dense_groups_and_chains(spark, tree):
     assert len(ids) == sum(map(len, got.values()))
 
 
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    """Chains, cycles, stars and loops, negative nodes too; few links take one task and are written once."""
+    r = random.Random(8)
+    links = [(k, k + 1) for k in range(-40, 40) if k % 17] + [(100, 100 + k) for k in range(30)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
+    links += [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(140)]
+    root = {x: x for ab in links for x in ab if ab[0] != ab[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df: written.append(df) or materialise(df))
+    found = components.components(spark.createDataFrame(links, "a long, b long"), few=few).collect()
+    assert sorted(map(tuple, found)) == sorted(root.items())
+    assert (len(written) == 1) == (few > 0)
+
+
 def test_keep_one(docs, odd):
     for df in (docs, odd):
         pairs = [(r["doc_id"], slow_fingerprint(r["text"])) for r in df.collect()]
