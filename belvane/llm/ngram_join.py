@@ -29,49 +29,87 @@ from belvane.llm._common import materialise, with_row_id
 from belvane.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes that are part of a word are 1.
+_INSIDE = bytes(0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256))
+#: Of eight bytes, the first so many.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(30), np.uint64(27), np.uint64(31))
 #: Ranges of hashes whose shingles are counted for the order, and those that the suffix filter compares.
 BINS, CUTS = 1 << 20, 64
-#: Words whose hashes a task remembers, some 40 MB.
-WORDS = 1 << 18
 #: Texts whose shingles a task holds at a time.
 ROWS = 512
+#: Bytes of text whose words are hashed at once, but for a text that has more by itself.
+BYTES = 1 << 19
+#: Bytes of a word that are hashed eight at a time, for all words at once.
+LONG = 64
 #: Counts of the order travel in rows of so many.
 _PART = 1 << 12
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _MIX[2]) * _MIX[0]
     x = (x ^ x >> _MIX[3]) * _MIX[1]
     return x ^ x >> _MIX[4]
 
 
-def shingles(text: bytes | None, size: int, hashes: dict[bytes, int]) -> np.ndarray:
-    """The hashes of a text's shingles of ``size`` words, repeats included, A to Z taken as small letters; a shorter text is
-    one shingle, one without words has none."""
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1
+def _word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word ``text[start:end]``, a function of its bytes: eight of them at a time, all words at once."""
+    size = ends - starts
+    eights = np.ndarray(len(text) - 7, dtype="<u8", buffer=text, strides=(1,))
+    out = _mixed(size.astype(np.uint64) * _STEP ^ eights[starts] & _FIRST[np.minimum(size, 8)])
+    rest = np.flatnonzero(size > 8)
+    for at in range(8, LONG, 8):
+        if not len(rest):
+            break
+        part = eights[starts[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]
+        out[rest] = _mixed(out[rest] * _STEP + part)
+        rest = rest[size[rest] > at + 8]
+    for k in rest.tolist():
+        out[k] = xxhash.xxh64_intdigest(text[starts[k] : ends[k]], 42)
+    return out
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """The hashes of ``size`` words from each place, of their hashes ``h``."""
+    n = len(h) - size + 1
     out = np.full(n, size, dtype=np.uint64)
     for k in range(size):
         out = out * _STEP + h[k : k + n]
     return _mixed(out)
 
 
-def _binary(column: pa.Array) -> Iterator[bytes | None]:
-    return (x.as_py() for x in column.cast(pa.binary()))
+def shingles(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """For each text the hashes of its shingles of ``size`` words, repeats included, A to Z taken as small letters; a shorter
+    text is one shingle, one without words has none. Texts are hashed together, ``BYTES`` at a time."""
+    texts = column.cast(pa.binary()).fill_null(b"")
+    _, places, data = texts.buffers()
+    if not len(texts):
+        return
+    places = np.frombuffer(places, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(places, int(places[at]) + BYTES, "right")) - 1)
+        bounds = (places[at : end + 1] - places[at]).astype(np.int64)
+        text = (data[int(places[at]) : int(places[end])].to_pybytes() if data is not None else b"").translate(_LOWER)
+        # a word begins or ends at a text's bounds, too
+        inside = np.frombuffer(text.translate(_INSIDE), dtype=bool)
+        edge = np.zeros(len(text) + 1, dtype=bool)
+        edge[bounds] = True
+        starts = inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]]))
+        ends = inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        h = _word_hashes(text + bytes(8), starts, ends)
+        whole = _rolled(h, size) if len(h) >= size else h[:0]
+        words = np.searchsorted(starts, bounds).tolist()
+        for a, b in zip(words, words[1:], strict=False):
+            yield whole[a : b - size + 1] if b - a >= size else _rolled(h[a:b], b - a) if b > a else h[:0]
+        at = end
+
+
+def _distinct(found: np.ndarray) -> np.ndarray:
+    found = np.sort(found)
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +121,9 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """How many shingles of a task's texts lie in each bin, ``_PART`` bins a row."""
-    hashes, counts = _Hashes(), np.zeros(BINS, dtype=np.int64)
+    counts = np.zeros(BINS, dtype=np.int64)
     for b in _few(batches):
-        found = [shingles(x, size, hashes) for x in _binary(b.column("text"))]
+        found = list(shingles(b.column("text"), size))
         if found:
             counts += np.bincount((np.concatenate(found) >> np.uint64(44)).astype(np.int64), minlength=BINS)
     if counts.any():
@@ -125,9 +163,8 @@ def _head(found: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
 
 def _names(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """``same`` names a text's set of shingles, ``n`` counts it."""
-    hashes = _Hashes()
     for b in _few(batches):
-        found = [np.unique(shingles(x, size, hashes)) for x in _binary(b.column("text"))]
+        found = [_distinct(x) for x in shingles(b.column("text"), size)]
         kept = [(f.name, c) for c, f in zip(b.columns, b.schema, strict=True) if f.name != "text"]
         same = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in found], dtype=np.uint64).view(np.int64)
         made = [("same", pa.array(same)), ("n", pa.array([len(x) for x in found], pa.int64()))]
@@ -137,11 +174,11 @@ def _names(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, order) -> Iterator[pa.RecordBatch]:
     """``prefix`` holds the first shingles of a text's set in the order, ``cuts`` how many lie in each range that the suffix
     filter compares."""
-    hashes, table = _Hashes(), order.value
+    table = order.value
     for b in _few(batches):
         prefix, cuts = [], []
-        for x in _binary(b.column("text")):
-            found = np.unique(shingles(x, size, hashes))
+        for x in shingles(b.column("text"), size):
+            found = _distinct(x)
             rare = table[(found >> np.uint64(44)).astype(np.int64)]
             prefix.append(_head(found, rare, len(found) - -(-percent * len(found) // 100) + 1 if len(found) else 0).view(np.int64))
             cuts.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=CUTS))
@@ -149,11 +186,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, order)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
     for b in _few(batches):
         good = []
-        for x, y in zip(_binary(b.column("x")), _binary(b.column("y")), strict=True):
-            p, q = np.unique(shingles(x, size, hashes)), np.unique(shingles(y, size, hashes))
+        for x, y in zip(shingles(b.column("x"), size), shingles(b.column("y"), size), strict=True):
+            p, q = _distinct(x), _distinct(y)
             both = len(np.intersect1d(p, q, assume_unique=True))
             good.append(100 * both >= percent * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])

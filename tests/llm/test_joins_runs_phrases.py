@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from belvane.llm import collocations, ngram_join, runs
@@ -198,6 +199,32 @@ def test_ngram_join_meets_only_rows_that_may_link(spark):
     assert not any(t == 99 for t, *_ in kept) and len(kept) < len([x for x in rows if x[0] < 99])
 
 
+def test_shingles_of_many_texts_are_hashed_at_once(monkeypatch):
+    """Equal shingles, and only they, have equal hashes, wherever texts are cut; only words of over 64 bytes are hashed one by one."""
+    r = random.Random(3)
+    parts = ["a", "B", "b", "é", " ", "  ", "\t", "\n", "\x0b\x0c", "\r", "\x1c", "\x85", "\x00", "Word", *["x" * n for n in (7, 8, 9, 16, 17, 63, 64)]]
+    texts = [None, "", *["".join(r.choice(parts[:14] if r.random() < 0.9 else parts) for _ in range(r.randrange(50))) for _ in range(600)], None, "z " * 5000]
+    texts = [t if t is None or max(map(len, t.encode().split()), default=0) <= 64 else None for t in texts]
+
+    def met(texts, size):
+        tokens, hashes = {}, {}
+        found = list(ngram_join.shingles(pa.array(["skipped", *texts])[1:], size))
+        assert len(found) == len(texts)
+        for text, hs in zip(texts, found, strict=True):
+            w = (text or "").translate(ASCII).encode().split()
+            own = [tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))] if w else []
+            assert len(own) == len(hs)
+            for token, h in zip(own, hs.tolist(), strict=True):
+                assert tokens.setdefault(token, h) == h and hashes.setdefault(h, token) == token
+        return len(tokens)
+
+    assert met(["q" * 65, "q" * 66 + " R", "q" * 65, "Q" * 65 + "\tr", "q" * 5000], 5) == 4
+    monkeypatch.setattr(ngram_join.xxhash, "xxh64_intdigest", None)
+    for most in (ngram_join.BYTES, 100, 1):
+        monkeypatch.setattr(ngram_join, "BYTES", most)
+        assert met(texts, 5) > 1000 and met(texts, 1) > 50
+
+
 # 13 -----------------------------------------------------------------------------------------------------------------
 def slow_runs(w, least=12):
     n, out = len(w), {}
