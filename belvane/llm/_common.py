@@ -15,6 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows that go to a Python task at once.
+BATCH = 1024
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session sends ``BATCH`` rows at a time to Python tasks from now on, if it did not send fewer. Spark's
+    10,000 are some 35 MB of texts, which each task holds in the JVM's buffers (twice, while these grow) and again in Python."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return docs
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from belvane.llm._common import in_small_batches
+
 END = "</w>"
 #: As the vocabulary's file states them: how a text is cut into words.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x85\p{Z}\p{L}\p{N}]+")
@@ -217,7 +219,7 @@ def encode(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     ``path`` names the vocabulary's file, which every executor has at the same place. A null text is encoded as an empty
     one, which has no ids. Repeated rows each come back; other columns are not read. An empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(partial(_encode, path=path or _default_path()), "doc_id long, ids array<int>, decoded string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(partial(_encode, path=path or _default_path()), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
@@ -225,4 +227,4 @@ def encode_digests(docs: DataFrame, *, path: str | None = None) -> DataFrame:
     taken where they are made, so that neither leaves its task. A null text is taken as empty and has no tokens; a text of
     any length is read whole, word by word. Repeated rows each come back; other columns are not read; an empty table gives
     no rows."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_digest, path=path or _default_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(partial(_digest, path=path or _default_path()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from belvane.llm._common import materialise, with_row_id
+from belvane.llm._common import in_small_batches, materialise, with_row_id
 from belvane.llm.components import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -355,7 +355,7 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80) -> tuple[DataF
     """The rows of ``docs`` (row, file, at as in ``with_row_id``), what is known of each (file, at, doc_id, same, n), and the
     distinct sets (same, n, first, c): the first row by doc_id (null last), file and place, and the component, null where
     nothing links."""
-    named = with_row_id(docs)
+    named = with_row_id(in_small_batches(docs))
     read = named.select("file", "at", F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
     order = docs.sparkSession.sparkContext.broadcast(rarity(read, size))  # BINS numbers
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.select("file", "at", "doc_id").schema)

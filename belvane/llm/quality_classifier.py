@@ -10,15 +10,17 @@ document's label; those labels train a linear scorer on hashed features, which t
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from belvane.llm._common import in_small_batches
+
 BINS = 2048
 LABELLERS = ("length", "symbols", "capitals", "line_repeats", "cells", "word_length", "exclaims", "variety")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,8 +82,8 @@ def hashed(text: str | None) -> np.ndarray:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = pd.Series([votes(x) for x in b.column("text").to_pylist()], dtype=object).value_counts()
-        yield pa.RecordBatch.from_arrays([pa.array(found.index.tolist(), pa.string()), pa.array(found.tolist(), pa.int64())], ["pattern", "n"])
+        found = Counter(votes(x) for x in b.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
 
 
 def _parsed(patterns: list[str]) -> np.ndarray:
@@ -144,7 +146,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, f
 def fit(docs: DataFrame, *, max_rows: int = 3000) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer. Vote patterns are counted over all of ``docs``; the scorer is trained on at most
     ``max_rows`` documents, those with the smallest hashes of their ids and texts."""
-    texts = docs.select("text")
+    texts = in_small_batches(docs).select("text")
     counts = texts.mapInArrow(_vote, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     found = {r["pattern"]: r["n"] for r in counts.collect()}  # at most 3 ** len(LABELLERS) rows
     if not found:

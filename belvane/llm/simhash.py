@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from belvane.llm._common import materialise, with_row_id
+from belvane.llm._common import in_small_batches, materialise, with_row_id
 from belvane.llm.components import components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, keys: list[str], *, shingle: int = 3) -> DataFrame:
     """``keys`` of every row and ``fp``, its text's fingerprint as a signed long."""
-    kept = docs.select(*keys, "text")
+    kept = in_small_batches(docs).select(*keys, "text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"], "fp long"])
     return kept.mapInArrow(partial(_fingerprints, shingle=shingle), schema)
 

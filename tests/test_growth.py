@@ -236,3 +236,34 @@ def test_few_texts_are_held_at_a_time():
     made = list(ngram_join._names(iter([batch]), 5))
     assert [b.num_rows for b in made] == [ngram_join.ROWS, ngram_join.ROWS, 1] and pa.Table.from_batches(made)["at"].to_pylist() == list(range(n))
     assert list(ngram_join._names(iter([batch.slice(0, 0)]), 5)) == [] and pa.Table.from_batches(made)["n"].to_pylist() == [2] * n
+
+
+def test_python_tasks_get_few_texts_at_a_time_and_no_pandas(spark):
+    """The stages that read texts in Python send them in small batches, and the classifier's workers import no pandas."""
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+
+    from belvane.llm import _common, bpe, ngram_join, quality_classifier, simhash
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(k, f"text number {k} of some words") for k in range(3)], "doc_id long, text string")
+    asked = spark.conf.get(key)
+    try:
+        for stage in (quality_classifier.keep_good, simhash.keep_one, ngram_join.keep_one, bpe.encode, bpe.encode_digests):
+            spark.conf.set(key, "10000")
+            stage(docs)
+            assert int(spark.conf.get(key)) == _common.BATCH
+        got = [r["n"] for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 2500 and max(got) <= _common.BATCH
+        spark.conf.set(key, "7")
+        assert _common.in_small_batches(docs) is docs and spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, asked)
+    said = subprocess.run([sys.executable, "-c", "import sys, belvane.llm.quality_classifier; print('pandas' in sys.modules)"], capture_output=True, text=True, check=True)
+    assert said.stdout.strip() == "False"
