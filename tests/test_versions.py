@@ -46,6 +46,39 @@ def test_snapshots_find_damage_and_refuse_gaps(spark, tmp_path):
     assert snapshots.write(rows.where("false"), ["m", "seq"], f"{tmp_path}/none") is None
 
 
+def test_snapshots_shuffle_rows_once_and_meet_few(spark, tmp_path):
+    """Rows were shuffled with their digests, stored with them, shuffled by them again, and all rows of a leaf that differs met."""
+    rows = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") / 3).alias("v"), F.lit("part").alias("parts"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = snapshots._kept(rows, ["k"], 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange hashpartitioning") == 2  # one, named again where it is reused
+    other = rows.where("k <> 11").withColumn("v", F.when(F.col("k") == 42, None).otherwise(F.col("v")))
+    for name, version in (("one", rows), ("two", other)):
+        snapshots.write(version, ["k"], f"{tmp_path}/{name}", depth=1)
+    kept = spark.read.parquet(f"{tmp_path}/one/rows").where("folder >= 0")
+    assert kept.count() == 4000 and "row_digest" not in kept.columns
+    leaves = snapshots.changed_leaves(spark, f"{tmp_path}/one", f"{tmp_path}/two")
+    parts = [p for r in snapshots._changed_parts(spark, f"{tmp_path}/one", f"{tmp_path}/two", leaves).collect() for p in r["__differs"]]
+    assert 1 <= sum(parts) <= 2 and len(parts) >= 16 * len(leaves)
+    found = snapshots.changes(spark, f"{tmp_path}/one", f"{tmp_path}/two", ["k"])
+    assert sorted(tuple(r) for r in found.collect()) == [(11, "REMOVED"), (42, "CHANGED")]
+    # a leaf that one version divides into more parts, repeated keys and null ones
+    more = other.unionByName(rows.withColumn("k", F.col("k") + 4000)).unionByName(rows.where("k = 7"))
+    none = spark.createDataFrame([(None, 1.0, "x")], "k long, v double, parts string")
+    snapshots.write(more.unionByName(none), ["k"], f"{tmp_path}/more", depth=1)
+    found = {r["k"]: r["change"] for r in snapshots.changes(spark, f"{tmp_path}/two", f"{tmp_path}/more", ["k"]).collect()}
+    assert found == {7: "CHANGED", None: "ADDED"} | {k: "ADDED" for k in range(4000, 8000)}
+    # a version without what its leaves tell, as written before
+    spark.read.parquet(f"{tmp_path}/one/rows").where("folder >= 0").write.partitionBy("folder").parquet(f"{tmp_path}/before/rows")
+    for part in ("tree", "schema"):
+        spark.read.parquet(f"{tmp_path}/one/{part}").write.parquet(f"{tmp_path}/before/{part}")
+    found = snapshots.changes(spark, f"{tmp_path}/before", f"{tmp_path}/two", ["k"])
+    assert sorted(tuple(r) for r in found.collect()) == [(11, "REMOVED"), (42, "CHANGED")]
+
+
 def test_an_overlay_has_the_changed_entities_alone(spark, tmp_path):
     wide = spark.range(300).select((F.col("id") % 3).alias("model"), F.col("id").cast("string").alias("entity"), (1 + F.col("id") / 7).alias("H"))
     rules.write_base(wide, STOREY, str(tmp_path), buckets=8)
